@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,8 +59,21 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, unless their Python path (taken to be the driver's environment) has it."""
+    root = Path(__file__).resolve().parents[2]
+    there = [Path(p or ".").resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]]
+    if root in there or getattr(spark.sparkContext, "_ledgerlens_sent", False):
+        return
+    d = tempfile.mkdtemp()  # the driver serves the archive from here as long as it runs
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{d}/ledgerlens", "zip", root, "ledgerlens"))
+    spark.sparkContext._ledgerlens_sent = True
+
+
 def arrow_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keep the batches that go to Python small, as texts may be long; a value that the user has set stays."""
+    """Before Python runs on executors: the package is there, and batches are small, as texts may be long; a size that the user has set stays."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) == 10000:
         spark.conf.set(key, str(rows))
