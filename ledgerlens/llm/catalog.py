@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import (
     queries_op1,
+    queries_op2,
     queries_op3,
     queries_op5,
     queries_op6,
@@ -12,6 +13,6 @@ from . import (
     queries_op10,
 )
 
-_MODULES = [queries_op1, queries_op3, queries_op5, queries_op6, queries_op8, queries_op9, queries_op10]
+_MODULES = [queries_op1, queries_op2, queries_op3, queries_op5, queries_op6, queries_op8, queries_op9, queries_op10]
 QUERIES = {m.NAME: m.query for m in _MODULES}
 ORACLES = {m.NAME: m.ORACLE for m in _MODULES if m.ORACLE}
