@@ -7,9 +7,11 @@ coordinates are banded: ROWS a band, BANDS bands. At the threshold a pair shares
 
 Documents with equal sets are one class, and only its smallest id goes on. Classes that share a band bucket are
 candidates, but pairs within a bucket are not spelled out: first each member meets a few centres of the bucket, the
-verified links give components, and only members of different components that share a bucket meet each other, in
-full, in the last step; so no pair that could join two components is left out, and a bucket of n near copies costs
-about n pairs. Sets are compared in full.
+verified links give components, and this repeats while it finds links. What is left are members whose buckets hold
+several components. All pairs of these across components that can meet the threshold by an exact prefix, length and
+position filter over their shingles, rarest first, meet in the last step; so no pair that could join two components is
+left out, a bucket of n near copies costs about n pairs, and outliers of a large family don't meet it one by one.
+Members with too many shingles that no other member has drop out at the start. Sets are compared in full.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .blocks import VISIBLE, Block, blocks, mix64, words
 from .common import arrow_batches, broadcast_if_small, materialize
@@ -31,8 +34,8 @@ ROWS = 5
 BANDS = 28
 SHINGLE_BLOCK = 512 << 10
 BROADCAST_NODES = 300_000
-#: Rounds of meeting centres before the rest meets in full; more rounds only save work.
-CENTRE_ROUNDS = 3
+#: Most rounds of meeting centres before the rest meets in full; more rounds only save work.
+CENTRE_ROUNDS = 4
 #: Centres a bucket has in each round.
 CENTRES = 3
 
@@ -178,6 +181,50 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
 
 
+def _codes(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, code) of every shingle of the given nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [x.view(np.int64) for x in _sets(batch.column(1))]
+            sizes = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            flat = pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(sizes), flat)], names=["node", "codes"])
+
+    texts = docs.join(broadcast_if_small(nodes, BROADCAST_NODES), "node")
+    return texts.select("node", "text").mapInArrow(run, "node long, codes array<long>").select("node", F.explode("codes").alias("code"))
+
+
+def _own_shingles(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, own): how many of a node's shingles no other of ``nodes`` has."""
+    alone = _codes(nodes, docs).groupBy("code").agg(F.min("node").alias("node"), F.max("node").alias("other")).filter("node = other")
+    return alone.groupBy("node").agg(F.count("*").alias("own"))
+
+
+def _held(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """``members`` with held: how many of their shingles some other of them has too."""
+    own = _own_shingles(materialize(members.select("node").distinct()), docs)
+    return members.join(own, "node", "left").withColumn("held", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+
+
+def _prefix_pairs(open_: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs of ``open_`` (node, n, component) across components that can meet the threshold: by prefix, length and place.
+
+    Shingles are ordered from the rarest; two sets that meet the threshold have a first common one so early in both
+    that what follows can still hold the rest of the intersection.
+    """
+    codes = materialize(_codes(open_.select("node"), docs))
+    often = codes.groupBy("code").agg(F.count("*").alias("often")).filter("often > 1")
+    # a shingle that one node has alone comes first in its order and meets nothing
+    order = Window.partitionBy("node").orderBy("often", "code")
+    placed = codes.join(often, "code").withColumn("late", F.row_number().over(order)).join(open_, "node")
+    placed = placed.withColumn("place", F.col("n") - F.col("held") + F.col("late") - 1).filter((F.col("place") * 100 <= F.col("n") * (100 - percent)))
+    one, two = (placed.select("code", *[F.col(c).alias(c + s) for c in ("node", "n", "component", "place")]) for s in ("", "_2"))
+    most = F.least(F.col("n") - F.col("place"), F.col("n_2") - F.col("place_2"))
+    near = most * 100 >= (F.col("n") + F.col("n_2") - most) * percent
+    return one.join(two, "code").filter((F.col("component") < F.col("component_2")) & near)
+
+
 def _sets(column: pa.Array) -> list[np.ndarray]:
     out = []
     for b in blocks(column, SHINGLE_BLOCK):
@@ -186,8 +233,10 @@ def _sets(column: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def _alike(n: str, other: str, percent: int):
-    return (F.col(n) * 100 >= F.col(other) * percent) & (F.col(other) * 100 >= F.col(n) * percent)
+def _possible(percent: int):
+    """Whether two members can meet the threshold: none of the shingles that one has alone is common."""
+    most = F.least("held", "held_2")
+    return most * 100 >= (F.col("n") + F.col("n_2") - most) * percent
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -196,9 +245,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_
     Documents are linked if the intersection of their shingle sets has at least ``percent`` hundredths of the union;
     component_id is the smallest id that links reach, kept tells whether it is the row's own. Null or empty texts have
     no shingles and no links. Rows without an id are linked with nothing: component_id null, kept true. Rows that
-    repeat an id are one document, linked by each of its texts; each row stays.
+    repeat an id each stay and get one component; of different texts under one id the smallest stands for all.
     """
     sketches = materialize(sketch(docs, text, doc_id))
+    if not sketches.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        one = docs.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(F.min(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text"))
+        found = near_duplicates(materialize(one), percent).select("doc_id", "component_id")
+        out = sketches.select("doc_id", "n_shingles").join(found, "doc_id", "left")
+        return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     usable = sketches.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.count("*").alias("size"))
     classes = materialize(classes)
@@ -207,9 +261,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_
     shared = exploded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("bucket")
     members = materialize(exploded.join(shared, "bucket", "left_semi"))
     nodes = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).cast("string").alias("text"))
+    able = _held(materialize(members.select("node", "n").distinct()), nodes).filter(F.col("held") * 100 >= F.col("n") * percent)
+    members = materialize(members.join(able.select("node", "held"), "node"))
 
-    links = tried = None
-    found = None
+    links = tried = found = None
+    progress = True
     for round_ in range(CENTRE_ROUNDS + 1):
         if found is None:
             now = members.withColumn("component", F.col("node"))
@@ -217,30 +273,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_
             now = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low < high")
         open_ = materialize(now.join(mixed.select("bucket", "size"), "bucket"))
-        size, pairs_at_most = open_.agg(F.count("*"), F.coalesce(F.sum(F.col("size") - 1), F.lit(0)) / 2).first()
-        if not size:
+        if not open_.count():
             break
-        in_full = round_ == CENTRE_ROUNDS or pairs_at_most <= 2 * size
+        in_full = not progress or round_ == CENTRE_ROUNDS
         if in_full:
-            left, right = (open_.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component")]) for s in "xy")
-            pairs = left.join(right, "bucket").filter((F.col("component_x") < F.col("component_y")) & _alike("n_x", "n_y", percent))
-            pairs = pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
+            met = _prefix_pairs(materialize(_held(open_.select("node", "n", "component").distinct(), nodes)), nodes, percent)
         else:
-            centre = []
-            for k in range(CENTRES):
-                # by the node alone, so that buckets with the same members choose the same centres
-                salt = F.xxhash64(F.lit(round_ * CENTRES + k), "node")
-                centre.append(open_.groupBy("bucket").agg(F.min(F.struct(salt.alias("s"), "node", "n", "component")).alias("c")).select("bucket", *[F.col(f"c.{c}").alias(f"{c}_c") for c in ("node", "n", "component")]))
-            centres = centre[0]
-            for c in centre[1:]:
-                centres = centres.union(c)
-            met = open_.join(centres.distinct(), "bucket").filter((F.col("component") != F.col("component_c")) & _alike("n", "n_c", percent))
-            pairs = met.select(F.least("node", "node_c").alias("a"), F.greatest("node", "node_c").alias("b"))
-        pairs = pairs.distinct()
+            # by the node alone, so that buckets with the same members choose the same centres; the first has the
+            # fewest shingles of its own, as such a member is nearest to the others
+            keys = [F.col("n") - F.col("held"), *[F.xxhash64(F.lit(round_ * CENTRES + k), "node") for k in range(1, CENTRES)]]
+            chosen = open_.groupBy("bucket").agg(F.array_distinct(F.array(*[F.min(F.struct(k.cast("long").alias("key"), F.col("node"))).getField("node") for k in keys])).alias("centres"))
+            other = open_.select("bucket", *[F.col(c).alias(f"{c}_2") for c in ("node", "n", "held", "component")])
+            met = open_.join(chosen.select("bucket", F.explode("centres").alias("node_2")), "bucket").join(other, ["bucket", "node_2"])
+            met = met.filter((F.col("component") != F.col("component_2")) & _possible(percent))
+        pairs = met.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs)
         new = materialize(_verified(pairs, nodes, percent))
+        progress = not new.isEmpty()
         tried = pairs if tried is None else tried.union(pairs)
         links = new if links is None else links.union(new)
         found = materialize(components(links))
