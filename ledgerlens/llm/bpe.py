@@ -226,8 +226,8 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "token_ids", text: str =
 DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
 
-def digests(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Encode and decode in one pass and keep only counts and digests, so that no ids travel back.
+def digests(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None, ids: str | None = None) -> DataFrame:
+    """Encode and decode in one pass; give counts and digests and, only if named, the ids (array of int).
 
     ``keep`` are the columns to carry (default: all but the text).
     """
@@ -238,14 +238,19 @@ def digests(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(vocabulary)
         for batch in batches:
-            n, first, second = [], [], []
+            n, first, second, every = [], [], [], [np.zeros(0, np.int32)]
             for x in batch.column(len(keep)):
-                ids = t.encode(x.as_py() or "")
-                n.append(len(ids))
-                first.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                second.append(hashlib.sha256(t.decode(ids)).hexdigest())
+                found = t.encode(x.as_py() or "")
+                n.append(len(found))
+                first.append(hashlib.sha256(found.tobytes()).hexdigest())
+                second.append(hashlib.sha256(t.decode(found)).hexdigest())
+                if ids:
+                    every.append(found.astype(np.int32))
             made = [pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + made, names=[*keep, *DIGESTS.names])
+            if ids:
+                made.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate(every))))
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + made, names=[*keep, *DIGESTS.names, *([ids] if ids else [])])
 
     chosen = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    return chosen.mapInArrow(run, T.StructType([*fields, *DIGESTS.fields]))
+    more = [T.StructField(ids, T.ArrayType(T.IntegerType()))] if ids else []
+    return chosen.mapInArrow(run, T.StructType([*fields, *DIGESTS.fields, *more]))

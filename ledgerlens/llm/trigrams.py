@@ -165,3 +165,16 @@ def scan(docs: DataFrame, rules: list[Rule], text: str = "text", out: str = "fou
         may = F.coalesce("__rules", F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0 if indexed else F.lit(True)
         every.append(F.when(may & F.col("__text").rlike(r.pattern), spans(F.col("__text"), r, i)).otherwise(none))
     return rows.withColumn(out, F.array_sort(F.concat(*every))).drop("__text", "__key", "__rules")
+
+
+def redacted(text: Column, found: Column) -> Column:
+    """``text`` with every run of overlapping spans of ``found`` (sorted, as ``scan`` gives them) replaced by its first kind in brackets."""
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, m: Column) -> Column:
+        gap = F.substring(text, acc.at + 1, m.start - acc.at)
+        out = F.when(m.start >= acc.at, F.concat(acc.out, gap, F.lit("["), m.kind, F.lit("]"))).otherwise(acc.out)
+        return F.struct(F.greatest(acc.at, m["end"]).alias("at"), out.alias("out"))
+
+    done = F.aggregate(found, begin, step, lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, F.length(text))))
+    return F.when(F.size(found) > 0, done).otherwise(text)
