@@ -1,4 +1,14 @@
 """All queries of the engine with their SQL twins."""
 
+from __future__ import annotations
+
+from . import (
+    lexical_queries,
+)
+
+_MODULES = [lexical_queries]
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _m in _MODULES:
+    QUERIES |= _m.QUERIES
+    ORACLES |= _m.ORACLES
