@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from . import (
+    fusion_queries,
     lexical_queries,
 )
 
-_MODULES = [lexical_queries]
+_MODULES = [lexical_queries, fusion_queries]
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _m in _MODULES:
