@@ -5,9 +5,10 @@ from __future__ import annotations
 from . import (
     fusion_queries,
     lexical_queries,
+    number_queries,
 )
 
-_MODULES = [lexical_queries, fusion_queries]
+_MODULES = [lexical_queries, fusion_queries, number_queries]
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _m in _MODULES:
