@@ -6,9 +6,10 @@ from . import (
     fusion_queries,
     lexical_queries,
     number_queries,
+    planning_queries,
 )
 
-_MODULES = [lexical_queries, fusion_queries, number_queries]
+_MODULES = [lexical_queries, fusion_queries, number_queries, planning_queries]
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _m in _MODULES:
