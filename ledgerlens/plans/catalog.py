@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from . import (
     fusion_queries,
+    gate_queries,
     lexical_queries,
     number_queries,
     planning_queries,
 )
 
-_MODULES = [lexical_queries, fusion_queries, number_queries, planning_queries]
+_MODULES = [lexical_queries, fusion_queries, number_queries, planning_queries, gate_queries]
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _m in _MODULES:
