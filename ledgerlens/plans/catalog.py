@@ -8,9 +8,10 @@ from . import (
     lexical_queries,
     number_queries,
     planning_queries,
+    structure_queries,
 )
 
-_MODULES = [lexical_queries, fusion_queries, number_queries, planning_queries, gate_queries]
+_MODULES = [lexical_queries, fusion_queries, number_queries, planning_queries, gate_queries, structure_queries]
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _m in _MODULES:
