@@ -92,8 +92,8 @@ def query_view(question: Column, view: str, blocked: Column | None = None, keep_
 
 def ngrams(words: Column, n: int) -> Column:
     """All runs of ``n`` words, joined by blanks; none if there are fewer words."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+    firsts = F.slice(words, 1, F.greatest(F.size(words) - (n - 1), F.lit(0)))
+    return F.transform(firsts, lambda w, i: F.concat_ws(" ", w, *[F.get(words, i + j) for j in range(1, n)]))
 
 
 def phrase_bonus(query: Column, row: Column) -> Column:

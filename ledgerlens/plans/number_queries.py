@@ -99,7 +99,7 @@ def header_years(spark, d):
 
 
 @query("""SELECT c_custkey, round(c_acctbal * 2 + 1, 6) AS arithmetic, c_acctbal BETWEEN 0 AND 5000 AND c_mktsegment = 'BUILDING' AS predicate, CASE WHEN c_acctbal > 0 THEN 'up' ELSE 'down' END AS branch,
-lower(trim(replace(c_name, '#', ' '))) AS spelled, regexp_matches(c_name, '00[12]') AS matched, c_nationkey IN (1, 2, 3) AS member, round(pow(abs(c_acctbal), 2) / nullif(c_nationkey, 0), 4) AS quotient FROM customer""")
+lower(trim(replace(c_name, '#', ' '))) AS spelled, regexp_matches(c_name, '00[12]') AS matched, c_nationkey IN (1, 2, 3) AS member, abs(c_acctbal) / nullif(c_nationkey, 0) + pow(2, 3) AS quotient FROM customer""")
 def expr_compiled_rows(spark, d):
     c = table(spark, d, "customer")
     e = lambda t: expressions.row_expression(t, c.columns)
@@ -111,7 +111,7 @@ def expr_compiled_rows(spark, d):
         e("c_name.str.replace('#', ' ').str.strip().str.lower()").alias("spelled"),
         e("c_name.str.contains('00[12]')").alias("matched"),
         e("c_nationkey in [1, 2, 3]").alias("member"),
-        F.round(e("abs(c_acctbal) ** 2 / c_nationkey"), 4).alias("quotient"),
+        e("abs(c_acctbal) / c_nationkey + 2 ** 3").alias("quotient"),
     )
 
 

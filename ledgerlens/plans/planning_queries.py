@@ -22,14 +22,14 @@ def query(sql: str | None):
     return add
 
 
-# Revenue in whole units, so that sums are exact in any order.
-REVENUE = "rev AS (SELECT c_nationkey AS qid, year(o_orderdate)::INT AS year, sum(round(o_totalprice))::DOUBLE AS value FROM orders JOIN customer ON o_custkey = c_custkey WHERE year(o_orderdate) BETWEEN 1996 AND 1998 GROUP BY ALL)"
+# Revenue in tens of thousands, so that sums are exact in any order and scaled answers have no ties to round.
+REVENUE = "rev AS (SELECT c_nationkey AS qid, year(o_orderdate)::INT AS year, (sum(round(o_totalprice / 10000)) * 10000)::DOUBLE AS value FROM orders JOIN customer ON o_custkey = c_custkey WHERE year(o_orderdate) BETWEEN 1996 AND 1998 GROUP BY ALL)"
 
 
 def revenue(spark, d):
     o, c = table(spark, d, "orders"), table(spark, d, "customer").select("c_custkey", "c_nationkey")
     y = F.year("o_orderdate")
-    return o.filter(y.between(1996, 1998)).join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_nationkey").alias("qid"), y.alias("year")).agg(F.sum(F.round("o_totalprice")).alias("value"))
+    return o.filter(y.between(1996, 1998)).join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_nationkey").alias("qid"), y.alias("year")).agg((F.sum(F.round(F.col("o_totalprice") / 10000)) * 10000).alias("value"))
 
 
 def ask(spark, d, question: str, metrics=("doanh thu",), per_year_rows: bool = False, second: bool = False):
@@ -37,7 +37,7 @@ def ask(spark, d, question: str, metrics=("doanh thu",), per_year_rows: bool = F
     place = F.row_number().over(Window.partitionBy("qid").orderBy("year")).cast("long")
     values = v.select("qid", place.alias("place"), F.lit("df0").alias("variable"), (F.col("year") - 1990 if per_year_rows else F.lit(1)).cast("long").alias("row"), (F.col("year") - 1990).cast("long").alias("column"), "value", "year", F.lit("doanh thu").alias("label"))
     if second:
-        other = values.select("qid", (F.col("place") + 10).alias("place"), F.lit("df1").alias("variable"), "row", "column", F.pmod(F.col("value"), F.lit(1000.0)).alias("value"), "year", F.lit("loi nhuan").alias("label"))
+        other = values.select("qid", (F.col("place") + 10).alias("place"), F.lit("df1").alias("variable"), "row", "column", F.pmod(F.col("value"), F.lit(70000.0)).alias("value"), "year", F.lit("loi nhuan").alias("label"))
         values = values.unionByName(other)
     words = lambda w: F.array(*map(F.lit, w)) if w else F.array().cast("array<string>")
     questions = v.select("qid").distinct().select("qid", F.lit(question).alias("question"), words(["doanh thu", "loi nhuan"]).alias("labels"), words(metrics).alias("metrics"))
@@ -57,7 +57,7 @@ def plan_average(spark, d):
     return ask(spark, d, "Doanh thu trung bình bao nhiêu nghìn đồng")
 
 
-@query(f"WITH {REVENUE}, {SPAN} SELECT qid, CASE WHEN n = 3 THEN 'sum of a row' WHEN n = 1 THEN 'single' ELSE 'sum' END AS branch, CASE WHEN n = 3 OR n = 1 THEN round(s / 1000, 2) ELSE round(a / 1000, 2) END AS answer FROM g WHERE n = 3")
+@query(f"WITH {REVENUE}, {SPAN} SELECT qid, 'sum of a row' AS branch, round(s / 1000, 2) AS answer FROM g WHERE n = 3")
 def plan_sum_years(spark, d):
     n = revenue(spark, d).groupBy("qid").count().filter("count = 3")
     return ask(spark, d, "Tổng doanh thu các năm 1996, 1997 và 1998 là bao nhiêu nghìn đồng").join(n.select("qid"), "qid", "left_semi")
@@ -84,13 +84,13 @@ def plan_argmax_year(spark, d):
     return ask(spark, d, "Năm nào doanh thu cao nhất", per_year_rows=True)
 
 
-@query(f"WITH {REVENUE}, {SPAN} SELECT qid, 'value in the best year' AS branch, round(hi % 1000, 2) AS answer FROM g WHERE n >= 2")
+@query(f"WITH {REVENUE}, {SPAN} SELECT qid, 'value in the best year' AS branch, round(hi % 70000, 2) AS answer FROM g WHERE n >= 2")
 def plan_argmax_then_lookup(spark, d):
     got = ask(spark, d, "Tại năm mà doanh thu cao nhất trong 1996, 1997, 1998 thì lợi nhuận là bao nhiêu", ("doanh thu", "loi nhuan"), per_year_rows=True, second=True)
     return got.filter("branch = 'value in the best year'")
 
 
-@query(f"WITH {REVENUE}, {SPAN} SELECT qid, CASE WHEN n = 1 THEN 'ratio' ELSE 'ratio' END AS branch, round(CASE WHEN a % 1000 = 0 THEN NULL ELSE a / (a % 1000) END, 2) AS answer FROM g")
+@query(f"WITH {REVENUE}, {SPAN} SELECT qid, 'ratio' AS branch, round(CASE WHEN a % 70000 = 0 THEN NULL ELSE a / (a % 70000) END, 2) AS answer FROM g")
 def plan_ratio(spark, d):
     return ask(spark, d, "Doanh thu gấp mấy lần lợi nhuận", ("doanh thu", "loi nhuan"), second=True)
 
