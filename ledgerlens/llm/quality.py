@@ -131,7 +131,7 @@ def decompose(matrix: np.ndarray, rank: int, rounds: int = 4) -> np.ndarray:
 
 def fit(labelled: DataFrame, text: str, label: str, by: str, sample: int = SAMPLE, rank: int = RANK) -> Model:
     """Fit on the at most ``sample`` rows of ``labelled`` with the smallest hashes of ``by``. Null labels are left out."""
-    schema = T.StructType([T.StructField("label", T.DoubleType()), T.StructField("at", T.ArrayType(T.ShortType())), T.StructField("n", T.ArrayType(T.FloatType()))])
+    schema = T.StructType([T.StructField("label", T.DoubleType()), T.StructField("at", T.BinaryType()), T.StructField("n", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,19 +139,21 @@ def fit(labelled: DataFrame, text: str, label: str, by: str, sample: int = SAMPL
             for b in few_rows(batch.column(1)):
                 for c in counts(b):
                     some = np.flatnonzero(c)
-                    at.append(some.astype(np.int16))
-                    n.append(c[some])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int16())), pa.array(n, pa.list_(pa.float32()))], names=schema.names)
+                    at.append(some.astype("<i2").tobytes())
+                    n.append(c[some].astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=schema.names)
 
     arrow_batches(labelled.sparkSession)
     chosen = labelled.select(F.col(label).cast("double"), F.col(text).cast("string"), F.xxhash64(by).alias("h"), F.col(by)).filter(F.col(label).isNotNull())
+    # packed, as the driver would hold lists of numbers as objects
     rows = chosen.orderBy("h", by).limit(sample).drop("h", by).mapInArrow(run, schema).collect()
     matrix, labels = np.zeros((len(rows), WIDTH), np.float32), np.array([r.label for r in rows])
     for i, r in enumerate(rows):
-        matrix[i, np.array(r["at"], np.int64)] = r.n
-    idf = np.log((1 + len(rows)) / (1 + (matrix > 0).sum(axis=0))).astype(np.float32) + 1
+        matrix[i, np.frombuffer(r["at"], "<i2")] = np.frombuffer(r.n, "<f4")
+    del rows
+    idf = np.log((1 + len(labels)) / (1 + (matrix > 0).sum(axis=0))).astype(np.float32) + 1
     model = Model(idf, np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), labels)
-    if len(rows):
+    if len(labels):
         model.axes = decompose(scaled(matrix, idf), rank)
         model.vectors = model.place(matrix).astype(np.float32)
     return model
