@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 from .common import arrow_batches
 
 END = "\ue000"
-WORDS_KEPT = 400_000
+WORDS_KEPT = 150_000
+PAIRS_KEPT = 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -80,7 +81,7 @@ class WordBpe:
         """Whether the merges leave tokens ``a`` and ``b`` side by side: no merge across their border would come first."""
         key = (a, b)
         if (known := self.compatible.get(key)) is None:
-            if len(self.compatible) > 1_000_000:
+            if len(self.compatible) > PAIRS_KEPT:
                 self.compatible.clear()
             known = self.compatible[key] = self._stands(a, b)
         return known

@@ -26,7 +26,7 @@ from .common import arrow_batches, materialize
 
 WINDOW = 10
 PART_WORDS = 2_000_000
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 
 MATCH = T.StructType(
     [T.StructField("item", T.StringType()), T.StructField("item_start", T.LongType()), T.StructField("doc_start", T.LongType()), T.StructField("length", T.LongType())]
