@@ -6,15 +6,17 @@ kept. Each of the SKETCHES coordinates picks the PICKED minimal ones of these by
 order and hashes the tuple; so equal coordinates mean common content in a common order, as edit distance asks for.
 
 All of it is array expressions on a row, sorting packed numbers (hash above, place below), with no shuffle: a step costs
-time and memory in proportion to the text. Finding neighbours shuffles ids, then each text once and a quarter.
+time and memory in proportion to the text. For neighbours, texts are shuffled once, to buckets of consecutive ids, in
+which a window sees the next one; only the first document of each bucket goes to another one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import broadcast_if_small, constants, materialize
+from .common import materialize
 
 PIECE = 6
 KMER = 3
@@ -22,8 +24,9 @@ SHORT = 96
 SAMPLED = 48
 SKETCHES = 20
 PICKED = 2
-#: Ids and places of so many documents may be broadcast.
-BROADCAST_ORDER = 400_000
+#: Documents in a bucket of neighbouring ids, and the most buckets; beyond these, buckets grow.
+BUCKET_ROWS = 2000
+MOST_BUCKETS = 50_000
 
 _PLACE = (1 << 24) - 1
 _HASH = (1 << 40) - 1
@@ -102,29 +105,20 @@ def shown(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
-def order(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """(key, doc_id, idx, n_chars, copies, of): a number from 0 for each different row of ``docs`` (doc_id, key, n_chars), by id, then key.
+def _bucket(doc_id: str, bounds: list[int]) -> Column:
+    """How many of the rising ``bounds`` an id has reached, by a search in two levels; 0 for null."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    longs = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
+    reached = lambda values: F.size(F.filter(values, lambda b: F.col(doc_id) >= b))
+    coarse = reached(longs([x[0] for x in parts]))
+    fine = F.coalesce(F.get(F.array(*map(longs, parts)), coarse - 1), longs([]))
+    return F.when(coarse > 0, (coarse - 1) * step + reached(fine)).otherwise(0)
 
-    Rows are dealt by ranges and sorted within these; numbers within a range plus the ranges' sizes give the place,
-    without a window over all rows. copies: how many equal rows there are; of: how many different ones.
-    """
-    spark = docs.sparkSession
-    different = docs.groupBy(doc_id, "key").agg(F.first("n_chars").alias("n_chars"), F.count("*").alias("copies"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = different.repartitionByRange(parts, doc_id, "key").sortWithinPartitions(doc_id, "key").withColumn("at", F.monotonically_increasing_id())
-    dealt = materialize(dealt)
-    part = F.shiftright("at", 33)
-    sizes = dealt.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # one row per range
-    begins, total = [], 0
-    for r in sizes:
-        begins.append((r.part, total))
-        total += r.n
-    starts = constants(spark, ["part", "begin"], begins or [(0, 0)])
-    numbered = dealt.join(F.broadcast(starts), part == F.col("part"))
-    return numbered.select("key", doc_id, (F.col("begin") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("idx"), "n_chars", "copies", F.lit(total).cast("long").alias("of"))
-
-
-def edited_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+
+def edited_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
     The edited text replaces the last quarter (rounded down) of a text's code points by as many first ones of the next
@@ -132,32 +126,30 @@ def edited_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     first; rows with equal ids go by a hash of their texts; equal rows follow each other.
     """
     own = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), own.alias("text"))
-    rows = rows.withColumn("key", F.xxhash64("doc_id", "text")).withColumn("n_chars", F.length("text"))
-    places = materialize(order(rows.select("doc_id", "key", "n_chars")))
-    before = places.select(F.expr("pmod(idx + 1, of)").alias("idx"), F.floor(F.col("n_chars") / 4).cast("int").alias("wanted"))
-    places = materialize(places.join(before, "idx"))
-    repeated = not places.filter("copies > 1").isEmpty()
-    found = broadcast_if_small(places.withColumnsRenamed({"key": "k", "doc_id": "id"}).drop("n_chars"), BROADCAST_ORDER)
-    placed = rows.join(found, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id")))
-    heads = placed.select(F.expr("pmod(idx - 1, of)").alias("idx"), F.expr("left(text, wanted)").alias("head"))
-    if repeated:
-        heads = heads.groupBy("idx").agg(F.first("head").alias("head"))
-    both = placed.select("idx", "of", "copies", "doc_id", "n_chars", "text").join(heads, "idx")
-    last = F.lit(True)
-    if repeated:
-        both = both.withColumn("nth", F.expr("row_number() over (partition by idx order by idx)"))
-        last = F.col("nth") == F.col("copies")
-    cut = F.floor(F.col("n_chars") / 4).cast("int")
-    replaced = F.when(last, F.col("head")).otherwise(F.expr("left(text, cast(floor(n_chars / 4) as int))"))
-    both = both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars") - cut), replaced))
-    follows = F.when(last, F.expr("pmod(idx + 1, of)")).otherwise(F.col("idx")).alias("follows")
-    both = both.select("idx", follows, "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"), "text", "edited")
-    made = materialize(fingerprints(both, {"text": "fp", "edited": "edited_fp"}, ["idx", "follows", "doc_id", "n_chars", "edited_sha256"]))
-    others = made.select(F.col("idx").alias("follows"), F.col("fp").alias("next_fp"))
-    if repeated:
-        others = others.groupBy("follows").agg(F.first("next_fp").alias("next_fp"))
-    return made.join(others, "follows").select(
+    size = docs.count()
+    buckets = max(1, min(MOST_BUCKETS, size // bucket_rows))
+    shares = [i / buckets for i in range(1, buckets)]
+    bounds = docs.agg(F.percentile_approx(doc_id, shares, 20 * buckets)).first()[0] if shares else []
+    rows = docs.select(F.col(doc_id).alias("doc_id"), own.alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    rows = rows.withColumn("bucket", _bucket("doc_id", sorted(set(bounds or []))))
+
+    # the first document of each bucket follows the last one of the bucket before; there are at most MOST_BUCKETS
+    first = rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "key")).alias("f")).select("bucket", F.col("f.doc_id").alias("id"), F.col("f.key").alias("k"))
+    around = Window.orderBy("bucket")
+    before = F.coalesce(F.lag("bucket").over(around), F.last("bucket").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    first = F.broadcast(first.withColumn("before", before).drop("bucket"))
+    heads = rows.drop("bucket").join(first, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id"))).dropDuplicates(["before"])
+    heads = materialize(fingerprints(heads.select("before", "text", F.col("text").alias("head")), {"text": "head_fp"}, ["before", "head"]))
+
+    in_order = Window.partitionBy("bucket").orderBy("doc_id", "key")
+    both = rows.withColumn("next", F.lead("text").over(in_order)).join(heads, F.col("bucket") == F.col("before"))
+    cut = F.floor(F.length("text") / 4).cast("int")
+    both = both.withColumn("n_chars", F.length("text").cast("long")).withColumn("cut", cut)
+    both = both.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars as int) - cut)"), F.expr("left(coalesce(next, head), cut)")))
+    both = both.withColumn("edited_sha256", F.sha2("edited", 256))
+    made = fingerprints(both, {"text": "fp", "edited": "edited_fp"}, ["bucket", "doc_id", "key", "n_chars", "edited_sha256", "head_fp"])
+    made = made.withColumn("next_fp", F.coalesce(F.lead("fp").over(in_order), "head_fp"))
+    return made.select(
         "doc_id",
         "n_chars",
         "edited_sha256",

@@ -45,9 +45,9 @@ def likeness(a, b):
     return 1.0 if not a and not b else sum(x == y for x, y in zip(a, b, strict=False)) / om.SKETCHES if a and b else 0.0
 
 
-def check(spark, rows):
+def check(spark, rows, **more):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = om.edited_neighbours(df).collect()
+    got = om.edited_neighbours(df, **more).collect()
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, h(*([(r[0], 64)] if r[0] is not None else []), r[1] or "")))
     want = []
     for i, (k, t) in enumerate(order):
@@ -71,6 +71,12 @@ def test_repeated_rows_and_ids(spark):
     check(spark, [(5, TEXT), (5, TEXT), (5, TEXT), (6, "other words here"), (6, "yet another"), (None, "none"), (None, None), (7, "z" * 100)])
 
 
+def test_many_buckets(spark):
+    rows = [(i * 7 % 41 - 20, f"{TEXT[i:]} {i}") for i in range(30)] + [(None, "x y z"), (3, "w"), (3, "w")]
+    for size in (1, 2, 5):
+        check(spark, rows, bucket_rows=size)
+
+
 def test_one_and_no_row(spark):
     check(spark, [(1, TEXT)])
     df = spark.createDataFrame([], "doc_id long, text string")
