@@ -261,6 +261,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_
     shared = exploded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("bucket")
     members = materialize(exploded.join(shared, "bucket", "left_semi"))
     nodes = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).cast("string").alias("text"))
+    # their texts are looked up often, so they are taken out of the corpus once
+    wanted = broadcast_if_small(materialize(members.select("node").distinct()), BROADCAST_NODES)
+    nodes = materialize(nodes.join(wanted, "node"))
     able = _held(materialize(members.select("node", "n").distinct()), nodes).filter(F.col("held") * 100 >= F.col("n") * percent)
     members = materialize(members.join(able.select("node", "held"), "node"))
 
