@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.text import content_words, fold_words
+from ..functions.text import content_words, fold_words, says
 
 MOST_COMPANIES = 50_000
 GROUP_CUES = ["ma co phieu", "gom cac cong ty", "nhom"]
@@ -115,3 +115,96 @@ def typed_slots(questions: DataFrame, qid: str) -> DataFrame:
     q = q.select("*", F.posexplode(years).alias("nth", "year"))
     role = F.when(one, F.when(F.col("nth") == 0, "prior").otherwise("current")).when((F.col("operation") == "ratio") & (F.size("metrics") >= 2), F.when(F.col("at") == 0, "numerator").otherwise("denominator")).otherwise("value")
     return q.select(qid, "ticker", "metric", "year", role.alias("role"))
+
+
+COUNTERPARTY = r"(?:phai thu tu|phai tra cho|dau tu vao|ban (?:hang )?(?:cho|voi)|giao dich voi)\s+((?:[a-z0-9]+\s+){0,7})$"
+
+
+def only_counterparty(content: Column, name: Column) -> Column:
+    """Whether each mention of a company's own name (words of ``content``) follows wording that makes it a counterparty."""
+    padded, mark = F.concat(F.lit(" "), content, F.lit(" ")), F.concat(F.lit(" "), name, F.lit(" "))
+    pieces = F.split(F.replace(padded, mark, F.lit(" \u0001 ")), "\u0001")
+    before = F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0)))
+    related = lambda p: p.rlike(COUNTERPARTY) & ~F.contains(F.regexp_extract(p, COUNTERPARTY, 1), F.lit("cua me"))
+    return (F.size(before) > 0) & F.forall(before, related)
+
+
+def infer_entities(questions: DataFrame, companies: DataFrame, aliases: DataFrame, qid: str, question: str) -> DataFrame:
+    """(qid, tickers, confidence, method): spelled-out tickers, official names and aliases, else a clear fuzzy winner, else none.
+
+    Counterparties drop, and so do tickers that are but a word of a company named in full.
+    """
+    text = F.col(question)
+    q = questions.select(qid, text.alias("__q"), fold_words(text).alias("__f"), F.array_join(content_words(text), " ").alias("__c"))
+    known = F.broadcast(companies.agg(F.collect_set("ticker").alias("__known")).withColumn("__k", F.lit(1)))
+    spelled = q.withColumn("__k", F.lit(1)).join(known, "__k").select(qid, F.explode(explicit_tickers(F.col("__q"), F.col("__f"), F.col("__known"))).alias("ticker"))
+    names = companies.select("ticker", F.array_join(content_words(F.col("name")), " ").alias("own"), fold_words(F.col("name")).alias("full"))
+    scores = entity_scores(questions, companies, qid, question)
+    named = scores.filter("score >= 0.98").join(F.broadcast(names), "ticker").join(q, qid)
+    named = named.filter((F.col("score") == 1.0) | (F.size(F.split("own", " ")) >= 3)).filter(~only_counterparty(F.col("__c"), F.col("own"))).select(qid, "ticker", "own")
+    called = alias_matches(q, aliases, qid, "__f").join(F.broadcast(names), "ticker").join(q, qid).filter(~only_counterparty(F.col("__c"), F.col("own"))).select(qid, "ticker", "own")
+    exact = named.unionByName(called).distinct()
+    words = exact.select(qid, F.col("ticker").alias("owner"), F.explode(F.split("own", " ")).alias("w"))
+    spelled = spelled.join(words, [qid], "left").groupBy(qid, "ticker").agg(F.coalesce(F.bool_or((F.lower("ticker") == F.col("w")) & (F.col("ticker") != F.col("owner"))), F.lit(False)).alias("word")).filter(~F.col("word")).select(qid, "ticker")
+    found = spelled.select(qid, "ticker", F.lit(1).alias("e")).unionByName(exact.select(qid, "ticker", F.lit(0).alias("e"))).groupBy(qid, "ticker").agg(F.max("e").alias("e"))
+    sure = found.groupBy(qid).agg(F.array_sort(F.collect_list("ticker")).alias("tickers"), F.sum("e").alias("n"), F.count("*").alias("of"))
+    method = F.when((F.col("n") > 0) & (F.col("n") == F.col("of")), "explicit_ticker").when(F.col("of") == 1, "single_official_name").otherwise("union_all_entity_detectors")
+    sure = sure.select(qid, "tickers", F.when(F.col("n") > 0, 1.0).otherwise(0.98).alias("confidence"), method.alias("method"))
+    fuzzy = decide_entities(scores.filter("score < 0.98"), qid).select(qid, "tickers", "confidence", "method")
+    rest = questions.select(qid).join(sure.select(qid), qid, "left_anti").join(fuzzy, qid, "left")
+    none = F.array().cast("array<string>")
+    return sure.unionByName(rest.select(qid, F.coalesce("tickers", none).alias("tickers"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("method", F.lit("ambiguous")).alias("method")))
+
+
+# Wording that makes a question more than a lookup.
+NOT_LOOKUP = [
+    "tang truong", "toc do tang", "tang giam", "chenh lech", "khac biet", "hieu", "tru", "cao hon", "thap hon", "lon hon", "trung binh", "binh quan", "ty trong", "chiem bao nhieu", "gap",
+    "bao nhieu lan", "bien loi nhuan", "lon nhat", "cao nhat", "nhieu nhat", "nho nhat", "thap nhat", "it nhat", "nam nao", "cong ty nao", "doanh nghiep nao",
+    "tong cua", "tong cong cua", "cong voi", "cong lai",
+]
+
+
+def is_direct_lookup(operator_text: Column, years: Column) -> Column:
+    """Whether a question asks for one figure: at most one year, and no operator wording (line items and report wording removed)."""
+    return (F.size(years) <= 1) & ~says(operator_text, *NOT_LOOKUP)
+
+
+def is_high_arity(documents: Column, items: Column, years: Column) -> Column:
+    """Whether a question needs several cells: two documents, line items or different years."""
+    return (F.size(documents) >= 2) | (F.size(items) >= 2) | (F.size(F.array_distinct(years)) >= 2)
+
+
+def metric_mentions(text: Column, labels: Column) -> Column:
+    """The labels that a folded question holds, in its order, the longer first at one place, none inside an earlier one."""
+    at = lambda x: F.struct(F.instr(text, x).alias("at"), (-F.length(x)).alias("n"), x.alias("label"))
+    usable = F.filter(labels, lambda x: (x != "") & F.contains(text, x) & ~x.isin("tong cong", "tong cong tai san"))
+    found = F.array_sort(F.transform(F.array_distinct(usable), at))
+    inside = lambda k, x: (k["at"] <= x["at"]) & (x["at"] - x["n"] <= k["at"] - k["n"])
+    kept = F.aggregate(found, F.array().cast("array<struct<at:int,n:int,label:string>>"), lambda a, x: F.when(F.exists(a, lambda k: inside(k, x)), a).otherwise(F.array_append(a, x)))
+    return F.transform(kept, lambda x: x["label"])
+
+
+#: Operations of plans.
+PLAN_OPERATIONS = frozenset("add argmax argmin change compare divide lookup mean multiply select subtract sum".split())
+
+
+def plan_problems(facts: list[dict], steps: list[dict], tickers: list[str], years: list[int]) -> list[str]:
+    """What is wrong with a plan: facts outside the gate, unknown operations, steps that refer to nothing before them."""
+    known, out = set(), []
+    for f in facts:
+        if f.get("entity") not in tickers or (f.get("period") is not None and f["period"] not in years):
+            out.append(f"fact {f.get('id')} is outside the gate")
+        known.add(f.get("id"))
+    for s in steps:
+        if s.get("op") not in PLAN_OPERATIONS:
+            out.append(f"step {s.get('id')} has an unknown operation")
+        if not s.get("inputs") or any(i not in known for i in s["inputs"]):
+            out.append(f"step {s.get('id')} refers to what isn't before it")
+        known.add(s.get("id"))
+    return out
+
+
+def salvaged_facts(facts: list[dict], tickers: list[str], years: list[int]) -> list[dict]:
+    """The usable facts of a broken plan, renumbered: foreign entities become the gate's first, foreign periods none."""
+    kept = [f for f in facts if isinstance(f.get("query"), str) and f["query"].strip()]
+    return [{"id": f"f{i}", "query": f["query"].strip(), "entity": f.get("entity") if f.get("entity") in tickers else tickers[0], "period": f.get("period") if f.get("period") in years else None} for i, f in enumerate(kept, 1)]

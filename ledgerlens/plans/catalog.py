@@ -8,10 +8,11 @@ from . import (
     lexical_queries,
     number_queries,
     planning_queries,
+    retrieval_queries,
     structure_queries,
 )
 
-_MODULES = [lexical_queries, fusion_queries, number_queries, planning_queries, gate_queries, structure_queries]
+_MODULES = [lexical_queries, fusion_queries, number_queries, planning_queries, gate_queries, structure_queries, retrieval_queries]
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _m in _MODULES:

@@ -166,3 +166,13 @@ def test_stream_resumes(spark, tmp_path):
     (src / "b.json").write_text(json.dumps({"id": 3, "question": "xyz"}))
     done()
     assert sorted((r.id, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_plan_checks():
+    gate_ = (["AAA"], [2023, 2024])
+    facts = [{"id": "f1", "query": "doanh thu", "entity": "AAA", "period": 2023}]
+    assert questions.plan_problems(facts, [{"id": "s1", "op": "lookup", "inputs": ["f1"]}, {"id": "s2", "op": "add", "inputs": ["s1", "f1"]}], *gate_) == []
+    assert len(questions.plan_problems(facts, [{"id": "s1", "op": "exec", "inputs": ["s2"]}], *gate_)) == 2
+    assert len(questions.plan_problems([{"id": "f1", "entity": "BBB"}], [], *gate_)) == 1
+    broken = [{"query": "a", "entity": "BBB", "period": 1999}, {"entity": "AAA"}, {"query": "b", "entity": "AAA", "period": 2024}]
+    assert questions.salvaged_facts(broken, *gate_) == [{"id": "f1", "query": "a", "entity": "AAA", "period": None}, {"id": "f2", "query": "b", "entity": "AAA", "period": 2024}]
