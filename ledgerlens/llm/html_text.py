@@ -5,7 +5,8 @@ the count of their tags; lines in menus, headers, footers, sidebars, notices, ad
 the like are marked on the way, by element, role and the words of class and id. The text-to-tag ratios of the other
 lines are smoothed by a Gaussian, and those above a threshold (their deviation) are the seeds of content. The region
 around them is the article: the whole of every article or main element with a seed, or else from the first to the last
-seed with the headings just before; within it only lines that are mostly links drop.
+line that is a seed or shares its container with most of the seeds' text, with the headings just before; there, lines
+that are mostly links drop.
 
 Free style (Arrow batches in Python), as there is no native HTML parser; work is per row, without a shuffle.
 """
@@ -31,11 +32,15 @@ DROPPED = frozenset("aside audio button canvas datalist dialog footer form head
 DROPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup sidebar aside widget"
-    " menu nav navbar navigation breadcrumb breadcrumbs masthead topbar header footer copyright comment comments respond disqus replies share sharing social related recommended pagination pager toolbar login search hidden".split()
+    " menu nav navbar navigation breadcrumb breadcrumbs masthead topbar footer copyright comment comments respond disqus replies share sharing social related recommended pagination pager toolbar login search hidden".split()
 )
+#: Words that begin so mark elements too.
+DROPPED_STEMS = re.compile(r"advert|comment|cookie|sidebar|newsletter|sponsor|navbar")
 #: Elements whose class or id doesn't mark them as dropped.
 KEPT = frozenset(("html", "body", "article", "main", *HEADINGS))
 REGIONS = frozenset(("article", "main"))
+#: Elements that hold the paragraphs of a text side by side.
+BOXES = frozenset("article body div main section td".split())
 #: Open elements that a start tag closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIMITS = frozenset("ul ol dl table article section div main body html td th blockquote".split())
@@ -46,25 +51,32 @@ LINKS_AT_MOST = 0.6
 
 
 class Reader(HTMLParser):
-    """Lines of a page: (text, tags, characters in links, is a heading, region number or -1)."""
+    """Lines of a page: (text, tags, characters in links, is a heading, region number or -1, container number)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []
+        self.open: list[tuple[str, bool, int, int]] = []
         self.dropped = self.links = self.tags = self.linked = self.regions = 0
         self.region = -1
+        self.box = self.boxes = 0
         self.text: list[str] = []
         self.heading = False
-        self.lines: list[tuple[str, int, int, bool, int]] = []
+        self.lines: list[tuple[str, int, int, bool, int, int]] = []
 
     def end_line(self) -> None:
         if self.text:
             if text := " ".join("".join(self.text).split()):
-                self.lines.append((text, self.tags, self.linked, self.heading, self.region))
+                self.lines.append((text, self.tags, self.linked, self.heading, self.region, self.box))
             self.text = []
         self.tags = self.linked = 0
         self.heading = False
 
+    def marked(self, name: str) -> bool:
+        found = _WORD.findall(name.lower())
+        if not DROPPED_WORDS.isdisjoint(found) or any(DROPPED_STEMS.match(w) for w in found):
+            return True
+        return self.region < 0 and "header" in found
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag in BLOCKS:
@@ -82,12 +94,15 @@ class Reader(HTMLParser):
         if not drop and attrs:
             for name, value in attrs:
                 if name in ("class", "id"):
-                    drop |= tag not in KEPT and value is not None and not DROPPED_WORDS.isdisjoint(_WORD.findall(value.lower()))
+                    drop |= tag not in KEPT and value is not None and self.marked(value)
                 elif name == "role":
                     drop |= value in DROPPED_ROLES
                 elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and "display:none" in value.replace(" ", "")):
                     drop = True
-        self.open.append((tag, drop, self.region))
+        self.open.append((tag, drop, self.region, self.box))
+        if tag in BOXES:
+            self.boxes += 1
+            self.box = self.boxes
         self.dropped += drop
         self.links += tag == "a"
         if tag in REGIONS and self.region < 0 and not self.dropped:
@@ -104,10 +119,10 @@ class Reader(HTMLParser):
                 return
 
     def pop(self, size: int) -> None:
-        for tag, drop, region in reversed(self.open[size:]):
+        for tag, drop, region, box in reversed(self.open[size:]):
             self.dropped -= drop
             self.links -= tag == "a"
-            self.region = region
+            self.region, self.box = region, box
         del self.open[size:]
 
     def handle_endtag(self, tag):
@@ -127,7 +142,7 @@ class Reader(HTMLParser):
             self.text.append(data)
             if self.links:
                 self.linked += len(data)
-            if not self.heading and any(t in HEADINGS for t, _, _ in self.open[-3:]):
+            if not self.heading and any(t in HEADINGS for t, *_ in self.open[-3:]):
                 self.heading = True
 
 
@@ -145,18 +160,22 @@ def main_text(html: str | None) -> str:
     ratio = np.array([len(t) / max(1, tags) for t, tags, *_ in lines])
     smooth = np.convolve(np.pad(ratio, 2, mode="edge"), KERNEL, mode="valid")
     seed = smooth >= smooth.std()
-    regions = {lines[i][4] for i in np.flatnonzero(seed)} - {-1} or {r for *_, r in lines} - {-1}
+    regions = {lines[i][4] for i in np.flatnonzero(seed)} - {-1} or {x[4] for x in lines} - {-1}
     if regions:
-        chosen = [x for x in lines if x[4] in regions]
-    else:
-        at = [int(i) for i in np.flatnonzero(seed) if lines[i][2] <= LINKS_AT_MOST * len(lines[i][0])]
-        if not at:
-            return ""
-        first = at[0]
-        while first and lines[first - 1][3]:
-            first -= 1
-        chosen = lines[first : at[-1] + 1]
-    return "\n\n".join(t for t, _, linked, *_ in chosen if linked <= LINKS_AT_MOST * len(t))
+        return "\n\n".join(x[0] for x in lines if x[4] in regions)
+    texty = [x[2] <= LINKS_AT_MOST * len(x[0]) for x in lines]
+    weight: dict[int, int] = {}
+    for i in np.flatnonzero(seed):
+        if texty[i]:
+            weight[lines[i][5]] = weight.get(lines[i][5], 0) + len(lines[i][0])
+    if not weight:
+        return ""
+    box = max(weight, key=lambda b: (weight[b], -b))
+    at = [i for i, x in enumerate(lines) if (x[5] == box or (seed[i] and x[5] in weight)) and texty[i]]
+    first = at[0]
+    while first and lines[first - 1][3]:
+        first -= 1
+    return "\n\n".join(x[0] for x, keep in zip(lines[first : at[-1] + 1], texty[first : at[-1] + 1], strict=True) if keep)
 
 
 def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:

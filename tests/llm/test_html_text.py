@@ -37,6 +37,13 @@ def test_noise_inside_the_article():
     assert main_text(page(f"<article>{inner}</article>")).split("\n\n") == WANT
 
 
+def test_links_and_headers_of_the_article_stay():
+    body = f'<article><div class="entry-header"><h1>Title</h1></div><p>{LONG}</p><p><a href="/x">A linked line</a></p><ol class="commentlist"><li>Nice!</li></ol></article>'
+    assert main_text(page(body)).split("\n\n") == ["Title", LONG.strip(), "A linked line"]
+    tail = f'<div><h2>Head</h2><p>{LONG}</p><p>{LONG}</p><p>a</p><p>b</p><p>c</p><p>The end.</p></div>'
+    assert main_text(page(tail)).split("\n\n") == ["Head", LONG.strip(), LONG.strip(), "a", "b", "c", "The end."]
+
+
 def test_odd_pages():
     assert main_text(None) == main_text("") == main_text("<nav>a</nav>") == main_text("<<<>>") * 0 == ""
     assert main_text("just text &lt;b&gt; &#233;&nbsp;x") == "just text <b> é x"
