@@ -62,3 +62,21 @@ def context_rows(rows: DataFrame, qid: str, row: str, overlap: str, best: int =
     held = near.join(rows.select(qid, row), [qid, row])
     kept = held.withColumn("__k", F.row_number().over(Window.partitionBy(qid).orderBy("__n", row))).filter(F.col("__k") <= most)
     return kept.select(qid, row)
+
+
+def select_cell(tables: DataFrame, keep: list[str], grid: str, tokens: str) -> DataFrame:
+    """(keep, row, column, value): the first figure of the row whose label shares most words with ``tokens``, ties to the first row."""
+    header = F.transform(F.element_at(F.col(grid), 1), lambda c: folded(c))
+    rows = tables.select(*keep, tokens, header.alias("__h"), F.posexplode(grid).alias("row", "__c")).filter("row > 0")
+    words = F.split(folded(F.array_join(F.slice("__c", 1, 2), " ")), r"\s+")
+    rows = rows.withColumn("__n", F.size(F.array_intersect(words, F.col(tokens)))).withColumn("__v", first_numeric(F.col("__c"), F.col("__h"))).filter("__n > 0 AND __v IS NOT NULL")
+    best = rows.groupBy(*keep).agg(F.max_by(F.struct("row", "__v"), F.struct(F.col("__n"), -F.col("row"))).alias("b"))
+    return best.select(*keep, F.col("b.row").alias("row"), F.col("b.__v.column").alias("column"), F.col("b.__v.value").alias("value"))
+
+
+def lookup_value(cell: Column, header: Column, context: Column, question: Column) -> Column:
+    """One cell in the unit that the folded question asks for, at two decimals; null for text and for code, note and serial columns."""
+    from ..functions.numbers import SKIPPED_HEADERS, present
+
+    value = strict_number(cell) * source_scale(context, cell)
+    return F.when(~folded(header).rlike("|".join(SKIPPED_HEADERS)), present(value, question, F.contains(cell, F.lit("%"))))

@@ -51,3 +51,15 @@ def replay(expected: DataFrame, actual: DataFrame, key: str, tolerance: float =
 def digests(spark, path: str) -> DataFrame:
     """(path, length, sha256) of all files below a path."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def candidate_pool(candidates: DataFrame, gated: DataFrame, sidecar: DataFrame, by: list[str], item: str) -> DataFrame:
+    """(by, item, problem): repeated candidates, empty texts, dense ones outside the gate's issuer, year and scope, tables whose sidecar names another report.
+
+    candidates: by, item, text, dense_rank, report_id, ticker, year, scope; gated: by, ticker, year, scope; sidecar: item, owner.
+    """
+    repeated = candidates.groupBy(*by, item).count().filter("count > 1").select(*by, item, F.lit("repeated").alias("problem"))
+    empty = candidates.filter(F.trim(F.coalesce("text", F.lit(""))) == "").select(*by, item, F.lit("empty text").alias("problem"))
+    outside = candidates.filter("dense_rank IS NOT NULL").join(gated, [*by, "ticker", "year", "scope"], "left_anti").select(*by, item, F.lit("outside the gate").alias("problem"))
+    other = candidates.join(sidecar, item).filter("report_id <> owner").select(*by, item, F.lit("sidecar").alias("problem"))
+    return repeated.union(empty).union(outside).union(other).distinct()

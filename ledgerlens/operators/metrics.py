@@ -71,3 +71,18 @@ def cluster_bootstrap(values: list[tuple[str, float]], samples: int = 2000, seed
     means.sort()
     every = [v for _, v in values]
     return sum(every) / len(every), means[int(0.025 * samples)], means[min(samples - 1, int(0.975 * samples))]
+
+
+def reorder(candidates: DataFrame, order: DataFrame, by: list[str], item: str, place: str, ordered: str) -> DataFrame:
+    """Candidates in an outside order, which may not add any; those it leaves out follow in their own."""
+    from pyspark.sql.window import Window
+
+    j = candidates.join(order, [*by, item], "left")
+    w = Window.partitionBy(*by).orderBy(F.col(ordered).isNull(), ordered, place)
+    return j.withColumn("new_place", F.row_number().over(w).cast("long"))
+
+
+def question_groups(gold: DataFrame, groups: DataFrame, question: str, report: str, place: str) -> DataFrame:
+    """(question, group): the group of each question's first gold report."""
+    first = gold.groupBy(question).agg(F.min_by(report, place).alias(report))
+    return first.join(groups, report, "left").select(question, "group")

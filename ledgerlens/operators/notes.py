@@ -76,3 +76,13 @@ def anchor_edges(anchors: DataFrame, places: DataFrame, report: list[str], table
     own = anchors.select(*report, "slot", F.col(table_line).alias("line"), F.lit("SOURCE_TABLE").alias("kind"))
     note = anchors.filter("note IS NOT NULL").join(places, [*report, "note"]).filter(F.col("line") != F.col(table_line)).select(*report, "slot", "line", F.lit("NOTE_REF").alias("kind"))
     return own.unionByName(note)
+
+
+def row_anchors(rows: DataFrame, items: DataFrame, report: list[str]) -> DataFrame:
+    """Rows whose label holds a named item as whole words: the first item (by item_place) of each row wins.
+
+    rows: report, table_line, row, label, note; items: report, item (folded), item_place. They meet on report.
+    """
+    held = rows.join(items, report).filter(F.contains(F.concat(F.lit(" "), words(F.col("label")), F.lit(" ")), F.concat(F.lit(" "), "item", F.lit(" "))))
+    first = F.min_by(F.struct("item", "item_place", "label", "note"), "item_place").alias("a")
+    return held.groupBy(*report, "table_line", "row").agg(first).select(*report, "table_line", "row", F.col("a.item_place").alias("slot"), "a.item", "a.label", "a.note")

@@ -30,3 +30,15 @@ def score_pairs(pairs: DataFrame, query: str, text: str, load: Callable[[], Call
 def best_over_queries(scored: DataFrame, by: list[str], item: str, score: str) -> DataFrame:
     """The best score of each item over a question's queries, at six decimals."""
     return scored.groupBy(*by, item).agg(F.round(F.max(score), 6).alias(score))
+
+
+def embed(rows: DataFrame, text: str, load: Callable[[], Callable[[list[str]], list[list[float]]]], name: str = "vector") -> DataFrame:
+    """Add a vector per text; ``load`` runs once per task and gives a function of a list of texts."""
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for t in batches:
+            yield pd.Series(model(t.fillna("").tolist()))
+
+    return rows.withColumn(name, run(text))

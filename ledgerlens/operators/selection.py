@@ -113,3 +113,16 @@ def consensus(values: DataFrame, by: list[str], value: str, place: str, relative
     most = F.array_max(F.transform("c", lambda c: c["n"]))
     first = F.element_at(F.filter("c", lambda c: c["n"] == most), 1)
     return found.select(*by, first["head"].alias(value), first["n"].cast("long").alias("members"))
+
+
+def evidence_trace(slots: DataFrame, covering: DataFrame, selected: DataFrame, qid: str, slot: str, item: str, place: str) -> tuple[DataFrame, DataFrame]:
+    """Which tables of a read pool cover which slots, and what to submit: the selected tables that cover one, else the first selected.
+
+    slots: qid, slot; covering: qid, slot, item, place; selected: qid, item, place. Gives (qid, slot, tables) and (qid, tables).
+    """
+    held = F.transform(F.sort_array(F.collect_list(F.struct(place, item))), lambda x: x[item])
+    trace = slots.join(covering, [qid, slot], "left").groupBy(qid, slot).agg(F.transform(F.filter(F.sort_array(F.collect_list(F.struct(place, item))), lambda x: x[item].isNotNull()), lambda x: x[item]).alias("tables"))
+    good = selected.join(covering.select(qid, item).distinct(), [qid, item], "left_semi").groupBy(qid).agg(held.alias("good"))
+    every = selected.groupBy(qid).agg(held.alias("all"))
+    submit = every.join(good, qid, "left").select(qid, F.coalesce("good", F.slice("all", 1, 1)).alias("tables"))
+    return trace, submit

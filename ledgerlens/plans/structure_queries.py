@@ -256,3 +256,69 @@ def cluster_bootstrap(spark, d):
     by = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").groupBy("source").agg(F.avg("quality").alias("v")).orderBy("source").limit(1000)
     mean, low, high = metrics.cluster_bootstrap([(r.source, r.v) for r in by.collect()], 500)
     return spark.range(1).select(F.lit(mean).alias("mean"), F.lit(low).alias("low"), F.lit(high).alias("high"))
+
+
+@query("""WITH i AS (SELECT * FROM (VALUES ('phai thu', 1), ('phai', 2), ('tien', 3)) t(item, slot)), r AS (SELECT user_id AS report, event_id AS table_line, ['phai thu khach', 'tien mat', 'phai tra', 'khac'][event_id % 4 + 1] AS label FROM events)
+SELECT report, table_line, min(slot)::BIGINT AS slot FROM r JOIN i ON contains(' ' || label || ' ', ' ' || item || ' ') GROUP BY ALL""")
+def graph_row_anchors(spark, d):
+    e = table(spark, d, "events")
+    labels = F.array(*map(F.lit, ["Phải thu khách", "Tiền mặt", "Phải trả", "khác"]))
+    rows = e.select(F.col("user_id").alias("report"), F.col("event_id").alias("table_line"), F.lit(1).alias("row"), F.element_at(labels, F.expr("cast(event_id % 4 + 1 as int)")).alias("label"), F.lit(None).cast("string").alias("note"))
+    named = F.inline(F.array(*[F.struct(F.lit(i).alias("item"), F.lit(n).alias("item_place")) for n, i in enumerate(["phai thu", "phai", "tien"], 1)]))
+    items = e.select(F.col("user_id").alias("report")).distinct().select("report", named)
+    return notes.row_anchors(rows, items, ["report"]).select("report", "table_line", F.col("slot").cast("long").alias("slot"))
+
+
+@query("""WITH c AS (SELECT user_id AS q, event_id AS item, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events), o AS (SELECT q, item, -item AS ordered FROM c WHERE item % 3 = 0)
+SELECT c.q, c.item, row_number() OVER (PARTITION BY c.q ORDER BY ordered IS NULL, ordered, place) AS new_place FROM c LEFT JOIN o ON c.q = o.q AND c.item = o.item""")
+def reorder_within_candidates(spark, d):
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    c = table(spark, d, "events").select(F.col("user_id").alias("q"), F.col("event_id").alias("item"), place.alias("place"))
+    o = c.filter("item % 3 = 0").select("q", "item", (-F.col("item")).alias("ordered"))
+    return metrics.reorder(c, o, ["q"], "item", "place", "ordered").select("q", "item", "new_place")
+
+
+@query("""SELECT user_id AS q, min(event_id) % 5 % 2 AS "group" FROM events GROUP BY 1""")
+def question_clusters(spark, d):
+    gold = table(spark, d, "events").select(F.col("user_id").alias("q"), F.expr("event_id % 5").alias("r"), F.col("event_id").alias("place"))
+    groups = spark.range(5).select(F.col("id").alias("r"), (F.col("id") % 2).alias("group"))
+    return metrics.question_groups(gold, groups, "q", "r", "place")
+
+
+@query("""SELECT user_id AS q, event_id AS item, 'empty text' AS problem FROM events WHERE event_id % 11 = 0 UNION ALL SELECT user_id, event_id, 'outside the gate' FROM events WHERE event_id % 3 = 0 AND event_id % 7 <> 0 UNION ALL SELECT user_id, event_id, 'sidecar' FROM events WHERE event_id % 13 = 0 UNION ALL SELECT user_id, event_id, 'repeated' FROM events WHERE event_id % 101 = 0""")
+def candidate_pool_check(spark, d):
+    e = table(spark, d, "events")
+    c = e.unionByName(e.filter("event_id % 101 = 0")).select(F.col("user_id").alias("q"), F.col("event_id").alias("item"), F.expr("if(event_id % 11 = 0, ' ', 'x')").alias("text"), F.expr("if(event_id % 3 = 0, 1, null)").alias("dense_rank"), F.lit("r").alias("report_id"), F.lit("T").alias("ticker"), F.expr("if(event_id % 7 = 0, 2020, 2021)").alias("year"), F.lit("s").alias("scope"))
+    gated = e.select(F.col("user_id").alias("q"), F.lit("T").alias("ticker"), F.lit(2020).alias("year"), F.lit("s").alias("scope")).distinct()
+    sidecar = e.select(F.col("event_id").alias("item"), F.expr("if(event_id % 13 = 0, 'other', 'r')").alias("owner"))
+    return checks.candidate_pool(c, gated, sidecar, ["q"], "item")
+
+
+@query("""WITH s AS (SELECT user_id AS q, event_id AS item FROM events WHERE event_id % 2 = 0), g AS (SELECT q, string_agg(item, ',' ORDER BY item) AS t FROM s WHERE item % 6 = 0 GROUP BY 1), a AS (SELECT q, min(item)::VARCHAR AS t FROM s GROUP BY 1) SELECT q, coalesce(g.t, a.t) AS tables FROM a LEFT JOIN g USING (q)""")
+def evidence_trace(spark, d):
+    from ..operators.selection import evidence_trace as trace
+
+    e = table(spark, d, "events").select(F.col("user_id").alias("q"), F.col("event_id").alias("item"), F.col("event_id").alias("place"))
+    slots = e.select("q").distinct().withColumn("slot", F.explode(F.array(F.lit(0), F.lit(1))))
+    covering = e.filter("item % 3 = 0").withColumn("slot", F.expr("cast(item % 2 as int)"))
+    return trace(slots, covering, e.filter("item % 2 = 0"), "q", "slot", "item", "place")[1].select("q", F.array_join("tables", ",").alias("tables"))
+
+
+@query("""WITH c AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment, c_custkey) AS i, dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS s FROM customer WHERE c_custkey < 150)
+SELECT c_nationkey, (1 + i + s)::BIGINT AS row, CASE WHEN floor(abs(c_acctbal)) = 0 THEN 500.0 ELSE floor(abs(c_acctbal)) * 1000 + 500 END::DOUBLE AS value FROM c QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY i) = 1""")
+def select_cell(spark, d):
+    from ..operators.binding import select_cell as choose
+
+    first = grids(spark, d).withColumn("tokens", F.split(F.lower(F.get(F.get("grid", F.lit(3)), F.lit(0))), r"\s+"))
+    got = choose(first, ["c_nationkey"], "grid", "tokens")
+    return got.select("c_nationkey", F.col("row").cast("long").alias("row"), "value")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE round(floor(o_totalprice) / 1000, 2) END AS value FROM orders WHERE floor(o_totalprice) % 10 = 0")
+def direct_lookup_value(spark, d):
+    from ..operators.binding import lookup_value
+
+    o = table(spark, d, "orders").filter("floor(o_totalprice) % 10 = 0")
+    header = F.when(F.expr("o_orderkey % 3 = 0"), F.lit("Mã số")).otherwise(F.lit("31/12/2024"))
+    value = lookup_value(F.floor("o_totalprice").cast("string"), header, F.lit("don vi: trieu dong"), F.lit("bao nhieu ty dong"))
+    return o.select("o_orderkey", value.alias("value"))

@@ -52,3 +52,31 @@ def safe_unzip(path: str, to: str) -> list[str]:
             raise ValueError("damaged archive")
         z.extractall(Path(to))
         return z.namelist()
+
+
+def import_vectors(vectors: str, ids: str, to: str, rows: int = 50_000) -> None:
+    """Turn a matrix file (npy, mapped) and its JSON list of keys into Parquet with key, vector_row and vector, piece by piece."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    matrix, keys = np.load(vectors, mmap_mode="r"), json.loads(Path(ids).read_text(encoding="utf-8"))
+    if len(matrix) != len(keys):
+        raise ValueError("keys and vectors differ in number")
+    Path(to).mkdir(parents=True, exist_ok=True)
+    for n, a in enumerate(range(0, len(keys), rows)):
+        part = np.asarray(matrix[a : a + rows], dtype=np.float32)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * matrix.shape[1]), pa.array(part.reshape(-1)))
+        key = pa.array(["|".join(map(str, k)) if isinstance(k, list) else str(k) for k in keys[a : a + rows]])
+        pq.write_table(pa.table({"key": key, "vector_row": pa.array(np.arange(a, a + len(part))), "vector": lists}), f"{to}/part-{n:05d}.parquet")
+
+
+def read_package(path: str, expected: int | None = None) -> tuple[list[dict], list[str]]:
+    """Answers and table members of a package; refuses damaged ones, repeated ids and another count than expected."""
+    with zipfile.ZipFile(path) as z:
+        if z.testzip():
+            raise ValueError("damaged archive")
+        answers = json.loads(z.read("submission.json"))
+        if len({a["id"] for a in answers}) != len(answers) or (expected is not None and len(answers) != expected):
+            raise ValueError("ids are repeated or not as many as expected")
+        return answers, [n for n in z.namelist() if n.startswith("data/tables/")]
