@@ -131,16 +131,18 @@ def fallback(questions: DataFrame, reports: DataFrame, qid: str) -> DataFrame:
     questions: qid, tickers, years (arrays), scope; reports: report_id, ticker, year, scope. Rungs but the last are
     equi-joins; the last one, where nothing else fits, meets all reports by a constant key.
     """
-    t, y = questions.withColumn("ticker", F.explode("tickers")), questions.withColumn("year", F.explode("years"))
-    both = t.withColumn("year", F.explode("years"))
-    pick = lambda df, keys, no, name: df.join(reports, keys).select(qid, "report_id", F.lit(no).alias("no"), F.lit(name).alias("stage"))
-    rungs = pick(both, ["ticker", "year", "scope"], 1, "ticker_year_scope")
-    rungs = rungs.union(pick(both.drop("scope"), ["ticker", "year"], 2, "ticker_year")).union(pick(t.drop("scope"), ["ticker"], 3, "ticker")).union(pick(y.drop("scope"), ["year"], 4, "year")).distinct()
-    first = rungs.groupBy(qid).agg(F.min("no").alias("no"))
-    found = rungs.join(first, [qid, "no"])
-    rest = questions.select(qid).join(first.select(qid), qid, "left_anti").withColumn("k", F.lit(1))
-    every = rest.join(reports.select("report_id", F.lit(1).alias("k")), "k").select(qid, "report_id", F.lit("all").alias("stage"))
-    return found.select(qid, "report_id", "stage").union(every)
+    rest = questions.select(qid, F.array_distinct("tickers").alias("tickers"), F.array_distinct("years").alias("years"), "scope")
+    out = None
+    for name, keys in (("ticker_year_scope", ["ticker", "year", "scope"]), ("ticker_year", ["ticker", "year"]), ("ticker", ["ticker"]), ("year", ["year"])):
+        asked = rest if "scope" in keys else rest.drop("scope")
+        for key in ("ticker", "year"):
+            asked = asked.withColumn(key, F.explode(f"{key}s")) if key in keys else asked
+        found = asked.select(qid, *keys).join(reports.select("report_id", *keys), keys).select(qid, "report_id", F.lit(name).alias("stage"))
+        out = found if out is None else out.union(found)
+        # only questions that no rung has served go down to the next
+        rest = rest.join(found.select(qid).distinct(), qid, "left_anti")
+    every = rest.select(qid, F.lit(1).alias("k")).join(reports.select("report_id", F.lit(1).alias("k")), "k")
+    return out.union(every.select(qid, "report_id", F.lit("all").alias("stage")))
 
 
 def explicit_reports(asked: DataFrame, reports: DataFrame, qid: str, ids: str) -> DataFrame:
