@@ -31,3 +31,31 @@ def test_cross_scores_scores_every_gated_pair(spark):
     # where no text has a tab or newline, which is all that the twin covers, both agree
     for item, doc, score in twin("cross_scores", ["documents", "benchmark"]).fetchall():
         assert got[item, doc] == pytest.approx(score, abs=1e-6)
+
+
+@pytest.fixture(scope="module")
+def many_customers(tmp_path_factory):
+    """400 customers, of which 250 have keys from 150 on."""
+    d = tmp_path_factory.mktemp("customers")
+    duckdb.sql(f"copy (select (row_number() over (order by c_custkey, i) - 1)::bigint as c_custkey, c_name || '-' || i as c_name, c_nationkey, c_mktsegment, c_acctbal from '{SF}/customer.parquet', range(3) t(i) limit 400) to '{d}/customer.parquet'")
+    return str(d)
+
+
+def test_grids_hold_every_customer(spark, many_customers):
+    customers = rows("customer", "c_nationkey, c_mktsegment, c_custkey, c_name, c_acctbal", many_customers)
+    by: dict = {}
+    for nation, segment, key, name, balance in sorted(customers):
+        by.setdefault(nation, {}).setdefault(segment, []).append((key, name, balance))
+    paths, cells = set(), set()
+    for nation, segments in by.items():
+        lines = ["Group>Năm 2024", "Item>Mã số>Năm 2024"]
+        for segment, held in segments.items():
+            lines += [segment] + [f"{segment}>{name}" for _, name, _ in held]
+        paths |= {(nation, i, line) for i, line in enumerate(lines)}
+        whole = int(abs(next(iter(segments.values()))[0][2]))
+        cells.add((nation, 3, 500.0 if whole == 0 else whole * 1000 + 500.0))
+    run = lambda name: {tuple(r) for r in QUERIES[name](spark, many_customers).collect()}
+    assert run("row_paths_forward_fill") == paths
+    assert run("select_cell") == cells
+    for name in ("header_cells", "table_representation"):
+        assert {r[0] for r in run(name)} == set(by)
