@@ -35,7 +35,7 @@ SELECT qid, report_id, 1 AS no, 'ticker_year_scope' AS stage FROM ask JOIN rep U
 UNION ALL SELECT qid, report_id, 3, 'ticker' FROM ask JOIN rep USING (ticker) UNION ALL SELECT qid, report_id, 4, 'year' FROM ask JOIN rep USING (year) UNION ALL SELECT qid, report_id, 5, 'all' FROM ask, rep),
 m AS (SELECT qid, min(no) AS no FROM r GROUP BY 1) SELECT DISTINCT qid, report_id, stage FROM r JOIN m USING (qid, no)""")
 def gate_fallback_ladder(spark, d):
-    c = table(spark, d, "customer").filter("c_custkey % 5 = 0")
+    c = table(spark, d, "customer")
     ticker = F.concat(F.lit("T"), F.expr("case when c_custkey % 11 = 0 then -1 else c_custkey end"))
     ask = c.select(F.col("c_custkey").alias("qid"), F.array(ticker).alias("tickers"), F.array(F.expr("cast(1995 + c_custkey % 9 as int)")).alias("years"), F.expr("if(c_custkey % 2 = 0, 'F', 'O')").alias("scope"))
     return gate.fallback(ask, reports(spark, d), "qid")
@@ -99,10 +99,10 @@ def question_scope(spark, d):
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'AB' || c_nationkey WHEN c_custkey % 3 = 1 THEN 'AB' || c_nationkey || ',CD1' ELSE 'CD1' END AS tickers FROM customer WHERE c_nationkey < 10")
 def explicit_tickers(spark, d):
-    c = table(spark, d, "customer").filter("c_nationkey < 10")
+    c = table(spark, d, "customer")
     t = F.concat(F.lit("AB"), "c_nationkey")
     asked = F.when(F.expr("c_custkey % 3 = 0"), F.concat(F.lit("Doanh thu ("), F.lower(t), F.lit(") ROE"))).when(F.expr("c_custkey % 3 = 1"), F.concat(F.lit("So sánh "), t, F.lit(" với CD1"))).otherwise(F.lit("Mã cổ phiếu cd1 là"))
-    known = F.array(F.lit("CD1"), *[F.lit(f"AB{i}") for i in range(10)])
+    known = F.array(F.lit("CD1"), *[F.lit(f"AB{i}") for i in range(25)])
     return c.select("c_custkey", F.array_join(questions.explicit_tickers(asked, fold_words(asked), known), ",").alias("tickers"))
 
 

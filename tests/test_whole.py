@@ -59,3 +59,33 @@ def test_grids_hold_every_customer(spark, many_customers):
     assert run("select_cell") == cells
     for name in ("header_cells", "table_representation"):
         assert {r[0] for r in run(name)} == set(by)
+
+
+def test_fallback_ladder_asks_for_every_customer(spark):
+    reports = rows("orders", "o_orderkey, o_custkey, year(o_orderdate)::int, o_orderstatus")
+    want = set()
+    for (key,) in rows("customer", "c_custkey"):
+        ticker, year, scope = -1 if key % 11 == 0 else key, 1995 + key % 9, "F" if key % 2 == 0 else "O"
+        rungs = {
+            "ticker_year_scope": [r for r, t, y, s in reports if (t, y, s) == (ticker, year, scope)],
+            "ticker_year": [r for r, t, y, s in reports if (t, y) == (ticker, year)],
+            "ticker": [r for r, t, y, s in reports if t == ticker],
+            "year": [r for r, t, y, s in reports if y == year],
+            "all": [r for r, t, y, s in reports],
+        }
+        stage = next(k for k, v in rungs.items() if v)
+        want |= {(key, r, stage) for r in rungs[stage]}
+    got = [tuple(r) for r in QUERIES["gate_fallback_ladder"](spark, SF).collect()]
+    assert len(got) == len(want) and set(got) == want
+    # the twin's customers are every fifth; on them both agree
+    twins = {(q, r, s) for q, r, s in twin("gate_fallback_ladder", ["orders", "customer"]).fetchall()}
+    assert twins == {x for x in want if x[0] % 5 == 0}
+
+
+def test_explicit_tickers_of_every_nation(spark):
+    customers = rows("customer", "c_custkey, c_nationkey")
+    want = {k: [f"AB{n}", f"AB{n},CD1", "CD1"][k % 3] for k, n in customers}
+    got = {r.c_custkey: r.tickers for r in QUERIES["explicit_tickers"](spark, SF).collect()}
+    assert got == want
+    # the twin's nations are those below 10; on them both agree
+    assert dict(twin("explicit_tickers", ["customer"]).fetchall()) == {k: want[k] for k, n in customers if n < 10}
