@@ -1,6 +1,6 @@
 """Entities of questions: tickers, company names, aliases, line items.
 
-Companies come as a small registry (ticker, name); at most MOST_COMPANIES rows go to the executors, which is checked.
+Companies come as a registry (ticker, name); up to MOST_COMPANIES rows it is broadcast, beyond that its joins shuffle.
 Fuzzy scores need a sequence ratio that Spark lacks; it runs in an Arrow UDF over (question, company) pairs that share
 a word, after an equi-join on words.
 """
@@ -55,27 +55,38 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
+def is_small(companies: DataFrame) -> bool:
+    """Whether a registry may be broadcast; beyond that the same joins shuffle."""
+    return companies.limit(MOST_COMPANIES + 1).count() <= MOST_COMPANIES
+
+
 def entity_scores(questions: DataFrame, companies: DataFrame, qid: str, question: str) -> DataFrame:
     """(qid, ticker, score, rank): full name 1, own name 0.98, else 0.82 of the shared words and 0.18 of the sequence ratio.
 
     Ranked by score, then ticker, both falling. Companies that share no word with a question get no row.
     """
-    if companies.limit(MOST_COMPANIES + 1).count() > MOST_COMPANIES:
-        raise ValueError("the registry is larger than may be broadcast")
-    q = questions.select(qid, fold_words(F.col(question)).alias("f"), F.array_distinct(content_words(F.col(question))).alias("qw"))
-    c = companies.select("ticker", fold_words(F.col("name")).alias("full"), content_words(F.col("name")).alias("words")).withColumn("own", F.array_join("words", " "))
-    pairs = q.withColumn("w", F.explode("qw")).join(F.broadcast(c.withColumn("w", F.explode(F.array_distinct("words")))), "w").groupBy(qid, "ticker").agg(*[F.first(x).alias(x) for x in ("f", "qw", "full", "words", "own")])
+    # equal texts and equal names are scored once
+    q = questions.select(F.col(question).alias("__t")).distinct().select("__t", fold_words(F.col("__t")).alias("f"), F.array_distinct(content_words(F.col("__t"))).alias("qw"))
+    c = companies.select("name").distinct().select("name", fold_words(F.col("name")).alias("full"), content_words(F.col("name")).alias("words")).withColumn("own", F.array_join("words", " "))
+    small = is_small(companies)
+    hint = F.broadcast if small else lambda x: x
+    pairs = q.withColumn("w", F.explode("qw")).join(hint(c.withColumn("w", F.explode(F.array_distinct("words")))), "w").groupBy("__t", "name").agg(*[F.first(x).alias(x) for x in ("f", "qw", "full", "words", "own")])
     shared = F.size(F.array_intersect("qw", "words")) / F.size(F.array_distinct("words"))
     exact = F.when(F.contains("f", F.col("full")), 1.0).when((F.col("own") != "") & F.contains("f", F.col("own")), 0.98)
-    scored = pairs.withColumn("exact", exact).withColumn("ratio", sequence_ratio("own", "f")).select(qid, "ticker", F.coalesce("exact", 0.82 * shared + 0.18 * F.col("ratio")).alias("score"))
-    w = Window.partitionBy(qid).orderBy(F.desc("score"), F.desc("ticker"))
-    return scored.withColumn("rank", F.row_number().over(w).cast("long"))
+    scored = pairs.withColumn("exact", exact).withColumn("ratio", sequence_ratio("own", "f")).select("__t", "name", F.coalesce("exact", 0.82 * shared + 0.18 * F.col("ratio")).alias("score"))
+    scored = scored.join(hint(companies.select("ticker", "name")), "name").groupBy("__t", "ticker").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("__t").orderBy(F.desc("score"), F.desc("ticker"))
+    ranked = scored.withColumn("rank", F.row_number().over(w).cast("long"))
+    return questions.select(qid, F.col(question).alias("__t")).join(ranked, "__t").select(qid, "ticker", "score", "rank")
 
 
 def decide_entities(scores: DataFrame, qid: str) -> DataFrame:
     """(qid, tickers, confidence, method, shortlist) from ranked scores: exact names, else one clear fuzzy winner, else none."""
     exact = F.array_compact(F.transform("s", lambda x: F.when(x.score >= 0.98, x.ticker)))
     short = F.transform(F.filter(F.slice("s", 1, 8), lambda x: x.score >= 0.32), lambda x: x.ticker)
+    # all that is read below: the exact names and the first eight
+    place = F.row_number().over(Window.partitionBy(qid).orderBy("rank"))
+    scores = scores.withColumn("__n", place).filter("score >= 0.98 or __n <= 8")
     by = scores.groupBy(qid).agg(F.sort_array(F.collect_list(F.struct("rank", "ticker", "score"))).alias("s"))
     best, second = F.element_at("s", 1)["score"], F.coalesce(F.get("s", F.lit(1))["score"], F.lit(0.0))
     clear = (best >= 0.73) & (best - second >= 0.08)
@@ -139,10 +150,11 @@ def infer_entities(questions: DataFrame, companies: DataFrame, aliases: DataFram
     known = F.broadcast(companies.agg(F.collect_set("ticker").alias("__known")).withColumn("__k", F.lit(1)))
     spelled = q.withColumn("__k", F.lit(1)).join(known, "__k").select(qid, F.explode(explicit_tickers(F.col("__q"), F.col("__f"), F.col("__known"))).alias("ticker"))
     names = companies.select("ticker", F.array_join(content_words(F.col("name")), " ").alias("own"), fold_words(F.col("name")).alias("full"))
+    names = F.broadcast(names) if is_small(companies) else names
     scores = entity_scores(questions, companies, qid, question)
-    named = scores.filter("score >= 0.98").join(F.broadcast(names), "ticker").join(q, qid)
+    named = scores.filter("score >= 0.98").join(names, "ticker").join(q, qid)
     named = named.filter((F.col("score") == 1.0) | (F.size(F.split("own", " ")) >= 3)).filter(~only_counterparty(F.col("__c"), F.col("own"))).select(qid, "ticker", "own")
-    called = alias_matches(q, aliases, qid, "__f").join(F.broadcast(names), "ticker").join(q, qid).filter(~only_counterparty(F.col("__c"), F.col("own"))).select(qid, "ticker", "own")
+    called = alias_matches(q, aliases, qid, "__f").join(names, "ticker").join(q, qid).filter(~only_counterparty(F.col("__c"), F.col("own"))).select(qid, "ticker", "own")
     exact = named.unionByName(called).distinct()
     words = exact.select(qid, F.col("ticker").alias("owner"), F.explode(F.split("own", " ")).alias("w"))
     spelled = spelled.join(words, [qid], "left").groupBy(qid, "ticker").agg(F.coalesce(F.bool_or((F.lower("ticker") == F.col("w")) & (F.col("ticker") != F.col("owner"))), F.lit(False)).alias("word")).filter(~F.col("word")).select(qid, "ticker")

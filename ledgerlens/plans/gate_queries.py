@@ -116,9 +116,12 @@ def alias_match(spark, d):
 
 @query(None)
 def entity_scores(spark, d):
-    companies = table(spark, d, "part").select(F.concat(F.lit("P"), "p_partkey").alias("ticker"), F.concat("p_name", F.lit(" "), "p_brand").alias("name")).filter("ticker like 'P1%'")
-    asked = table(spark, d, "part").filter("p_partkey % 10 = 3").select("p_partkey", F.concat(F.lit("Price of "), "p_name", F.lit(" "), "p_type").alias("question"))
-    return questions.decide_entities(questions.entity_scores(asked, companies, "p_partkey", "question"), "p_partkey").select("p_partkey", F.array_join("tickers", ",").alias("tickers"), F.round("confidence", 6).alias("confidence"), "method", F.array_join("shortlist", ",").alias("shortlist"))
+    part = table(spark, d, "part")
+    companies = part.select(F.concat(F.lit("P"), "p_partkey").alias("ticker"), F.concat("p_name", F.lit(" "), "p_brand").alias("name"))
+    asked = part.select("p_partkey", F.concat(F.lit("Price of "), "p_name", F.lit(" "), "p_type").alias("question"))
+    texts = asked.select("question").distinct()
+    decided = questions.decide_entities(questions.entity_scores(texts, companies, "question", "question"), "question")
+    return asked.join(decided, "question").select("p_partkey", F.array_join("tickers", ",").alias("tickers"), F.round("confidence", 6).alias("confidence"), "method", F.array_join("shortlist", ",").alias("shortlist"))
 
 
 @query("""WITH l AS (SELECT DISTINCT p_name AS label FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part), q AS (SELECT p_partkey, 'total ' || p_name || ' sold' AS t, p_name FROM part)

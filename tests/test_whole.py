@@ -1,8 +1,12 @@
 """Queries over all their rows, against brute-force versions; the SQL twins stay as they are."""
 
+import re
+from difflib import SequenceMatcher
+
 import duckdb
 import pytest
 
+from ledgerlens.operators import questions
 from ledgerlens.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -89,3 +93,27 @@ def test_explicit_tickers_of_every_nation(spark):
     assert got == want
     # the twin's nations are those below 10; on them both agree
     assert dict(twin("explicit_tickers", ["customer"]).fetchall()) == {k: want[k] for k, n in customers if n < 10}
+
+
+@pytest.mark.parametrize("most", [50_000, 10])
+def test_entity_scores_of_every_part_against_the_whole_registry(spark, monkeypatch, most):
+    monkeypatch.setattr(questions, "MOST_COMPANIES", most)
+    words = lambda x: re.findall("[a-z0-9]+", x.lower())
+    parts = rows("part", "p_partkey, p_name, p_brand, p_type")
+    want = {}
+    for key, name, _, kind in parts:
+        f, scores = words(f"Price of {name} {kind}"), []
+        for ticker, other, brand, _ in parts:
+            own = words(f"{other} {brand}")
+            if set(own) & set(f):
+                ratio = SequenceMatcher(None, " ".join(own), " ".join(f)).ratio()
+                exact = " ".join(own) in " ".join(f)
+                scores.append((1.0 if exact else 0.82 * (len(set(own) & set(f)) / len(set(own))) + 0.18 * ratio, f"P{ticker}"))
+        scores.sort(reverse=True)
+        exact = [t for s, t in scores if s >= 0.98]
+        clear = scores[0][0] >= 0.73 and scores[0][0] - (scores[1][0] if len(scores) > 1 else 0) >= 0.08
+        method = "single_official_name" if len(exact) == 1 else "union_all_entity_detectors" if exact else "fuzzy_high_confidence" if clear else "ambiguous"
+        tickers = exact or ([scores[0][1]] if clear else [])
+        want[key] = (",".join(tickers), 0.98 if exact else round(scores[0][0], 6), method, ",".join(t for s, t in scores[:8] if s >= 0.32))
+    got = {r.p_partkey: (r.tickers, r.confidence, r.method, r.shortlist) for r in QUERIES["entity_scores"](spark, SF).collect()}
+    assert got == want
