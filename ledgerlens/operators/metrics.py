@@ -37,24 +37,27 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return F.try_divide(F.sum(value * weight), F.sum(weight))
 
 
-def report_groups(cited: DataFrame, question: str, report: str, rounds: int = 50) -> DataFrame:
+def report_groups(cited: DataFrame, question: str, report: str) -> DataFrame:
     """(report, group): reports cited by a common question, directly or through others; named by the smallest.
 
     Labels spread by alternate minima over questions and reports; a round is two grouped minima, so hot questions or
-    reports never meet pairwise. Lineage is cut by checkpoints every few rounds.
+    reports never meet pairwise. It goes on until no label changes. Lineage is cut by a checkpoint every round.
     """
     edges = cited.select(F.col(question).alias("q"), F.col(report).alias("r")).distinct().cache()
     labels = edges.select("r", F.col("r").alias("g")).distinct()
-    for i in range(rounds):
+    while True:
         by_question = edges.join(labels, "r").groupBy("q").agg(F.min("g").alias("g"))
         new = edges.join(by_question, "q").groupBy("r").agg(F.min("g").alias("g"))
+        # a report's new label is also one for its old label, so a label's holders needn't learn of a smaller one hop by hop
+        hooked = new.join(labels.withColumnRenamed("g", "old"), "r").select(F.col("old").alias("r"), "g")
+        new = new.unionByName(hooked).groupBy("r").agg(F.min("g").alias("g"))
         # follow the label of the label, which halves long chains
         far = new.select(F.col("r").alias("g"), F.col("g").alias("gg"))
         new = new.join(far, "g", "left").select("r", F.least("g", F.coalesce("gg", "g")).alias("g"))
         new = new.checkpoint() if new.sparkSession.sparkContext.getCheckpointDir() else new.persist()
-        changed = new.join(labels.withColumnRenamed("g", "old"), "r").filter("g <> old").isEmpty()
+        same = new.join(labels.withColumnRenamed("g", "old"), "r").filter("g <> old").isEmpty()
         labels = new
-        if changed:
+        if same:
             break
     return labels.select(F.col("r").alias(report), F.col("g").alias("group"))
 

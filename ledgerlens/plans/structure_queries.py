@@ -239,7 +239,7 @@ def weighted_mean(spark, d):
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT doc_id % 97 AS q, doc_id // 3 % 50 AS r FROM documents WHERE doc_id % 7 = 0), n AS (SELECT DISTINCT a.r AS a, b.r AS b FROM e a JOIN e b USING (q)),
 reach AS (SELECT r AS a, r AS b FROM e UNION SELECT x.a, n.b FROM reach x JOIN n ON x.b = n.a) SELECT a AS r, min(b) AS "group" FROM reach GROUP BY 1""")
 def report_components(spark, d):
-    e = table(spark, d, "documents").filter("doc_id % 7 = 0").select(F.expr("doc_id % 97").alias("q"), F.expr("doc_id div 3 % 50").alias("r"))
+    e = table(spark, d, "documents").select(F.expr("doc_id % 97").alias("q"), F.expr("doc_id div 3 % 50").alias("r"))
     return metrics.report_groups(e, "q", "r")
 
 
@@ -253,7 +253,7 @@ def cross_scores(spark, d):
 
 @query(None)
 def cluster_bootstrap(spark, d):
-    by = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").groupBy("source").agg(F.avg("quality").alias("v")).orderBy("source").limit(1000)
+    by = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").groupBy("source").agg(F.avg("quality").alias("v")).orderBy("source")
     mean, low, high = metrics.cluster_bootstrap([(r.source, r.v) for r in by.collect()], 500)
     return spark.range(1).select(F.lit(mean).alias("mean"), F.lit(low).alias("low"), F.lit(high).alias("high"))
 
@@ -318,7 +318,7 @@ def select_cell(spark, d):
 def direct_lookup_value(spark, d):
     from ..operators.binding import lookup_value
 
-    o = table(spark, d, "orders").filter("floor(o_totalprice) % 10 = 0")
+    o = table(spark, d, "orders")
     header = F.when(F.expr("o_orderkey % 3 = 0"), F.lit("Mã số")).otherwise(F.lit("31/12/2024"))
     value = lookup_value(F.floor("o_totalprice").cast("string"), header, F.lit("don vi: trieu dong"), F.lit("bao nhieu ty dong"))
     return o.select("o_orderkey", value.alias("value"))

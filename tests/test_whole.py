@@ -1,12 +1,13 @@
 """Queries over all their rows, against brute-force versions; the SQL twins stay as they are."""
 
 import re
+from decimal import ROUND_HALF_UP, Decimal
 from difflib import SequenceMatcher
 
 import duckdb
 import pytest
 
-from ledgerlens.operators import questions
+from ledgerlens.operators import metrics, questions
 from ledgerlens.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -117,3 +118,38 @@ def test_entity_scores_of_every_part_against_the_whole_registry(spark, monkeypat
         want[key] = (",".join(tickers), 0.98 if exact else round(scores[0][0], 6), method, ",".join(t for s, t in scores[:8] if s >= 0.32))
     got = {r.p_partkey: (r.tickers, r.confidence, r.method, r.shortlist) for r in QUERIES["entity_scores"](spark, SF).collect()}
     assert got == want
+
+
+def test_direct_lookup_of_every_order(spark):
+    want = {k: None if k % 3 == 0 else float((Decimal(int(p)) / 1000).quantize(Decimal("0.01"), ROUND_HALF_UP)) for k, p in rows("orders", "o_orderkey, o_totalprice")}
+    got = {r.o_orderkey: r.value for r in QUERIES["direct_lookup_value"](spark, SF).collect()}
+    assert got == want
+    # the twin's orders are those whose amount ends in 0; on them both agree
+    for k, v in twin("direct_lookup_value", ["orders"]).fetchall():
+        assert got[k] == (v if v is None else pytest.approx(v))
+
+
+def test_report_components_link_all_documents(spark):
+    group = {d // 3 % 50: d // 3 % 50 for (d,) in rows("documents", "doc_id")}
+    cited: dict = {}
+    for (d,) in rows("documents", "doc_id"):
+        cited.setdefault(d % 97, set()).add(d // 3 % 50)
+    for _ in group:
+        for held in cited.values():
+            group |= dict.fromkeys(held, min(group[r] for r in held))
+    assert {r.r: r.group for r in QUERIES["report_components"](spark, SF).collect()} == group
+
+
+def test_report_groups_of_a_long_chain(spark):
+    """The smallest report hangs on the far end of a run that first settles on the next smallest."""
+    chain = [0, *range(150, 0, -1)]
+    links = [(q, r) for q, pair in enumerate(zip(chain, chain[1:])) for r in pair]
+    got = {r.r: r.group for r in metrics.report_groups(spark.createDataFrame(links, "q long, r long"), "q", "r").collect()}
+    assert got == dict.fromkeys(chain, 0)
+
+
+def test_cluster_bootstrap_reads_every_source(spark, tmp_path):
+    duckdb.sql(f"copy (select i as doc_id, 's' || lpad(i::varchar, 5, '0') as source from range(1200) t(i)) to '{tmp_path}/documents.parquet'")
+    duckdb.sql(f"copy (select i as doc_id, (i >= 1000)::int as quality from range(1200) t(i)) to '{tmp_path}/labels.parquet'")
+    got = QUERIES["cluster_bootstrap"](spark, str(tmp_path)).first()
+    assert got["mean"] == pytest.approx(200 / 1200) and got.low <= got["mean"] <= got.high
