@@ -26,14 +26,20 @@ def query(sql: str | None):
 REVENUE = "rev AS (SELECT c_nationkey AS qid, year(o_orderdate)::INT AS year, (sum(round(o_totalprice / 10000)) * 10000)::DOUBLE AS value FROM orders JOIN customer ON o_custkey = c_custkey WHERE year(o_orderdate) BETWEEN 1996 AND 1998 GROUP BY ALL)"
 
 
-def revenue(spark, d):
+#: The years that some questions name.
+NAMED = (1996, 1998)
+
+
+def revenue(spark, d, years=None):
+    """Revenue by nation and order year: of all years, or from the first to the last of ``years``."""
     o, c = table(spark, d, "orders"), table(spark, d, "customer").select("c_custkey", "c_nationkey")
     y = F.year("o_orderdate")
-    return o.filter(y.between(1996, 1998)).join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_nationkey").alias("qid"), y.alias("year")).agg((F.sum(F.round(F.col("o_totalprice") / 10000)) * 10000).alias("value"))
+    o = o.filter(y.between(*years)) if years else o
+    return o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_nationkey").alias("qid"), y.alias("year")).agg((F.sum(F.round(F.col("o_totalprice") / 10000)) * 10000).alias("value"))
 
 
-def ask(spark, d, question: str, metrics=("doanh thu",), per_year_rows: bool = False, second: bool = False):
-    v = revenue(spark, d)
+def ask(spark, d, question: str, metrics=("doanh thu",), per_year_rows: bool = False, second: bool = False, years=None):
+    v = revenue(spark, d, years)
     place = F.row_number().over(Window.partitionBy("qid").orderBy("year")).cast("long")
     values = v.select("qid", place.alias("place"), F.lit("df0").alias("variable"), (F.col("year") - 1990 if per_year_rows else F.lit(1)).cast("long").alias("row"), (F.col("year") - 1990).cast("long").alias("column"), "value", "year", F.lit("doanh thu").alias("label"))
     if second:
@@ -59,8 +65,8 @@ def plan_average(spark, d):
 
 @query(f"WITH {REVENUE}, {SPAN} SELECT qid, 'sum of a row' AS branch, round(s / 1000, 2) AS answer FROM g WHERE n = 3")
 def plan_sum_years(spark, d):
-    n = revenue(spark, d).groupBy("qid").count().filter("count = 3")
-    return ask(spark, d, "Tổng doanh thu các năm 1996, 1997 và 1998 là bao nhiêu nghìn đồng").join(n.select("qid"), "qid", "left_semi")
+    n = revenue(spark, d, NAMED).groupBy("qid").count().filter("count = 3")
+    return ask(spark, d, "Tổng doanh thu các năm 1996, 1997 và 1998 là bao nhiêu nghìn đồng", years=NAMED).join(n.select("qid"), "qid", "left_semi")
 
 
 @query(f"WITH {REVENUE}, {SPAN} SELECT qid, CASE WHEN n > 1 THEN 'difference in a row' ELSE 'single' END AS branch, CASE WHEN n > 1 THEN round(b - (s - b), 2) ELSE a END AS answer FROM g")
@@ -70,7 +76,7 @@ def plan_difference(spark, d):
 
 @query(f"WITH {REVENUE}, {SPAN} SELECT qid, 'extreme over years' AS branch, round(hi / 1000000, 2) AS answer FROM g WHERE n >= 2")
 def plan_max_amount(spark, d):
-    got = ask(spark, d, "Doanh thu cao nhất trong các năm 1996, 1997, 1998 là bao nhiêu triệu đồng", per_year_rows=True)
+    got = ask(spark, d, "Doanh thu cao nhất trong các năm 1996, 1997, 1998 là bao nhiêu triệu đồng", per_year_rows=True, years=NAMED)
     return got.filter("branch = 'extreme over years'")
 
 
@@ -86,7 +92,7 @@ def plan_argmax_year(spark, d):
 
 @query(f"WITH {REVENUE}, {SPAN} SELECT qid, 'value in the best year' AS branch, round(hi % 70000, 2) AS answer FROM g WHERE n >= 2")
 def plan_argmax_then_lookup(spark, d):
-    got = ask(spark, d, "Tại năm mà doanh thu cao nhất trong 1996, 1997, 1998 thì lợi nhuận là bao nhiêu", ("doanh thu", "loi nhuan"), per_year_rows=True, second=True)
+    got = ask(spark, d, "Tại năm mà doanh thu cao nhất trong 1996, 1997, 1998 thì lợi nhuận là bao nhiêu", ("doanh thu", "loi nhuan"), per_year_rows=True, second=True, years=NAMED)
     return got.filter("branch = 'value in the best year'")
 
 
@@ -113,7 +119,7 @@ def operation_hint(spark, d):
 
 def grids(spark, d):
     """One table per nation: header with years, a revenue row, a cost row, a text row."""
-    v = revenue(spark, d)
+    v = revenue(spark, d, NAMED)
     by = v.groupBy("qid").pivot("year", [1996, 1997, 1998]).agg(F.first("value"))
     number = lambda y: F.coalesce(F.col(str(y)).cast("long").cast("string"), F.lit(""))
     head = F.array(F.lit("Chỉ tiêu"), F.lit("Mã số"), *[F.lit(f"31/12/{y}Triệu VND") for y in (1996, 1997, 1998)])

@@ -153,3 +153,40 @@ def test_cluster_bootstrap_reads_every_source(spark, tmp_path):
     duckdb.sql(f"copy (select i as doc_id, (i >= 1000)::int as quality from range(1200) t(i)) to '{tmp_path}/labels.parquet'")
     got = QUERIES["cluster_bootstrap"](spark, str(tmp_path)).first()
     assert got["mean"] == pytest.approx(200 / 1200) and got.low <= got["mean"] <= got.high
+
+
+def revenue_by_nation():
+    got = duckdb.sql(f"select c_nationkey, year(o_orderdate)::int, (sum(round(o_totalprice / 10000)) * 10000)::double from '{SF}/orders.parquet' join '{SF}/customer.parquet' on o_custkey = c_custkey group by all order by 1, 2").fetchall()
+    by: dict = {}
+    for nation, year, value in got:
+        by.setdefault(nation, []).append((year, value))
+    return by
+
+
+def half_up(x):
+    return float(Decimal(repr(x)).quantize(Decimal("0.01"), ROUND_HALF_UP))
+
+
+PLANS = {
+    "plan_growth": ("growth in a row", lambda v: half_up((v[-1] - v[0]) / v[0] * 100)),
+    "plan_average": ("average of a row", lambda v: half_up(sum(v) / len(v) / 1000)),
+    "plan_difference": ("difference in a row", lambda v: half_up(v[-1] - sum(v[:-1]))),
+    "plan_ratio": ("ratio", lambda v: half_up(v[0] / (v[0] % 70000)) if v[0] % 70000 else None),
+    "plan_max_all": ("max", max),
+    "plan_sum_rows": ("sum", sum),
+}
+
+
+@pytest.mark.parametrize("name", PLANS)
+def test_plans_without_named_years_read_all_years(spark, name):
+    branch, of = PLANS[name]
+    by = revenue_by_nation()
+    assert min(map(len, by.values())) > 1 and {y for v in by.values() for y, _ in v} == set(range(1995, 2002))
+    want = {n: (branch, of([x for _, x in v])) for n, v in by.items()}
+    assert {r.qid: (r.branch, r.answer) for r in QUERIES[name](spark, SF).collect()} == want
+
+
+@pytest.mark.parametrize(("name", "choose"), [("plan_argmin_year", min), ("plan_argmax_year", max)])
+def test_best_years_are_of_all_years(spark, name, choose):
+    want = {n: ("which year", float(choose((x, y) for y, x in v)[1])) for n, v in revenue_by_nation().items()}
+    assert {r.qid: (r.branch, r.answer) for r in QUERIES[name](spark, SF).collect()} == want
