@@ -169,7 +169,9 @@ SELECT label, reports, coalesce(n, 0)::BIGINT AS questions FROM k LEFT JOIN h US
 def lexicon_build(spark, d):
     from ..functions.text import tokens
 
-    labels = table(spark, d, "documents").select("source", F.array_join(F.slice(tokens(F.col("text")), 1, 3), " ").alias("label"))
+    # every sentence or line of a whole text is a row of one cell
+    cells = table(spark, d, "documents").select("source", F.explode(F.split("text", r"[.!?]\s+|\n")).alias("cell"))
+    labels = cells.select("source", lexicon.row_label(F.array("cell")).alias("label"))
     asked = table(spark, d, "benchmark").select(F.array_join(tokens(F.col("text")), " ").alias("t"))
     return lexicon.build(labels, asked, "label", "source", "t", least=2)
 

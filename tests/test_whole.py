@@ -1,6 +1,7 @@
 """Queries over all their rows, against brute-force versions; the SQL twins stay as they are."""
 
 import re
+import unicodedata
 from decimal import ROUND_HALF_UP, Decimal
 from difflib import SequenceMatcher
 
@@ -190,3 +191,24 @@ def test_plans_without_named_years_read_all_years(spark, name):
 def test_best_years_are_of_all_years(spark, name, choose):
     want = {n: ("which year", float(choose((x, y) for y, x in v)[1])) for n, v in revenue_by_nation().items()}
     assert {r.qid: (r.branch, r.answer) for r in QUERIES[name](spark, SF).collect()} == want
+
+
+def test_lexicon_counts_the_labels_of_every_row(spark):
+    def tokens(x):
+        bare = "".join(c for c in unicodedata.normalize("NFD", x.lower()) if not unicodedata.combining(c))
+        return re.findall("[a-z0-9%]{2,}", bare.replace("đ", "d"))
+
+    sources: dict = {}
+    for source, text in rows("documents", "source, text"):
+        for cell in re.split(r"[.!?]\s+|\n", text):
+            words = tokens(cell)
+            if 2 <= len(words) <= 8 and not "".join(words).isdigit():
+                sources.setdefault(" ".join(words), set()).add(source)
+    asked = [" ".join(tokens(x)) for (x,) in rows("benchmark", "text")]
+    want = {}
+    for label, held in sources.items():
+        n = sum(label in x and label.split()[0] in x.split() for x in asked)
+        if len(held) >= 2 and n <= 0.15 * len(asked):
+            want[label] = (len(held), n)
+    assert {len(x.split()) for x in want} > {2, 3, 4}
+    assert {r.label: (r.reports, r.questions) for r in QUERIES["lexicon_build"](spark, SF).collect()} == want
