@@ -20,27 +20,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; set here only where it is unset, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset and all runs in one process, as in tests, a temporary folder is set; on a cluster, that is an error.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if at:
         return at
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
+    if not _is_local(spark):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    made = tempfile.mkdtemp(prefix="shared-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    It cuts the lineage by files that outlive executors, and the reread table has real size statistics.
+    It cuts the lineage by files that outlive executors, and the reread table has real size statistics. The files go
+    when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(files)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -60,20 +72,23 @@ def ascii_lower(c: Column) -> Column:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, unless their Python path (taken to be the driver's environment) has it."""
-    root = Path(__file__).resolve().parents[2]
-    there = [Path(p or ".").resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]]
-    if root in there or getattr(spark.sparkContext, "_ledgerlens_sent", False):
+    """Send this package to the executors, unless they are the driver's own process."""
+    if _is_local(spark) or getattr(spark.sparkContext, "_ledgerlens_sent", False):
         return
+    root = Path(__file__).resolve().parents[2]
     d = tempfile.mkdtemp()  # the driver serves the archive from here as long as it runs
     atexit.register(shutil.rmtree, d, ignore_errors=True)
     spark.sparkContext.addPyFile(shutil.make_archive(f"{d}/ledgerlens", "zip", root, "ledgerlens"))
     spark.sparkContext._ledgerlens_sent = True
 
 
-def arrow_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Before Python runs on executors: the package is there, and batches are small, as texts may be long; a size that the user has set stays."""
+def arrow_batches(spark: SparkSession, rows: int = 512, size: int = 4 << 20) -> None:
+    """Before Python runs on executors: the package is there, and batches are bounded by rows and bytes, as texts may be long.
+
+    These are settings of the session; one that doesn't have Spark's default was set by the user and stays.
+    """
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) == 10000:
-        spark.conf.set(key, str(rows))
+    prefix = "spark.sql.execution.arrow."
+    for key, value, default in (("maxRecordsPerBatch", rows, "10000"), ("maxBytesPerBatch", size, f"{64 << 20}b")):
+        if spark.conf.get(prefix + key) == default:
+            spark.conf.set(prefix + key, str(value))

@@ -1,97 +1,127 @@
 """Document fingerprints by order MinHash, and each document's neighbour in id order.
 
-A text is cut at white space and after every PIECE characters (a short one after every character); KMER pieces in a row are a k-mer, numbered by how often
-it has occurred before, so repetitions stay apart. Of all numbered k-mers the SAMPLED with the smallest hashes are
-kept. Each of the SKETCHES coordinates picks the PICKED minimal ones of these by a hash of its own, puts them in text
-order and hashes the tuple; so equal coordinates mean common content in a common order, as edit distance asks for.
-
-All of it is array expressions on a row, sorting packed numbers (hash above, place below), with no shuffle: a step costs
-time and memory in proportion to the text. For neighbours, texts are shuffled once, to buckets of consecutive ids, in
-which a window sees the next one; only the first document of each bucket goes to another one.
+Every KMER code points in a row of the whole text, white space included, are a k-mer, numbered by how often it has
+occurred before, so repetitions stay apart; a shorter text is one k-mer. Each of the SKETCHES coordinates orders all
+numbered k-mers by a hash of its own, picks the PICKED smallest, puts them in text order and hashes the tuple of
+k-mers. So equal coordinates mean common content in a common order, as edit distance asks for, at any length of text.
+
+Free style (Arrow batches in Python): array expressions need some four times the time for all k-mers of a text, beyond
+the limit; README has the figures. A text costs time and memory in proportion to its length, and texts are taken one
+by one. For neighbours, texts are shuffled once, to buckets of consecutive ids, in which a window sees the next one;
+only the first document of each bucket goes to another one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .blocks import mix64
+from .common import arrow_batches, materialize
 
-PIECE = 6
-KMER = 3
-SHORT = 96
-SAMPLED = 48
+KMER = 8
 SKETCHES = 20
 PICKED = 2
-#: Documents in a bucket of neighbouring ids, and the most buckets; beyond these, buckets grow.
+#: Places whose hashes for all coordinates are in memory at the same time.
+CHUNK = 1 << 12
+#: Documents in a bucket of neighbouring ids, and the most buckets; beyond these, buckets grow (and sort with spill).
 BUCKET_ROWS = 2000
 MOST_BUCKETS = 50_000
 
-_PLACE = (1 << 24) - 1
-_HASH = (1 << 40) - 1
-_LONGS = "array<bigint>"
-
-
-def _none() -> Column:
-    return F.array().cast(_LONGS)
-
-
-def _pieces(text: str) -> Column:
-    """Pieces of a text; single characters of a text under SHORT characters, whose pieces would be too few."""
-    return F.regexp_extract_all(text, F.when(F.length(text) < SHORT, F.lit("(?s).")).otherwise(F.lit(rf"\S{{1,{PIECE}}}")), F.lit(0))
-
-
-def _packed(pieces: str) -> Column:
-    """Hashes of the k-mers over their places, sorted; a text of fewer pieces is one k-mer."""
-    p = F.col(pieces)
-    whole = F.xxhash64(F.array_join(p, " "))
-    kmer = F.transform(F.slice(p, 1, F.size(p) - (KMER - 1)), lambda x, i: (F.xxhash64(x, *[F.get(p, i + j) for j in range(1, KMER)]).bitwiseAND(F.lit(~_PLACE))).bitwiseOR(i.cast("long").bitwiseAND(F.lit(_PLACE))))
-    return F.sort_array(F.when(F.size(p) >= KMER, kmer).when(F.size(p) > 0, F.array(whole.bitwiseAND(F.lit(~_PLACE)))).otherwise(_none()))
-
-
-def _heads(packed: str) -> Column:
-    """Where each k-mer's occurrences begin among the packed ones."""
-    s = F.col(packed)
-    new = lambda i: (i == 0) | (F.shiftright(F.get(s, i), 24) != F.shiftright(F.get(s, i - 1), 24))
-    return F.when(F.size(s) > 0, F.filter(F.sequence(F.lit(0), F.size(s) - 1), new)).otherwise(F.array().cast("array<int>"))
-
-
-def _numbered(packed: str, heads: str) -> Column:
-    """Hashes of k-mer and occurrence number over their places, the smallest SAMPLED, in text order."""
-    s, h = F.col(packed), F.col(heads)
-    run = lambda a, k: F.slice(s, a + 1, F.coalesce(F.get(h, k + 1), F.size(s)) - a)
-    mark = lambda x, j: F.xxhash64(F.shiftright(x, 24), j).bitwiseAND(F.lit(~_PLACE)).bitwiseOR(x.bitwiseAND(F.lit(_PLACE)))
-    return F.sort_array(F.flatten(F.transform(h, lambda a, k: F.transform(run(a, k), mark))))
-
-
-def _in_text_order(numbered: str) -> Column:
-    least = F.slice(F.col(numbered), 1, SAMPLED)
-    return F.sort_array(F.transform(least, lambda x: F.shiftleft(x.bitwiseAND(F.lit(_PLACE)), 40).bitwiseOR(F.shiftrightunsigned(x, 24).bitwiseAND(F.lit(_HASH)))))
-
-
-def _sketch(sampled: str) -> Column:
-    t = F.col(sampled)
-
-    def tuple_hash(i: Column) -> Column:
-        order = F.transform(t, lambda x, j: F.xxhash64(x.bitwiseAND(F.lit(_HASH)), i).bitwiseAND(F.lit(~63)).bitwiseOR(j.cast("long")))
-        least = F.transform(F.slice(F.array_sort(order), 1, PICKED), lambda y: y.bitwiseAND(F.lit(63)).cast("int"))
-        return F.xxhash64(F.transform(F.array_sort(least), lambda j: F.get(t, j).bitwiseAND(F.lit(_HASH))))
-
-    return F.when(F.size(t) > 0, F.transform(F.sequence(F.lit(0), F.lit(SKETCHES - 1)), tuple_hash)).otherwise(_none())
-
-
-def fingerprints(df: DataFrame, texts: dict[str, str], keep: list[str]) -> DataFrame:
-    """``keep`` columns and, for each text column of ``texts``, its fingerprint (array of SKETCHES longs) by the given name.
-
-    Null or blank texts have an empty fingerprint; equal texts have equal ones.
-    """
-    names = list(enumerate(texts))
-    # Each step is read more than once by the next, so that the optimizer keeps it a step of its own.
-    df = df.withColumns({f"__p{i}": _pieces(c) for i, c in names}).select(*keep, *[f"__p{i}" for i, _ in names])
-    for made, read, step in (("s", "p", lambda i: _packed(f"__p{i}")), ("h", None, lambda i: _heads(f"__s{i}")), ("n", "sh", lambda i: _numbered(f"__s{i}", f"__h{i}")), ("t", "n", lambda i: _in_text_order(f"__n{i}")), ("f", "t", lambda i: _sketch(f"__t{i}"))):
-        df = df.withColumns({f"__{made}{i}": step(i) for i, _ in names}).drop(*[f"__{r}{i}" for r in read or "" for i, _ in names])
-    return df.select(*keep, *[F.col(f"__f{i}").alias(texts[c]) for i, c in names])
+_LARGEST = np.uint64((1 << 64) - 1)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_FACTORS = mix64(np.arange(1, KMER + 1, dtype=np.uint64)) | np.uint64(1)
+_TURNS = mix64(np.arange(101, 101 + SKETCHES, dtype=np.uint64)) | np.uint64(1)
+
+
+def kmers(text: str) -> np.ndarray:
+    """A hash of every k-mer in text order."""
+    at = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    size = min(KMER, len(at))
+    if not size:
+        return at
+    n = len(at) - size + 1
+    codes = at[:n] * _FACTORS[0]
+    for j in range(1, size):
+        codes += at[j : j + n] * _FACTORS[j]
+    return mix64(codes + np.uint64(size))
+
+
+def numbered(codes: np.ndarray) -> np.ndarray:
+    """A hash of every k-mer and its occurrence number; that of the code itself for the first one."""
+    order = np.argsort(codes)
+    there = codes[order]
+    equal = there[1:] == there[:-1]
+    if not equal.any():
+        return codes
+    runs = np.flatnonzero(np.append(False, equal) | np.append(equal, False))
+    run = np.cumsum(np.append(True, ~equal)[runs])
+    places = np.lexsort((order[runs], run))  # in each run by place, as the sort needn't keep their order
+    places, new = order[runs][places], np.append(True, run[1:] != run[:-1])
+    number = np.arange(len(runs)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    again = places[number > 0]
+    out = codes.copy()
+    out[again] = mix64(codes[again] + number[number > 0].astype(np.uint64) * _ODD)
+    return out
+
+
+def smallest(each: np.ndarray, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(values, places) of each coordinate's PICKED smallest numbered k-mers, or all if there are fewer; places count from ``first``."""
+    values, places = np.zeros((SKETCHES, 0), np.uint64), np.zeros((SKETCHES, 0), np.int64)
+    every = np.arange(SKETCHES)
+    for begin in range(0, len(each), CHUNK):
+        block = each[begin : begin + CHUNK] * _TURNS[:, None]
+        for _ in range(min(PICKED, block.shape[1])):
+            at = block.argmin(axis=1)
+            values, places = np.column_stack([values, block[every, at]]), np.column_stack([places, at + (begin + first)])
+            block[every, at] = _LARGEST
+        values, places = least(values, places)
+    return values, places
+
+
+def least(values: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((places, values))[:, :PICKED]
+    return np.take_along_axis(values, order, 1), np.take_along_axis(places, order, 1)
+
+
+def tuples(codes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """int64 (SKETCHES): a hash of each coordinate's k-mers in text order; nothing without k-mers."""
+    if not places.shape[1]:
+        return np.zeros(0, np.int64)
+    made = np.zeros(SKETCHES, np.uint64)
+    for at in np.sort(places, axis=1).T:
+        made = mix64((made + codes[at]) * _ODD)
+    return made.view(np.int64)
+
+
+def fingerprint(text: str) -> np.ndarray:
+    """int64 (SKETCHES), or nothing for an empty text."""
+    codes = kmers(text)
+    return tuples(codes, smallest(numbered(codes))[1])
+
+
+def both_fingerprints(text: str, inserted: str) -> tuple[np.ndarray, np.ndarray]:
+    """Those of ``text`` and of it with its last quarter replaced; k-mers of the part before are searched once."""
+    cut = len(text) // 4
+    common = len(text) - cut - KMER + 1
+    if common < PICKED or not cut:
+        return fingerprint(text), fingerprint(text[: len(text) - cut] + inserted if cut else text)
+    codes = kmers(text)
+    rest = text[common : len(text) - cut] + inserted
+    others = np.concatenate([codes[:common], kmers(rest) if len(rest) >= KMER else codes[:0]])
+    each = numbered(codes)
+    before = smallest(each[:common])
+    out = []
+    for c, e in ((codes, each), (others, numbered(others))):
+        after = smallest(e[common:], common)
+        out.append(tuples(c, least(np.column_stack([before[0], after[0]]), np.column_stack([before[1], after[1]]))[1]))
+    return out[0], out[1]
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -105,17 +135,71 @@ def shown(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
-def _bucket(doc_id: str, bounds: list[int]) -> Column:
-    """How many of the rising ``bounds`` an id has reached, by a search in two levels; 0 for null."""
+#: Parts of a bucket are numbered below this.
+_PARTS = 1 << 24
+
+
+def _bucket(doc_id: str, key: str, shares: list[int], nulls: int) -> Column:
+    """Number of a row's bucket, rising by id and then key.
+
+    ``shares``: rising ids that begin equal shares of the rows. An id that begins several has as many buckets, by
+    ranges of the key, before the one of the ids after it. Null ids come first, in ``nulls`` buckets.
+    """
+    unsigned = F.shiftrightunsigned(F.col(key), 40)  # 24 bits, whose order is that of the key's ranges
+    part = lambda times: F.floor(unsigned * times / (1 << 24))
+    no_id = part(F.lit(nulls)).cast("long")
+    bounds = sorted(set(shares))
     if not bounds:
-        return F.lit(0)
+        return F.when(F.col(doc_id).isNull(), no_id).otherwise(F.lit(_PARTS))
     step = max(1, int(len(bounds) ** 0.5))
     parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
     longs = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
+    nested = lambda values: F.array(*[longs(values[i : i + step]) for i in range(0, len(values), step)])
     reached = lambda values: F.size(F.filter(values, lambda b: F.col(doc_id) >= b))
     coarse = reached(longs([x[0] for x in parts]))
-    fine = F.coalesce(F.get(F.array(*map(longs, parts)), coarse - 1), longs([]))
-    return F.when(coarse > 0, (coarse - 1) * step + reached(fine)).otherwise(0)
+    fine = reached(F.coalesce(F.get(F.array(*map(longs, parts)), coarse - 1), longs([])))
+    number = F.when(coarse > 0, (coarse - 1) * step + fine).otherwise(0).cast("long")
+    hot = [b if shares.count(b) > 1 else None for b in bounds] if len(set(shares)) < len(shares) else []
+    within = F.lit(0).cast("long")
+    if hot:
+        often = {b: shares.count(b) for b in set(hot) if b is not None}
+        at = lambda values: F.get(F.get(nested(values), coarse - 1), fine - 1)
+        times = at([often.get(b, 1) for b in bounds])
+        within = F.when(times > 1, F.when(F.col(doc_id) == at(bounds), part(times)).otherwise(times)).otherwise(0)
+    return F.when(F.col(doc_id).isNull(), no_id).otherwise((number + 1) * _PARTS + F.coalesce(within.cast("long"), F.lit(0)))
+
+
+def _lists(prints: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in prints])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *prints])))
+
+
+def fingerprints(df: DataFrame, keep: list[str], text: str, out: str, inserted: str | None = None, edited_out: str = "edited") -> DataFrame:
+    """``keep`` columns and ``out``: the fingerprint of ``text`` (array of SKETCHES longs).
+
+    With ``inserted``, also ``edited_out``: that of the text whose last quarter (rounded down) gives way to this column.
+    Null and empty texts have an empty fingerprint; equal texts have equal ones, repeated rows each get theirs.
+    """
+    names = [*keep, out, *([edited_out] if inserted else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, changed = [], []
+            for i in range(batch.num_rows):
+                t = batch.column(len(keep))[i].as_py() or ""
+                if inserted:
+                    one, two = both_fingerprints(t, batch.column(len(keep) + 1)[i].as_py() or "")
+                    changed.append(two)
+                else:
+                    one = fingerprint(t)
+                own.append(one)
+            made = [_lists(own), *([_lists(changed)] if inserted else [])]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], *made], names=names)
+
+    arrow_batches(df.sparkSession)
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([*[T.StructField(c, df.schema[c].dataType) for c in keep], *[T.StructField(c, longs) for c in names[len(keep) :]]])
+    return df.select(*keep, text, *([inserted] if inserted else [])).mapInArrow(run, schema)
 
 
 def edited_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -123,31 +207,31 @@ def edited_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     The edited text replaces the last quarter (rounded down) of a text's code points by as many first ones of the next
     document by ascending id, or all it has; the first follows the last. Null texts count as empty; null ids come
-    first; rows with equal ids go by a hash of their texts; equal rows follow each other.
+    first; rows with equal ids go by a hash of their texts; equal rows follow each other. Other columns don't matter.
     """
     own = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    size = docs.count()
-    buckets = max(1, min(MOST_BUCKETS, size // bucket_rows))
+    size, some = docs.agg(F.count("*"), F.count(doc_id)).first()
+    buckets = max(1, min(MOST_BUCKETS, some // bucket_rows))
     shares = [i / buckets for i in range(1, buckets)]
     bounds = docs.agg(F.percentile_approx(doc_id, shares, 20 * buckets)).first()[0] if shares else []
-    rows = docs.select(F.col(doc_id).alias("doc_id"), own.alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    rows = rows.withColumn("bucket", _bucket("doc_id", sorted(set(bounds or []))))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), own.alias("text")).withColumn("key", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1))
+    nulls = max(1, min(MOST_BUCKETS, (size - some) // bucket_rows))
+    rows = rows.withColumn("bucket", _bucket("doc_id", "key", sorted(bounds or []), nulls))
 
-    # the first document of each bucket follows the last one of the bucket before; there are at most MOST_BUCKETS
+    # the first document of each bucket follows the last one of the bucket before; there are at most MOST_BUCKETS twice
     first = rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "key")).alias("f")).select("bucket", F.col("f.doc_id").alias("id"), F.col("f.key").alias("k"))
     around = Window.orderBy("bucket")
     before = F.coalesce(F.lag("bucket").over(around), F.last("bucket").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     first = F.broadcast(first.withColumn("before", before).drop("bucket"))
     heads = rows.drop("bucket").join(first, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id"))).dropDuplicates(["before"])
-    heads = materialize(fingerprints(heads.select("before", "text", F.col("text").alias("head")), {"text": "head_fp"}, ["before", "head"]))
+    heads = materialize(fingerprints(heads.select("before", "text", F.col("text").alias("head")), ["before", "head"], "text", "head_fp"))
 
     in_order = Window.partitionBy("bucket").orderBy("doc_id", "key")
     both = rows.withColumn("next", F.lead("text").over(in_order)).join(heads, F.col("bucket") == F.col("before"))
-    cut = F.floor(F.length("text") / 4).cast("int")
-    both = both.withColumn("n_chars", F.length("text").cast("long")).withColumn("cut", cut)
-    both = both.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars as int) - cut)"), F.expr("left(coalesce(next, head), cut)")))
-    both = both.withColumn("edited_sha256", F.sha2("edited", 256))
-    made = fingerprints(both, {"text": "fp", "edited": "edited_fp"}, ["bucket", "doc_id", "key", "n_chars", "edited_sha256", "head_fp"])
+    both = both.withColumn("n", F.length("text")).withColumn("cut", F.floor(F.col("n") / 4).cast("int")).withColumn("inserted", F.expr("left(coalesce(next, head), cut)"))
+    edited = F.concat(F.expr("substring(text, 1, n - cut)"), "inserted")
+    both = both.select("bucket", "doc_id", "key", F.col("n").cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), "head_fp", "text", "inserted")
+    made = fingerprints(both, ["bucket", "doc_id", "key", "n_chars", "edited_sha256", "head_fp"], "text", "fp", "inserted", "edited_fp")
     made = made.withColumn("next_fp", F.coalesce(F.lead("fp").over(in_order), "head_fp"))
     return made.select(
         "doc_id",

@@ -1,61 +1,65 @@
 import hashlib
-import re
+import random
 
+import pytest
 import xxhash
 
 from ledgerlens.llm import order_minhash as om
 
 MASK = (1 << 64) - 1
+ODD = 0x9E3779B97F4A7C15
 
 
-def signed(x):
-    return x - (1 << 64) if x >> 63 else x
+def mix(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & MASK
+    return x ^ (x >> 31)
 
 
-def h(*values):
-    """Spark's xxhash64 of strings, (int, bits) pairs and lists of longs."""
-    seed = 42
-    for v in values:
-        for x in v if isinstance(v, list) else [v]:
-            data = x.encode() if isinstance(x, str) else (x[0] & ((1 << x[1]) - 1)).to_bytes(x[1] // 8, "little")
-            seed = xxhash.xxh64_intdigest(data, seed)
-    return signed(seed)
-
-
-def brute(text):
+def brute(text, k=8, sketches=20, picked=2):
+    """All numbered k-mers, one order for each coordinate, tuples in text order."""
     text = text or ""
-    p = list(text) if len(text) < om.SHORT else re.findall(rf"[^ \t\n\x0b\f\r]{{1,{om.PIECE}}}", text)
-    if len(p) >= om.KMER:
-        codes = [h(*p[i : i + om.KMER]) >> 24 for i in range(len(p) - om.KMER + 1)]
-    else:
-        codes = [h(" ".join(p)) >> 24] if p else []
-    seen, marked = {}, []
-    for i, c in enumerate(codes):
-        j = seen[c] = seen.get(c, -1) + 1
-        marked.append((h((c, 64), (j, 32)) >> 24, i))
-    kept = sorted((i, c & om._HASH) for c, i in sorted(marked)[: om.SAMPLED])
+    size = min(k, len(text))
+    seen, each = {}, []
+    for i in range(len(text) - size + 1 if size else 0):
+        kmer = text[i : i + size]
+        j = seen[kmer] = seen.get(kmer, -1) + 1
+        code = mix((sum(ord(c) * (mix(n + 1) | 1) for n, c in enumerate(kmer)) + size) & MASK)
+        each.append((mix((code + j * ODD) & MASK) if j else code, i, code))
     out = []
-    for i in range(om.SKETCHES if kept else 0):
-        order = sorted((h((c, 64), (i, 32)) >> 6, j) for j, (_, c) in enumerate(kept))[: om.PICKED]
-        out.append(h([(kept[j][1], 64) for j in sorted(j for _, j in order)]))
+    for s in range(sketches if each else 0):
+        turn = mix(101 + s) | 1
+        least = sorted((x * turn & MASK, i, c) for x, i, c in each)[:picked]
+        made = 0
+        for _, _, c in sorted(least, key=lambda v: v[1]):
+            made = mix((made + c) * ODD & MASK)
+        out.append(made)
     return out
 
 
 def likeness(a, b):
-    return 1.0 if not a and not b else sum(x == y for x, y in zip(a, b, strict=False)) / om.SKETCHES if a and b else 0.0
+    return 1.0 if not a and not b else sum(x == y for x, y in zip(a, b, strict=False)) / 20 if a and b else 0.0
+
+
+def key(doc_id, text):
+    """Spark's xxhash64 of id and text, without its last bit."""
+    seed = 42
+    for data in ([] if doc_id is None else [(doc_id & MASK).to_bytes(8, "little")]) + [text.encode()]:
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return seed >> 1
 
 
 def check(spark, rows, **more):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = om.edited_neighbours(df, **more).collect()
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, h(*([(r[0], 64)] if r[0] is not None else []), r[1] or "")))
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, key(r[0], r[1] or "")))
     want = []
     for i, (k, t) in enumerate(order):
         t, u = t or "", order[(i + 1) % len(order)][1] or ""
         m = len(t) // 4
         e = t[: len(t) - m] + u[:m]
         a, b = brute(t), brute(e)
-        show = lambda x: "".join(f"{v & MASK:016x}" for v in x)
+        show = lambda x: "".join(f"{v:016x}" for v in x)
         want.append((str(k), len(t), hashlib.sha256(e.encode()).hexdigest(), show(a), show(b), likeness(a, b), likeness(a, brute(u))))
     assert sorted(want) == sorted((str(r[0]), *tuple(r)[1:]) for r in got)
 
@@ -64,7 +68,7 @@ TEXT = "the quick brown fox jumps over the lazy dog and 日本語 runs away 😀
 
 
 def test_against_brute_force(spark):
-    check(spark, [(5, TEXT), (1, TEXT[:200]), (9, ""), (7, None), (3, "ab"), (2, "a"), (4, "repeat repeat " * 300), (8, TEXT[50:] + "x"), (10, " \n ")])
+    check(spark, [(5, TEXT), (1, TEXT[:200]), (9, ""), (7, None), (3, "ab"), (2, "a"), (4, "repeat repeat " * 300), (8, TEXT[50:] + "x"), (10, " \n "), (11, "x" * 9), (12, "12345678"), (13, "1234567")])
 
 
 def test_repeated_rows_and_ids(spark):
@@ -77,7 +81,44 @@ def test_many_buckets(spark):
         check(spark, rows, bucket_rows=size)
 
 
+def test_a_hot_id_and_null_ids_take_several_buckets(spark):
+    rows = [(3, f"row {i} of one id") for i in range(20)] + [(None, f"row {i} without") for i in range(20)] + [(i, f"id {i}") for i in range(8)]
+    check(spark, rows, bucket_rows=3)
+
+
 def test_one_and_no_row(spark):
     check(spark, [(1, TEXT)])
-    df = spark.createDataFrame([], "doc_id long, text string")
+    df = spark.createDataFrame([], "doc_id long, text string, n int, bucket string")
     assert om.edited_neighbours(df).count() == 0
+
+
+def test_other_columns_of_any_name_do_not_matter(spark):
+    rows = [(1, TEXT), (2, TEXT[9:])]
+    df = spark.createDataFrame([(*r, "x", 1, None) for r in rows], "doc_id long, text string, key string, bucket int, next string")
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(om.edited_neighbours(df).collect()) == sorted(om.edited_neighbours(plain).collect())
+
+
+UNSPACED = random.Random(7)
+TEXTS = {
+    "cjk": "".join(chr(UNSPACED.randint(0x4E00, 0x9FFF)) for _ in range(1000)),
+    "base64": "".join(UNSPACED.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(4000)),
+    "words": " ".join("".join(UNSPACED.choice("abcdefgh") for _ in range(5)) for _ in range(300)),
+}
+
+
+@pytest.mark.parametrize("name", TEXTS)
+def test_likeness_follows_edits_at_any_length(name):
+    t = TEXTS[name]
+    like = lambda a, b: likeness(list(om.fingerprint(a)), list(om.fingerprint(b)))
+    assert like(t, t) == 1 and like(t, "x" + t) > 0.8 and like(t[:95], t[:97]) > 0.7
+    assert like(t, t[: len(t) // 2]) < like(t, t[: len(t) * 9 // 10]) < 1
+    assert like(t, t[len(t) // 2 :] + t[: len(t) // 2]) < 0.8  # the same k-mers in another order
+    assert like(t, t[::-1]) < 0.1
+
+
+def test_a_very_long_text():
+    t = "".join(chr(97 + i * i % 23) for i in range(om.CHUNK * 3 + 5))
+    assert [int(x) & MASK for x in om.fingerprint(t)] == brute(t)
+    a, b = om.both_fingerprints(t, "new end")
+    assert list(a) == list(om.fingerprint(t)) and list(b) == list(om.fingerprint(t[: len(t) - len(t) // 4] + "new end"))
