@@ -1,127 +1,146 @@
 """Document fingerprints by order MinHash, and each document's neighbour in id order.
 
 Every KMER code points in a row of the whole text, white space included, are a k-mer, numbered by how often it has
-occurred before, so repetitions stay apart; a shorter text is one k-mer. Each of the SKETCHES coordinates orders all
-numbered k-mers by a hash of its own, picks the PICKED smallest, puts them in text order and hashes the tuple of
-k-mers. So equal coordinates mean common content in a common order, as edit distance asks for, at any length of text.
-
-Free style (Arrow batches in Python): array expressions need some four times the time for all k-mers of a text, beyond
-the limit; README has the figures. A text costs time and memory in proportion to its length, and texts are taken one
-by one. For neighbours, texts are shuffled once, to buckets of consecutive ids, in which a window sees the next one;
-only the first document of each bucket goes to another one.
+occurred before, so repetitions stay apart; a shorter text is one k-mer. A hash scatters the numbered k-mers over a
+ring. Each of the SKETCHES coordinates is one circular shift of that order: it picks the PICKED numbered k-mers that
+come first from its own point of the ring on, among all of the text, puts them in text order and hashes the tuple. So
+equal coordinates mean common content in a common order, as edit distance asks for, at any length of text.
+
+All of it is array expressions on a row, sorting packed numbers (hash above, place below), with no shuffle: a step costs
+time and memory in proportion to the text. A hash has HASH_BITS bits, a place PLACE_BITS: more than the numbers that an
+array in a row can hold (2 GB). For neighbours, texts are shuffled once, to buckets of consecutive ids, in which a
+window sees the next one; only the first document of each bucket goes to another one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .blocks import mix64
-from .common import arrow_batches, materialize
+from .common import materialize
 
 KMER = 8
 SKETCHES = 20
 PICKED = 2
-#: Places whose hashes for all coordinates are in memory at the same time.
-CHUNK = 1 << 12
+PLACE_BITS = 28
+HASH_BITS = 63 - PLACE_BITS
+#: Places whose k-mers are strings at the same time.
+CHUNK = 1 << 15
 #: Documents in a bucket of neighbouring ids, and the most buckets; beyond these, buckets grow (and sort with spill).
 BUCKET_ROWS = 2000
 MOST_BUCKETS = 50_000
 
-_LARGEST = np.uint64((1 << 64) - 1)
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_FACTORS = mix64(np.arange(1, KMER + 1, dtype=np.uint64)) | np.uint64(1)
-_TURNS = mix64(np.arange(101, 101 + SKETCHES, dtype=np.uint64)) | np.uint64(1)
-
-
-def kmers(text: str) -> np.ndarray:
-    """A hash of every k-mer in text order."""
-    at = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    size = min(KMER, len(at))
-    if not size:
-        return at
-    n = len(at) - size + 1
-    codes = at[:n] * _FACTORS[0]
-    for j in range(1, size):
-        codes += at[j : j + n] * _FACTORS[j]
-    return mix64(codes + np.uint64(size))
-
-
-def numbered(codes: np.ndarray) -> np.ndarray:
-    """A hash of every k-mer and its occurrence number; that of the code itself for the first one."""
-    order = np.argsort(codes)
-    there = codes[order]
-    equal = there[1:] == there[:-1]
-    if not equal.any():
-        return codes
-    runs = np.flatnonzero(np.append(False, equal) | np.append(equal, False))
-    run = np.cumsum(np.append(True, ~equal)[runs])
-    places = np.lexsort((order[runs], run))  # in each run by place, as the sort needn't keep their order
-    places, new = order[runs][places], np.append(True, run[1:] != run[:-1])
-    number = np.arange(len(runs)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-    again = places[number > 0]
-    out = codes.copy()
-    out[again] = mix64(codes[again] + number[number > 0].astype(np.uint64) * _ODD)
-    return out
-
-
-def smallest(each: np.ndarray, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(values, places) of each coordinate's PICKED smallest numbered k-mers, or all if there are fewer; places count from ``first``."""
-    values, places = np.zeros((SKETCHES, 0), np.uint64), np.zeros((SKETCHES, 0), np.int64)
-    every = np.arange(SKETCHES)
-    for begin in range(0, len(each), CHUNK):
-        block = each[begin : begin + CHUNK] * _TURNS[:, None]
-        for _ in range(min(PICKED, block.shape[1])):
-            at = block.argmin(axis=1)
-            values, places = np.column_stack([values, block[every, at]]), np.column_stack([places, at + (begin + first)])
-            block[every, at] = _LARGEST
-        values, places = least(values, places)
-    return values, places
-
-
-def least(values: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((places, values))[:, :PICKED]
-    return np.take_along_axis(values, order, 1), np.take_along_axis(places, order, 1)
-
-
-def tuples(codes: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """int64 (SKETCHES): a hash of each coordinate's k-mers in text order; nothing without k-mers."""
-    if not places.shape[1]:
-        return np.zeros(0, np.int64)
-    made = np.zeros(SKETCHES, np.uint64)
-    for at in np.sort(places, axis=1).T:
-        made = mix64((made + codes[at]) * _ODD)
-    return made.view(np.int64)
-
-
-def fingerprint(text: str) -> np.ndarray:
-    """int64 (SKETCHES), or nothing for an empty text."""
-    codes = kmers(text)
-    return tuples(codes, smallest(numbered(codes))[1])
-
-
-def both_fingerprints(text: str, inserted: str) -> tuple[np.ndarray, np.ndarray]:
-    """Those of ``text`` and of it with its last quarter replaced; k-mers of the part before are searched once."""
-    cut = len(text) // 4
-    common = len(text) - cut - KMER + 1
-    if common < PICKED or not cut:
-        return fingerprint(text), fingerprint(text[: len(text) - cut] + inserted if cut else text)
-    codes = kmers(text)
-    rest = text[common : len(text) - cut] + inserted
-    others = np.concatenate([codes[:common], kmers(rest) if len(rest) >= KMER else codes[:0]])
-    each = numbered(codes)
-    before = smallest(each[:common])
-    out = []
-    for c, e in ((codes, each), (others, numbered(others))):
-        after = smallest(e[common:], common)
-        out.append(tuples(c, least(np.column_stack([before[0], after[0]]), np.column_stack([before[1], after[1]]))[1]))
-    return out[0], out[1]
+_LONGS = "array<bigint>"
+#: Where each coordinate's order begins on the ring.
+_POINTS = [(i << HASH_BITS) // SKETCHES << PLACE_BITS for i in range(SKETCHES)]
+
+
+def _none() -> Column:
+    return F.array().cast(_LONGS)
+
+
+def _points() -> Column:
+    return F.array(*[F.lit(p).cast("long") for p in _POINTS])
+
+
+def _hash(x: Column) -> Column:
+    """The hash that a packed number holds."""
+    return F.shiftright(x, PLACE_BITS)
+
+
+def _pack(hash64: Column, place: Column) -> Column:
+    return F.shiftleft(F.shiftrightunsigned(hash64, 64 - HASH_BITS), PLACE_BITS).bitwiseOR(place.cast("long"))
+
+
+def _kmers(text: Column, first: Column) -> Column:
+    """The packed k-mers of ``text`` in its order, with places that count from ``first``; none of a text under KMER."""
+    every = F.lit(f"(?s)(?=(.{{{KMER}}})).")
+
+    def chunk(at: Column) -> Column:
+        found = F.regexp_extract_all(F.substring(text, at + 1, F.lit(CHUNK + KMER - 1)), every, F.lit(1))
+        return F.transform(found, lambda x, i: _pack(F.xxhash64(x), first + at + i))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.length(text), F.lit(CHUNK)), chunk))
+
+
+def _whole(text: Column, kmers: Column) -> Column:
+    """``kmers``, or the whole of a text that is too short for one."""
+    return F.when(F.length(text) >= KMER, kmers).when(F.length(text) > 0, F.array(_pack(F.xxhash64(text), F.lit(0)))).otherwise(_none())
+
+
+def packed(text: str) -> Column:
+    """The packed k-mers of a text column."""
+    return _whole(F.col(text), _kmers(F.col(text), F.lit(0)))
+
+
+def _again(s: str) -> Column:
+    """Of sorted packed k-mers, all but the first occurrence of each."""
+    a = F.col(s)
+    return F.filter(a, lambda x, i: _hash(x) == _hash(F.get(a, i - 1)))
+
+
+def _heads(e: str) -> Column:
+    """Where each k-mer's further occurrences begin among them."""
+    a = F.col(e)
+    new = lambda i: (i == 0) | (_hash(F.get(a, i)) != _hash(F.get(a, i - 1)))
+    return F.when(F.size(a) > 0, F.filter(F.sequence(F.lit(0), F.size(a) - 1), new)).otherwise(F.array().cast("array<int>"))
+
+
+def _numbered(e: str, heads: str) -> Column:
+    """Further occurrences with a hash of k-mer and number."""
+    a, h = F.col(e), F.col(heads)
+    place = F.lit((1 << PLACE_BITS) - 1)
+    run = lambda begin, k: F.slice(a, begin + 1, F.coalesce(F.get(h, k + 1), F.size(a)) - begin)
+    return F.flatten(F.transform(h, lambda begin, k: F.transform(run(begin, k), lambda x, j: _pack(F.xxhash64(_hash(x), j + 1), x.bitwiseAND(place)))))
+
+
+def _sketch(b: str, places: str, e: str) -> Column:
+    """The coordinates from the sorted numbered k-mers ``b``, which still hold the unnumbered ``e``."""
+    every, again = F.col(b), F.col(e)
+    place = F.lit((1 << PLACE_BITS) - 1)
+
+    def second(x: Column, i: Column) -> Column:
+        after = F.get(F.col(places), i) + 1
+        copies = F.when(_hash(F.get(every, after)) == _hash(x), F.size(F.filter(again, lambda o: _hash(o) == _hash(x)))).otherwise(0)
+        return F.coalesce(F.get(every, after + copies), F.get(every, F.lit(0)))
+
+    def tuple_hash(x: Column, y: Column) -> Column:
+        in_order = x.bitwiseAND(place) <= y.bitwiseAND(place)
+        return F.when(_hash(x) == _hash(y), F.xxhash64(_hash(x))).when(in_order, F.xxhash64(_hash(x), _hash(y))).otherwise(F.xxhash64(_hash(y), _hash(x)))
+
+    first = F.transform(F.col(places), lambda at: F.get(every, at))
+    return F.zip_with(first, F.transform(first, second), tuple_hash)
+
+
+def _begins(found: list[str], b: str) -> Column:
+    """Where in ``b`` each coordinate's order begins; ``found``: its point's place among the numbered k-mers and all points."""
+    at = F.transform(F.array(*found), lambda p, i: (p - 1 - i).cast("int"))
+    return F.when(F.size(b) > 0, F.transform(at, lambda p: F.when(p >= F.size(b), 0).otherwise(p))).otherwise(F.array().cast("array<int>"))
+
+
+def fingerprints(df: DataFrame, kmers: dict[str, str], keep: list[str]) -> DataFrame:
+    """``keep`` columns and, for each column of ``kmers`` (packed k-mers of a text), its fingerprint (array of SKETCHES longs) by the given name.
+
+    Empty texts have an empty fingerprint; equal texts have equal ones.
+    """
+    left, made = list(kmers), []
+    for c in kmers:
+        left.remove(c)
+        rest = [*keep, *left, *made]
+        # Each step is read more than once by the next, so that the optimizer keeps it a step of its own. The points'
+        # places are columns, which compiled code finds; one expression with all of them would be too long to compile.
+        df = df.select(*rest, F.sort_array(c).alias("__s"))
+        df = df.withColumn("__e", _again("__s"))
+        df = df.withColumn("__h", _heads("__e"))
+        df = df.select(*rest, "__e", F.sort_array(F.concat("__s", _numbered("__e", "__h"))).alias("__b"))
+        df = df.withColumn("__m", F.sort_array(F.concat("__b", _points())))
+        found = [f"__q{i}" for i in range(SKETCHES)]
+        df = df.select(*rest, "__e", "__b", *[F.array_position("__m", F.lit(p).cast("long")).alias(q) for p, q in zip(_POINTS, found, strict=True)])
+        df = df.select(*rest, "__e", "__b", _begins(found, "__b").alias("__p"))
+        df = df.select(*rest, _sketch("__b", "__p", "__e").alias(kmers[c]))
+        made.append(kmers[c])
+    return df
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -169,39 +188,6 @@ def _bucket(doc_id: str, key: str, shares: list[int], nulls: int) -> Column:
     return F.when(F.col(doc_id).isNull(), no_id).otherwise((number + 1) * _PARTS + F.coalesce(within.cast("long"), F.lit(0)))
 
 
-def _lists(prints: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in prints])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *prints])))
-
-
-def fingerprints(df: DataFrame, keep: list[str], text: str, out: str, inserted: str | None = None, edited_out: str = "edited") -> DataFrame:
-    """``keep`` columns and ``out``: the fingerprint of ``text`` (array of SKETCHES longs).
-
-    With ``inserted``, also ``edited_out``: that of the text whose last quarter (rounded down) gives way to this column.
-    Null and empty texts have an empty fingerprint; equal texts have equal ones, repeated rows each get theirs.
-    """
-    names = [*keep, out, *([edited_out] if inserted else [])]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, changed = [], []
-            for i in range(batch.num_rows):
-                t = batch.column(len(keep))[i].as_py() or ""
-                if inserted:
-                    one, two = both_fingerprints(t, batch.column(len(keep) + 1)[i].as_py() or "")
-                    changed.append(two)
-                else:
-                    one = fingerprint(t)
-                own.append(one)
-            made = [_lists(own), *([_lists(changed)] if inserted else [])]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], *made], names=names)
-
-    arrow_batches(df.sparkSession)
-    longs = T.ArrayType(T.LongType())
-    schema = T.StructType([*[T.StructField(c, df.schema[c].dataType) for c in keep], *[T.StructField(c, longs) for c in names[len(keep) :]]])
-    return df.select(*keep, text, *([inserted] if inserted else [])).mapInArrow(run, schema)
-
-
 def edited_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
@@ -224,14 +210,21 @@ def edited_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     before = F.coalesce(F.lag("bucket").over(around), F.last("bucket").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     first = F.broadcast(first.withColumn("before", before).drop("bucket"))
     heads = rows.drop("bucket").join(first, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id"))).dropDuplicates(["before"])
-    heads = materialize(fingerprints(heads.select("before", "text", F.col("text").alias("head")), ["before", "head"], "text", "head_fp"))
+    heads = heads.select("before", F.col("text").alias("head"), packed("text").alias("kmers"))
+    heads = materialize(fingerprints(heads, {"kmers": "head_fp"}, ["before", "head"]))
 
     in_order = Window.partitionBy("bucket").orderBy("doc_id", "key")
     both = rows.withColumn("next", F.lead("text").over(in_order)).join(heads, F.col("bucket") == F.col("before"))
-    both = both.withColumn("n", F.length("text")).withColumn("cut", F.floor(F.col("n") / 4).cast("int")).withColumn("inserted", F.expr("left(coalesce(next, head), cut)"))
-    edited = F.concat(F.expr("substring(text, 1, n - cut)"), "inserted")
-    both = both.select("bucket", "doc_id", "key", F.col("n").cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), "head_fp", "text", "inserted")
-    made = fingerprints(both, ["bucket", "doc_id", "key", "n_chars", "edited_sha256", "head_fp"], "text", "fp", "inserted", "edited_fp")
+    both = both.withColumn("n", F.length("text")).withColumn("cut", F.floor(F.col("n") / 4).cast("int"))
+    both = both.withColumn("edited", F.concat(F.expr("substring(text, 1, n - cut)"), F.expr("left(coalesce(next, head), cut)")))
+    # k-mers that lie in the part that both texts share are read once
+    both = both.withColumn("common", F.greatest(F.lit(0), F.col("n") - F.col("cut") - (KMER - 1)))
+    kept = ["bucket", "doc_id", "key", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "head_fp", "common"]
+    both = both.select(*kept, packed("text").alias("kmers"), F.expr("substring(edited, common + 1)").alias("tail"))
+    tail = _kmers(F.col("tail"), F.col("common"))
+    edited = F.when(F.col("common") > 0, F.concat(F.slice("kmers", 1, F.col("common")), tail)).otherwise(_whole(F.col("tail"), tail))
+    kept = ["bucket", "doc_id", "key", "n_chars", "edited_sha256", "head_fp"]
+    made = fingerprints(both.select(*kept, "kmers", edited.alias("edited_kmers")), {"kmers": "fp", "edited_kmers": "edited_fp"}, kept)
     made = made.withColumn("next_fp", F.coalesce(F.lead("fp").over(in_order), "head_fp"))
     return made.select(
         "doc_id",

@@ -7,33 +7,32 @@ import xxhash
 from ledgerlens.llm import order_minhash as om
 
 MASK = (1 << 64) - 1
-ODD = 0x9E3779B97F4A7C15
 
 
-def mix(x):
-    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & MASK
-    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & MASK
-    return x ^ (x >> 31)
+def h(*values):
+    """Spark's xxhash64 of strings and (int, bits) pairs, as an unsigned number."""
+    seed = 42
+    for x in values:
+        data = x.encode() if isinstance(x, str) else (x[0] & ((1 << x[1]) - 1)).to_bytes(x[1] // 8, "little")
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return seed
 
 
-def brute(text, k=8, sketches=20, picked=2):
-    """All numbered k-mers, one order for each coordinate, tuples in text order."""
+def brute(text, k=8, sketches=20, picked=2, bits=35):
+    """All numbered k-mers on a ring of hashes, for each coordinate those that come first from its point on, in text order."""
     text = text or ""
     size = min(k, len(text))
     seen, each = {}, []
     for i in range(len(text) - size + 1 if size else 0):
         kmer = text[i : i + size]
         j = seen[kmer] = seen.get(kmer, -1) + 1
-        code = mix((sum(ord(c) * (mix(n + 1) | 1) for n, c in enumerate(kmer)) + size) & MASK)
-        each.append((mix((code + j * ODD) & MASK) if j else code, i, code))
+        code = h(kmer) >> (64 - bits)
+        each.append((h((code, 64), (j, 32)) >> (64 - bits) if j else code, i))
     out = []
     for s in range(sketches if each else 0):
-        turn = mix(101 + s) | 1
-        least = sorted((x * turn & MASK, i, c) for x, i, c in each)[:picked]
-        made = 0
-        for _, _, c in sorted(least, key=lambda v: v[1]):
-            made = mix((made + c) * ODD & MASK)
-        out.append(made)
+        point = (s << bits) // sketches
+        first = sorted(((x - point) % (1 << bits), i, x) for x, i in each)[:picked]
+        out.append(h(*[(x, 64) for _, _, x in sorted(first, key=lambda v: v[1])]))
     return out
 
 
@@ -42,11 +41,8 @@ def likeness(a, b):
 
 
 def key(doc_id, text):
-    """Spark's xxhash64 of id and text, without its last bit."""
-    seed = 42
-    for data in ([] if doc_id is None else [(doc_id & MASK).to_bytes(8, "little")]) + [text.encode()]:
-        seed = xxhash.xxh64_intdigest(data, seed)
-    return seed >> 1
+    """How rows of one id are ordered."""
+    return h(*([] if doc_id is None else [(doc_id, 64)]), text) >> 1
 
 
 def check(spark, rows, **more):
@@ -108,17 +104,20 @@ TEXTS = {
 
 
 @pytest.mark.parametrize("name", TEXTS)
-def test_likeness_follows_edits_at_any_length(name):
+def test_likeness_follows_edits_at_any_length(spark, name):
     t = TEXTS[name]
-    like = lambda a, b: likeness(list(om.fingerprint(a)), list(om.fingerprint(b)))
-    assert like(t, t) == 1 and like(t, "x" + t) > 0.8 and like(t[:95], t[:97]) > 0.7
-    assert like(t, t[: len(t) // 2]) < like(t, t[: len(t) * 9 // 10]) < 1
-    assert like(t, t[len(t) // 2 :] + t[: len(t) // 2]) < 0.8  # the same k-mers in another order
-    assert like(t, t[::-1]) < 0.1
-
-
-def test_a_very_long_text():
-    t = "".join(chr(97 + i * i % 23) for i in range(om.CHUNK * 3 + 5))
-    assert [int(x) & MASK for x in om.fingerprint(t)] == brute(t)
-    a, b = om.both_fingerprints(t, "new end")
-    assert list(a) == list(om.fingerprint(t)) and list(b) == list(om.fingerprint(t[: len(t) - len(t) // 4] + "new end"))
+    texts = ["x" + t, t[:95], t[:97], t[: len(t) // 2], t[: len(t) * 9 // 10], t[len(t) // 2 :] + t[: len(t) // 2], t[::-1], t]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, text string")
+    got = om.fingerprints(df.select("i", om.packed("text").alias("kmers")), {"kmers": "f"}, ["i"]).collect()
+    f = [x.f for x in sorted(got)]
+    assert [[v & MASK for v in x] for x in f] == [brute(x) for x in texts]
+    like = lambda a, b: likeness(f[a], f[b])
+    assert like(7, 0) > 0.8 and like(1, 2) > 0.7
+    assert like(7, 3) < like(7, 4) < 1
+    assert like(7, 5) < 0.8  # the same k-mers in another order
+    assert like(7, 6) < 0.1
+
+
+def test_a_very_long_text(spark):
+    t = "".join(chr(97 + i * i % 23 + i % 3) for i in range(om.CHUNK * 2 + 5))
+    check(spark, [(1, t), (2, "y" * (om.CHUNK + 9)), (3, "short")])
