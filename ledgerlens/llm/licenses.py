@@ -1,18 +1,21 @@
 """License scans: phrases and an exact set-similarity join of text blocks with license templates.
 
-A document's words are cut into overlapping blocks of 2 * BLOCK words, one every BLOCK words, so a passage of up to
-BLOCK words lies whole in some block. A block meets a template if it holds at least the share CONTAINED of the
-template's distinct words. Words are ordered globally by their frequency in all documents, rarest first. A pair that
-meets shares one of the template's first words in that order (its prefix), the block has enough template words at all
-(length), and at the first shared word both have enough left (position); only such pairs are verified.
-
-All of it is DataFrame operations. Words outside all templates can be in no intersection and are left out before
-blocks become rows, and only documents with some prefix word are cut at all. The templates are a fixed table, so
+A document's words are cut into overlapping blocks of twice the block length, one every block length, so a passage of
+up to that many words lies whole in some block. Tokens are pairs of consecutive words, so that scattered words meet
+nothing. A block meets a template if it holds at least the share CONTAINED of the template's distinct tokens. Tokens
+are ordered globally by their frequency in all documents, rarest first. A pair that meets shares one of the template's
+first tokens in that order (its prefix), the block has enough template tokens at all (length), and at the first shared
+token both have enough left (position); only such pairs are verified. Of templates with other labels that have half
+of their tokens in common, a block keeps those with the largest share, as variants of a notice hold much of each other.
+
+All of it is DataFrame operations. Tokens outside all templates can be in no intersection and are left out before
+blocks become rows, and only documents with some prefix token are cut at all. The templates are a fixed table, so
 their prefix index and vocabulary, the only things broadcast or collected, don't grow with the data.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import constants
 
+#: Words between the starts of blocks; more if a template is longer.
 BLOCK = 32
 CONTAINED = 0.85
 _OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -27,12 +31,39 @@ _OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 @dataclass(frozen=True)
 class Template:
+    """A notice of at least two words, in lower case and single-spaced."""
+
     label: str
     text: str
 
     @property
-    def words(self) -> frozenset[str]:
-        return frozenset(self.text.split())
+    def tokens(self) -> frozenset[str]:
+        words = self.text.split()
+        return frozenset(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))
+
+
+def block_words(templates: list[Template]) -> int:
+    return max([BLOCK, *(len(t.text.split()) for t in templates)])
+
+
+def rivals(templates: list[Template]) -> list[tuple[int, int]]:
+    """Numbers of templates with other labels of which the smaller has half of its tokens in the other."""
+    return [
+        (i, j)
+        for i, a in enumerate(templates)
+        for j, b in enumerate(templates)
+        if a.label != b.label and 2 * len(a.tokens & b.tokens) >= min(len(a.tokens), len(b.tokens))
+    ]
+
+
+def _any(strings: Iterable[str]) -> str:
+    """An expression for any of the strings (of words and blanks) that tests their common beginnings once."""
+    tails: dict[str, list[str]] = {}
+    for s in strings:
+        tails.setdefault(s[:1], []).append(s[1:])
+    if list(tails) == [""]:
+        return ""
+    return "(?:" + "|".join(c + (_any(rest) if c else "") for c, rest in sorted(tails.items(), reverse=True)) + ")"
 
 
 def spaced(text: Column) -> Column:
@@ -45,7 +76,7 @@ def _count(c: Column, part: str) -> Column:
 
 
 def _needed(t: Template, share: float) -> int:
-    n = len(t.words)
+    n = len(t.tokens)
     return max(1, -int(-share * n // 1))
 
 
@@ -79,32 +110,53 @@ def contained(docs: DataFrame, templates: list[Template], share: float = CONTAIN
 
     found: the templates' labels; best: the largest share of a template in a block.
     """
-    spark = docs.sparkSession
-    vocabulary = sorted(set().union(*[t.words for t in templates]))
-    seen = docs.select(F.explode(F.split("words", " ")).alias("w")).filter(F.col("w").isin(vocabulary)).groupBy("w").agg(F.count("*").alias("n"))
-    often = {r.w: r.n for r in seen.collect()}  # at most the vocabulary of the templates
-    order = sorted(vocabulary, key=lambda w: (often.get(w, 0), w))
-    rank = {w: i for i, w in enumerate(order)}
+    spark, length = docs.sparkSession, block_words(templates)
+    vocabulary = sorted(set().union(*[t.tokens for t in templates]))
+    held = F.regexp_extract_all("words", F.lit(f" (?=({_any(vocabulary)}) )"), F.lit(1))
+    often = {r.t: r.n for r in docs.select(F.explode(held).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # at most the vocabulary of the templates
+    order = sorted(vocabulary, key=lambda t: (often.get(t, 0), t))
+    rank = {t: i for i, t in enumerate(order)}
     index = []
     for i, t in enumerate(templates):
-        ranked, needs = sorted(t.words, key=rank.get), _needed(t, share)
+        ranked, needs = sorted(t.tokens, key=rank.get), _needed(t, share)
         index += [(w, i, place, len(ranked), needs) for place, w in enumerate(ranked[: len(ranked) - needs + 1])]
     prefix = sorted({w for w, *_ in index})
-    index_rows = F.broadcast(constants(spark, ["word", "template", "place", "size", "needs"], index))
-    sets = F.broadcast(constants(spark, ["template", "label", "held"], [(i, t.label, sorted(t.words)) for i, t in enumerate(templates)]))
+    index_rows = F.broadcast(constants(spark, ["token", "template", "place", "size", "needs"], index))
+    sets = F.broadcast(constants(spark, ["template", "label", "held"], [(i, t.label, sorted(t.tokens)) for i, t in enumerate(templates)]))
 
-    some = docs.filter(F.col("words").rlike(f" ({'|'.join(prefix)}) "))
+    some = docs.filter(F.col("words").rlike(f" {_any(prefix)} "))
     cut = some.select("key", F.split(F.trim("words"), " ").alias("words"))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("words") - 1) / BLOCK).cast("int")))
-    blocks = cut.withColumn("block", F.explode(starts)).select("key", "block", F.slice("words", F.col("block") * BLOCK + 1, 2 * BLOCK).alias("words"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("words") - 1) / length).cast("int")))
+    blocks = cut.withColumn("block", F.explode(starts)).select("key", "block", F.slice("words", F.col("block") * length + 1, 2 * length).alias("words"))
+    pairs = F.transform("words", lambda w, i: F.concat(w, F.lit(" "), F.coalesce(F.get("words", i + 1), F.lit(""))))
     # array_intersect keeps the order of its first array: the global one
-    ranked = blocks.select("key", "block", F.array_intersect(F.array(*map(F.lit, order)), "words").alias("own"))
+    ranked = blocks.select("key", "block", F.array_intersect(F.array(*map(F.lit, order)), pairs).alias("own"))
     first = ranked.filter(F.arrays_overlap("own", F.array(*map(F.lit, prefix))))
-    met = first.select("key", "block", "own", F.posexplode("own").alias("at", "word")).join(index_rows, "word")
+    met = first.select("key", "block", "own", F.posexplode("own").alias("at", "token")).join(index_rows, "token")
     n = F.size("own")
     met = met.filter((n >= F.col("needs")) & (F.col("at") <= n - F.col("needs")) & (1 + F.least(F.col("size") - F.col("place") - 1, n - F.col("at") - 1) >= F.col("needs")))
-    verified = met.join(sets, "template").withColumn("common", F.size(F.array_intersect("own", "held"))).filter("common >= needs")
-    return verified.groupBy("key").agg(F.collect_set("label").alias("found"), F.max(F.col("common") / F.col("size")).alias("best"))
+    common = F.size(F.array_intersect("own", "held"))
+    verified = met.select("key", "block", "own", "template", "size", "needs").join(sets, "template").withColumn("common", common).filter("common >= needs")
+    entry = F.struct((F.col("common") / F.col("size")).alias("share"), "common", "template", "label")
+    by_block = verified.groupBy("key", "block").agg(F.collect_set(entry).alias("met"))  # at most the templates
+    against: dict[int, list[int]] = {}
+    for i, j in rivals(templates):
+        against.setdefault(i, []).append(j)
+
+    def beaten(x: Column) -> Column:
+        def by(y: Column) -> Column:
+            rival = F.lit(False)
+            for i, others in against.items():
+                rival = rival | ((x["template"] == i) & y["template"].isin(others))
+            return rival & ((y["share"] > x["share"]) | ((y["share"] == x["share"]) & (y["common"] > x["common"])))
+
+        return F.exists("met", by)
+
+    left = by_block.select("key", F.explode(F.filter("met", lambda x: ~beaten(x))).alias("m"))
+    return left.groupBy("key").agg(F.collect_set("m.label").alias("found"), F.max("m.share").alias("best"))
+
+
+OUTPUTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
 def scan(docs: DataFrame, templates: list[Template], phrases: dict[str, str], keep: list[str], text: str = "text", share: float = CONTAINED) -> DataFrame:
@@ -112,14 +164,21 @@ def scan(docs: DataFrame, templates: list[Template], phrases: dict[str, str], ke
 
     A phrase's place is where its words stand consecutively. labels has those of phrases and templates; score is the
     largest share of a template in a block, 1 with a phrase, else 0. Null and empty texts have no words; repeated
-    rows each get their result; rows need no id.
+    rows each get their result; rows need no id. Columns of ``keep`` with the name of a result give way to it.
     """
-    key = F.xxhash64(*[F.col(c) for c in keep], F.col(text).cast("string"))
-    rows = docs.select(*keep, key.alias("key"), spaced(F.col(text)).alias("words"))
-    base = rows.select(*keep, "key", *places(F.col("words"), phrases))
-    out = base.join(contained(rows.select("key", "words"), templates, share), "key", "left") if templates else base.withColumns({"found": F.array().cast("array<string>"), "best": F.lit(0.0)})
-    return out.select(
-        *keep,
+    if any(not t.tokens for t in templates):
+        raise ValueError("a template needs two words")
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    own = F.struct(*[F.col(c) for c in keep if c not in OUTPUTS], F.lit(0).alias("__none")).alias("own")
+    rows = docs.select(own, F.md5(whole.cast("binary")).alias("key"), spaced(whole).alias("words"))
+    base = rows.select("own", "key", *places(F.col("words"), phrases))
+    if templates:
+        found = contained(rows.select("key", "words"), templates, share)
+        base = base.join(found, "key", "left")
+    else:
+        base = base.withColumns({"found": F.array().cast("array<string>"), "best": F.lit(0.0)})
+    return base.select(
+        *[F.col("own").getField(c).alias(c) for c in keep if c not in OUTPUTS],
         "n_words",
         "n_base",
         "first_word",

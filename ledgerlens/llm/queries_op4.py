@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .licenses import BLOCK, CONTAINED, Template, _needed, scan
+from .licenses import CONTAINED, Template, _needed, block_words, rivals, scan
 
 NAME = "op4_license_scan"
 
@@ -33,17 +33,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _PHRASES = ", ".join(f"({[*p.split()]}, '{label}')" for p, label in PHRASES.items())
-_TEMPLATES = ", ".join(f"({sorted(t.words)}, '{t.label}', {_needed(t, CONTAINED)})" for t in TEMPLATES)
+_TEMPLATES = ", ".join(f"({i}, {sorted(t.tokens)}, '{t.label}', {_needed(t, CONTAINED)})" for i, t in enumerate(TEMPLATES))
+_RIVALS = ", ".join(map(str, rivals(TEMPLATES)))
+_LENGTH = block_words(TEMPLATES)
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
 phrase AS (SELECT * FROM (VALUES {_PHRASES}) AS t(p, label)),
-tpl AS (SELECT * FROM (VALUES {_TEMPLATES}) AS t(held, label, needs)),
+tpl AS (SELECT * FROM (VALUES {_TEMPLATES}) AS t(t, held, label, needs)),
+rival AS (SELECT * FROM (VALUES {_RIVALS}) AS t(t, t2)),
 base AS (
   SELECT r, pos, label FROM (SELECT r, w, p, label, unnest(range(1, len(w) - len(p) + 2)) AS pos FROM d, phrase WHERE len(w) >= len(p))
   WHERE w[pos] = p[1] AND w[pos:pos + len(p) - 1] = p
 ), b AS (SELECT r, count(*) AS n_base, min(pos) - 1 AS first_word, max(pos) - 1 AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY r
-), block AS (SELECT r, list_distinct(w[j * {BLOCK} + 1:j * {BLOCK} + {2 * BLOCK}]) AS own FROM (SELECT r, w, unnest(range(0, (len(w) - 1) // {BLOCK} + 1)) AS j FROM d WHERE len(w) > 0)
-), met AS (SELECT r, label, len(list_intersect(own, held)) AS common, len(held) AS size FROM block, tpl WHERE len(list_intersect(own, held)) >= needs
+), block AS (SELECT r, j, w[j * {_LENGTH} + 1:j * {_LENGTH} + {2 * _LENGTH}] AS own FROM (SELECT r, w, unnest(range(0, (len(w) - 1) // {_LENGTH} + 1)) AS j FROM d WHERE len(w) > 0)
+), pair AS (SELECT r, j, list_distinct(list_transform(range(1, len(own)), lambda i: own[i] || ' ' || own[i + 1])) AS own FROM block
+), every_met AS (SELECT r, j, t, label, len(list_intersect(own, held)) AS common, len(held) AS size FROM pair, tpl WHERE len(list_intersect(own, held)) >= needs
+), met AS (SELECT * FROM every_met a WHERE NOT EXISTS (SELECT 1 FROM every_met b JOIN rival ON rival.t2 = b.t
+    WHERE b.r = a.r AND b.j = a.j AND rival.t = a.t AND (b.common / b.size > a.common / a.size OR (b.common / b.size = a.common / a.size AND b.common > a.common)))
 ), best AS (SELECT r, max(common / size) AS best FROM met GROUP BY r
 ), every AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM met UNION SELECT r, label FROM base) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
