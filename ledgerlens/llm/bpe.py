@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches
+from .common import arrow_batches, unused
 
 END = "\ue000"
 WORDS_KEPT = 150_000
@@ -230,10 +230,12 @@ DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("
 def digests(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None, ids: str | None = None) -> DataFrame:
     """Encode and decode in one pass; give counts and digests and, only if named, the ids (array of int).
 
-    ``keep`` are the columns to carry (default: all but the text).
+    ``keep`` are the columns to carry (default: all but the text); those with the names of the results give way.
+    Null and empty texts have no tokens; repeated rows each get theirs.
     """
     arrow_batches(docs.sparkSession)
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
+    results = [*DIGESTS.names, *([ids] if ids else [])]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in results and (keep is not None or c != text)]
     fields = [docs.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,6 +254,6 @@ def digests(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str
                 made.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate(every))))
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + made, names=[*keep, *DIGESTS.names, *([ids] if ids else [])])
 
-    chosen = docs.select(*keep, F.col(text).cast("string").alias("__text"))
+    chosen = docs.select(*keep, F.col(text).cast("string").alias(unused(keep)))
     more = [T.StructField(ids, T.ArrayType(T.IntegerType()))] if ids else []
     return chosen.mapInArrow(run, T.StructType([*fields, *DIGESTS.fields, *more]))

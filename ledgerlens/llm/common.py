@@ -67,6 +67,14 @@ def constants(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataF
     return spark.range(1).select(F.inline(made))
 
 
+def unused(names: list[str], name: str = "text") -> str:
+    """A column name that none of ``names`` clashes with."""
+    held = {n.lower() for n in names}
+    while name in held:
+        name += "_"
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)
 

@@ -6,13 +6,15 @@ window. Every benchmark suffix is searched in it by bisection, one word deeper a
 suffixes that share a whole window. Matches that continue each other in item and document are joined, so each match
 is as long as can be and has its place in both.
 
-The benchmark goes to the executors in parts of at most PART_WORDS words, one pass over the documents for each part;
-an ordinary benchmark is one part. A pass has no shuffle, so neither hot sources nor copies matter; memory is bounded
-by a batch, a shard and a part. Only with several parts are their matches gathered, by row.
+The benchmark goes to the executors in parts of at most about PART_WORDS words, one after the other, with one pass over
+the documents for each part; an ordinary benchmark is one part. A pass has no shuffle, so neither hot sources nor
+copies matter; memory is bounded by a batch, a shard and a part, also in the driver. Only with several parts are their
+matches gathered, by row. A worker process prepares a part once.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import ALNUM, Block, blocks, words
-from .common import arrow_batches, materialize
+from .common import arrow_batches, materialize, unused
 
 WINDOW = 10
 PART_WORDS = 2_000_000
@@ -56,23 +58,26 @@ class Windows:
             codes.append(w.codes)
             texts += [w.codes[w.rows[i] : w.rows[i + 1]] for i in range(b.last - b.first)]
         self.vocabulary = np.unique(np.concatenate(codes))
-        rows, self.item, self.start, sizes = [], [], [], []
+        rows = []
         self.names = [i for i, _ in items]
-        for i, t in enumerate(texts):
+        for t in texts:
             ids = np.searchsorted(self.vocabulary, t) + 1
             size = min(window, len(ids))
-            for at in range(len(ids) - size + 1 if size else 0):
-                rows.append(np.concatenate([ids[at : at + size], np.zeros(window - size, np.int64)]))
-                self.item.append(i)
-                self.start.append(at)
-                sizes.append(size)
-        self.item, self.start = np.array(self.item, np.int64), np.array(self.start, np.int64)
-        self.sizes = np.array(sizes, np.int64)
-        self.words = np.array(rows, np.int64).reshape(len(rows), window)
-        self.least = int(self.sizes.min()) if len(sizes) else 0
+            if size:
+                own = np.zeros((len(ids) - size + 1, window), np.int64)
+                own[:, :size] = np.lib.stride_tricks.sliding_window_view(ids, size)
+                rows.append(own)
+            else:
+                rows.append(np.zeros((0, window), np.int64))
+        n = np.array([len(x) for x in rows], np.int64)
+        self.words = np.concatenate([np.zeros((0, window), np.int64), *rows])
+        self.item = np.repeat(np.arange(len(texts)), n)
+        self.start = np.arange(len(self.words)) - np.repeat(np.cumsum(n) - n, n)
+        self.sizes = np.repeat(np.array([min(window, len(t)) for t in texts], np.int64), n)
+        self.least = int(self.sizes.min()) if len(self.sizes) else 0
         self.lead = min(3, self.least)
         base = np.int64(len(self.vocabulary) + 2)
-        self.leads, key = [], np.zeros(len(rows), np.int64)
+        self.leads, key = [], np.zeros(len(self.words), np.int64)
         for d in range(self.lead):
             key = key * base + self.words[:, d] if d < 1 else np.searchsorted(self.leads[-1], key) * base + self.words[:, d]
             self.leads.append(np.unique(key))
@@ -146,13 +151,24 @@ def _matches(w: Windows, block: Block) -> tuple[np.ndarray, list[np.ndarray], np
     return counts, [item, item_start, doc_start, size], np.bincount(row, minlength=n)
 
 
+_PREPARED: dict[str, Windows] = {}
+
+
+def prepared(name: str, items, window: int) -> Windows:
+    """The windows of a part by its name, made once in each worker process, which keeps the last part."""
+    if name not in _PREPARED:
+        _PREPARED.clear()
+        _PREPARED[name] = Windows(items(), window)
+    return _PREPARED[name]
+
+
 def _pass(docs: DataFrame, keep: list[str], items: list[tuple[str, str]], window: int) -> DataFrame:
     """``keep`` columns with n_words and matches against the given items; the last column of ``docs`` is the text."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
-    made: dict[str, Windows] = {}
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = made.setdefault("windows", Windows(shared.value, window))
+        w = prepared(name, lambda: shared.value, window)
         names = pa.array(w.names, pa.string())
         for batch in batches:
             counts, columns, sizes = [], [[] for _ in range(4)], []
@@ -181,22 +197,25 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     Words are runs of ASCII letters and digits and of anything beyond ASCII, ASCII letters in lower case. A match is a
     longest run of words that lie in common windows of ``window`` words at the same distance in item and document;
     an item of fewer words is one window. Null texts have no words; an item without words matches nothing; a null
-    item id counts as an empty name; repeated rows each get their matches. An empty benchmark matches nothing.
+    item id counts as an empty name; repeated rows each get their matches. An empty benchmark matches nothing. Kept
+    columns named n_words or matches give way to the results.
     """
-    keep = [c for c in docs.columns if c not in ("n_words", "matches")] if keep is None else keep
-    chosen = docs.select(*keep, F.col(text).cast("string").alias("__text"))
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "matches")]
+    chosen = docs.select(*keep, F.col(text).cast("string").alias(unused(keep)))
     items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t"))
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     parts = 1 + total // (part_words * 4)  # a word has rarely under four characters with its space; of parts, the size matters little
     if parts == 1:
         return _pass(chosen, keep, [tuple(r) for r in items.collect()], window)
-    chosen = materialize(chosen.select(F.monotonically_increasing_id().alias("__row"), *keep, "__text"))
-    passes = [_pass(chosen, ["__row", *keep], [tuple(r) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == p).collect()], window) for p in range(parts)]
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
-    gathered = every.groupBy("__row").agg(*[F.first(c).alias(c) for c in keep], F.first("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
-    return gathered.drop("__row")
+    row = unused([*keep, "n_words", "matches", *chosen.columns], "row")
+    chosen = materialize(chosen.select(F.monotonically_increasing_id().alias(row), *chosen.columns))
+    every = None
+    for p in range(parts):
+        part = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == p).collect()]
+        found = materialize(_pass(chosen, [row, *keep], part, window))
+        every = found if every is None else every.unionByName(found)
+    gathered = every.groupBy(row).agg(*[F.first(c).alias(c) for c in keep], F.first("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
+    return gathered.drop(row)
 
 
 def hit_words(matches) -> F.Column:

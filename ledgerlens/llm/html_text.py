@@ -1,14 +1,17 @@
 """Main text of HTML pages from streaming parser events.
 
 The standard library's parser is read once per page. Its events give lines (the text of one block element each) with
-the count of their tags; lines in menus, headers, footers, sidebars, notices, adverts, forms, comments and
-the like are marked on the way, by element, role and the words of class and id. The text-to-tag ratios of the other
-lines are smoothed by a Gaussian, and those above a threshold (their deviation) are the seeds of content. The region
-around them is the article: the whole of every article or main element with a seed, or else from the first to the last
-line that is a seed or shares its container with most of the seeds' text, with the headings just before; there, lines
-that are mostly links drop.
-
-Free style (Arrow batches in Python), as there is no native HTML parser; work is per row, without a shuffle.
+the count of their tags. Elements that are never content (menus, footers, scripts and the like) have no lines. Others
+are marked on the way, by the words of class and id or as forms; a mark holds unless the element has most of the
+page's text and the build of an article (a title or an article element; for a form, a paragraph), as wrappers around a
+whole page do. The text-to-tag ratios of the lines left are smoothed by a Gaussian,
+and those above a threshold (their deviation) are the seeds. The cluster of seeds is the innermost element with most
+of the seeds' text. If an article or main element is around it, that is the content; else from the first to the last
+line of the cluster that is a seed or shares its container with most of the seeds' text, with the headings just
+before, without lines that are mostly links.
+
+Free style (Arrow batches in Python), as there is no native HTML parser; work is per row, without a shuffle, and in
+proportion to the page: open elements are found by name, and marks and containers form trees.
 """
 
 from __future__ import annotations
@@ -23,21 +26,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches
+from .common import arrow_batches, unused
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-DROPPED = frozenset("aside audio button canvas datalist dialog footer form head iframe input label menu nav noscript object script select style svg template textarea title video".split())
-DROPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+DROPPED = frozenset("aside audio button canvas datalist dialog footer head iframe input label menu nav noscript object script select style svg template textarea title video".split())
+DROPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup sidebar aside widget"
     " menu nav navbar navigation breadcrumb breadcrumbs masthead topbar footer copyright comment comments respond disqus replies share sharing social related recommended pagination pager toolbar login search hidden".split()
 )
 #: Words that begin so mark elements too.
 DROPPED_STEMS = re.compile(r"advert|comment|cookie|sidebar|newsletter|sponsor|navbar")
-#: Elements whose class or id doesn't mark them as dropped.
-KEPT = frozenset(("html", "body", "article", "main", *HEADINGS))
+#: Words that mark reader comments, and those that may stand with them in the name of one that marks an article.
+COMMENTS = frozenset("comment comments commentlist respond disqus reply replies".split())
+OF_COMMENTS = COMMENTS | frozenset("list item body thread entry depth reader user".split())
+#: Names with these say what an element has beside it or has not.
+ABOUT = frozenset("has have with without no not is show hide".split())
+#: Elements whose class or id marks them only as reader comments, or not at all.
+KEPT = frozenset(("article", "main"))
+NEVER = frozenset(("html", "body", *HEADINGS))
 REGIONS = frozenset(("article", "main"))
 #: Elements that hold the paragraphs of a text side by side.
 BOXES = frozenset("article body div main section td".split())
@@ -45,37 +54,58 @@ BOXES = frozenset("article body div main section td".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIMITS = frozenset("ul ol dl table article section div main body html td th blockquote".split())
 _WORD = re.compile(r"[a-z0-9]+")
+_HUMP = re.compile(r"([a-z])([A-Z])")
 KERNEL = np.exp(-0.5 * np.arange(-2, 3) ** 2)
 KERNEL /= KERNEL.sum()
 LINKS_AT_MOST = 0.6
+#: Share of a page's text beyond which a mark doesn't hold, and of the seeds' text that their cluster has at least.
+MOST = 0.6
+CLUSTER = 0.75
 
 
 class Reader(HTMLParser):
-    """Lines of a page: (text, tags, characters in links, is a heading, region number or -1, container number)."""
+    """Lines of a page: (text, tags, characters in links, is a heading, box number, mark number); boxes and marks are trees."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int, int]] = []
-        self.dropped = self.links = self.tags = self.linked = self.regions = 0
-        self.region = -1
-        self.box = self.boxes = 0
+        self.places: dict[str, list[int]] = {}
+        self.dropped = self.tags = self.linked = 0
+        self.box = self.mark = 0
+        self.boxes: list[tuple[int, str]] = [(0, "")]  # container around it, element
+        self.marks: list[tuple[int, str]] = [(0, "")]  # mark around it, kind
+        self.titles, self.paragraphs = [0], [0]  # of each mark
         self.text: list[str] = []
         self.heading = False
         self.lines: list[tuple[str, int, int, bool, int, int]] = []
 
+    def inside(self, *tags: str) -> bool:
+        return any(self.places.get(t) for t in tags)
+
     def end_line(self) -> None:
         if self.text:
             if text := " ".join("".join(self.text).split()):
-                self.lines.append((text, self.tags, self.linked, self.heading, self.region, self.box))
+                self.lines.append((text, self.tags, self.linked, self.heading, self.box, self.mark))
             self.text = []
         self.tags = self.linked = 0
         self.heading = False
 
-    def marked(self, name: str) -> bool:
-        found = _WORD.findall(name.lower())
-        if not DROPPED_WORDS.isdisjoint(found) or any(DROPPED_STEMS.match(w) for w in found):
-            return True
-        return self.region < 0 and "header" in found
+    def marked(self, tag: str, value: str) -> str:
+        """"comments", "words" or "" by the names in a class or id."""
+        kind = ""
+        for name in value.split():
+            found = _WORD.findall(_HUMP.sub(r"\1 \2", name).lower())
+            if not ABOUT.isdisjoint(found):
+                continue
+            comments = not COMMENTS.isdisjoint(found) or any(w.startswith("comment") for w in found)
+            if tag in KEPT:
+                if comments and all(w in OF_COMMENTS or w.isdigit() for w in found):
+                    kind = "words"
+            elif comments:
+                return "comments"
+            elif not DROPPED_WORDS.isdisjoint(found) or any(DROPPED_STEMS.match(w) for w in found) or ("header" in found and not self.inside("article", "main")):
+                kind = "words"
+        return kind
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -90,49 +120,57 @@ class Reader(HTMLParser):
             self.handle_data(" ")
         if tag in VOID:
             return
-        drop = tag in DROPPED or (tag == "header" and self.region < 0)
-        if not drop and attrs:
-            for name, value in attrs:
-                if name in ("class", "id"):
-                    drop |= tag not in KEPT and value is not None and self.marked(value)
-                elif name == "role":
-                    drop |= value in DROPPED_ROLES
-                elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and "display:none" in value.replace(" ", "")):
-                    drop = True
-        self.open.append((tag, drop, self.region, self.box))
+        drop = tag in DROPPED or (tag == "header" and not self.inside("article", "main"))
+        mark = "form" if tag == "form" else ""
+        for name, value in attrs:
+            if name in ("class", "id"):
+                if tag not in NEVER and value and (found := self.marked(tag, value)):
+                    mark = "comments" if "comments" in (mark, found) else found
+            elif name == "role":
+                drop |= value in DROPPED_ROLES
+                mark = mark or ("form" if value == "form" else "")
+            elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and "display:none" in value.replace(" ", "")):
+                drop = True
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, drop, self.box, self.mark))
         if tag in BOXES:
-            self.boxes += 1
-            self.box = self.boxes
+            self.boxes.append((self.box, tag))
+            self.box = len(self.boxes) - 1
+        if mark:
+            self.marks.append((self.mark, mark))
+            self.titles.append(0)
+            self.paragraphs.append(0)
+            self.mark = len(self.marks) - 1
+        if tag == "p":
+            self.paragraphs[self.mark] += 1
+        elif tag == "h1" or (tag in REGIONS and not mark):
+            self.titles[self.mark] += 1
         self.dropped += drop
-        self.links += tag == "a"
-        if tag in REGIONS and self.region < 0 and not self.dropped:
-            self.region = self.regions
-            self.regions += 1
+
+    def last(self, tags) -> int:
+        """Place of the innermost open element of ``tags``, or -1."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
 
     def close_open(self, tags, limits) -> None:
         """Close the innermost open element of ``tags``, with all in it, unless one of ``limits`` stands before it."""
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in tags:
-                self.pop(i)
-                return
-            if self.open[i][0] in limits:
-                return
+        at = self.last(tags)
+        if at >= 0 and at > self.last(limits):
+            self.pop(at)
 
     def pop(self, size: int) -> None:
-        for tag, drop, region, box in reversed(self.open[size:]):
+        for tag, drop, box, mark in reversed(self.open[size:]):
+            self.places[tag].pop()
             self.dropped -= drop
-            self.links -= tag == "a"
-            self.region, self.box = region, box
+            self.box, self.mark = box, mark
         del self.open[size:]
 
     def handle_endtag(self, tag):
         self.tags += 1
         if tag in BLOCKS:
             self.end_line()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self.pop(i)
-                return
+        at = self.last((tag,))
+        if at >= 0:
+            self.pop(at)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -140,12 +178,34 @@ class Reader(HTMLParser):
     def handle_data(self, data):
         if not self.dropped:
             self.text.append(data)
-            if self.links:
+            if self.inside("a"):
                 self.linked += len(data)
-            if not self.heading and any(t in HEADINGS for t, *_ in self.open[-3:]):
+            if not self.heading and self.inside(*HEADINGS):
                 self.heading = True
 
 
+def _sums(own: list[int], parents: list[int]) -> list[int]:
+    """Of each node of a tree, whose parents come first, with all below it."""
+    out = list(own)
+    for i in range(len(out) - 1, 0, -1):
+        out[parents[i]] += out[i]
+    return out
+
+
+def _unmarked(reader: Reader) -> list:
+    """The lines in no element whose mark holds."""
+    parents = [p for p, _ in reader.marks]
+    own = [0] * len(parents)
+    for x in reader.lines:
+        own[x[5]] += len(x[0])
+    held, titles, paragraphs = (_sums(x, parents) for x in (own, reader.titles, reader.paragraphs))
+    drops = [False] * len(parents)
+    for i, (parent, kind) in enumerate(reader.marks[1:], 1):
+        wraps = titles[i] or (kind == "form" and paragraphs[i])
+        drops[i] = drops[parent] or kind == "comments" or not wraps or held[i] <= MOST * held[0]
+    return [x for x in reader.lines if not drops[x[5]]]
+
+
 def main_text(html: str | None) -> str:
     """The article's lines joined by blank lines; empty if there is none."""
     if not html:
@@ -154,24 +214,32 @@ def main_text(html: str | None) -> str:
     reader.feed(html)
     reader.close()
     reader.end_line()
-    lines = reader.lines
+    lines = _unmarked(reader)
     if not lines:
         return ""
     ratio = np.array([len(t) / max(1, tags) for t, tags, *_ in lines])
     smooth = np.convolve(np.pad(ratio, 2, mode="edge"), KERNEL, mode="valid")
-    seed = smooth >= smooth.std()
-    regions = {lines[i][4] for i in np.flatnonzero(seed)} - {-1} or {x[4] for x in lines} - {-1}
-    if regions:
-        return "\n\n".join(x[0] for x in lines if x[4] in regions)
     texty = [x[2] <= LINKS_AT_MOST * len(x[0]) for x in lines]
-    weight: dict[int, int] = {}
+    seed = (smooth >= smooth.std()) & np.array(texty)
+    parents, own = [p for p, _ in reader.boxes], [0] * len(reader.boxes)
     for i in np.flatnonzero(seed):
-        if texty[i]:
-            weight[lines[i][5]] = weight.get(lines[i][5], 0) + len(lines[i][0])
-    if not weight:
+        own[lines[i][4]] += len(lines[i][0])
+    held = _sums(own, parents)
+    if not held[0]:
         return ""
-    box = max(weight, key=lambda b: (weight[b], -b))
-    at = [i for i, x in enumerate(lines) if (x[5] == box or (seed[i] and x[5] in weight)) and texty[i]]
+    cluster = max(i for i, n in enumerate(held) if n >= CLUSTER * held[0])  # the elements with most of it lie in each other
+    around, region = cluster, 0
+    while around:
+        if reader.boxes[around][1] in REGIONS and reader.boxes[region][1] != "article":
+            region = around
+        around = parents[around]
+    within = [i == (region or cluster) for i in range(len(parents))]
+    for i in range(1, len(parents)):
+        within[i] |= within[parents[i]]
+    if region:
+        return "\n\n".join(x[0] for x in lines if within[x[4]])
+    box = max((i for i in range(len(own)) if within[i]), key=lambda b: (own[b], -b))
+    at = [i for i, x in enumerate(lines) if texty[i] and within[x[4]] and (x[4] == box or seed[i])]
     first = at[0]
     while first and lines[first - 1][3]:
         first -= 1
@@ -179,11 +247,12 @@ def main_text(html: str | None) -> str:
 
 
 def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (default: all but the html, text and n_chars) with text and n_chars, one row per input row.
+    """``keep`` columns (default: all but the html) with text and n_chars, one row per input row.
 
-    Null or empty pages, and pages without content, get an empty text; repeated rows stay repeated.
+    Null or empty pages, and pages without content, get an empty text; repeated rows stay repeated; of elements with
+    equally much text the first counts. Kept columns named text or n_chars give way to the results.
     """
-    keep = [c for c in pages.columns if c not in (html, "text", "n_chars")] if keep is None else keep
+    keep = [c for c in (pages.columns if keep is None else keep) if c not in ("text", "n_chars") and (keep is not None or c != html)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,4 +262,4 @@ def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None)
 
     arrow_batches(pages.sparkSession)
     schema = T.StructType([*[pages.schema[c] for c in keep], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return pages.select(*keep, F.col(html).cast("string").alias("__html")).mapInArrow(run, schema)
+    return pages.select(*keep, F.col(html).cast("string").alias(unused(keep))).mapInArrow(run, schema)

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .blocks import Block, blocks
-from .common import arrow_batches
+from .common import arrow_batches, broadcast_if_small, unused
 
 PROFILE = 300
 PER_LANGUAGE = 1500
@@ -121,11 +121,15 @@ class Profiles:
         return best, score
 
 
+#: Languages whose sizes are broadcast; more are joined by a shuffle.
+MOST_LANGUAGES = 100_000
+
+
 def learn(labelled: DataFrame, text: str, lang: str, chosen_by: Column, per_language: int = PER_LANGUAGE) -> Profiles:
     """Profiles of the languages of ``labelled``; ``chosen_by`` is a hash by which the documents to learn from are chosen."""
-    usable = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).withColumn("__by", F.pmod(chosen_by, F.lit(1 << 30)))
-    sizes = usable.groupBy(F.col(lang).alias("__lang")).agg(F.count("*").alias("__of"))
-    sample = usable.join(F.broadcast(sizes), F.col(lang) == F.col("__lang")).filter(F.col("__by") * F.col("__of") < F.lit(per_language * (1 << 30)))
+    usable = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.pmod(chosen_by, F.lit(1 << 30)).alias("by")).dropna()
+    sizes = broadcast_if_small(usable.groupBy("lang").agg(F.count("*").alias("of")), MOST_LANGUAGES)
+    sample = usable.join(sizes, "lang").filter(F.col("by") * F.col("of") < F.lit(per_language * (1 << 30)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +144,7 @@ def learn(labelled: DataFrame, text: str, lang: str, chosen_by: Column, per_lang
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(made), pa.string()), pa.array(made), pa.array(total)], names=["lang", "gram", "n"])
 
     arrow_batches(labelled.sparkSession)
-    counts = sample.select(F.col(lang).cast("string"), F.col(text).cast("string")).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = sample.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = counts.withColumn("rank", rank).filter(F.col("rank") <= PROFILE).collect()
     learned: dict[str, list[int]] = {}
@@ -153,8 +157,9 @@ def identify(docs: DataFrame, profiles: Profiles, keep: list[str], text: str = "
     """``keep`` columns with lang_pred and score (0 to 1: nearer is higher), one row per input row.
 
     A text that is null or has no letter gets ``und`` and score 0, as does every text if no language was learned.
-    Equal distances go to the language first in the alphabet.
+    Equal distances go to the language first in the alphabet. Kept columns with the names of the results give way.
     """
+    keep = [c for c in keep if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,4 +176,4 @@ def identify(docs: DataFrame, profiles: Profiles, keep: list[str], text: str = "
 
     arrow_batches(docs.sparkSession)
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).cast("string").alias(unused(keep))).mapInArrow(run, schema)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import VISIBLE, Block, blocks, words
-from .common import arrow_batches
+from .common import arrow_batches, unused
 
 #: Columns and length of each group: byte trigrams, shape trigrams, repetition.
 GROUPS = ((2048, 0.5), (1024, 1.0), (4, 1.0))
@@ -33,6 +33,8 @@ SAMPLE = 4000
 NEIGHBOURS = 15
 #: Power of the similarity that weighs a vote.
 SHARPNESS = 8
+#: Steps of a unit vector's numbers; their products fit whole into the 24 bits of a float.
+STEPS = 1 << 11
 ROWS = 128
 
 
@@ -101,9 +103,12 @@ class Model:
     labels: np.ndarray
 
     def place(self, c: np.ndarray) -> np.ndarray:
-        """Unit vectors on the latent axes; zero for a text without trigrams."""
-        v = scaled(c, self.idf) @ self.axes
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        """Unit vectors on the latent axes, in whole steps of 1 / STEPS; zero for a text without trigrams.
+
+        Sums of products of such steps are exact in any order, so equal texts have equal cosines in any block.
+        """
+        v = scaled(c, self.idf).astype(np.float64) @ self.axes.astype(np.float64)
+        return np.rint(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) * STEPS).astype(np.float32)
 
     def score(self, c: np.ndarray) -> np.ndarray:
         """Share of label 1 among the nearest neighbours, weighted by similarity; the mean label if none is similar."""
@@ -112,8 +117,11 @@ class Model:
             return np.full(len(c), prior)
         cosine = self.place(c) @ self.vectors.T
         k = min(NEIGHBOURS, len(self.labels))
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, 1), 0) ** SHARPNESS
+        # of equal cosines the first labelled vectors count
+        step = np.maximum(cosine, 0).astype(np.int64)
+        key = step * cosine.shape[1] + np.arange(cosine.shape[1] - 1, -1, -1)
+        near = np.sort(np.argpartition(key, -k, axis=1)[:, -k:], axis=1)
+        weight = (np.take_along_axis(step, near, 1) / STEPS**2) ** SHARPNESS
         total = weight.sum(axis=1)
         voted = (weight * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-12)
         return np.clip(np.where(total > 0, voted, prior), 0, 1)
@@ -160,7 +168,12 @@ def fit(labelled: DataFrame, text: str, label: str, by: str, sample: int = SAMPL
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns with score (0 to 1), one row per input row. Null or empty texts get the mean label."""
+    """``keep`` columns with score (0 to 1), one row per input row.
+
+    Null or empty texts get the mean label. Of labelled vectors with equal cosines those with
+    the smaller hash of their id vote. A kept column named score gives way to the result.
+    """
+    keep = [c for c in keep if c != "score"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,4 +185,4 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
 
     arrow_batches(docs.sparkSession)
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("score", T.DoubleType())])
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).cast("string").alias(unused(keep))).mapInArrow(run, schema)

@@ -16,7 +16,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS h FROM pages),
 b AS (SELECT page_id, url, list_filter(list_transform(string_split_regex(h, '</?(p|h1|div)>'),
-  lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))),
+  lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&#39;', ''''), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))),
   lambda x: x <> '') AS t FROM a)
 SELECT page_id, url, coalesce(array_to_string(t, chr(10) || chr(10)), '') AS text, length(coalesce(array_to_string(t, chr(10) || chr(10)), ''))::BIGINT AS n_chars FROM b
 """

@@ -139,32 +139,31 @@ def scan(docs: DataFrame, rules: list[Rule], text: str = "text", out: str = "fou
     spark = docs.sparkSession
     asked = [(i, n, c) for i, r in enumerate(rules) for n, c in enumerate(clauses(r.pattern) or [])]
     plain = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    key = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if c not in (text, out) and kind in ("bigint", "int", "string")], plain)
-    rows = docs.drop(out).withColumn("__text", plain)
+    kept = [c for c in docs.columns if c != out]
+    key = F.md5(plain.cast("binary"))  # what is found depends on the text alone
+    rows = docs.select(F.struct(*kept).alias("own"), plain.alias("whole"))
     if asked:
         grams = sorted(set().union(*[c for _, _, c in asked]))
-        lowered = docs.select(key.alias("__key"), F.lower(plain).alias("low"))
-        postings = lowered.select("__key", F.explode(F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]))).alias("gram"))
+        lowered = docs.select(key.alias("key"), F.lower(plain).alias("low"))
+        postings = lowered.select("key", F.explode(F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]))).alias("gram"))
         terms = constants(spark, ["rule", "clause", "gram", "needs"], [(i, n, g, len(c)) for i, n, c in asked for g in sorted(c)])
         full = (
             postings.join(F.broadcast(terms), "gram")
-            .groupBy("__key", "rule", "clause", "needs")
+            .groupBy("key", "rule", "clause", "needs")
             .agg(F.count_distinct("gram").alias("has"))
             .filter("has = needs")
-            .groupBy("__key")
-            .agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("__rules"))
+            .groupBy("key")
+            .agg(F.collect_set("rule").alias("may"))
         )
         candidates = broadcast_if_small(materialize(full), BROADCAST_CANDIDATES)
-        rows = rows.withColumn("__key", key).join(candidates, "__key", "left")
-    else:
-        rows = rows.withColumn("__rules", F.lit(0).cast("bigint"))
+        rows = rows.withColumn("key", F.md5(F.col("whole").cast("binary"))).join(candidates, "key", "left")
     none = F.array().cast("array<struct<start:int,kind_order:int,end:int,kind:string>>")
     every = []
     for i, r in enumerate(rules):
         indexed = any(i == j for j, _, _ in asked)
-        may = F.coalesce("__rules", F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0 if indexed else F.lit(True)
-        every.append(F.when(may & F.col("__text").rlike(r.pattern), spans(F.col("__text"), r, i)).otherwise(none))
-    return rows.withColumn(out, F.array_sort(F.concat(*every))).drop("__text", "__key", "__rules")
+        may = F.coalesce(F.array_contains("may", i), F.lit(False)) if indexed else F.lit(True)
+        every.append(F.when(may & F.col("whole").rlike(r.pattern), spans(F.col("whole"), r, i)).otherwise(none))
+    return rows.select(*[F.col("own").getField(c).alias(c) for c in kept], F.array_sort(F.concat(*every) if every else none).alias(out))
 
 
 def redacted(text: Column, found: Column) -> Column:

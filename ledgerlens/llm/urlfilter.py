@@ -64,7 +64,7 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", url: str
     columns that clash with the added ones are replaced. With no rules every row gets ``default``.
     """
     made = ["host", "path", "rule", "verdict"]
-    keep = [c for c in pages.columns if c not in made] if keep is None else keep
+    keep = [c for c in (pages.columns if keep is None else keep) if c not in made]
     host, path = parts(F.col(url))
     rows = pages.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], host.alias("host"), path.alias("path"))
     rows = rows.withColumn("row", F.monotonically_increasing_id())

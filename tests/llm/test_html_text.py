@@ -1,3 +1,5 @@
+import time
+
 from ledgerlens.llm.html_text import extract, main_text
 
 LONG = "This paragraph has quite a few words, so that its ratio of text to tags is high. " * 3
@@ -59,3 +61,41 @@ def test_extract(spark):
     assert sorted(r.n_chars for r in got) == sorted([0, 0, *[len("\n\n".join(WANT))] * 2])
     assert got[0].asDict().keys() == {"page_id", "url", "text", "n_chars"}
     assert extract(df.limit(0)).count() == 0
+
+
+def test_wrappers_do_not_hide_the_article():
+    story = f"<h1>Title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p>"
+    want = ["Title", LONG.strip(), "Short.", LONG.strip()]
+    for around in ("<form action='/'>%s</form>", '<div class="content has-sidebar">%s</div>', '<div class="page-with-sidebar no-comments">%s</div>', '<div class="withMenu">%s</div>', '<div id="page-header-wrap">%s</div>'):
+        for inner in ("<article>%s</article>", "<div>%s</div>"):
+            assert main_text(page(around % (inner % story))).split("\n\n") == want, (around, inner)
+    assert main_text(f"<form><article>{story}</article><div class='sidebar'><p>{LONG}</p></div><input></form>").split("\n\n") == want
+
+
+def test_reader_comments_drop_in_any_element():
+    story = f"<article><h1>Title</h1><p>{LONG}</p></article>"
+    comments = "".join(f'<article class="{name}"><p>{LONG}</p></article>' for name in ("comment", "comment-body", "user comment"))
+    for body in (story + comments, story + f'<div class="comments">{comments}</div>', story + f'<section id="respond"><article><p>{LONG}</p></article></section>'):
+        assert main_text(page(body)).split("\n\n") == ["Title", LONG.strip()]
+    assert main_text(page(f'<article class="post comments-open"><p>{LONG}</p></article>')) == LONG.strip()
+
+
+def test_the_cluster_chooses_not_the_element():
+    promo = "<article><p>Buy a</p></article>"
+    story = f"<div><h2>Title</h2><p>{LONG}</p><p>{LONG}</p></div>"
+    for body in (promo + story, story + promo):
+        assert main_text(page(body)).split("\n\n") == ["Title", LONG.strip(), LONG.strip()]
+
+
+def test_time_follows_the_length_of_odd_pages():
+    began = time.process_time()
+    for html in ("<div>" * 100_000 + "x", "<b>a" * 100_000, "<p>a</i>" * 100_000, "<li><div>" * 50_000, '<div class="ad"><form>' * 50_000, "<article>a" * 50_000):
+        main_text(html)
+    assert time.process_time() - began < 60
+    assert main_text("<b>a" * 30_000) == "a" * 30_000
+
+
+def test_clashing_columns_and_kept_html(spark):
+    df = spark.createDataFrame([("u", f"<p>{LONG}</p>", "old", 3)], "__html string, html string, text string, n_chars int")
+    assert [r.asDict() for r in extract(df).collect()] == [{"__html": "u", "text": LONG.strip(), "n_chars": len(LONG.strip())}]
+    assert extract(df, keep=["html", "text"]).columns == ["html", "text", "n_chars"]
