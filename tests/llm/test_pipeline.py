@@ -57,3 +57,14 @@ def test_odd_rows(spark):
     assert (safe[3].text, safe[3].n_chars, safe[2].text, safe[None].text) == ('x [assign]" y [assign]', 22, "", None)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
+def test_extra_columns_and_the_row_of_a_repeated_id(spark):
+    rows = [(1, "b c d e f g h", "x", 1.5), (1, "a b c d e f g", "y", 2.5), (1, None, "z", 3.5), (2, "other words", "w", 4.5), (2, "other words", "v", 4.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, own double")
+    left = corpus_pipeline.one_of_near_duplicates(spark, docs, SF)
+    assert left.columns == docs.columns
+    assert {r.doc_id: r.text for r in left.collect()} == {1: None, 2: "other words"} and left.count() == 2
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SF).columns == docs.columns, name
+    assert corpus_pipeline.tokens(spark, docs, SF).columns == ["doc_id", "key", "own", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"]
