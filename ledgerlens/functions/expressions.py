@@ -18,7 +18,7 @@ _BINARY = {
     ast.Sub: lambda a, b: a - b,
     ast.Mult: lambda a, b: a * b,
     ast.Div: lambda a, b: F.try_divide(a, b),
-    ast.Mod: lambda a, b: F.pmod(a, b),
+    ast.Mod: lambda a, b: F.when(b != 0, F.pmod(a, F.when(b != 0, b))),
     ast.Pow: lambda a, b: F.pow(a, b),
     ast.BitAnd: lambda a, b: a & b,
     ast.BitOr: lambda a, b: a | b,

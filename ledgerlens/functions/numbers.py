@@ -15,8 +15,6 @@ SOURCE_UNITS = [
     ("nghin ty", 1e12), ("ngan ty", 1e12), ("ty dong", 1e9), ("ty vnd", 1e9), ("trieu dong", 1e6), ("trieu vnd", 1e6), ("million", 1e6),
     ("nghin dong", 1e3), ("nghin vnd", 1e3), ("ngan dong", 1e3), ("ngan vnd", 1e3),
 ]
-PERCENT_CUES = ["phan tram", "%"]
-YEAR_CUES = ["nam nao"]
 YEAR = r"(?<!\d)((?:19|20)\d{2})(?!\d)"
 SKIPPED_HEADERS = ["ma so", "thuyet minh", "stt", "ghi chu"]
 

@@ -13,8 +13,10 @@ PLAIN_STOPWORDS = ["bao", "nhieu", "la", "cua", "cho", "trong", "nam", "vao", "d
 UNIT_WORDS = ["vnd", "dong", "tyle", "phan", "tram", "trieu", "nghin"]
 CONTEXT_STOPWORDS = [w for w in PLAIN_STOPWORDS if w not in UNIT_WORDS]
 METRIC_STOPWORDS = CONTEXT_STOPWORDS + [
-    "tinh", "hay", "biet", "gia", "tri", "muc", "do", "so", "voi", "giua", "tu", "tai", "cuoi", "dau", "ky", "theo", "tren", "duoi",
-    "tang", "giam", "truong", "le", "phan", "tram", "chenh", "lech", "binh", "quan", "lon", "nho", "cao", "thap",
+    "tinh", "hay", "biet", "gia", "tri", "muc", "do", "so", "voi", "giua",
+    "tu", "den", "vao", "tai", "cuoi", "dau", "ky", "theo", "tren",
+    "duoi", "tang", "giam", "truong", "ty", "le", "phan", "tram",
+    "chenh", "lech", "binh", "quan", "lon", "nho", "cao", "thap",
 ]
 # Words of legal forms, not part of a company's own name.
 LEGAL_WORDS = ["cong", "ty", "co", "phan", "ctcp", "tong", "tap", "doan", "ngan", "hang", "tmcp", "thuong", "mai", "trach", "nhiem", "huu", "han"]

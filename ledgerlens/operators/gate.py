@@ -84,7 +84,9 @@ def required_years(folded: Column, years: Column) -> Column:
     """The years of the reports that a question needs: its own, then the year before or after where its wording asks for it."""
     text = F.concat(F.lit(" "), folded, F.lit(" "))
     prior = _any(text, PRIOR_YEAR_CUES) | ((F.size(years) == 1) & _any(text, GROWTH_CUES))
-    two_years_near = text.rlike(r"(?:binh quan|trung binh)(?=.{0,120}?\b(?:19|20)\d{2}\b.{0,110}?\b(?:19|20)\d{2}\b)")
+    # the 130 characters from each mention of an average on
+    after = F.regexp_extract_all(text, F.lit(r"(?=(binh quan.{0,121}|trung binh.{0,120}))"), F.lit(1))
+    two_years_near = F.exists(after, lambda x: F.size(F.regexp_extract_all(x, F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1))) >= 2)
     prior = prior & ~(_any(text, AVERAGE_CUES) & two_years_near)
     prior = prior & (~F.contains(text, F.lit("dau nam den cuoi nam")) | (F.size(years) == 1))
     first, second = F.get(years, F.lit(0)), F.get(years, F.lit(1))
@@ -129,7 +131,8 @@ def fallback(questions: DataFrame, reports: DataFrame, qid: str) -> DataFrame:
     """(qid, report_id, stage): the reports of the first rung that has any: ticker + year + scope, ticker + year, ticker, year, all.
 
     questions: qid, tickers, years (arrays), scope; reports: report_id, ticker, year, scope. Rungs but the last are
-    equi-joins; the last one, where nothing else fits, meets all reports by a constant key.
+    equi-joins; on the last one, where nothing else fits, a question has one row with no report_id, which stands for
+    all reports, so that they aren't spelled out for each question.
     """
     rest = questions.select(qid, F.array_distinct("tickers").alias("tickers"), F.array_distinct("years").alias("years"), "scope")
     out = None
@@ -141,8 +144,7 @@ def fallback(questions: DataFrame, reports: DataFrame, qid: str) -> DataFrame:
         out = found if out is None else out.union(found)
         # only questions that no rung has served go down to the next
         rest = rest.join(found.select(qid).distinct(), qid, "left_anti")
-    every = rest.select(qid, F.lit(1).alias("k")).join(reports.select("report_id", F.lit(1).alias("k")), "k")
-    return out.union(every.select(qid, "report_id", F.lit("all").alias("stage")))
+    return out.union(rest.select(qid, F.lit(None).cast(reports.schema["report_id"].dataType).alias("report_id"), F.lit("all").alias("stage")))
 
 
 def explicit_reports(asked: DataFrame, reports: DataFrame, qid: str, ids: str) -> DataFrame:

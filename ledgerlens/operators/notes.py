@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from .structure import words
 
+# Forms of account codes, note numbers and note headings.
 CODE = r"^\d{2,3}[A-Za-z]?$"
 NOTE = r"^(?:[IVX]+\.)?\d{1,2}(?:\.\d{1,2})?$"
 HEADING = r"^\s*((?:[IVX]+\.)?\d{1,2}(?:\.\d{1,2})?)[.)]?\s+\S.{5,70}$"

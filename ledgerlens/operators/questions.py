@@ -17,36 +17,45 @@ from pyspark.sql.window import Window
 
 from ..functions.text import content_words, fold_words, says
 
+#: Companies or aliases that are broadcast; more are joined by shuffles.
 MOST_COMPANIES = 50_000
+# Wording that lists tickers, words of periods and of entities, wording of counterparties.
 GROUP_CUES = ["ma co phieu", "gom cac cong ty", "nhom"]
+PERIOD_WORDS = ["nam", "quy", "thang", "ngay", "ky", "tai", "cuoi", "dau"]
+ENTITY_PHRASES = ["cong ty", "ngan hang", "tap doan", "ctcp", "chi nhanh", "quy dau tu"]
+COUNTERPARTY = r"(?:phai thu tu|phai tra cho|dau tu vao|ban (?:hang )?(?:cho|voi)|giao dich voi)\s+((?:[a-z0-9]+\s+){0,7})$"
 
 
 def explicit_tickers(question: Column, folded: Column, known: Column) -> Column:
-    """Known tickers that a question spells out: in parentheses, in capitals, or in any case where it lists tickers."""
+    """Known tickers that a question spells out."""
+    return F.array_distinct(F.filter(spelled_words(question, folded), lambda w: F.array_contains(known, w)))
+
+
+def spelled_words(question: Column, folded: Column) -> Column:
+    """Words of a question that may be tickers: in parentheses, in capitals, or in any case where it lists tickers."""
     bracketed = F.transform(F.regexp_extract_all(question, F.lit(r"\(([A-Za-z0-9]{2,6})\)"), F.lit(1)), F.upper)
     capitals = F.regexp_extract_all(question, F.lit(r"(?<![A-Za-z0-9])([A-Z][A-Z0-9]{1,5})(?![A-Za-z0-9])"), F.lit(1))
     loose = F.transform(F.regexp_extract_all(question, F.lit(r"(?<![A-Za-z0-9])([A-Za-z][A-Za-z0-9]{1,5})(?![A-Za-z0-9])"), F.lit(1)), F.upper)
     listed = folded.rlike("|".join(GROUP_CUES))
-    words = F.concat(bracketed, capitals, F.when(listed, loose).otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(F.filter(words, lambda w: F.array_contains(known, w)))
+    return F.concat(bracketed, capitals, F.when(listed, loose).otherwise(F.array().cast("array<string>")))
 
 
 def alias_matches(questions: DataFrame, aliases: DataFrame, qid: str, folded: str) -> DataFrame:
     """(qid, ticker): tickers whose alias a question holds as whole words, but not only inside a longer matched alias.
 
-    aliases: alias (folded), ticker; a small table. Pairs meet on the alias's first word.
+    aliases: alias (folded), ticker. Pairs meet on the alias's first word.
     """
     words = questions.select(qid, folded, F.explode(F.array_distinct(F.split(folded, " "))).alias("w"))
     a = aliases.withColumn("w", F.element_at(F.split("alias", " "), 1))
-    held = words.join(F.broadcast(a), "w").filter(F.contains(F.concat(F.lit(" "), folded, F.lit(" ")), F.concat(F.lit(" "), "alias", F.lit(" "))))
-    padded = F.concat(F.lit(" "), F.col(folded), F.lit(" "))
+    held = words.join(F.broadcast(a) if is_small(aliases) else a, "w").filter(F.contains(F.concat(F.lit(" "), folded, F.lit(" ")), F.concat(F.lit(" "), "alias", F.lit(" "))))
+    apart = lambda c: F.concat(F.lit(" "), F.replace(c, F.lit(" "), F.lit("  ")), F.lit(" "))  # noqa: E731  (each word has its own blanks)
     every = held.groupBy(qid, folded).agg(F.collect_set(F.struct("alias", "ticker")).alias("m"))
     one = every.select(qid, folded, "m", F.explode("m").alias("x"))
     longer = F.array_sort(F.filter(F.transform("m", lambda y: y["alias"]), lambda y: F.contains(y, F.col("x.alias")) & (y != F.col("x.alias"))))
     # blank out longer matches, longest first, and look again
     by_length = F.reverse(F.array_sort(F.transform(longer, lambda y: F.struct(F.length(y).alias("n"), y.alias("y")))))
-    rest = F.aggregate(by_length, padded, lambda t, y: F.replace(t, F.concat(F.lit(" "), y["y"], F.lit(" ")), F.lit(" | ")))
-    return one.filter(F.contains(rest, F.concat(F.lit(" "), F.col("x.alias"), F.lit(" ")))).select(qid, F.col("x.ticker").alias("ticker")).distinct()
+    rest = F.aggregate(by_length, apart(F.col(folded)), lambda t, y: F.replace(t, apart(y["y"]), F.lit(" | ")))
+    return one.filter(F.contains(rest, apart(F.col("x.alias")))).select(qid, F.col("x.ticker").alias("ticker")).distinct()
 
 
 @F.pandas_udf(T.DoubleType())
@@ -95,17 +104,13 @@ def decide_entities(scores: DataFrame, qid: str) -> DataFrame:
     return by.select(qid, tickers.alias("tickers"), F.when(F.size(exact) > 0, 0.98).otherwise(best).alias("confidence"), method.alias("method"), short.alias("shortlist"))
 
 
-PERIOD_WORDS = ["nam", "quy", "thang", "ngay", "ky", "tai", "cuoi", "dau"]
-ENTITY_PHRASES = ["cong ty", "ngan hang", "tap doan", "ctcp", "chi nhanh", "quy dau tu"]
-
-
 def named_items(questions: DataFrame, labels: DataFrame, qid: str, text: str, limit: int = 3) -> DataFrame:
     """(qid, items): the longest lexicon labels that a question holds as whole words, up to ``limit``.
 
-    Labels of period words only or with an entity's name don't count, nor do those inside a kept one. Questions and
+    Labels of period words and numbers only or with an entity's name don't count, nor do those inside a kept one. Questions and
     labels (token texts) meet on a label's first word.
     """
-    own = F.filter(F.split("label", " "), lambda w: ~w.isin(PERIOD_WORDS))
+    own = F.filter(F.split("label", " "), lambda w: ~w.isin(PERIOD_WORDS) & ~w.rlike("^[0-9]+$"))
     usable = labels.filter((F.size(own) > 0) & ~F.col("label").rlike("|".join(ENTITY_PHRASES))).withColumn("w", F.element_at(F.split("label", " "), 1))
     words = questions.select(qid, text, F.explode(F.array_distinct(F.split(text, " "))).alias("w"))
     held = words.join(usable, "w").filter(F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), "label", F.lit(" "))))
@@ -128,9 +133,6 @@ def typed_slots(questions: DataFrame, qid: str) -> DataFrame:
     return q.select(qid, "ticker", "metric", "year", role.alias("role"))
 
 
-COUNTERPARTY = r"(?:phai thu tu|phai tra cho|dau tu vao|ban (?:hang )?(?:cho|voi)|giao dich voi)\s+((?:[a-z0-9]+\s+){0,7})$"
-
-
 def only_counterparty(content: Column, name: Column) -> Column:
     """Whether each mention of a company's own name (words of ``content``) follows wording that makes it a counterparty."""
     padded, mark = F.concat(F.lit(" "), content, F.lit(" ")), F.concat(F.lit(" "), name, F.lit(" "))
@@ -140,45 +142,88 @@ def only_counterparty(content: Column, name: Column) -> Column:
     return (F.size(before) > 0) & F.forall(before, related)
 
 
+def fuzzy_winner(scores: DataFrame, qid: str) -> DataFrame:
+    """(qid, tickers, confidence, method, shortlist) from ranked scores alone: one clear winner, or none; the best eight of note."""
+    some = scores.filter("rank <= 8").groupBy(qid).agg(F.sort_array(F.collect_list(F.struct("rank", "ticker", "score"))).alias("s"))
+    best, second = F.element_at("s", 1), F.coalesce(F.get("s", F.lit(1))["score"], F.lit(0.0))
+    clear = (best["score"] >= 0.73) & (best["score"] - second >= 0.08)
+    short = F.transform(F.filter("s", lambda x: x.score >= 0.32), lambda x: x.ticker)
+    tickers = F.when(clear, F.array(best["ticker"])).otherwise(F.array().cast("array<string>"))
+    return some.select(qid, tickers.alias("tickers"), best["score"].alias("confidence"), F.when(clear, "fuzzy_high_confidence").otherwise("ambiguous").alias("method"), short.alias("shortlist"))
+
+
+def named_companies(q: DataFrame, companies: DataFrame, qid: str) -> DataFrame:
+    """(qid, ticker, own): companies whose full folded name (in ``__f``) or own name of three words or more (in ``__c``) stands in a question as whole words.
+
+    An own name inside the own name of another company named so doesn't count, nor does one that is but a counterparty.
+    Questions and names meet on a name's first word.
+    """
+    names = companies.select("ticker", F.array_join(content_words(F.col("name")), " ").alias("own"), fold_words(F.col("name")).alias("full"))
+    hint = F.broadcast if is_small(companies) else lambda x: x
+    holds = lambda text, name: F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), name, F.lit(" ")))
+    met = []
+    for text, name in (("__f", "full"), ("__c", "own")):
+        words = q.select(qid, "__f", "__c", F.explode(F.array_distinct(F.split(text, " "))).alias("w"))
+        usable = names.filter((F.col(name) != "") & (F.lit(name == "full") | (F.size(F.split("own", " ")) >= 3)))
+        pairs = words.join(hint(usable.withColumn("w", F.element_at(F.split(name, " "), 1))), "w").filter(holds(F.col(text), F.col(name)) & ~only_counterparty(F.col("__c"), F.col("own")))
+        met.append(pairs.select(qid, "ticker", "own"))
+    full, own = met
+    every = own.groupBy(qid).agg(F.collect_set("own").alias("owns"))
+    inside = F.exists("owns", lambda o: (o != F.col("own")) & F.contains(o, F.col("own")))
+    return full.unionByName(own.join(every, qid).filter(~inside).select(qid, "ticker", "own")).distinct()
+
+
 def infer_entities(questions: DataFrame, companies: DataFrame, aliases: DataFrame, qid: str, question: str) -> DataFrame:
-    """(qid, tickers, confidence, method): spelled-out tickers, official names and aliases, else a clear fuzzy winner, else none.
+    """(qid, tickers, confidence, method, shortlist): spelled-out tickers, official names and aliases, else a clear fuzzy winner, else none.
 
-    Counterparties drop, and so do tickers that are but a word of a company named in full.
+    Counterparties drop, and so do tickers that are but a word of a company named in full. Tickers come spelled-out ones
+    first, in the question's order, then the others by alphabet.
     """
     text = F.col(question)
     q = questions.select(qid, text.alias("__q"), fold_words(text).alias("__f"), F.array_join(content_words(text), " ").alias("__c"))
-    known = F.broadcast(companies.agg(F.collect_set("ticker").alias("__known")).withColumn("__k", F.lit(1)))
-    spelled = q.withColumn("__k", F.lit(1)).join(known, "__k").select(qid, F.explode(explicit_tickers(F.col("__q"), F.col("__f"), F.col("__known"))).alias("ticker"))
-    names = companies.select("ticker", F.array_join(content_words(F.col("name")), " ").alias("own"), fold_words(F.col("name")).alias("full"))
-    names = F.broadcast(names) if is_small(companies) else names
-    scores = entity_scores(questions, companies, qid, question)
-    named = scores.filter("score >= 0.98").join(names, "ticker").join(q, qid)
-    named = named.filter((F.col("score") == 1.0) | (F.size(F.split("own", " ")) >= 3)).filter(~only_counterparty(F.col("__c"), F.col("own"))).select(qid, "ticker", "own")
-    called = alias_matches(q, aliases, qid, "__f").join(names, "ticker").join(q, qid).filter(~only_counterparty(F.col("__c"), F.col("own"))).select(qid, "ticker", "own")
+    tickers = companies.select("ticker").distinct()
+    hint = F.broadcast if is_small(companies) else lambda x: x
+    # all words that may be tickers meet the known ones by a join
+    may = q.select(qid, F.posexplode(spelled_words(F.col("__q"), F.col("__f"))).alias("at", "ticker")).join(hint(tickers), "ticker", "left_semi").groupBy(qid, "ticker").agg(F.min("at").alias("at"))
+    names = companies.select("ticker", F.array_join(content_words(F.col("name")), " ").alias("own"))
+    named = named_companies(q, companies, qid)
+    called = alias_matches(q, aliases, qid, "__f").join(hint(names), "ticker").join(q, qid).filter(~only_counterparty(F.col("__c"), F.col("own"))).select(qid, "ticker", "own")
     exact = named.unionByName(called).distinct()
     words = exact.select(qid, F.col("ticker").alias("owner"), F.explode(F.split("own", " ")).alias("w"))
-    spelled = spelled.join(words, [qid], "left").groupBy(qid, "ticker").agg(F.coalesce(F.bool_or((F.lower("ticker") == F.col("w")) & (F.col("ticker") != F.col("owner"))), F.lit(False)).alias("word")).filter(~F.col("word")).select(qid, "ticker")
-    found = spelled.select(qid, "ticker", F.lit(1).alias("e")).unionByName(exact.select(qid, "ticker", F.lit(0).alias("e"))).groupBy(qid, "ticker").agg(F.max("e").alias("e"))
-    sure = found.groupBy(qid).agg(F.array_sort(F.collect_list("ticker")).alias("tickers"), F.sum("e").alias("n"), F.count("*").alias("of"))
+    word = F.coalesce(F.bool_or((F.lower("ticker") == F.col("w")) & (F.col("ticker") != F.col("owner"))), F.lit(False))
+    spelled = may.join(words, [qid], "left").groupBy(qid, "ticker", "at").agg(word.alias("word")).filter(~F.col("word")).select(qid, "ticker", "at")
+    found = spelled.unionByName(exact.select(qid, "ticker", F.lit(None).cast("int").alias("at"))).groupBy(qid, "ticker").agg(F.min("at").alias("at"))
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("at", F.lit(1 << 30)).alias("at"), "ticker")))
+    sure = found.groupBy(qid).agg(F.transform(order, lambda x: x.ticker).alias("tickers"), F.count("at").alias("n"), F.count("*").alias("of"))
     method = F.when((F.col("n") > 0) & (F.col("n") == F.col("of")), "explicit_ticker").when(F.col("of") == 1, "single_official_name").otherwise("union_all_entity_detectors")
     sure = sure.select(qid, "tickers", F.when(F.col("n") > 0, 1.0).otherwise(0.98).alias("confidence"), method.alias("method"))
-    fuzzy = decide_entities(scores.filter("score < 0.98"), qid).select(qid, "tickers", "confidence", "method")
-    rest = questions.select(qid).join(sure.select(qid), qid, "left_anti").join(fuzzy, qid, "left")
+    fuzzy = fuzzy_winner(entity_scores(questions, companies, qid, question), qid)
+    both = questions.select(qid).join(sure, qid, "left").join(fuzzy.select(qid, *[F.col(c).alias(f"__{c}") for c in ("tickers", "confidence", "method", "shortlist")]), qid, "left")
     none = F.array().cast("array<string>")
-    return sure.unionByName(rest.select(qid, F.coalesce("tickers", none).alias("tickers"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("method", F.lit("ambiguous")).alias("method")))
+    return both.select(
+        qid,
+        F.coalesce("tickers", "__tickers", none).alias("tickers"),
+        F.coalesce("confidence", "__confidence", F.lit(0.0)).alias("confidence"),
+        F.coalesce("method", "__method", F.lit("ambiguous")).alias("method"),
+        F.array_distinct(F.concat(F.coalesce("tickers", none), F.coalesce("__shortlist", none))).alias("shortlist"),
+    )
 
 
 # Wording that makes a question more than a lookup.
+SUM_WORDING = ["tong cua", "tong cong cua", "cong voi", "cong lai"]
 NOT_LOOKUP = [
-    "tang truong", "toc do tang", "tang giam", "chenh lech", "khac biet", "hieu", "tru", "cao hon", "thap hon", "lon hon", "trung binh", "binh quan", "ty trong", "chiem bao nhieu", "gap",
-    "bao nhieu lan", "bien loi nhuan", "lon nhat", "cao nhat", "nhieu nhat", "nho nhat", "thap nhat", "it nhat", "nam nao", "cong ty nao", "doanh nghiep nao",
-    "tong cua", "tong cong cua", "cong voi", "cong lai",
+    "tang truong", "toc do tang", "tang giam", "chenh lech", "khac biet",
+    "hieu", "tru", "cao hon", "thap hon", "lon hon", "trung binh",
+    "binh quan", "ty trong", "chiem bao nhieu", "gap", "bao nhieu lan",
+    "bien loi nhuan", "lon nhat", "cao nhat", "nhieu nhat", "nho nhat",
+    "thap nhat", "it nhat", "nam nao", "cong ty nao", "doanh nghiep nao",
+    "trong so", "neu", "vuot", "tren muc", "duoi muc",
 ]
 
 
 def is_direct_lookup(operator_text: Column, years: Column) -> Column:
     """Whether a question asks for one figure: at most one year, and no operator wording (line items and report wording removed)."""
-    return (F.size(years) <= 1) & ~says(operator_text, *NOT_LOOKUP)
+    return (F.size(years) <= 1) & ~says(operator_text, *SUM_WORDING, *NOT_LOOKUP)
 
 
 def is_high_arity(documents: Column, items: Column, years: Column) -> Column:

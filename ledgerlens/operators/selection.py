@@ -42,11 +42,15 @@ def confidence_tables(candidates: DataFrame, carriers: DataFrame, by: list[str],
     return kept.withColumn("chosen_place", F.row_number().over(Window.partitionBy(*by).orderBy(place)).cast("long")).drop("__ok", "__slot", "__base", "__keep")
 
 
-def append_confident(start: DataFrame, candidates: DataFrame, by: list[str], report: str, item: str, place: str, probability: str, carries: str, gap: float, cap: int) -> DataFrame:
-    """``start`` (by, item, report, place) followed by scored candidates that carry an item, within the gap and the report's cap."""
+def append_confident(start: DataFrame, candidates: DataFrame, selected: DataFrame, by: list[str], report: str, item: str, place: str, probability: str, carries: str | None, gap: float, cap: int) -> DataFrame:
+    """``start`` (by, item, report, place) followed by scored candidates of the ``selected`` reports (by, report), within the gap and each report's cap.
+
+    With ``carries`` only candidates for which it is true are added; a question that names no item has none to carry.
+    A report without a starting table counts from none.
+    """
     best = F.max(logit(F.col(probability))).over(Window.partitionBy(*by))
-    good = candidates.withColumn("__best", best).filter(F.col(carries) & F.col(probability).isNotNull() & (logit(F.col(probability)) >= F.col("__best") - gap))
-    begun = start.groupBy(*by, report).agg(F.count("*").alias("__held"))
+    good = candidates.withColumn("__best", best).filter((F.col(carries) if carries else F.lit(True)) & F.col(probability).isNotNull() & (logit(F.col(probability)) >= F.col("__best") - gap))
+    begun = selected.select(*by, report).distinct().join(start.groupBy(*by, report).agg(F.count("*").alias("__n")), [*by, report], "left").select(*by, report, F.coalesce("__n", F.lit(0)).alias("__held"))
     more = good.join(start.select(*by, item), [*by, item], "left_anti").join(begun, [*by, report])
     nth = F.row_number().over(Window.partitionBy(*by, report).orderBy(place))
     more = more.withColumn("__n", nth).filter(F.col("__n") <= cap - F.col("__held"))

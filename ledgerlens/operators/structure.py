@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.text import tokens
 
 # Patterns and words of statement tables.
-PERIOD = r"\b\d{1,2}/\d{1,2}/(?:19|20)\d{2}\b|\b(?:19|20)\d{2}\b"
+PERIOD = r"\b(?:19|20)\d{2}\b|\b\d{1,2}/\d{1,2}/(?:19|20)\d{2}\b"
 FIGURE = r"\d[\d.,]*\d"
 WHOLE_NUMBER = r"^\s*[(\[]?[+-]?\d[\d.,\s]*[%)]?\s*$"
 PAGE_RANGE = r"^\s*\d{1,3}\s*[-–]\s*\d{1,3}\s*$"
@@ -138,8 +138,20 @@ def families(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(text.rlike("|".join(FAMILIES[f])), F.lit(f)) for f in sorted(FAMILIES)]))
 
 
+def table_families(text: Column) -> Column:
+    """The families of a table's folded text; ``other`` if it has none."""
+    found = families(text)
+    return F.when(F.size(found) == 0, F.array(F.lit("other"))).otherwise(found)
+
+
+def table_text(title: Column, context: Column, rows: Column, most: int = 120) -> Column:
+    """What a table's families are read from: title, context and its first rows, folded."""
+    cells = F.flatten(F.slice(rows, 1, most))
+    return words(F.concat_ws(" ", title, F.array_join(context, " "), F.array_join(cells, " ")))
+
+
 def family_match(query: Column, table: Column) -> Column:
-    """1 if question and table share a family, else 0."""
+    """1 if question and table share a family, else 0; ``other`` is none of a question's."""
     return F.arrays_overlap(families(query), families(table)).cast("double")
 
 

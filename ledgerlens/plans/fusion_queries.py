@@ -169,13 +169,14 @@ def confidence_slots(spark, d):
 
 
 @query(f"""WITH {CAND}, st AS (SELECT qid, report, item, sparse_rank FROM c WHERE sparse_rank <= 3), g AS (SELECT *, max({LOGIT}) OVER (PARTITION BY qid) AS best FROM c),
-h AS (SELECT qid, report, count(*) AS held FROM st GROUP BY ALL),
+h AS (SELECT DISTINCT g.qid, g.report, (SELECT count(*) FROM st WHERE st.qid = g.qid AND st.report = g.report) AS held FROM g),
 m AS (SELECT g.qid, g.report, g.item, g.sparse_rank, held, row_number() OVER (PARTITION BY g.qid, g.report ORDER BY g.sparse_rank) AS nth FROM g JOIN h USING (qid, report) ANTI JOIN st USING (qid, item) WHERE item % 2 = 0 AND p IS NOT NULL AND {LOGIT} >= best - 3.0)
 SELECT qid, item, row_number() OVER (PARTITION BY qid ORDER BY late, sparse_rank) AS chosen_place FROM (SELECT qid, item, sparse_rank, 0 AS late FROM st UNION ALL SELECT qid, item, sparse_rank, 1 FROM m WHERE nth <= 2 - held)""")
 def append_confidence(spark, d):
     c = candidates(spark, d).withColumn("carries", F.expr("item % 2 = 0"))
     start = c.filter("sparse_rank <= 3").select("qid", "report", "item", "sparse_rank")
-    return selection.append_confident(start, c, ["qid"], "report", "item", "sparse_rank", "p", "carries", 3.0, 2).select("qid", "item", "chosen_place")
+    selected = c.select("qid", "report").distinct()
+    return selection.append_confident(start, c, selected, ["qid"], "report", "item", "sparse_rank", "p", "carries", 3.0, 2).select("qid", "item", "chosen_place")
 
 
 @query("""WITH e AS (SELECT user_id AS qid, event_id % 20 AS item, event_id AS place, event_type AS kind FROM events), f AS (SELECT *, row_number() OVER (PARTITION BY qid, item ORDER BY place) AS n FROM e)

@@ -23,7 +23,7 @@ def query(sql: str | None):
 
 
 REPORTS = "rep AS (SELECT o_orderkey AS report_id, 'T' || o_custkey AS ticker, year(o_orderdate)::INT AS year, o_orderstatus AS scope FROM orders)"
-ASK = "ask AS (SELECT c_custkey AS qid, 'T' || (CASE WHEN c_custkey % 11 = 0 THEN -1 ELSE c_custkey END) AS ticker, (1995 + c_custkey % 9)::INT AS year, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'O' END AS scope FROM customer WHERE c_custkey % 5 = 0)"
+ASK = "ask AS (SELECT c_custkey AS qid, 'T' || (CASE WHEN c_custkey % 11 = 0 THEN -1 ELSE c_custkey END) AS ticker, (1995 + c_custkey % 9)::INT AS year, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'O' END AS scope FROM customer)"
 
 
 def reports(spark, d):
@@ -32,7 +32,7 @@ def reports(spark, d):
 
 @query(f"""WITH {REPORTS}, {ASK}, r AS (
 SELECT qid, report_id, 1 AS no, 'ticker_year_scope' AS stage FROM ask JOIN rep USING (ticker, year, scope) UNION ALL SELECT qid, report_id, 2, 'ticker_year' FROM ask JOIN rep USING (ticker, year)
-UNION ALL SELECT qid, report_id, 3, 'ticker' FROM ask JOIN rep USING (ticker) UNION ALL SELECT qid, report_id, 4, 'year' FROM ask JOIN rep USING (year) UNION ALL SELECT qid, report_id, 5, 'all' FROM ask, rep),
+UNION ALL SELECT qid, report_id, 3, 'ticker' FROM ask JOIN rep USING (ticker) UNION ALL SELECT qid, report_id, 4, 'year' FROM ask JOIN rep USING (year) UNION ALL SELECT qid, NULL, 5, 'all' FROM ask),
 m AS (SELECT qid, min(no) AS no FROM r GROUP BY 1) SELECT DISTINCT qid, report_id, stage FROM r JOIN m USING (qid, no)""")
 def gate_fallback_ladder(spark, d):
     c = table(spark, d, "customer")
@@ -97,7 +97,7 @@ def question_scope(spark, d):
     return o.select("o_orderkey", gate.scope(folded).alias("scope"), shown.alias("by_year"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'AB' || c_nationkey WHEN c_custkey % 3 = 1 THEN 'AB' || c_nationkey || ',CD1' ELSE 'CD1' END AS tickers FROM customer WHERE c_nationkey < 10")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'AB' || c_nationkey WHEN c_custkey % 3 = 1 THEN 'AB' || c_nationkey || ',CD1' ELSE 'CD1' END AS tickers FROM customer")
 def explicit_tickers(spark, d):
     c = table(spark, d, "customer")
     t = F.concat(F.lit("AB"), "c_nationkey")

@@ -27,6 +27,8 @@ def query(sql: str | None):
 
 
 TOK = r"regexp_extract_all(replace(strip_accents(lower({})), 'đ', 'd'), '[a-z0-9%]{{2,}}')"
+#: N-grams of questions that are broadcast; more are joined by a shuffle.
+MOST_GRAMS = 500_000
 SQL_DOCS = f"docs AS (SELECT doc_id, source, {TOK.format('text')} AS toks FROM documents)"
 SQL_ASK = f"ask AS (SELECT item_id, 'src' || (item_id % 20) AS source, list_distinct({TOK.format('text')}) AS toks FROM benchmark)"
 
@@ -75,7 +77,10 @@ def ngram_phrase_bonus(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source", text.tokens(F.col("text")).alias("toks"))
     # the n-grams meet by hash join; only pairs with a common one go on
     grams = lambda df, key, c: df.select(key, "source", F.explode(F.array_distinct(F.concat(text.ngrams(F.col(c), 2), text.ngrams(F.col(c), 3)))).alias("gram"))
-    shared = grams(docs, "doc_id", "toks").join(grams(q, "item_id", "qt"), ["source", "gram"])
+    asked = grams(q, "item_id", "qt")
+    few = asked.select("gram").distinct()
+    few = F.broadcast(few) if few.limit(MOST_GRAMS + 1).count() <= MOST_GRAMS else few
+    shared = grams(docs, "doc_id", "toks").join(few, "gram", "left_semi").join(asked, ["source", "gram"])
     three = F.size(F.split("gram", " ")) == 3
     score = F.count_if(three) * 1.4 + F.count_if(~three) * 0.35
     return shared.groupBy("item_id", "doc_id").agg(F.round(score, 6).alias("bonus"))
@@ -94,7 +99,7 @@ def _bm25_sql(gate: str) -> str:
     return f"""
 WITH {SQL_DOCS}, {SQL_ASK},
 g AS (SELECT a.item_id, d.doc_id, d.toks FROM ask a JOIN docs d ON {gate}),
-st AS (SELECT item_id, count(*) AS n, avg(len(toks)) AS mean FROM g GROUP BY item_id),
+st AS (SELECT item_id, count(*) AS n, avg(greatest(len(toks), 1)) AS mean FROM g GROUP BY item_id),
 t AS (SELECT item_id, unnest(toks) AS term FROM ask),
 dt AS (SELECT doc_id, term, len AS size, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term, len(toks) AS len FROM docs) GROUP BY ALL),
 h AS (SELECT g.item_id, g.doc_id, dt.term, dt.size, dt.tf FROM g JOIN t USING (item_id) JOIN dt ON dt.doc_id = g.doc_id AND dt.term = t.term),
@@ -111,8 +116,7 @@ def bm25_gated_slice(spark, d):
 
 @query(_bm25_sql("1 = 1") + ", r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc WHERE score > 0) SELECT item_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
 def bm25_global_slice(spark, d):
-    whole = F.lit("all").alias("slice")
-    scores = lexical.bm25(_questions(spark, d).select("item_id", "qt", whole), _docs(spark, d).select("doc_id", "toks", whole), ["slice"], "item_id", "doc_id", "qt", "toks").filter("bm25 > 0").withColumn("near", F.round("bm25", 9))
+    scores = lexical.bm25_hits(_questions(spark, d), _docs(spark, d), [], "item_id", "doc_id", "qt", "toks").withColumn("near", F.round("bm25", 9))
     return lexical.top(scores, ["item_id"], "near", ["doc_id"], 10).select("item_id", "doc_id", F.round("bm25", 6).alias("score"), "rank")
 
 
@@ -146,7 +150,7 @@ fused AS (SELECT item_id, doc_id, sum(w / (60 + rank)) AS rrf FROM views GROUP B
 
 
 def _fused(spark, d):
-    scores = lexical.bm25(_questions(spark, d), _docs(spark, d), ["source"], "item_id", "doc_id", "qt", "toks").filter("bm25 > 0").withColumn("near", F.round("bm25", 9))
+    scores = lexical.bm25_hits(_questions(spark, d), _docs(spark, d), ["source"], "item_id", "doc_id", "qt", "toks").withColumn("near", F.round("bm25", 9))
     support = lexical.supporting(_line_hits(spark, d), ["item_id", "doc_id"], "hits")
     one = lexical.ranked(scores, ["item_id"], "near", ["doc_id"]).select("item_id", "doc_id", "rank", F.lit("raw").alias("view"), F.lit(1.0).alias("w"))
     two = lexical.ranked(support, ["item_id"], "support", ["doc_id"]).select("item_id", "doc_id", "rank", F.lit("support").alias("view"), F.lit(0.25).alias("w"))
@@ -165,8 +169,7 @@ p AS (SELECT *, CAST(substr(source, 4) AS INT) + 1 AS report_place, row_number()
 o AS (SELECT *, CASE WHEN nth = 1 AND report_place <= 5 THEN 0 ELSE 1 END AS late FROM p)
 SELECT item_id, doc_id, place FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY late, CASE WHEN late = 0 THEN report_place ELSE rank END) AS place FROM o) WHERE place <= 20""")
 def report_coverage_topk(spark, d):
-    whole = F.lit("all").alias("slice")
-    scores = lexical.bm25(_questions(spark, d).select("item_id", "qt", whole), _docs(spark, d).select("doc_id", "toks", whole), ["slice"], "item_id", "doc_id", "qt", "toks").filter("bm25 > 0").withColumn("near", F.round("bm25", 9))
+    scores = lexical.bm25_hits(_questions(spark, d), _docs(spark, d), [], "item_id", "doc_id", "qt", "toks").withColumn("near", F.round("bm25", 9))
     reports = table(spark, d, "documents").select("doc_id", "source", (F.expr("cast(substr(source, 4) as int)") + 1).alias("report_place"))
     ranking = lexical.ranked(scores, ["item_id"], "near", ["doc_id"]).join(reports, "doc_id")
     return lexical.coverage(ranking, ["item_id"], "source", "rank", "report_place", 5).filter("place <= 20").select("item_id", "doc_id", "place")

@@ -129,12 +129,28 @@ def metric_mentions(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(questions.metric_mentions(t, labels), ",").alias("mentions"))
 
 
-@query("SELECT c_custkey AS qid, CASE c_custkey % 5 WHEN 0 THEN 'ABC' WHEN 1 THEN 'HPG' WHEN 2 THEN 'ABC,HPG' WHEN 3 THEN '' ELSE 'HPG' END AS tickers, CASE c_custkey % 5 WHEN 0 THEN 'explicit_ticker' WHEN 1 THEN 'single_official_name' WHEN 2 THEN 'union_all_entity_detectors' WHEN 3 THEN 'ambiguous' ELSE 'single_official_name' END AS method FROM customer")
+#: Question, its tickers, method.
+ENTITY_CASES = [
+    ("Doanh thu của ABC", "ABC", "explicit_ticker"),
+    ("Lợi nhuận của Thép Hòa Phát Lớn", "HPG,HPL", "union_all_entity_detectors"),
+    ("So sánh ABC với Hòa Phát", "ABC,HPG", "union_all_entity_detectors"),
+    ("Giá vàng hôm nay", "", "ambiguous"),
+    ("Thép Hòa Phát bán cho Bình Minh Xanh", "HPG", "single_official_name"),
+    ("Doanh thu của Đại Dương", "DDG", "fuzzy_high_confidence"),
+    ("Lãi của Công ty cổ phần Đại Dương", "DDG", "single_official_name"),
+    ("Tổng nợ của Sữa Việt Nam An Phú", "SAP", "single_official_name"),
+    ("So sánh Sữa Việt Nam An Phú, ABC", "ABC,SAP", "union_all_entity_detectors"),
+]
+_NTH = f"c_custkey % {len(ENTITY_CASES)}"
+
+
+@query(f"SELECT c_custkey AS qid, [{', '.join(repr(t) for _, t, _ in ENTITY_CASES)}][{_NTH} + 1] AS tickers, [{', '.join(repr(m) for *_, m in ENTITY_CASES)}][{_NTH} + 1] AS method FROM customer")
 def entity_union(spark, d):
-    c = spark.range(1).select(F.inline(F.array(F.struct(F.lit("ABC").alias("ticker"), F.lit("Công ty cổ phần Bình Minh Xanh").alias("name")), F.struct(F.lit("HPG").alias("ticker"), F.lit("Công ty cổ phần Tập đoàn Hòa Phát Lớn").alias("name")))))
+    names = {"ABC": "Công ty cổ phần Bình Minh Xanh", "HPL": "Công ty cổ phần Thép Hòa Phát Lớn", "HPG": "Công ty cổ phần Tập đoàn Hòa Phát", "DDG": "Công ty cổ phần Đại Dương", "VNM": "Công ty Sữa Việt Nam", "SAP": "Công ty Sữa Việt Nam An Phú"}
+    c = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(t).alias("ticker"), F.lit(n).alias("name")) for t, n in names.items()])))
     a = spark.range(1).select(F.lit("hoa phat").alias("alias"), F.lit("HPG").alias("ticker"))
-    asked = ["Doanh thu của ABC", "Lợi nhuận của Hòa Phát Lớn", "So sánh ABC với Hòa Phát", "Giá vàng hôm nay", "Thép Hòa Phát bán cho Bình Minh Xanh"]
-    q = table(spark, d, "customer").select(F.col("c_custkey").alias("qid"), F.element_at(F.array(*map(F.lit, asked)), F.expr("cast(c_custkey % 5 + 1 as int)")).alias("question"))
+    q = table(spark, d, "customer").select(F.col("c_custkey").alias("qid"), F.element_at(F.array(*[F.lit(x) for x, *_ in ENTITY_CASES]), F.expr(f"cast({_NTH} + 1 as int)")).alias("question"))
     return questions.infer_entities(q, c, a, "qid", "question").select("qid", F.array_join("tickers", ",").alias("tickers"), "method")
 
 
+

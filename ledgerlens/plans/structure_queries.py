@@ -48,31 +48,31 @@ def html_rowspan_colspan(spark, d):
 
 
 def grids(spark, d):
-    """One native grid per nation: two header rows, sections by segment, customers with balances."""
-    c = table(spark, d, "customer")
+    """One native grid per nation and block of 1000 customer keys: two header rows, sections by segment, customers with balances."""
+    c = table(spark, d, "customer").withColumn("block", F.expr("c_custkey div 1000"))
     lit = lambda *x: F.array(*map(F.lit, x))
     row = F.array("c_name", F.lit("10"), F.concat(F.floor(F.abs("c_acctbal")), F.lit(".500")))
-    by = c.groupBy("c_nationkey", "c_mktsegment").agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("r")))), lambda x: x.r).alias("rows"))
+    by = c.groupBy("c_nationkey", "block", "c_mktsegment").agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("r")))), lambda x: x.r).alias("rows"))
     section = F.array("c_mktsegment", F.lit(""), F.lit(""))
-    body = by.groupBy("c_nationkey").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("c_mktsegment", F.concat(F.array(section), F.col("rows")).alias("r")))), lambda x: x.r)).alias("body"))
-    return body.select("c_nationkey", F.concat(F.array(lit("Group", "Group", "Năm 2024"), lit("Item", "Mã số", "Năm 2024")), "body").alias("grid"))
+    body = by.groupBy("c_nationkey", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("c_mktsegment", F.concat(F.array(section), F.col("rows")).alias("r")))), lambda x: x.r)).alias("body"))
+    return body.select("c_nationkey", "block", F.concat(F.array(lit("Group", "Group", "Năm 2024"), lit("Item", "Mã số", "Năm 2024")), "body").alias("grid"))
 
 
-CUST = "c AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment, c_custkey) AS i, dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS s, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer WHERE c_custkey < 150)"
+CUST = "c AS (SELECT *, c_custkey // 1000 AS block, row_number() OVER (PARTITION BY c_nationkey, c_custkey // 1000 ORDER BY c_mktsegment, c_custkey) AS i, dense_rank() OVER (PARTITION BY c_nationkey, c_custkey // 1000 ORDER BY c_mktsegment) AS s FROM customer)"
 
 
-@query(f"WITH {CUST} SELECT DISTINCT c_nationkey, 'Group Item|Group Mã số|Năm 2024 Năm 2024' AS cells, 'Group>Item|Group>Mã số|Năm 2024' AS paths FROM c")
+@query(f"WITH {CUST} SELECT DISTINCT c_nationkey, block, 'Group Item|Group Mã số|Năm 2024 Năm 2024' AS cells, 'Group>Item|Group>Mã số|Năm 2024' AS paths FROM c")
 def header_cells(spark, d):
     h = structure.header_rows(F.col("grid"))
     paths = F.transform(structure.column_paths(h, structure.width(F.col("grid"))), lambda p: F.array_join(p, ">"))
-    return grids(spark, d).select("c_nationkey", F.array_join(structure.header_cells(h), "|").alias("cells"), F.array_join(paths, "|").alias("paths"))
+    return grids(spark, d).select("c_nationkey", "block", F.array_join(structure.header_cells(h), "|").alias("cells"), F.array_join(paths, "|").alias("paths"))
 
 
-@query(f"""WITH {CUST} SELECT c_nationkey, (1 + i + s)::BIGINT AS row, c_mktsegment || '>' || c_name AS path FROM c UNION ALL SELECT c_nationkey, (1 + min(i) + s - 1)::BIGINT, c_mktsegment FROM c GROUP BY c_nationkey, c_mktsegment, s
-UNION ALL SELECT DISTINCT c_nationkey, 0, 'Group>Năm 2024' FROM c UNION ALL SELECT DISTINCT c_nationkey, 1, 'Item>Mã số>Năm 2024' FROM c""")
+@query(f"""WITH {CUST} SELECT c_nationkey, block, (1 + i + s)::BIGINT AS row, c_mktsegment || '>' || c_name AS path FROM c UNION ALL SELECT c_nationkey, block, (1 + min(i) + s - 1)::BIGINT, c_mktsegment FROM c GROUP BY c_nationkey, block, c_mktsegment, s
+UNION ALL SELECT DISTINCT c_nationkey, block, 0, 'Group>Năm 2024' FROM c UNION ALL SELECT DISTINCT c_nationkey, block, 1, 'Item>Mã số>Năm 2024' FROM c""")
 def row_paths_forward_fill(spark, d):
-    got = structure.row_paths(grids(spark, d), ["c_nationkey"], "grid")
-    return got.select("c_nationkey", F.col("row").cast("long").alias("row"), F.array_join("path", ">").alias("path"))
+    got = structure.row_paths(grids(spark, d), ["c_nationkey", "block"], "grid")
+    return got.select("c_nationkey", "block", F.col("row").cast("long").alias("row"), F.array_join("path", ">").alias("path"))
 
 
 GRID3 = "CASE o_orderkey % 5 WHEN 0 THEN {a} WHEN 1 THEN {b} WHEN 2 THEN {c} WHEN 3 THEN {d} ELSE {e} END"
@@ -94,18 +94,18 @@ def carries_figures(spark, d):
     return three(spark, d).select("o_orderkey", structure.carries_figures(F.col("grid")).alias("figures"))
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'income' WHEN 1 THEN 'balance,equity' WHEN 2 THEN 'cashflow' ELSE '' END AS families, (event_id % 4 = 0)::INT::DOUBLE AS same FROM events""")
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'income' WHEN 1 THEN 'balance,equity' WHEN 2 THEN 'cashflow' ELSE 'other' END AS families, (event_id % 4 = 0)::INT::DOUBLE AS same FROM events""")
 def table_families(spark, d):
     t = F.element_at(F.array(*map(F.lit, ["doanh thu thuan", "von chu so huu", "dong tien thuan", "khac"])), F.expr("cast(event_id % 4 + 1 as int)"))
-    return table(spark, d, "events").select("event_id", F.array_join(structure.families(t), ",").alias("families"), structure.family_match(F.lit("chi phi"), t).alias("same"))
+    return table(spark, d, "events").select("event_id", F.array_join(structure.table_families(t), ",").alias("families"), structure.family_match(F.lit("chi phi"), t).alias("same"))
 
 
-@query(f"WITH {CUST} SELECT DISTINCT c_nationkey, 'Nation ' || c_nationkey || chr(10) || 'Group|Item' || chr(10) || '2024' AS text FROM c")
+@query(f"WITH {CUST} SELECT DISTINCT c_nationkey, block, 'Nation ' || c_nationkey || chr(10) || 'Group|Item' || chr(10) || '2024' AS text FROM c")
 def table_representation(spark, d):
     g = grids(spark, d)
     one = lambda *x: F.array(*map(F.lit, x))
     identity = F.concat(F.lit("Nation "), F.col("c_nationkey"))
-    return g.select("c_nationkey", structure.representation(identity, F.lit(" "), one(), F.lit(None).cast("string"), one(), F.array(F.lit("Group|Item")), structure.periods(F.array(F.lit("Năm 2024 và 2024"))), F.lit("2024")).alias("text"))
+    return g.select("c_nationkey", "block", structure.representation(identity, F.lit(" "), one(), F.lit(None).cast("string"), one(), F.array(F.lit("Group|Item")), structure.periods(F.array(F.lit("Năm 2024 và 2024"))), F.lit("2024")).alias("text"))
 
 
 @query("SELECT o_orderkey, '\"col_0\",\"col_1\"' || chr(10) || '\"a\"\"b\",\"' || o_orderkey || '\"' || chr(10) || '\"c\",\"\"' || chr(10) AS full, '\"a\"\"b\",' || o_orderkey || chr(10) || 'c,' || chr(10) AS plain FROM orders")
@@ -163,8 +163,8 @@ def statement_row_notes(spark, d):
     return at.join(found.select("c_custkey", "label", F.col("note").alias("ref")), "c_custkey")
 
 
-@query(f"""WITH l AS (SELECT doc_id, source, array_to_string(t[1:3], ' ') AS label, len(t) AS n FROM (SELECT doc_id, source, {TOK.format("text")} AS t FROM documents)), k AS (SELECT label, count(DISTINCT source) AS reports FROM l WHERE n >= 2 AND NOT regexp_matches(label, '^[0-9 ]+$') GROUP BY 1 HAVING count(DISTINCT source) >= 2),
-q AS (SELECT array_to_string({TOK.format("text")}, ' ') AS t FROM benchmark), h AS (SELECT label, count(*) AS n FROM k JOIN q ON contains(t, label) GROUP BY 1)
+@query(f"""WITH l AS (SELECT source, array_to_string(t, ' ') AS label, len(t) AS n FROM (SELECT source, {TOK.format("cell")} AS t FROM (SELECT source, unnest(string_split_regex(text, '[.!?]\\s+|\n')) AS cell FROM documents))), k AS (SELECT label, count(DISTINCT source) AS reports FROM l WHERE n BETWEEN 2 AND 8 AND NOT regexp_matches(label, '^[0-9 ]+$') GROUP BY 1 HAVING count(DISTINCT source) >= 2),
+q AS (SELECT array_to_string({TOK.format("text")}, ' ') AS t FROM benchmark), h AS (SELECT label, count(*) AS n FROM k JOIN q ON contains(t, label) AND list_contains(string_split(t, ' '), split_part(label, ' ', 1)) GROUP BY 1)
 SELECT label, reports, coalesce(n, 0)::BIGINT AS questions FROM k LEFT JOIN h USING (label) WHERE coalesce(n, 0) <= 0.15 * (SELECT count(*) FROM q)""")
 def lexicon_build(spark, d):
     from ..functions.text import tokens
@@ -238,14 +238,14 @@ def weighted_mean(spark, d):
     return table(spark, d, "customer").groupBy("c_nationkey").agg(F.round(metrics.weighted_mean(F.col("c_acctbal"), F.col("c_custkey")), 4).alias("mean"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT doc_id % 97 AS q, doc_id // 3 % 50 AS r FROM documents WHERE doc_id % 7 = 0), n AS (SELECT DISTINCT a.r AS a, b.r AS b FROM e a JOIN e b USING (q)),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT doc_id % 97 AS q, doc_id // 3 % 50 AS r FROM documents), n AS (SELECT DISTINCT a.r AS a, b.r AS b FROM e a JOIN e b USING (q)),
 reach AS (SELECT r AS a, r AS b FROM e UNION SELECT x.a, n.b FROM reach x JOIN n ON x.b = n.a) SELECT a AS r, min(b) AS "group" FROM reach GROUP BY 1""")
 def report_components(spark, d):
     e = table(spark, d, "documents").select(F.expr("doc_id % 97").alias("q"), F.expr("doc_id div 3 % 50").alias("r"))
     return metrics.report_groups(e, "q", "r")
 
 
-@query("""WITH q AS (SELECT b.item_id, d.doc_id, string_split(lower(b.text), ' ') AS a, string_split(lower(d.text), ' ') AS t FROM benchmark b JOIN documents d ON d.source = 'src' || (b.item_id % 20) WHERE NOT regexp_matches(b.text || d.text, '[\\t\\n]') )
+@query("""WITH q AS (SELECT b.item_id, d.doc_id, string_split_regex(lower(b.text), '\\s+') AS a, string_split_regex(lower(d.text), '\\s+') AS t FROM benchmark b JOIN documents d ON d.source = 'src' || (b.item_id % 20))
 SELECT item_id, doc_id, round(len(list_intersect(list_filter(a, lambda x: x <> ''), t)) / greatest(1, len(list_distinct(list_filter(a, lambda x: x <> '')))), 6)::DOUBLE AS score FROM q""")
 def cross_scores(spark, d):
     b = table(spark, d, "benchmark").select("item_id", F.expr("concat('src', item_id % 20)").alias("source"), F.col("text").alias("q"))
@@ -306,17 +306,17 @@ def evidence_trace(spark, d):
     return trace(slots, covering, e.filter("item % 2 = 0"), "q", "slot", "item", "place")[1].select("q", F.array_join("tables", ",").alias("tables"))
 
 
-@query("""WITH c AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment, c_custkey) AS i, dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS s FROM customer WHERE c_custkey < 150)
-SELECT c_nationkey, (1 + i + s)::BIGINT AS row, CASE WHEN floor(abs(c_acctbal)) = 0 THEN 500.0 ELSE floor(abs(c_acctbal)) * 1000 + 500 END::DOUBLE AS value FROM c QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY i) = 1""")
+@query(f"""WITH {CUST}
+SELECT c_nationkey, block, (1 + i + s)::BIGINT AS row, CASE WHEN floor(abs(c_acctbal)) = 0 THEN 500.0 ELSE floor(abs(c_acctbal)) * 1000 + 500 END::DOUBLE AS value FROM c QUALIFY row_number() OVER (PARTITION BY c_nationkey, block ORDER BY i) = 1""")
 def select_cell(spark, d):
     from ..operators.binding import select_cell as choose
 
     first = grids(spark, d).withColumn("tokens", F.split(F.lower(F.get(F.get("grid", F.lit(3)), F.lit(0))), r"\s+"))
-    got = choose(first, ["c_nationkey"], "grid", "tokens")
-    return got.select("c_nationkey", F.col("row").cast("long").alias("row"), "value")
+    got = choose(first, ["c_nationkey", "block"], "grid", "tokens")
+    return got.select("c_nationkey", "block", F.col("row").cast("long").alias("row"), "value")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE round(floor(o_totalprice) / 1000, 2) END AS value FROM orders WHERE floor(o_totalprice) % 10 = 0")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE ((floor(o_totalprice)::BIGINT + 5) // 10) / 100.0 END::DOUBLE AS value FROM orders")
 def direct_lookup_value(spark, d):
     from ..operators.binding import lookup_value
 

@@ -43,6 +43,14 @@ def reports(spark: SparkSession, root: str) -> DataFrame:
     return one.join(shared, ["ticker", "year", "scope"], "left").withColumn("table_count", F.when(F.col("shared"), count.cast("int"))).drop("shared")
 
 
+def _span(value: str | None) -> int:
+    """A span's whole number, 1 at least; 1 for anything else."""
+    try:
+        return max(int(value or 1), 1)
+    except ValueError:
+        return 1
+
+
 class _Grid(HTMLParser):
     """Rows of one table element with spans expanded."""
 
@@ -56,11 +64,13 @@ class _Grid(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if tag == "tr":
+            if self.row is not None:  # a row that isn't closed is lost, but spans go on
+                self.end_row(keep=False)
             self.row = []
         elif tag in ("td", "th"):
             self.cell = []
             given = dict(attrs)
-            self.spans = tuple(int(v) if (v := (given.get(n) or "")).isdigit() and int(v) > 0 else 1 for n in ("colspan", "rowspan"))
+            self.spans = (_span(given.get("colspan")), _span(given.get("rowspan")))
 
     def handle_data(self, data):
         if self.cell is not None:
@@ -74,32 +84,31 @@ class _Grid(HTMLParser):
         elif tag == "tr" and self.row is not None:
             self.end_row()
 
-    def end_row(self):
-        if self.row:
+    def end_row(self, keep: bool = True):
+        """Lay out the row's cells between those that span into it; a row that only such cells fill counts too."""
+        if self.row or self.over:
             out: list[str] = []
             held, self.over = self.over, {}
-            cells = iter(self.row)
-            while True:
-                if len(out) in held:
-                    text, left = held.pop(len(out))
-                    if left > 1:
-                        self.over[len(out)] = (text, left - 1)
-                    out.append(text)
-                    continue
-                if (cell := next(cells, None)) is None:
-                    break
-                text, wide, high = cell
-                for _ in range(min(wide, 1000)):
-                    if high > 1:
-                        self.over[len(out)] = (text, high - 1)
-                    out.append(text)
+
+            def put(text: str, high: int) -> None:
+                if high > 1:
+                    self.over[len(out)] = (text, high - 1)
+                out.append(text)
+
+            def spanned() -> None:
+                while len(out) in held:
+                    put(*held.pop(len(out)))
+
+            for text, wide, high in self.row or []:
+                for _ in range(wide):
+                    spanned()
+                    put(text, high)
+            spanned()
             for i in sorted(held):
                 out += [""] * (i - len(out))
-                text, left = held[i]
-                if left > 1:
-                    self.over[i] = (text, left - 1)
-                out.append(text)
-            self.rows.append(out)
+                put(*held[i])
+            if keep:
+                self.rows.append(out)
         self.row = None
 
 
