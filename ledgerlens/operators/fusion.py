@@ -76,3 +76,20 @@ def union_candidates(hits: DataFrame, by: list[str], item: str, query_no: str, r
     fused = fuse_orders(hits, by, item, query_no, rank)
     first = hits.groupBy(*by, item).agg(F.min_by(F.struct(*payload), F.struct(query_no, rank)).alias("p"))
     return fused.filter(F.col("place") <= depth).join(first, [*by, item]).select(*by, item, "score", "place", "p.*")
+
+
+def pair_union(pairs: DataFrame, by: list[str], item: str, part: str, place: str, text: str) -> DataFrame:
+    """Candidates of repeated exports, one row for each question and item, in the order of first appearance (``place``).
+
+    Exports go by ``part`` and within by ``place``. Each column has its first value that isn't null; texts that differ
+    from what has been gathered so far are appended on a line of their own. A pair has at most one row an export.
+    """
+    order = F.struct(part, place)
+    others = [c for c in pairs.columns if c not in {*by, item, part, place, text}]
+    kept = [F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in others]
+    texts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(part).alias("__part"), F.col(place).alias("__place"), F.col(text).alias("__text")))), lambda x: x["__text"])
+    gather = lambda acc, t: F.when(acc.isNull(), t).when((t != "") & (t != acc), F.concat_ws("\n", acc, t)).otherwise(acc)
+    merged = F.aggregate(texts, F.lit(None).cast("string"), gather)
+    out = pairs.groupBy(*by, item).agg(F.min(order).alias("__first"), merged.alias(text), *kept)
+    new = F.row_number().over(Window.partitionBy(*by).orderBy("__first", item)).cast("long")
+    return out.withColumn(place, new).drop("__first")

@@ -127,6 +127,36 @@ def choose_report(requests: DataFrame, reports: DataFrame, keys: list[str], requ
     return pool.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
+def retrieve_docs(questions: DataFrame, reports: DataFrame, qid: str, comparative: bool = False) -> DataFrame:
+    """(qid, place, ticker, requested_year, year_source, scope, selected_doc, selected_scope): the decision for each ticker and year.
+
+    questions: qid, tickers, years (named), required (years needed; none: all that reports have), scope, scope_by_year
+    (a map). reports: ticker, year, doc_id, scope, table_count. ``comparative``: only the fewest years whose reports
+    cover all. A year's own scope goes before the question's, of which mixed counts as consolidated. Places follow
+    tickers, then years; a decision without a fitting report has no document. Null arrays count as empty.
+    """
+    known = sorted(r[0] for r in reports.select("year").distinct().dropna().collect())  # calendar years, so few at any size
+    none = F.array().cast("array<int>")
+    need = F.coalesce(F.col("required").cast("array<int>"), none)
+    need = F.when(F.size(need) > 0, need).otherwise(F.array(*map(F.lit, known)).cast("array<int>"))
+    need = covering_years(need) if comparative else need
+    asked = questions.withColumn("__need", need).select("*", F.posexplode("tickers").alias("__t", "ticker"))
+    asked = asked.select("*", F.posexplode("__need").alias("__y", "year"))
+    general = F.when(F.col("scope") == "mixed", "consolidated").otherwise(F.col("scope"))
+    source = F.when(F.array_contains(F.coalesce(F.col("years").cast("array<int>"), none), F.col("year")), "explicit").otherwise("derived_dependency")
+    place = F.col("__t").cast("long") * F.size("__need") + F.col("__y")
+    asked = asked.select(F.col(qid).alias("qid"), place.alias("place"), "ticker", "year", source.alias("year_source"), F.coalesce(F.try_element_at("scope_by_year", F.col("year")), general).alias("want"))
+    found = choose_report(asked.select("qid", "place", "ticker", "year", "want"), reports.select("ticker", "year", "doc_id", "scope", "table_count"), ["ticker", "year"], "want")
+    found = found.select("qid", "place", F.col("doc_id").alias("selected_doc"), F.col("scope").alias("selected_scope"))
+    out = asked.join(found, ["qid", "place"], "left")
+    return out.select(F.col("qid").alias(qid), "place", "ticker", F.col("year").alias("requested_year"), "year_source", F.col("want").alias("scope"), "selected_doc", "selected_scope")
+
+
+def selected_docs(decisions: DataFrame, qid: str) -> DataFrame:
+    """(qid, doc_id, place): each decided document once, at its first place."""
+    return decisions.dropna(subset=["selected_doc"]).groupBy(qid, F.col("selected_doc").alias("doc_id")).agg(F.min("place").alias("place"))
+
+
 def fallback(questions: DataFrame, reports: DataFrame, qid: str) -> DataFrame:
     """(qid, report_id, stage): the reports of the first rung that has any: ticker + year + scope, ticker + year, ticker, year, all.
 

@@ -32,6 +32,14 @@ def reciprocal_rank(ranking: DataFrame, gold: DataFrame, by: list[str], item: st
     return gold.select(*by).distinct().join(first, by, "left").select(*by, F.coalesce("rr", F.lit(0.0)).alias("rr"))
 
 
+def gold_tables(bound: Column, wide: Column, full: bool = False) -> Column:
+    """The tables to score against: those that bindings name, each once in order, or ``wide`` where none does or ``full`` is asked."""
+    if full:
+        return wide
+    named = F.array_distinct(F.filter(bound, lambda x: x.isNotNull() & (x != "")))
+    return F.when(F.size(named) > 0, named).otherwise(wide)
+
+
 def weighted_mean(value: Column, weight: Column) -> Column:
     return F.try_divide(F.sum(value * weight), F.sum(weight))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import dense, fusion, selection
+from ..operators import dense, fusion, metrics, selection
 from .lexical_queries import table
 
 QUERIES: dict = {}
@@ -217,3 +217,20 @@ def judge_depth_filter(spark, d):
     return c.select("qid", "item", rank.alias("judged_rank")).filter("judged_rank <= 4").join(done, ["qid", "item"], "left_anti")
 
 
+@query("""WITH l AS (SELECT l_orderkey AS qid, l_partkey % 3 AS item, l_linenumber AS n, CASE WHEN l_linenumber % 4 <> 1 THEN min(l_suppkey) END AS mode, max(l_returnflag) AS text FROM lineitem GROUP BY 1, 2, 3),
+f AS (SELECT qid, item, min(n) AS first, arg_min(mode, n) FILTER (mode IS NOT NULL) AS mode, list(text ORDER BY n) AS texts FROM l GROUP BY 1, 2)
+SELECT qid, item, row_number() OVER (PARTITION BY qid ORDER BY first, item) AS place, mode, list_reduce(texts, lambda a, t: CASE WHEN t = '' OR t = a THEN a ELSE a || chr(10) || t END) AS text FROM f""")
+def pair_union(spark, d):
+    exports = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("qid"), F.expr("l_partkey % 3").alias("item"), F.col("l_linenumber").alias("part"))
+    pairs = exports.agg(F.min("l_suppkey").alias("mode"), F.max("l_returnflag").alias("text")).withColumn("place", F.col("item").cast("long"))
+    pairs = pairs.withColumn("mode", F.expr("if(part % 4 <> 1, mode, null)"))
+    return fusion.pair_union(pairs, ["qid"], "item", "part", "place", "text")
+
+
+@query("""WITH b AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2), w AS (SELECT l_orderkey, list(l_suppkey::VARCHAR ORDER BY l_linenumber, l_partkey, l_suppkey) AS wide FROM lineitem GROUP BY 1),
+n AS (SELECT l_orderkey, list(l_partkey::VARCHAR ORDER BY n, l_partkey) AS named FROM b GROUP BY 1)
+SELECT w.l_orderkey, array_to_string(coalesce(named, wide), ',') AS gold FROM w LEFT JOIN n USING (l_orderkey)""")
+def gold_tables(spark, d):
+    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_returnflag") == "R", F.col("l_partkey").cast("string")).alias("b"), F.col("l_suppkey").cast("string").alias("w"))))
+    each = table(spark, d, "lineitem").groupBy("l_orderkey").agg(rows.alias("r"))
+    return each.select("l_orderkey", F.array_join(metrics.gold_tables(F.col("r.b"), F.col("r.w")), ",").alias("gold"))

@@ -138,3 +138,17 @@ FROM customer, (VALUES ('X'), ('Y')) t(ticker), (VALUES ('a'), ('b')) m(metric),
 def typed_slots(spark, d):
     ask = table(spark, d, "customer").select(F.col("c_custkey").alias("qid"), F.array(F.lit("X"), F.lit("Y")).alias("tickers"), F.array(F.lit("a"), F.lit("b")).alias("metrics"), F.expr("if(c_custkey % 3 = 2, array(1999), array(2000))").alias("years"), F.expr("element_at(array('growth', 'ratio', 'sum'), cast(c_custkey % 3 + 1 as int))").alias("operation"))
     return questions.typed_slots(ask, "qid").withColumn("year", F.col("year").cast("long"))
+
+
+@query("""WITH rep AS (SELECT 'r' || o_orderkey AS doc_id, o_custkey, year(o_orderdate)::BIGINT AS year, CASE o_orderstatus WHEN 'F' THEN 'separate' WHEN 'O' THEN 'consolidated' ELSE 'unknown' END AS scope, o_orderkey % 5 AS n FROM orders),
+every AS (SELECT list_sort(list(DISTINCT year)) AS ys FROM rep),
+q AS (SELECT c_custkey AS qid, [c_custkey, c_custkey + 1] AS tickers, CASE c_custkey % 3 WHEN 1 THEN [1997, 1996] WHEN 2 THEN [1998] ELSE (SELECT ys FROM every) END AS need FROM customer),
+t AS (SELECT *, unnest(range(0, 2)) AS i FROM q), a AS (SELECT *, unnest(range(0, len(need))) AS j FROM t),
+d AS (SELECT qid, i * len(need) + j AS place, tickers[i + 1] AS ticker, need[j + 1]::BIGINT AS year, CASE WHEN need[j + 1] = 1997 THEN 'separate' ELSE 'consolidated' END AS want FROM a),
+k AS (SELECT d.*, rep.doc_id, rep.scope, row_number() OVER (PARTITION BY qid, place ORDER BY (rep.scope = want) DESC, n DESC, doc_id) AS r FROM d JOIN rep ON ticker = o_custkey AND d.year = rep.year WHERE rep.scope = want OR rep.scope = 'unknown')
+SELECT d.qid, d.place, d.ticker, d.year AS requested_year, CASE WHEN d.year = 1997 THEN 'explicit' ELSE 'derived_dependency' END AS year_source, d.want AS scope, k.doc_id AS selected_doc, k.scope AS selected_scope FROM d LEFT JOIN k ON d.qid = k.qid AND d.place = k.place AND k.r = 1""")
+def retrieve_docs(spark, d):
+    rep = table(spark, d, "orders").select(F.expr("concat('r', o_orderkey)").alias("doc_id"), F.col("o_custkey").alias("ticker"), F.year("o_orderdate").alias("year"), F.expr("case o_orderstatus when 'F' then 'separate' when 'O' then 'consolidated' else 'unknown' end").alias("scope"), F.expr("cast(o_orderkey % 5 as int)").alias("table_count"))
+    need = F.expr("case c_custkey % 3 when 1 then array(1997, 1996) when 2 then array(1998) else cast(array() as array<int>) end")
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("qid"), F.expr("array(c_custkey, c_custkey + 1)").alias("tickers"), F.expr("array(1997)").alias("years"), need.alias("required"), F.lit("mixed").alias("scope"), F.expr("map(1997, 'separate')").alias("scope_by_year"))
+    return gate.retrieve_docs(asked, rep, "qid").withColumn("requested_year", F.col("requested_year").cast("long"))

@@ -176,3 +176,33 @@ def test_plan_checks():
     assert len(questions.plan_problems([{"id": "f1", "entity": "BBB"}], [], *gate_)) == 1
     broken = [{"query": "a", "entity": "BBB", "period": 1999}, {"entity": "AAA"}, {"query": "b", "entity": "AAA", "period": 2024}]
     assert questions.salvaged_facts(broken, *gate_) == [{"id": "f1", "query": "a", "entity": "AAA", "period": None}, {"id": "f2", "query": "b", "entity": "AAA", "period": 2024}]
+
+
+def test_retrieve_docs(spark):
+    reps = spark.createDataFrame([("A", 2020, "a20s", "separate", 3), ("A", 2021, "a21c", "consolidated", 1), ("A", 2021, "a21u", "unknown", 9), ("A", 2022, "a22u", "unknown", 1), ("B", 2022, "b22s", "separate", 1)], "ticker string, year int, doc_id string, scope string, table_count int")
+    asked = spark.createDataFrame([(1, ["A", "B"], [2022], [2021, 2022], "mixed", {2022: "separate"}), (2, ["A"], [], [], "consolidated", None), (3, ["A"], None, None, "separate", {}), (4, [], [2020], [2020], "separate", {})], "qid int, tickers array<string>, years array<int>, required array<int>, scope string, scope_by_year map<int, string>")
+    got = sorted(tuple(r) for r in gate.retrieve_docs(asked, reps, "qid").filter("qid < 3").collect())
+    assert got == [
+        (1, 0, "A", 2021, "derived_dependency", "consolidated", "a21c", "consolidated"),
+        (1, 1, "A", 2022, "explicit", "separate", "a22u", "unknown"),
+        (1, 2, "B", 2021, "derived_dependency", "consolidated", None, None),
+        (1, 3, "B", 2022, "explicit", "separate", "b22s", "separate"),
+        (2, 0, "A", 2020, "derived_dependency", "consolidated", None, None),
+        (2, 1, "A", 2021, "derived_dependency", "consolidated", "a21c", "consolidated"),
+        (2, 2, "A", 2022, "derived_dependency", "consolidated", "a22u", "unknown"),
+    ]
+    cover = gate.retrieve_docs(asked, reps, "qid", comparative=True)
+    assert sorted(tuple(r) for r in gate.selected_docs(cover, "qid").collect()) == [(1, "a22u", 0), (1, "b22s", 1), (2, "a22u", 1), (3, "a20s", 0), (3, "a22u", 1)]
+
+
+def test_pair_union(spark):
+    rows = [(1, "x", 0, 1, None, "t"), (1, "y", 0, 2, 5, None), (1, "x", 1, 1, 7, "u"), (1, "x", 2, 1, 8, "u"), (1, "y", 1, 2, 6, "v"), (1, "w", 1, 3, None, ""), (1, "w", 2, 2, None, "z"), (2, "x", 0, 1, 1, "t"), (2, "x", 1, 1, 1, "t")]
+    df = spark.createDataFrame(rows, "qid int, item string, part int, place long, score int, text string")
+    got = fusion.pair_union(df, ["qid"], "item", "part", "place", "text").select("qid", "place", "item", "score", "text").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, "x", 7, "t\nu\nu"), (1, 2, "y", 5, "v"), (1, 3, "w", None, "\nz"), (2, 1, "x", 1, "t")]
+
+
+def test_gold_tables(spark):
+    df = spark.createDataFrame([(["b", None, "a", "b", ""], ["w"]), ([], ["w", "v"]), (None, ["w"])], "b array<string>, w array<string>")
+    assert [r[0] for r in df.select(metrics.gold_tables(F.col("b"), F.col("w"))).collect()] == [["b", "a"], ["w", "v"], ["w"]]
+    assert df.select(metrics.gold_tables(F.col("b"), F.col("w"), full=True)).first()[0] == ["w"]
