@@ -280,7 +280,7 @@ def phrase_counts(docs: DataFrame, lang: Column, text: str, least: int, longest:
 
 
 def cut_score(a: str, n: str, left: str, right: str) -> Column:
-    """floor(1000 * a * n / (left * right)) of whole-number columns, exact while a is below 10**15."""
+    """floor(1000 * a * n / (left * right)) of whole-number columns, exact while a is below 10**15 and the score fits into 64 bits."""
     return F.expr(f"CAST(CAST(1000 AS DECIMAL(4,0)) * CAST({a} AS DECIMAL(15,0)) * CAST({n} AS DECIMAL(19,0)) AS DECIMAL(38,0)) DIV CAST(CAST({left} AS DECIMAL(19,0)) * CAST({right} AS DECIMAL(19,0)) AS DECIMAL(38,0))")
 
 

