@@ -7,35 +7,44 @@ place and ANDed with the words' masks of the same chunks it gives the bitmaps of
 popcounts are their frequencies. Extension goes depth-first: a frontier is worked in parts of about FRONTIER chunks, and
 a part's children are extended before the next part, so memory doesn't grow with the number of phrases.
 
-Popcounts are summed over the shards of a language. A phrase can only be frequent if its words are, and then its
-pairs, so shards get back which of their words, and then which of their pairs, are frequent in the whole language; each
-round sends these numbers to the shards by joins, as frequent words and pairs may grow with the corpus. Texts are read
-once; the rounds read the shards' codes.
+Popcounts are summed over the shards of a language. A phrase can only be frequent if all its pairs of neighbouring words
+are. So each shard first tells its pairs by 64-bit hashes; those that are frequent over all shards go back to the
+shards that hold them, and only such pairs are extended and spelled out. Two pairs may share a hash: then too many
+pairs go back, but the counts that decide are those of the words themselves.
+
+What shards tell is cut into ranges of the hash, about RANGE_WORDS words of the corpus for each, and a shard's part of a
+range is one row with packed arrays: a fraction of the bytes of a row for each phrase. A range is merged by one
+task; a phrase has at most one entry for each shard in it, so a hot one doesn't swell its range. Texts are read once; the
+rounds read the shards' codes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .blocks import LOWER
+from .blocks import LOWER, mix64
 from .common import arrow_batches, materialize
 
 SHARD_BYTES = 4 << 20
 #: Bytes of text that a task holds over all languages before it closes its shards.
 HELD_BYTES = 32 << 20
-BITS = 16
+BITS, MASK = 8, np.uint8
 FRONTIER = 1 << 17
 LONGEST = 5
-#: Phrases in a batch that goes back to Spark.
-BATCH = 1 << 16
+#: Words of the corpus to a range of hashes.
+RANGE_WORDS = 1 << 20
+#: Phrases to a bucket of the ranking, as a multiple of the rows asked for.
+BUCKETED = 10
 
 _BORDER = np.array([chr(b) in ".,;:!?" or 10 <= b <= 13 for b in range(256)])
 _BLANK = np.array([b in (9, 32) for b in range(256)])
@@ -60,28 +69,27 @@ class Bitmaps:
         return Bitmaps(self.first[a : b + 1] - i, self.chunk[i:j], self.mask[i:j])
 
     def shifted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The bitmaps one place on, as (phrase, chunk, mask) rows; a bit that leaves its chunk enters the next one."""
+        """The bitmaps one place on, as (phrase, chunk, mask) rows in order; a bit that leaves its chunk enters the next one."""
+        moved = self.mask.astype(np.uint32) << np.uint32(1)
+        mask = np.column_stack([moved & np.uint32((1 << BITS) - 1), moved >> np.uint32(BITS)]).ravel().astype(self.mask.dtype)
+        some = np.flatnonzero(mask)
         owner = np.repeat(np.arange(len(self)), np.diff(self.first))
-        here = (self.mask << np.uint32(1)) & np.uint32((1 << BITS) - 1)
-        over = self.mask >> np.uint32(BITS - 1)
-        stay, leave = here > 0, over > 0
-        return np.concatenate([owner[stay], owner[leave]]), np.concatenate([self.chunk[stay], self.chunk[leave] + 1]), np.concatenate([here[stay], over[leave]])
+        return owner[some >> 1], self.chunk[some >> 1] + (some & 1), mask[some]
 
 
 def grouped(key: np.ndarray, chunk: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, Bitmaps]:
-    """Bitmaps of the distinct keys, in their order; masks of the same key and chunk are joined."""
+    """Bitmaps of the distinct keys, in their order; rows of a key come by rising chunk, and masks of the same chunk are joined."""
     if not len(key):
         return key, Bitmaps(np.zeros(1, np.int64), chunk, mask)
-    order = np.lexsort((chunk, key))
+    order = np.argsort(key, kind="stable")
     key, chunk, mask = key[order], chunk[order], mask[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])
-    at = np.flatnonzero(new)
-    key, chunk, mask = key[at], chunk[at], np.bitwise_or.reduceat(mask, at)
     start = np.ones(len(key), bool)
     start[1:] = key[1:] != key[:-1]
-    first = np.flatnonzero(start)
-    return key[first], Bitmaps(np.append(first, len(key)), chunk, mask)
+    new = start.copy()
+    new[1:] |= chunk[1:] != chunk[:-1]
+    at = np.flatnonzero(new)
+    first = np.flatnonzero(start[at])
+    return key[at][first], Bitmaps(np.append(first, len(at)), chunk[at], np.bitwise_or.reduceat(mask, at))
 
 
 class Shard:
@@ -89,12 +97,12 @@ class Shard:
 
     def __init__(self, codes: np.ndarray):
         place = np.flatnonzero(codes >= 0)
-        self.word, self.bitmaps = grouped(codes[place].astype(np.int64), place // BITS, np.uint32(1) << (place % BITS).astype(np.uint32))
+        self.word, self.bitmaps = grouped(codes[place].astype(np.int64), (place // BITS).astype(np.int32), (1 << (place % BITS)).astype(MASK))
         # the same masks by chunk: the words of chunk c are rows of[c]:of[c+1]
         owner = np.repeat(self.word, np.diff(self.bitmaps.first))
         order = np.argsort(self.bitmaps.chunk, kind="stable")
         self.owner, self.mask = owner[order], self.bitmaps.mask[order]
-        self.of = np.searchsorted(self.bitmaps.chunk[order], np.arange(len(codes) // BITS + 3))
+        self.of = np.searchsorted(self.bitmaps.chunk[order], np.arange(len(codes) // BITS + 3)).astype(np.int32)
 
     def extended(self, phrases: Bitmaps) -> tuple[np.ndarray, np.ndarray, Bitmaps]:
         """Phrases one word longer that occur: which phrase each begins with, its last word, and their bitmaps."""
@@ -109,32 +117,28 @@ class Shard:
         key, found = grouped(owner[row] << 32 | self.owner[entry], chunk[row], both[some])
         return key >> 32, key & 0xFFFFFFFF, found
 
-    def phrases(self, longest: int, pairs: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def phrases(self, longest: int, allowed: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(words, counts) of all phrases of 2 to ``longest`` words, depth-first.
 
-        ``pairs``: sorted pairs (first << 32 | second) that alone may stand in a phrase; those of two words are then
-        not given again.
+        ``allowed`` tells which pairs (arrays of first and second words) may stand in a phrase.
         """
-        yield from self._below(self.word[:, None], self.bitmaps, longest, pairs)
+        yield from self._below(self.word[:, None], self.bitmaps, longest, allowed)
 
-    def _below(self, words: np.ndarray, bitmaps: Bitmaps, longest: int, pairs: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _below(self, words: np.ndarray, bitmaps: Bitmaps, longest: int, allowed) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at = 0
         while at < len(bitmaps):
             end = max(at + 1, int(np.searchsorted(bitmaps.first, bitmaps.first[at] + FRONTIER, "right")) - 1)
             begun, last, found = self.extended(bitmaps.part(at, end))
             made = np.column_stack([words[at:end][begun], last])
             at = end
-            if pairs is not None and len(made):
-                key = made[:, -2] << 32 | made[:, -1]
-                place = np.minimum(np.searchsorted(pairs, key), max(len(pairs) - 1, 0))
-                keep = np.flatnonzero(pairs[place] == key) if len(pairs) else np.zeros(0, np.int64)
+            if allowed is not None and len(made):
+                keep = np.flatnonzero(allowed(made[:, -2], made[:, -1]))
                 made, found = made[keep], _chosen(found, keep)
             if not len(made):
                 continue
-            if pairs is None or made.shape[1] > 2:
-                yield made, found.counts()
+            yield made, found.counts()
             if made.shape[1] < longest:
-                yield from self._below(made, found, longest, pairs)
+                yield from self._below(made, found, longest, allowed)
 
 
 def _chosen(bitmaps: Bitmaps, rows: np.ndarray) -> Bitmaps:
@@ -225,58 +229,101 @@ def shards(docs: DataFrame, lang: Column, text: str, shard_bytes: int = SHARD_BY
     return texts.filter("text != ''").mapInArrow(run, _SHARD_COLUMNS)
 
 
-_COUNTS = "shard long, lang string, pair long, phrase string, n long"
-
+def _word_hashes(lang: str, words: pa.Array) -> np.ndarray:
+    """64-bit hashes of a language's words."""
+    h = pd.util.hash_array(np.array([*words.to_pylist(), lang], dtype=object), categorize=False)
+    return mix64(h[:-1] ^ mix64(h[-1:]))
 
-def _counted(rows: DataFrame, longest: int, with_pairs: bool) -> DataFrame:
-    """Local phrase counts of shards; ``rows``: shard, lang, codes, words, kept (numbers of frequent words or pairs of them).
 
-    Without pairs: phrases of two words, of frequent words only. With pairs: those of 3 to ``longest`` words, of frequent pairs only.
-    """
+def _hashes(word: np.ndarray, made: np.ndarray) -> np.ndarray:
+    """64-bit hashes of phrases; ``word``: hashes of the words."""
+    h = word[made[:, 0]]
+    for j in range(1, made.shape[1]):
+        h = mix64(h + word[made[:, j]])
+    return h
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                codes, words = np.frombuffer(batch.column(2)[i].as_py(), "<i4"), batch.column(3)[i].values
-                kept = np.sort(batch.column(4)[i].values.to_numpy())
-                whole = np.zeros(len(words) + 1, bool)
-                whole[np.concatenate([kept >> 32, kept & 0xFFFFFFFF]) if with_pairs else kept] = True
-                # a word that isn't frequent is a border; -1 reads the last entry, which stays false
-                shard = Shard(np.where(whole[codes], codes, -1))
-                for made, counts in shard.phrases(longest if with_pairs else 2, kept if with_pairs else None):
-                    for a in range(0, len(made), BATCH):
-                        part, n = made[a : a + BATCH], counts[a : a + BATCH]
-                        text = pa.compute.binary_join_element_wise(*[words.take(pa.array(part[:, j])) for j in range(part.shape[1])], " ")
-                        key = part[:, 0] << 32 | part[:, 1] if not with_pairs else np.zeros(len(part), np.int64)
-                        alike = lambda x, size=len(part): pa.repeat(x, size)
-                        yield pa.RecordBatch.from_arrays([alike(batch.column(0)[i]), alike(batch.column(1)[i]), pa.array(key), text, pa.array(n)], names=["shard", "lang", "pair", "phrase", "n"])
 
-    return rows.select("shard", "lang", "codes", "words", "kept").mapInArrow(run, _COUNTS)
+def _ranged(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by hash, the ranges that occur, and where each begins in that order (one more at the end)."""
+    order = np.argsort(hashes)
+    of = ((hashes[order] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    first = np.flatnonzero(np.diff(of, prepend=-1)) if len(of) else np.zeros(0, np.int64)
+    return order, of[first].astype(np.int64), np.append(first, len(of))
 
 
-def _frequent(local: DataFrame, term: str, least: int) -> DataFrame:
-    """(lang, term, n) of the terms that occur at least ``least`` times in all shards of a language."""
-    return local.groupBy("lang", term).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+def _frequent_pairs(whole: DataFrame, least: int, ranges: int) -> DataFrame:
+    """(shard, hashes) of a shard's pairs whose hashes count ``least`` or more over all shards, a row for each range."""
 
-
-def _returned(local: DataFrame, term: str, number: str, frequent: DataFrame, whole: DataFrame) -> DataFrame:
-    """``whole`` shards with the numbers of their frequent terms as kept; shards without one go."""
-    known = local.join(frequent.select("lang", term), ["lang", term]).groupBy("shard").agg(F.collect_list(F.col(number).cast("long")).alias("kept"))
-    return whole.join(known, "shard").select("shard", "lang", "codes", "words", "kept")
-
-
-def phrase_counts(docs: DataFrame, lang: Column, text: str, least: int, longest: int = LONGEST, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, lang, codes, words in zip(*batch.columns, strict=True):
+                word = _word_hashes(lang.as_py(), words.values)
+                found = [(_hashes(word, made), n) for made, n in Shard(np.frombuffer(codes.as_py(), "<i4")).phrases(2)]
+                if found:
+                    hashes, n = (np.concatenate(x) for x in zip(*found, strict=True))
+                    order, of, first = _ranged(hashes, ranges)
+                    hashes, n = hashes[order].astype("<u8"), n[order].astype("<u4")
+                    packed = [pa.array([x[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()) for x in (hashes, n)]
+                    yield pa.RecordBatch.from_arrays([pa.array(of), pa.repeat(shard, len(of)), *packed], names=["range", "shard", "hashes", "n"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x.as_py(), "<u8") for x in table.column("hashes")]
+        n = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("n")])
+        _, of = np.unique(np.concatenate(parts), return_inverse=True)
+        often = (np.bincount(of, weights=n) >= least)[of]
+        ends = np.cumsum([len(x) for x in parts])
+        kept = [x[often[e - len(x) : e]].tobytes() for x, e in zip(parts, ends, strict=True)]
+        return pa.table({"shard": table.column("shard"), "hashes": pa.array(kept, pa.binary())}).filter(pa.array([len(x) > 0 for x in kept], pa.bool_()))
+
+    told = whole.select("shard", "lang", "codes", "words").mapInArrow(tell, "range long, shard long, hashes binary, n binary")
+    return told.groupBy("range").applyInArrow(merge, "shard long, hashes binary")
+
+
+def _frequent_phrases(rows: DataFrame, least: int, longest: int, ranges: int) -> DataFrame:
+    """(lang, phrase, n), n >= ``least``, of phrases of 2 to ``longest`` words whose pairs are all among their shards' ``hashes``."""
+    schema = pa.schema([("range", pa.int64()), ("lang", pa.string()), ("phrases", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, codes, words, hashes in zip(*batch.columns, strict=True):
+                word = _word_hashes(lang.as_py(), words.values)
+                kept = np.sort(np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in hashes.values]))
+
+                def allowed(a: np.ndarray, b: np.ndarray, word=word, kept=kept) -> np.ndarray:
+                    h = _hashes(word, np.column_stack([a, b]))
+                    return kept[np.minimum(np.searchsorted(kept, h), len(kept) - 1)] == h
+
+                texts, found, counts = [], [], []
+                for made, n in Shard(np.frombuffer(codes.as_py(), "<i4")).phrases(longest, allowed):
+                    texts.append(pc.binary_join_element_wise(*[words.values.take(pa.array(made[:, j])) for j in range(made.shape[1])], " "))
+                    found.append(_hashes(word, made))
+                    counts.append(n)
+                if texts:
+                    order, of, first = _ranged(np.concatenate(found), ranges)
+                    at = pa.array(first.astype(np.int32))
+                    lists = [pa.ListArray.from_arrays(at, x.take(pa.array(order))) for x in (pa.concat_arrays(texts), pa.array(np.concatenate(counts)))]
+                    yield pa.RecordBatch.from_arrays([pa.array(of), pa.repeat(lang, len(of)), *lists], schema=schema)
+
+    def merge(table: pa.Table) -> pa.Table:
+        lists = table.column("phrases").combine_chunks()
+        flat = {"lang": table.column("lang").take(pc.list_parent_indices(lists)), "phrase": pc.list_flatten(lists), "n": pc.list_flatten(table.column("n"))}
+        summed = pa.table(flat).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+        return summed.filter(pc.greater_equal(summed.column("n"), least)).select(["lang", "phrase", "n"])
+
+    told = rows.select("lang", "codes", "words", "hashes").mapInArrow(tell, "range long, lang string, phrases array<string>, n array<long>")
+    return told.groupBy("range").applyInArrow(merge, "lang string, phrase string, n long")
+
+
+def phrase_counts(docs: DataFrame, lang: Column, text: str, least: int, longest: int = LONGEST, shard_bytes: int = SHARD_BYTES, range_words: int = RANGE_WORDS) -> tuple[DataFrame, DataFrame]:
     """Frequent phrases, (lang, phrase, words, n) with n >= ``least`` of 1 to ``longest`` words, and (lang, n) with all words of each language."""
     whole = materialize(shards(docs, lang, text, shard_bytes))
-    locals_ = whole.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "at"))
-    locals_ = locals_.select("shard", "lang", "code", F.col("at.words").alias("phrase"), F.col("at.counts").alias("n"))
     totals = whole.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
-    words = materialize(_frequent(locals_, "phrase", least))
-    pairs_of = materialize(_counted(_returned(locals_, "phrase", "code", words, whole), 2, False))
-    pairs = materialize(_frequent(pairs_of, "phrase", least))
-    longer = _frequent(_counted(_returned(pairs_of, "phrase", "pair", pairs, whole), longest, True), "phrase", least)
-    sized = lambda df: df.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "n")
-    return materialize(sized(words).unionByName(sized(pairs)).unionByName(sized(longer))), totals
+    ranges = max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // range_words))
+    words = whole.select("lang", F.inline(F.arrays_zip(F.col("words").alias("phrase"), F.col("counts").alias("n"))))
+    words = words.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    kept = _frequent_pairs(whole, least, ranges).groupBy("shard").agg(F.collect_list("hashes").alias("hashes"))  # a shard's own pairs
+    frequent = words.unionByName(_frequent_phrases(whole.join(kept, "shard"), least, longest, ranges))
+    return materialize(frequent.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "n")), totals
 
 
 def cut_score(a: str, n: str, left: str, right: str) -> Column:
@@ -284,7 +331,7 @@ def cut_score(a: str, n: str, left: str, right: str) -> Column:
     return F.expr(f"CAST(CAST(1000 AS DECIMAL(4,0)) * CAST({a} AS DECIMAL(15,0)) * CAST({n} AS DECIMAL(19,0)) AS DECIMAL(38,0)) DIV CAST(CAST({left} AS DECIMAL(19,0)) * CAST({right} AS DECIMAL(19,0)) AS DECIMAL(38,0))")
 
 
-def collocations(docs: DataFrame, lang: Column, text: str, least: int, most: int, longest: int = LONGEST, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def collocations(docs: DataFrame, lang: Column, text: str, least: int, most: int, longest: int = LONGEST, shard_bytes: int = SHARD_BYTES, range_words: int = RANGE_WORDS) -> DataFrame:
     """The ``most`` first phrases of each language by score: lang, rank, phrase, a, l, r, n, score.
 
     a, l and r count the phrase and the two parts of its lowest-scoring cut, n all words of the language; score is
@@ -292,7 +339,7 @@ def collocations(docs: DataFrame, lang: Column, text: str, least: int, most: int
     that goes (a <= its a) are left out. Ties go by a, then by bytes of the phrase. Null texts have no words; repeated
     rows count each; a language without frequent phrases has no rows, as has an empty table.
     """
-    counts, totals = phrase_counts(docs, lang, text, least, longest, shard_bytes)
+    counts, totals = phrase_counts(docs, lang, text, least, longest, shard_bytes, range_words)
     parts = F.split("phrase", " ")
     of = lambda begin, size: F.array_join(F.slice(F.col("parts"), begin, size), " ")
     candidates = counts.filter("words >= 2").select("lang", "phrase", "words", F.col("n").alias("a"), parts.alias("parts"))
@@ -308,6 +355,10 @@ def collocations(docs: DataFrame, lang: Column, text: str, least: int, most: int
     lowest = F.min(F.struct("score", "k", "l", "r", "n")).alias("cut")
     best = best.groupBy("lang", "phrase", "a").agg(lowest)
     ranked = best.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.n", "cut.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    # the first of each bucket, then of these the first of each language: a task sees few rows of a hot one
+    buckets = -(-counts.count() // (BUCKETED * most)) or 1
+    order = lambda *by: Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("a"), "phrase")
+    ranked = ranked.withColumn("bucket", F.pmod(F.xxhash64("phrase"), F.lit(buckets)))
+    ranked = ranked.withColumn("rank", F.row_number().over(order("lang", "bucket"))).filter(F.col("rank") <= most)
+    ranked = ranked.withColumn("rank", F.row_number().over(order("lang"))).filter(F.col("rank") <= most)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
