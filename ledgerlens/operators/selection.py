@@ -64,32 +64,31 @@ def dedupe_edges(edges: DataFrame, by: list[str], item: str, place: str, already
     return edges.withColumn("__n", nth).filter("__n = 1").drop("__n").join(already, [*by, item], "left_anti")
 
 
-def select_paths(paths: DataFrame, qid: str, slot: str, table: str, place: str, limit: int) -> DataFrame:
-    """(qid, table, slot, chosen_place): first one new table per slot, in slot order, then the rest by place; no table twice.
+def select_paths(paths: DataFrame, by: list[str], slot: str, table: str, place: str, limit: int, keep: list[str] | None = None) -> DataFrame:
+    """(by, table, slot, keep, chosen_place): first one new table for each slot, in slot order, then the rest by place; no table twice.
 
-    Each choice depends on those before, so a question's few paths are walked in one group; ``paths`` holds candidates
-    of one question at a time, some dozens.
+    Each choice depends on those before, so a question's paths are folded over in order. A slot needs no more than its
+    first ``limit`` tables for that: at most limit - 1 of them can be taken by others.
     """
-
-    def walk(pdf):
-        rows = pdf.sort_values([slot, place])
-        taken, out = set(), []
-        for once in (True, False):
-            covered = {s for _, s in out}
-            for s, t in zip(rows[slot], rows[table], strict=True):
-                if len(out) < limit and t not in taken and not (once and s in covered):
-                    taken.add(t)
-                    covered.add(s)
-                    out.append((t, s))
-        import pandas as pd
-
-        made = pd.DataFrame(out, columns=[table, slot])
-        made.insert(0, qid, pdf[qid].iloc[0])
-        made["chosen_place"] = range(1, len(out) + 1)
-        return made
-
-    kind = dict(paths.dtypes)
-    return paths.groupBy(qid).applyInPandas(walk, f"{qid} {kind[qid]}, {table} {kind[table]}, {slot} {kind[slot]}, chosen_place long")
+    keep = keep or []
+    once = F.row_number().over(Window.partitionBy(*by, slot, table).orderBy(place))
+    nth = F.row_number().over(Window.partitionBy(*by, slot).orderBy(place))
+    few = paths.withColumn("__n", once).filter("__n = 1").withColumn("__n", nth).filter(F.col("__n") <= limit)
+    entry = F.struct(F.col(slot).alias("s"), F.col(place).alias("p"), F.col(table).alias("t"), *keep)
+    one = few.groupBy(*by).agg(F.sort_array(F.collect_list(entry)).alias("__by_slot"))
+    one = one.withColumn("__by_place", F.array_sort("__by_slot", lambda x, y: F.when(x["p"] < y["p"], -1).when(x["p"] > y["p"], 1).otherwise(0)))
+    taken = lambda chosen, e: F.exists(chosen, lambda c: c["t"] == e["t"])
+    served = lambda chosen, e: F.exists(chosen, lambda c: c["s"] == e["s"])
+
+    def add(chosen: Column, e: Column, first: bool) -> Column:
+        free = (F.size(chosen) < limit) & ~taken(chosen, e)
+        return F.when(free & ~served(chosen, e) if first else free, F.concat(chosen, F.array(e))).otherwise(chosen)
+
+    covered = F.aggregate("__by_slot", F.slice("__by_slot", 1, 0), lambda c, e: add(c, e, True))
+    one = one.withColumn("__covered", covered)
+    one = one.withColumn("__chosen", F.aggregate("__by_place", F.col("__covered"), lambda c, e: add(c, e, False)))
+    made = one.select(*by, F.posexplode("__chosen").alias("__i", "__e"))
+    return made.select(*by, F.col("__e.t").alias(table), F.col("__e.s").alias(slot), *[f"__e.{k}" for k in keep], (F.col("__i") + 1).cast("long").alias("chosen_place"))
 
 
 def best_cells(cells: DataFrame, by: list[str], score: str, year_matches: str, row: str, column: str) -> DataFrame:

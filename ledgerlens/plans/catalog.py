@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import (
     execution_queries,
+    expansion_queries,
     fusion_queries,
     gate_queries,
     lexical_queries,
@@ -13,7 +14,7 @@ from . import (
     structure_queries,
 )
 
-_MODULES = [lexical_queries, fusion_queries, number_queries, planning_queries, gate_queries, structure_queries, retrieval_queries, execution_queries]
+_MODULES = [lexical_queries, fusion_queries, number_queries, planning_queries, gate_queries, structure_queries, retrieval_queries, execution_queries, expansion_queries]
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _m in _MODULES:

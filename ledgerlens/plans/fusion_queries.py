@@ -186,10 +186,20 @@ def edge_dedupe(spark, d):
     return selection.dedupe_edges(e, ["qid"], "item", "place", e.filter("place % 97 = 0").select("qid", "item")).select("qid", "item", "kind")
 
 
-@query(None)
+def greedy_twin(paths: str, limit: int) -> str:
+    """A recursive twin of path selection: each step takes one path more. paths: qid, slot (in order), item, place."""
+    return f"""WITH RECURSIVE p AS MATERIALIZED (SELECT qid, slot, item, min(place) AS place FROM ({paths}) GROUP BY ALL),
+r AS (SELECT DISTINCT qid, 0::BIGINT AS n, []::BIGINT[] AS items, []::BIGINT[] AS slots FROM p UNION ALL
+SELECT qid, n + 1, list_append(items, item), list_append(slots, slot) FROM (SELECT r.*, p.item, p.slot, row_number() OVER (PARTITION BY r.qid ORDER BY list_contains(slots, p.slot), CASE WHEN NOT list_contains(slots, p.slot) THEN p.slot END, p.place) AS nth
+FROM r JOIN p ON r.qid = p.qid WHERE n < {limit} AND NOT list_contains(items, p.item)) WHERE nth = 1)
+SELECT qid, items[n] AS item, slots[n] AS slot, n AS chosen_place FROM r WHERE n > 0"""
+
+
+@query(greedy_twin("SELECT user_id::BIGINT AS qid, (event_id % 3)::BIGINT AS slot, (event_id * 7 % 5)::BIGINT AS item, event_id AS place FROM events", 4))
 def graph_select_paths(spark, d):
-    e = table(spark, d, "events").select(F.col("user_id").alias("qid"), F.expr("event_id % 3").alias("slot"), F.expr("event_id % 20").alias("item"), F.col("event_id").alias("place"))
-    return selection.select_paths(e, "qid", "slot", "item", "place", 3)
+    """Slots that share few tables, so that choices depend on those before."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("qid"), F.expr("event_id % 3").alias("slot"), F.expr("event_id * 7 % 5").alias("item"), F.col("event_id").alias("place"))
+    return selection.select_paths(e, ["qid"], "slot", "item", "place", 4)
 
 
 @query("SELECT user_id AS slot, arg_max(event_id, [round(value, 0), (event_id % 2)::DOUBLE, -event_id::DOUBLE]) AS cell FROM events GROUP BY 1")

@@ -128,7 +128,7 @@ def test_notes(spark):
 
 def test_selection_and_fusion(spark):
     paths = spark.createDataFrame([(1, 1, 10, 1), (1, 1, 11, 2), (1, 2, 10, 1), (1, 2, 12, 2)], "q long, slot long, t long, place long")
-    got = selection.select_paths(paths, "q", "slot", "t", "place", 3).orderBy("chosen_place").collect()
+    got = selection.select_paths(paths, ["q"], "slot", "t", "place", 3).orderBy("chosen_place").collect()
     assert [r.t for r in got] == [10, 12, 11]
     v = spark.createDataFrame([(1, 100.0, 1), (1, 100.01, 2), (1, 120.0, 3)], "q long, v double, p long")
     assert tuple(selection.consensus(v, ["q"], "v", "p").first()) == (1, 100.0, 2)
