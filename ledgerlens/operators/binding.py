@@ -39,16 +39,22 @@ def bound_cells(grids: DataFrame, keep: list[str], grid: str, tokens: str, wante
 
 
 def evidence(bound: DataFrame, grids: DataFrame, keys: list[str], grid: str, metadata: str, report_year: str, wanted: str) -> DataFrame:
-    """Values of bound cells: scaled value, year (of the header if wanted, else the report's), label; cells that aren't whole numbers drop."""
+    """Values of bound cells: scaled value, year (of the header if wanted, else the report's), label, scale; cells that aren't whole numbers drop."""
     j = bound.join(grids.select(*keys, grid, metadata, report_year, wanted), keys)
     cells = F.get(F.col(grid), F.col("row"))
     cell, header = F.get(cells, F.col("column")), F.get(F.element_at(F.col(grid), 1), F.col("column"))
     year = F.array_min(F.array_intersect(years(F.coalesce(header, F.lit(""))), F.col(wanted)))
-    value = strict_number(cell) * source_scale(folded(F.col(metadata)), cell)
-    out = j.select(*keys, "row", "column", value.alias("value"), F.coalesce(year, report_year).alias("year"), folded(F.get(cells, F.lit(0))).alias("label"))
+    scale = source_scale(folded(F.col(metadata)), cell)
+    value = strict_number(cell) * scale
+    out = j.select(*keys, "row", "column", value.alias("value"), F.coalesce(year, report_year).alias("year"), folded(F.get(cells, F.lit(0))).alias("label"), scale.alias("scale"))
     return out.filter("value IS NOT NULL")
 
 
+def lookup_score(label: Column, tokens: Column, dated: Column) -> Column:
+    """How well a bound cell suits a plain lookup: the question's tokens inside the folded label, and half a point for a year asked for."""
+    return F.size(F.filter(tokens, lambda t: F.contains(label, t))) + F.when(dated, 0.5).otherwise(0.0)
+
+
 def lookup_best(values: DataFrame, qid: str, score: str, column: str, value: str) -> DataFrame:
     """(qid, value): the value with the highest score, ties to the lower column."""
     return values.groupBy(qid).agg(F.max_by(value, F.struct(F.col(score), -F.col(column))).alias(value))

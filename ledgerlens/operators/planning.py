@@ -2,7 +2,8 @@
 
 All questions are planned in one pass: values are grouped by question once into the year spans of table rows and once
 into single figures, and one CASE decides. The branches are tried in a fixed order; one whose own conditions fail
-falls through to the next.
+falls through to the next. A branch gives a plan: an operator with the cells that it reads. The answer is the plan's
+value; its text and citations come from the same cells (``emission``).
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import asks_for_year, asks_percentage, requested_scale, years
 from ..functions.text import folded, says
+from .emission import CELLS, PLAN, evaluated
 
 # The operator wording of questions (folded Vietnamese), and report wording that looks like it.
 GROWTH = ["tang truong", "toc do tang"]
@@ -68,7 +70,7 @@ def metric_match(label: Column, phrase: Column) -> Column:
 
 def _year_groups(values: DataFrame) -> DataFrame:
     """(qid, best, best_complete, best_equal): the largest year span of a table row: of all, of those with every named year, of those with just these."""
-    member = F.struct("year", "column", "value")
+    member = F.struct("year", "column", "value", "cell")
     g = values.filter("year IS NOT NULL").groupBy("qid", "variable", "row").agg(F.sort_array(F.collect_list(member)).alias("m"), F.min("place").alias("first"), F.first("named").alias("named"))
     held = F.array_distinct(F.transform("m", lambda x: x.year))
     g = g.withColumn("held", held).filter(F.size("held") > 1)
@@ -79,72 +81,78 @@ def _year_groups(values: DataFrame) -> DataFrame:
     return g.groupBy("qid").agg(pick(F.lit(True)).alias("best"), pick(complete).alias("best_complete"), pick(equal).alias("best_equal"))
 
 
-def _total(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-
-
-def answer(questions: DataFrame, values: DataFrame) -> DataFrame:
-    """(qid, branch, answer) for every question; answer is null where no branch applies or a denominator is 0.
+def plans(questions: DataFrame, values: DataFrame) -> DataFrame:
+    """(qid, branch, plan) for every question; both are null where no branch applies.
 
     questions: qid, question, labels (folded line items, longest first), metrics (those it mentions, in its order).
-    values: qid, place, variable, row, column, value, year (or null), label (folded).
+    values: qid, place, variable, row, column, value, year (or null), label (folded), and scale if there is one: what
+    the cell's own number was multiplied by.
     """
+    scale_of = F.col("scale").cast("double") if "scale" in values.columns else F.lit(1.0)
+    cell = F.struct("variable", F.col("row").cast("long").alias("row"), F.col("column").cast("long").alias("column"), scale_of.alias("scale"), F.col("year").cast("int").alias("year"), F.col("value").cast("double").alias("value"))
+    values = values.withColumn("cell", cell)
     text = operator_text(F.col("question"), F.col("labels"))
     plain = folded(F.col("question"))
     q = questions.select("qid", "metrics", text.alias("text"), plain.alias("plain"), years(F.col("question")).alias("named"))
     values = values.join(q.select("qid", "named", "metrics"), "qid")
-    single = values.groupBy("qid", "variable", "row").agg(F.min_by(F.struct("place", "row", "value", "year", "label"), "place").alias("s"), F.first("metrics").alias("metrics"))
+    single = values.groupBy("qid", "variable", "row").agg(F.min_by(F.struct("place", "row", "value", "year", "label", "cell"), "place").alias("s"), F.first("metrics").alias("metrics"))
     # figures named by a metric come first, in the question's order; each metric takes its first figure
     order = F.array_position(F.transform("metrics", lambda m: metric_match(F.col("s.label"), m)), True)
     single = single.select("qid", "s.*", F.when((order > 0) & (F.size("metrics") > 1), order).otherwise(1_000_000).alias("by"))
-    singles = single.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("by", "place", "row", "value", "year", "label"))).alias("v"))
-    singles = singles.withColumn("v", F.sort_array(F.transform("v", lambda x, i: F.struct(F.when((i > 0) & (x.by < 1_000_000) & (F.get(F.col("v"), i - 1)["by"] == x.by), 1_000_000).otherwise(x.by).alias("by"), x.place.alias("place"), x["row"].alias("row"), x.value.alias("value"), x.year.alias("year"), x.label.alias("label")))))
+    singles = single.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("by", "place", "row", "value", "year", "label", "cell"))).alias("v"))
+    singles = singles.withColumn("v", F.sort_array(F.transform("v", lambda x, i: F.struct(F.when((i > 0) & (x.by < 1_000_000) & (F.get(F.col("v"), i - 1)["by"] == x.by), 1_000_000).otherwise(x.by).alias("by"), x.place.alias("place"), x["row"].alias("row"), x.value.alias("value"), x.year.alias("year"), x.label.alias("label"), x.cell.alias("cell")))))
     p = q.join(singles, "qid", "left").join(_year_groups(values), "qid", "left")
 
     said = lambda words: says(F.col("text"), *words)
-    scale, numbers = requested_scale(F.col("plain")), F.transform("v", lambda x: x.value)
-    of = lambda g: F.transform(g, lambda x: x.value)
-    growth = lambda a: F.try_divide(F.element_at(a, -1) - F.element_at(a, 1), F.element_at(a, 1)) * 100
+    cells = lambda g: F.transform(g, lambda x: x.cell)
+    one = lambda c: F.when(c.isNotNull(), F.array(c)).otherwise(F.array().cast(CELLS))
     superlative = said(LARGEST) | said(SMALLEST)
     dated = F.filter("v", lambda x: x.year.isNotNull())
-    by_value = F.transform(dated, lambda x: F.struct(x.value, x.year))
-    extreme_year = F.when(said(LARGEST), F.array_max(by_value)["year"]).when(said(SMALLEST), F.array_min(by_value)["year"])
     in_named = lambda i: F.filter("v", lambda x: F.array_contains(F.col("named"), x.year) & metric_match(x.label, F.get("metrics", F.lit(i))))
     # of several figures of a year: an exact label, then no segment row, then the earliest row
     score = lambda x, i: F.struct((x.label == F.get("metrics", F.lit(i))).cast("int"), (~x.label.rlike("giua cac bo phan|noi bo")).cast("int"), -x["row"])
-    best = lambda a, i: F.array_max(F.transform(a, lambda x: F.struct(score(x, i).alias("s"), x.value.alias("value"), x.year.alias("year"))))
+    best = lambda a, i: F.array_max(F.transform(a, lambda x: F.struct(score(x, i).alias("s"), x.value.alias("value"), x.year.alias("year"), x.cell.alias("cell"))))
     primary, target = in_named(0), in_named(1)
     per_year = F.transform(F.array_distinct(F.transform(primary, lambda x: x.year)), lambda y: best(F.filter(primary, lambda x: x.year == y), 0))
     contest = F.transform(per_year, lambda b: F.struct(b.value, b.year))
     winner = F.when(said(LARGEST), F.array_max(contest)["year"]).otherwise(F.array_min(contest)["year"])
-    chosen = best(F.filter(target, lambda x: x.year == winner), 1)["value"]
-    one_metric = F.transform(primary, lambda x: F.struct(x.value, x.year))
-    extreme = F.when(said(LARGEST), F.array_max(one_metric)["value"]).otherwise(F.array_min(one_metric)["value"])
+    chosen = best(F.filter(target, lambda x: x.year == winner), 1)["cell"]
+    one_metric = F.transform(primary, lambda x: F.struct(x.value, x.year, x.cell))
+    extreme = F.when(said(LARGEST), F.array_max(one_metric)["cell"]).otherwise(F.array_min(one_metric)["cell"])
     many = F.size("named") > 1
     has = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
-    newest = lambda g: F.element_at(of(g), -1) - (_total(of(g)) - F.element_at(of(g), -1))
+    newest_first = lambda g: F.concat(F.slice(cells(g), F.size(g), 1), F.slice(cells(g), 1, F.size(g) - 1))
+    every, span = cells("v"), F.coalesce("best_complete", "best")
 
     branches = [
-        ("growth in a row", said(GROWTH) & has("best_complete"), growth(of("best_complete")), True),
-        ("average of a row", said(AVERAGE) & has("best"), _total(of(F.coalesce("best_complete", "best"))) / F.size(F.coalesce("best_complete", "best")), False),
-        ("sum of a row", said(SUM) & has("best_equal"), _total(of("best_equal")), False),
-        ("difference in a row", said(DIFFERENCE) & has("best_complete"), newest("best_complete"), False),
-        ("value in the best year", said(YEAR_SELECTOR) & superlative & many & (F.size("metrics") >= 2) & (F.size(per_year) >= 2) & chosen.isNotNull(), chosen, False),
-        ("extreme over years", superlative & many & (F.size("metrics") == 1) & ~asks_for_year(F.col("plain")) & (F.size(per_year) >= 2), extreme, False),
-        ("which year", asks_for_year(F.col("plain")) & has(dated) & superlative, extreme_year.cast("double"), True),
-        ("single", F.size("v") == 1, F.element_at(numbers, 1), False),
-        ("growth", said(GROWTH) & has("v"), growth(numbers), True),
-        ("average", said(AVERAGE) & has("v"), _total(numbers) / F.size("v"), False),
-        ("sum", said(SUM) & has("v"), _total(numbers), False),
-        ("difference", said(DIFFERENCE) & has("v"), F.element_at(numbers, 1) * 2 - _total(numbers), False),
-        ("ratio", said(RATIO) & has("v"), F.try_divide(F.element_at(numbers, 1), F.get(numbers, F.lit(1))) * F.when(asks_percentage(F.col("plain")), 100).otherwise(1), True),
-        ("max", said(LARGEST) & has("v"), F.array_max(numbers), False),
-        ("min", said(SMALLEST) & has("v"), F.array_min(numbers), False),
+        ("growth in a row", said(GROWTH) & has("best_complete"), "growth", cells("best_complete"), True),
+        ("average of a row", said(AVERAGE) & has("best"), "average", cells(span), False),
+        ("sum of a row", said(SUM) & has("best_equal"), "sum", cells("best_equal"), False),
+        ("difference in a row", said(DIFFERENCE) & has("best_complete"), "difference", newest_first("best_complete"), False),
+        ("value in the best year", said(YEAR_SELECTOR) & superlative & many & (F.size("metrics") >= 2) & (F.size(per_year) >= 2) & chosen.isNotNull(), "cell", one(chosen), False),
+        ("extreme over years", superlative & many & (F.size("metrics") == 1) & ~asks_for_year(F.col("plain")) & (F.size(per_year) >= 2), "cell", one(extreme), False),
+        ("which year", asks_for_year(F.col("plain")) & has(dated) & superlative, F.when(said(LARGEST), "year of max").otherwise("year of min"), cells(dated), True),
+        ("single", F.size("v") == 1, "cell", every, False),
+        ("growth", said(GROWTH) & has("v"), "growth", every, True),
+        ("average", said(AVERAGE) & has("v"), "average", every, False),
+        ("sum", said(SUM) & has("v"), "sum", every, False),
+        ("difference", said(DIFFERENCE) & has("v"), "difference", every, False),
+        ("ratio", said(RATIO) & has("v"), "ratio", F.slice(every, 1, 2), True),
+        ("max", said(LARGEST) & has("v"), "max", every, False),
+        ("min", said(SMALLEST) & has("v"), "min", every, False),
     ]
-    name = value = None
-    for label, condition, result, relative in branches:
+    name = plan = None
+    factor = F.when(asks_percentage(F.col("plain")), 100).otherwise(1)
+    for label, condition, operator, read, relative in branches:
         condition = F.coalesce(condition, F.lit(False))
-        shown = F.round(result if relative else result / scale, 2)
+        divisor = F.lit(1.0) if relative else requested_scale(F.col("plain"))
+        operator = F.lit(operator) if isinstance(operator, str) else operator
+        made = F.struct(operator.alias("operator"), read.alias("cells"), divisor.alias("divisor"), factor.alias("factor")).cast(PLAN)
         name = F.when(condition, label) if name is None else name.when(condition, label)
-        value = F.when(condition, shown) if value is None else value.when(condition, shown)
-    return p.select("qid", name.alias("branch"), value.alias("answer"))
+        plan = F.when(condition, made) if plan is None else plan.when(condition, made)
+    return p.select("qid", name.alias("branch"), plan.alias("plan"))
+
+
+def answer(questions: DataFrame, values: DataFrame) -> DataFrame:
+    """(qid, branch, answer) for every question; answer is null where no branch applies or a denominator is 0."""
+    return plans(questions, values).select("qid", "branch", evaluated(F.col("plan")).alias("answer"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import (
+    emission_queries,
     execution_queries,
     expansion_queries,
     fusion_queries,
@@ -14,7 +15,7 @@ from . import (
     structure_queries,
 )
 
-_MODULES = [lexical_queries, fusion_queries, number_queries, planning_queries, gate_queries, structure_queries, retrieval_queries, execution_queries, expansion_queries]
+_MODULES = [lexical_queries, fusion_queries, number_queries, planning_queries, gate_queries, structure_queries, retrieval_queries, execution_queries, expansion_queries, emission_queries]
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _m in _MODULES:
