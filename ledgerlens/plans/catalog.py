@@ -9,13 +9,14 @@ from . import (
     fusion_queries,
     gate_queries,
     lexical_queries,
+    mechanism_queries,
     number_queries,
     planning_queries,
     retrieval_queries,
     structure_queries,
 )
 
-_MODULES = [lexical_queries, fusion_queries, number_queries, planning_queries, gate_queries, structure_queries, retrieval_queries, execution_queries, expansion_queries, emission_queries]
+_MODULES = [lexical_queries, fusion_queries, number_queries, planning_queries, gate_queries, structure_queries, retrieval_queries, execution_queries, expansion_queries, emission_queries, mechanism_queries]
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _m in _MODULES:
