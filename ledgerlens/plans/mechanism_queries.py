@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.json_text import first_json_object
-from ..operators import packing, plan_checks
+from ..operators import manifests, packing, plan_checks
 from .lexical_queries import table
 
 QUERIES: dict = {}
@@ -94,3 +94,34 @@ def salvaged_facts(spark, d):
     """The facts that can still be used."""
     facts, _, _, gates = plans(spark, d)
     return plan_checks.salvaged(facts, gates)
+
+
+_ROW = "sha256(concat_ws(',', {}))"
+
+
+def _digest_sql(columns: list[str], by: str, rows: str) -> str:
+    """A twin of manifests.digest."""
+    row = _ROW.format(", ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in columns))
+    sums = ", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT::HUGEINT) AS s{i}" for i in range(4))
+    return f"SELECT {by}, n AS rows, sha256(concat_ws(':', n::VARCHAR, s0::VARCHAR, s1::VARCHAR, s2::VARCHAR, s3::VARCHAR)) AS digest FROM (SELECT {by}, count(*) AS n, {sums} FROM (SELECT {by}, {row} AS h FROM {rows}) GROUP BY {by})"
+
+
+@query(_digest_sql(["doc_id", "text", "lang", "n_chars"], "source", "documents"))
+def table_digests(spark, d):
+    """Digests of the documents of each source."""
+    return manifests.digest(table(spark, d, "documents"), ["doc_id", "text", "lang", "n_chars"], ["source"])
+
+
+@query("""WITH l AS (SELECT l_linenumber AS shard, count(*) FILTER (l_orderkey % 500 = 3) AS odd FROM lineitem GROUP BY 1)
+SELECT shard, unnest(list_filter([CASE WHEN shard = 2 THEN 'other pairs' END, CASE WHEN shard > 1 AND odd > 0 THEN 'other scores' END, CASE WHEN shard % 3 = 0 THEN 'other scorer' END], lambda x: x IS NOT NULL)) AS problem FROM l
+UNION ALL SELECT 99, 'no scores'""")
+def manifest_problems(spark, d):
+    """Scores of line items in a shard for each line number, some of which changed after their manifests were made."""
+    line = table(spark, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("shard"), F.col("l_orderkey").alias("qid"), F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("score"))
+    pairs = line.select("qid", "item")
+    made = manifests.digest(line, by=["shard"]).select("shard", F.col("digest").alias("scores_digest"))
+    made = made.join(F.broadcast(manifests.digest(pairs).select(F.col("digest").alias("__p"))))
+    made = made.select("shard", F.when(F.col("shard") == 2, "?").otherwise(F.col("__p")).alias("pairs_digest"), "scores_digest", F.when(F.col("shard") % 3 == 0, "b").otherwise("a").alias("scorer"))
+    lost = made.filter("shard = 1").withColumn("shard", F.lit(99).cast("long"))
+    changed = line.withColumn("score", F.expr("if(shard > 1 and qid % 500 = 3, score + 1, score)"))
+    return manifests.problems(pairs, changed, made.unionByName(lost))
