@@ -158,23 +158,30 @@ def selected_docs(decisions: DataFrame, qid: str) -> DataFrame:
 
 
 def fallback(questions: DataFrame, reports: DataFrame, qid: str) -> DataFrame:
-    """(qid, report_id, stage): the reports of the first rung that has any: ticker + year + scope, ticker + year, ticker, year, all.
+    """(qid, report_id, stage, year): the reports of the first rung that has any: ticker + year + scope, ticker + year, ticker, year, all.
 
-    questions: qid, tickers, years (arrays), scope; reports: report_id, ticker, year, scope. Rungs but the last are
-    equi-joins; on the last one, where nothing else fits, a question has one row with no report_id, which stands for
-    all reports, so that they aren't spelled out for each question.
+    questions: qid, tickers, years (arrays), scope; reports: report_id, ticker, year, scope. The first three rungs are
+    decided on the distinct keys of reports, and reports join once, by the keys decided on. On the last two, no report_id
+    stands for all reports: of the row's year on the rung of years (a row for each year asked for that has reports), of
+    any year on the last; they aren't spelled out for each question.
     """
-    rest = questions.select(qid, F.array_distinct("tickers").alias("tickers"), F.array_distinct("years").alias("years"), "scope")
-    out = None
-    for name, keys in (("ticker_year_scope", ["ticker", "year", "scope"]), ("ticker_year", ["ticker", "year"]), ("ticker", ["ticker"]), ("year", ["year"])):
-        asked = rest if "scope" in keys else rest.drop("scope")
-        for key in ("ticker", "year"):
-            asked = asked.withColumn(key, F.explode(f"{key}s")) if key in keys else asked
-        found = asked.select(qid, *keys).join(reports.select("report_id", *keys), keys).select(qid, "report_id", F.lit(name).alias("stage"))
-        out = found if out is None else out.union(found)
-        # only questions that no rung has served go down to the next
-        rest = rest.join(found.select(qid).distinct(), qid, "left_anti")
-    return out.union(rest.select(qid, F.lit(None).cast(reports.schema["report_id"].dataType).alias("report_id"), F.lit("all").alias("stage")))
+    q = questions.select(qid, F.array_distinct("tickers").alias("tickers"), F.array_distinct("years").alias("years"), "scope")
+    keys = reports.select("ticker", F.col("year").alias("__y"), F.col("scope").alias("__s")).distinct()
+    in_year = F.coalesce(F.array_contains("years", F.col("__y")), F.lit(False))
+    rung = F.when(in_year & F.coalesce(F.col("__s") == F.col("scope"), F.lit(False)), 1).when(in_year, 2).otherwise(3)
+    met = q.withColumn("ticker", F.explode("tickers")).join(keys, "ticker").select(qid, "ticker", "__y", "__s", rung.alias("__n"))
+    best = met.groupBy(qid).agg(F.min("__n").alias("__n"))
+    decided = met.join(best, [qid, "__n"])
+    named = reports.select("report_id", F.col("ticker").alias("__t"), "year", "scope")
+    same = (F.col("ticker") == F.col("__t")) & F.col("__y").eqNullSafe(F.col("year")) & F.col("__s").eqNullSafe(F.col("scope"))
+    stage = F.element_at(F.array(*map(F.lit, ["ticker_year_scope", "ticker_year", "ticker"])), F.col("__n"))
+    none = F.lit(None).cast(reports.schema["report_id"].dataType).alias("report_id")
+    no_year = F.lit(None).cast(reports.schema["year"].dataType).alias("year")
+    found = decided.join(named, same).select(qid, "report_id", stage.alias("stage"), no_year)
+    rest = q.join(best, qid, "left_anti")
+    dated = rest.select(qid, F.explode("years").alias("year")).join(reports.select("year").distinct(), "year").select(qid, none, F.lit("year").alias("stage"), "year")
+    last = rest.join(dated.select(qid).distinct(), qid, "left_anti").select(qid, none, F.lit("all").alias("stage"), no_year)
+    return found.unionByName(dated).unionByName(last)
 
 
 def explicit_reports(asked: DataFrame, reports: DataFrame, qid: str, ids: str) -> DataFrame:

@@ -37,7 +37,7 @@ def width(grid: Column) -> Column:
 
 def beside_labels(grid: Column) -> Column:
     """All cells but those of the first column."""
-    return F.flatten(F.transform(grid, lambda r: F.slice(r, 2, 1 << 20)))
+    return F.flatten(F.transform(grid, lambda r: F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0)))))
 
 
 def is_contents_page(grid: Column) -> Column:

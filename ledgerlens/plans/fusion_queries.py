@@ -26,10 +26,10 @@ DOT = "list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[])"
 
 
 @query(f"""SELECT qid, vec_id, round(score, 6) AS score, rank FROM (SELECT q.vec_id AS qid, v.vec_id, {DOT} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({DOT}, 9) DESC, v.vec_id) AS rank
-FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % 50 = 0) WHERE rank <= 5""")
+FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % 100 = 0) WHERE rank <= 5""")
 def dense_topk_in_boundary(spark, d):
     v = table(spark, d, "embeddings")
-    asked = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "label", F.col("embedding").alias("q"))
+    asked = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "label", F.col("embedding").alias("q"))
     near = dense.cosine_top(asked, v, ["label"], "qid", "vec_id", "q", "embedding", 5)
     return near.select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
 

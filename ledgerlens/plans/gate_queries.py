@@ -31,9 +31,9 @@ def reports(spark, d):
 
 
 @query(f"""WITH {REPORTS}, {ASK}, r AS (
-SELECT qid, report_id, 1 AS no, 'ticker_year_scope' AS stage FROM ask JOIN rep USING (ticker, year, scope) UNION ALL SELECT qid, report_id, 2, 'ticker_year' FROM ask JOIN rep USING (ticker, year)
-UNION ALL SELECT qid, report_id, 3, 'ticker' FROM ask JOIN rep USING (ticker) UNION ALL SELECT qid, report_id, 4, 'year' FROM ask JOIN rep USING (year) UNION ALL SELECT qid, NULL, 5, 'all' FROM ask),
-m AS (SELECT qid, min(no) AS no FROM r GROUP BY 1) SELECT DISTINCT qid, report_id, stage FROM r JOIN m USING (qid, no)""")
+SELECT qid, report_id, 1 AS no, 'ticker_year_scope' AS stage, NULL AS year FROM ask JOIN rep USING (ticker, year, scope) UNION ALL SELECT qid, report_id, 2, 'ticker_year', NULL FROM ask JOIN rep USING (ticker, year)
+UNION ALL SELECT qid, report_id, 3, 'ticker', NULL FROM ask JOIN rep USING (ticker) UNION ALL SELECT qid, NULL, 4, 'year', ask.year FROM ask WHERE year IN (SELECT year FROM rep) UNION ALL SELECT qid, NULL, 5, 'all', NULL FROM ask),
+m AS (SELECT qid, min(no) AS no FROM r GROUP BY 1) SELECT DISTINCT qid, report_id, stage, year FROM r JOIN m USING (qid, no)""")
 def gate_fallback_ladder(spark, d):
     c = table(spark, d, "customer")
     ticker = F.concat(F.lit("T"), F.expr("case when c_custkey % 11 = 0 then -1 else c_custkey end"))
@@ -52,10 +52,10 @@ def choose_report(spark, d):
     return gate.choose_report(asked, rep, ["o_custkey", "year"], "want").select("o_custkey", F.col("year").cast("long").alias("year"), "doc_id")
 
 
-@query("""WITH a AS (SELECT c_custkey AS qid, [((c_custkey * 7 + i * 31) % 200)::BIGINT FOR i IN range(0, 4)] AS ids FROM customer)
+@query("""WITH a AS (SELECT c_custkey AS qid, [(c_custkey * 10 + i * 31)::BIGINT FOR i IN range(0, 4)] AS ids FROM customer)
 SELECT qid, ids[i] AS report_id, (i - 1)::BIGINT AS place FROM (SELECT qid, ids, unnest(range(1, 5)) AS i FROM a) WHERE ids[i] IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)""")
 def explicit_report_filter(spark, d):
-    a = table(spark, d, "customer").select(F.col("c_custkey").alias("qid"), F.array(*[F.expr(f"(c_custkey * 7 + {i} * 31) % 200") for i in range(4)]).alias("ids"))
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("qid"), F.array(*[F.expr(f"c_custkey * 10 + {i} * 31") for i in range(4)]).alias("ids"))
     return gate.explicit_reports(a, table(spark, d, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("report_id")), "qid", "ids")
 
 

@@ -31,12 +31,18 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_package(answers: DataFrame, evidence: DataFrame, path: str, most: int = 100_000) -> None:
-    """One zip with submission.json and data/tables/*.csv, for submissions of at most ``most`` rows, which is checked."""
-    if answers.limit(most + 1).count() > most or evidence.limit(most + 1).count() > most:
-        raise ValueError("too many rows for one package")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("submission.json", json.dumps([r.asDict(recursive=True) for r in answers.toLocalIterator()], ensure_ascii=False))
+def write_package(answers: DataFrame, evidence: DataFrame, path: str) -> None:
+    """One zip with submission.json and data/tables/*.csv.
+
+    The format is one file, so one process writes it; rows come partition by partition and go straight into it, so that
+    memory holds a partition and not the package.
+    """
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED, allowZip64=True) as z:
+        with z.open("submission.json", "w", force_zip64=True) as out:
+            out.write(b"[")
+            for i, r in enumerate(answers.toLocalIterator()):
+                out.write((", " if i else "").encode() + json.dumps(r.asDict(recursive=True), ensure_ascii=False).encode())
+            out.write(b"]")
         for r in evidence.toLocalIterator():
             z.writestr(f"data/tables/{r['name']}.csv", r["csv"])
 

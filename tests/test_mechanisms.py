@@ -5,7 +5,8 @@ import random
 
 import pytest
 from ledgerlens.functions.json_text import first_json_object
-from ledgerlens.operators import packing, plan_checks
+from ledgerlens.operators import gate, packing, plan_checks
+from ledgerlens.sources import sinks
 from pyspark.sql import functions as F
 
 
@@ -128,3 +129,41 @@ def test_empty_plans(spark):
     t = checked(spark, [], [], [])
     assert sorted(tuple(r) for r in plan_checks.violations(*t).collect()) == [(1, None, "no facts"), (2, None, "no facts")]
     assert plan_checks.salvaged(t[0], t[3]).count() == 0
+
+
+def rungs(spark, questions, reports):
+    q = spark.createDataFrame(questions, "q long, tickers array<string>, years array<int>, scope string")
+    r = spark.createDataFrame(reports, "report_id string, ticker string, year int, scope string")
+    return sorted((tuple(x) for x in gate.fallback(q, r, "q").collect()), key=repr)
+
+
+def test_rungs_of_the_gate(spark):
+    reports = [("a", "A", 2020, "separate"), ("b", "A", 2020, None), ("c", "A", None, "separate"), ("d", "B", 2021, "separate"), ("d2", "B", 2021, "separate")]
+    ask = [
+        (1, ["A", "A"], [2020], "separate"),
+        (2, ["A"], [2020], "consolidated"),
+        (3, ["A"], [1999], "separate"),
+        (4, ["X"], [2021, 2020, 1999], "separate"),
+        (5, [], [1999], None),
+        (6, ["A", "B"], [2021], "separate"),
+        (7, None, None, None),
+        (8, ["A"], [2020], None),
+    ]
+    got = {}
+    for q, report, stage, year in rungs(spark, ask, reports):
+        got.setdefault((q, stage), set()).add(report or year)
+    assert got == {
+        (1, "ticker_year_scope"): {"a"}, (2, "ticker_year"): {"a", "b"}, (3, "ticker"): {"a", "b", "c"}, (4, "year"): {2020, 2021}, (5, "all"): {None},
+        (6, "ticker_year_scope"): {"d", "d2"}, (7, "all"): {None}, (8, "ticker_year"): {"a", "b"},
+    }
+    assert rungs(spark, ask[:1], []) == [(1, None, "all", None)] and rungs(spark, [], reports) == []
+
+
+def test_packages_of_any_size(spark, tmp_path):
+    answers = spark.range(120_000).selectExpr("id", "concat('é', id) AS answer").repartition(6)
+    tables = spark.createDataFrame([("t1", "a,b\n")], "name string, csv string")
+    sinks.write_package(answers, tables, str(tmp_path / "p.zip"))
+    rows, members = sinks.read_package(str(tmp_path / "p.zip"), 120_000)
+    assert {r["id"] for r in rows} == set(range(120_000)) and members == ["data/tables/t1.csv"]
+    sinks.write_package(answers.limit(0), tables.limit(0), str(tmp_path / "e.zip"))
+    assert sinks.read_package(str(tmp_path / "e.zip")) == ([], [])
