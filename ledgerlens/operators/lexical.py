@@ -8,33 +8,36 @@ from pyspark.sql.window import Window
 
 K1, B = 1.2, 0.75
 RRF_OFFSET = 60
+#: Weights of terms are added in steps of 1 / STEPS.
+STEPS = 1 << 40
 
 
 def bm25_hits(questions: DataFrame, rows: DataFrame, gate: list[str], qid: str, row: str, query_tokens: str, row_tokens: str) -> DataFrame:
     """(qid, row, bm25) of the rows in a question's slice that hold a term of it; all others have score 0.
 
     The slice are the rows that agree with the question on the ``gate`` columns; without any, all rows. Row count,
-    document frequencies and mean length (of one token at least) are those of the slice. Query terms count once and
-    are summed in sorted order, so scores don't depend on partitions.
+    document frequencies and mean length (of one token at least) are those of the slice. Query terms count once; weights
+    are summed in whole steps of 1 / STEPS, so scores don't depend on partitions.
 
     Scale: statistics are aggregated by gate and term before they meet questions; only rows' terms that some question
-    of the slice asks for are joined.
+    of the slice asks for are shuffled, once, by row. Terms are counted and scores summed where their row is, as questions
+    and frequencies come to them by broadcast while they are small.
     """
     held = rows.join(questions.select(*gate).distinct(), gate, "left_semi") if gate else rows
     size = held.groupBy(*gate).agg(F.count("*").alias("__rows"), F.avg(F.greatest(F.size(row_tokens), F.lit(1))).alias("__mean"))
     terms = questions.select(qid, *gate, F.explode(F.array_distinct(query_tokens)).alias("__term"))
     asked = terms.select(*gate, "__term").distinct()
     counts = held.select(*gate, F.col(row), F.size(row_tokens).alias("__len"), F.explode(row_tokens).alias("__term")).join(asked, [*gate, "__term"], "left_semi")
-    counts = counts.groupBy(*gate, row, "__len", "__term").agg(F.count("*").alias("__tf"))
+    counts = counts.repartition(row).groupBy(*gate, row, "__len", "__term").agg(F.count("*").alias("__tf"))
     often = counts.groupBy(*gate, "__term").agg(F.count("*").alias("__df"))
     whole = None if gate else size.first()  # one row, as constants
     sized = lambda df: df.join(size, gate) if gate else df.withColumns({c: F.lit(whole[c]) for c in ("__rows", "__mean")})
     idf = F.ln(1 + (F.col("__rows") - F.col("__df") + 0.5) / (F.col("__df") + 0.5))
     long = K1 * (1 - B + B * F.col("__len") / F.greatest("__mean", F.lit(1.0)))
     weight = idf * F.col("__tf") * (K1 + 1) / (F.col("__tf") + long)
-    weighted = counts.join(often, [*gate, "__term"]).transform(sized).select(*gate, row, "__term", weight.alias("__w"))
-    hits = terms.join(weighted, [*gate, "__term"]).groupBy(qid, row).agg(F.sort_array(F.collect_list(F.struct("__term", "__w"))).alias("__hits"))
-    return hits.select(qid, row, F.aggregate("__hits", F.lit(0.0), lambda a, x: a + x["__w"]).alias("bm25"))
+    weighted = counts.join(often, [*gate, "__term"]).transform(sized).select(*gate, row, "__term", F.round(weight * STEPS).cast("long").alias("__w"))
+    hits = weighted.join(terms, [*gate, "__term"]).groupBy(qid, row).agg(F.sum("__w").alias("__w"))
+    return hits.select(qid, row, (F.col("__w") / STEPS).alias("bm25"))
 
 
 def bm25(questions: DataFrame, rows: DataFrame, gate: list[str], qid: str, row: str, query_tokens: str, row_tokens: str) -> DataFrame:
