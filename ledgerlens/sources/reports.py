@@ -21,13 +21,63 @@ def questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def companies(spark: SparkSession, path: str) -> DataFrame:
-    """ticker and name by place in a CSV with a header; rows with fewer columns are skipped, the last of a ticker wins."""
-    raw = spark.read.csv(path, header=False, encoding="UTF-8").withColumn("n", F.monotonically_increasing_id())
-    ticker = F.upper(F.trim(F.regexp_replace("_c0", "^﻿", "")))
-    rows = raw.filter("n > 0 AND _c1 IS NOT NULL").select(ticker.alias("ticker"), F.trim("_c1").alias("name"), "n")
+    """ticker and name by place in CSV files, each with a header; rows with fewer columns are skipped, the last of a ticker wins."""
+    raw = spark.read.csv(path, header=True, encoding="UTF-8")
+    if len(raw.columns) < 2:
+        return spark.createDataFrame([], "ticker string, name string")
+    raw = raw.toDF("_c0", "_c1", *[f"_c{i}" for i in range(2, len(raw.columns))]).withColumn("n", F.monotonically_increasing_id())
+    rows = raw.filter("_c0 IS NOT NULL AND _c1 IS NOT NULL").select(F.upper(F.trim("_c0")).alias("ticker"), F.trim("_c1").alias("name"), "n")
     return rows.groupBy("ticker").agg(F.max_by("name", "n").alias("name"))
 
 
+MARKER, SUFFIX = "financial_statements", "_extracted.txt"
+SCOPE = r"(?i)_(consolidated|separate|aggregated)(?:_\d+)?$"
+#: Reports that a lookup names to the scan; beyond it, the places meet all reports by a join.
+MOST_NAMED = 2000
+
+
+def identities(spark: SparkSession, root: str) -> DataFrame:
+    """(report_id, ticker, year, scope, path, reject) of every report file below root/financial_statements/ticker/year/report, by its path.
+
+    No file is opened. path is relative to the root; a path of another shape has its reason in reject, and only what could be read.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    base = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{SUFFIX}").load(root).select("path")
+    path = F.expr(f"substring(path, {len(base) + 2})")
+    parts = files.select(path.alias("path"), F.split(path, "/").alias("p")).withColumn("m", F.array_position("p", MARKER).cast("int"))
+    part = lambda i: F.when(F.col("m") > 0, F.get("p", F.col("m") + i))
+    year = part(1).try_cast("int")
+    reject = F.when(F.col("m") == 0, f"no folder {MARKER}").when(part(2).isNull(), "no ticker, year and report").when(year.isNull(), "the year is no number")
+    scope = F.lower(F.regexp_extract(part(2), SCOPE, 1))
+    name = F.element_at("p", -1)
+    return parts.select(
+        F.left(name, F.length(name) - len(SUFFIX)).alias("report_id"),
+        part(0).alias("ticker"),
+        year.alias("year"),
+        F.when(scope == "", "unclassified").otherwise(scope).alias("scope"),
+        "path",
+        reject.alias("reject"),
+    )
+
+
+def tables_at(spark: SparkSession, root: str, places: DataFrame) -> DataFrame:
+    """(report_id, line, found, page, rows, before): the tables that begin at given lines of given reports; found is false where none does.
+
+    places: report_id, line. Of up to MOST_NAMED reports only their own files are opened, as their names prune the scan.
+    """
+    asked = places.select("report_id", F.col("line").cast("int").alias("line")).distinct()
+    named = [r[0] for r in asked.select("report_id").distinct().limit(MOST_NAMED + 1).collect()]
+    texts = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=f"*{SUFFIX}")
+    if len(named) <= MOST_NAMED:
+        texts = texts.filter(F.col("_metadata.file_name").isin([f"{n}{SUFFIX}" for n in named]))
+    name = F.col("_metadata.file_name")
+    texts = texts.select(F.left(name, F.length(name) - len(SUFFIX)).alias("doc_id"), F.col("value").alias("text"))
+    texts = texts.join(asked.select(F.col("report_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    found = tables(texts).select("report_id", F.col("start_line").alias("line"), F.lit(True).alias("found"), "page", "rows", "before")
+    return asked.join(found, ["report_id", "line"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def reports(spark: SparkSession, root: str) -> DataFrame:
     """One row per report text below root/ticker/year/report/: ids, scope, path, text, and the count of tables where reports share issuer, year and scope."""
     raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*_extracted.txt").select("value", F.col("_metadata.file_path").alias("path"))
