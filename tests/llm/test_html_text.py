@@ -99,3 +99,55 @@ def test_clashing_columns_and_kept_html(spark):
     df = spark.createDataFrame([("u", f"<p>{LONG}</p>", "old", 3)], "__html string, html string, text string, n_chars int")
     assert [r.asDict() for r in extract(df).collect()] == [{"__html": "u", "text": LONG.strip(), "n_chars": len(LONG.strip())}]
     assert extract(df, keep=["html", "text"]).columns == ["html", "text", "n_chars"]
+
+
+STORY = f"<h1>Title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p>"
+TOLD = ["Title", LONG.strip(), "Short.", LONG.strip()]
+
+
+def test_pages_without_body_and_unclosed_menus():
+    assert main_text(f"<html><head><title>t</title><meta charset=x><h1>Title</h1><p>{LONG}</p>") == f"Title\n\n{LONG.strip()}"
+    assert main_text(f"<html><head><title>t</title></head><article>{STORY}</article></html>").split("\n\n") == TOLD
+    assert main_text("<head>text in a head") == "text in a head"
+    for tag in ("nav", "aside", "header", "footer", "menu"):
+        for inner in (f"<article>{STORY}</article>", f"<div>{STORY}</div>"):
+            links = '<ul><li><a href="/">Home</a></li><li><a href="/b">Other pages</a></li></ul>'
+            assert main_text(f"<body><{tag}>{links}{inner}<footer><p>{LONG}</p></footer></body>").split("\n\n") == TOLD, (tag, inner)
+    assert main_text(f"<nav><h1>Menu</h1><p>{LONG}</p></nav>") == ""
+    assert main_text(page(f"<aside><article>{STORY}{STORY}</article></aside><div>{STORY}</div>")).split("\n\n") == TOLD
+
+
+def test_forms_around_pages_of_divs():
+    assert main_text(f"<form action='/'><div>{LONG}</div><div>{LONG}</div><input></form>") == f"{LONG.strip()}\n\n{LONG.strip()}"
+    assert main_text("<form><div>Name</div><input><div>Mail</div><input></form>") == ""
+
+
+def test_lead_and_tail_beside_the_body():
+    story = f"<div class='story'><div class='lead'><p>{LONG}</p></div><div class='text'>{f'<p>{LONG}</p>' * 8}</div><div class='last'><p>{LONG}</p></div></div>"
+    assert main_text(page(f"<div class='layout'>{story}</div>")).split("\n\n") == [LONG.strip()] * 10
+
+
+def test_linked_paragraphs_stay():
+    story = f"<h1>Title</h1><p>{LONG}</p><p><a href='/x'>This paragraph is a link</a></p><p>{LONG}</p>"
+    for around in ("div", "article"):
+        assert main_text(page(f"<{around}>{story}</{around}>")).split("\n\n") == ["Title", LONG.strip(), "This paragraph is a link", LONG.strip()]
+
+
+def test_class_words_do_not_decide_within_the_cluster():
+    odd = f"<div class='social-history'><p>{LONG}</p></div><p class='notice-period'>The period of notice.</p><table id='related-parties'><tr><td>Parties</td><td>Sums</td></tr></table>"
+    for around in ("div", "article"):
+        got = main_text(page(f"<{around}><h1>Title</h1><p>{LONG}</p>{odd}<p>{LONG}</p></{around}>")).split("\n\n")
+        assert got == ["Title", LONG.strip(), LONG.strip(), "The period of notice.", "Parties", "Sums", LONG.strip()], around
+    outside = f"<div class='promo-carousel'><p>{LONG}</p></div>"
+    for around in ("div", "article"):
+        assert main_text(page(f"{outside}<{around}>{STORY}</{around}>{outside}")).split("\n\n") == TOLD
+
+
+def test_rows_of_links_and_copyright_lines_go():
+    share = "<div>Share: <a href='/f'>Facebook</a> <a href='/t'>Twitter</a></div>"
+    after = "<div><a href='/n'>Next article</a></div>"
+    for around in ("div", "article"):
+        for end in (share + after, share, "<p>&copy; 2020 Someone</p>", "<p>Copyright 2020 Someone. All rights reserved.</p>"):
+            assert main_text(page(f"<{around}>{STORY}{end}</{around}>")).split("\n\n") == TOLD, (around, end)
+    listed = f"<article>{STORY}<ul><li><a href='/1'>One source</a></li></ul><p>Copyright law is old.</p></article>"
+    assert main_text(page(listed)).split("\n\n") == [*TOLD, "One source", "Copyright law is old."]
