@@ -8,8 +8,9 @@ is as long as can be and has its place in both.
 
 The benchmark goes to the executors in parts of at most about PART_WORDS words, one after the other, with one pass over
 the documents for each part; an ordinary benchmark is one part. A pass has no shuffle, so neither hot sources nor
-copies matter; memory is bounded by a batch, a shard and a part, also in the driver. Only with several parts are their
-matches gathered, by row. A worker process prepares a part once.
+copies matter; memory is bounded by a batch, a shard and a part, also in the driver. Parts after the first write the
+matches of the rows that they hit and nothing of any other row; these join the first part's rows once. A worker
+process prepares a part once.
 """
 
 from __future__ import annotations
@@ -209,13 +210,20 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
         return _pass(chosen, keep, [tuple(r) for r in items.collect()], window)
     row = unused([*keep, "n_words", "matches", *chosen.columns], "row")
     chosen = materialize(chosen.select(F.monotonically_increasing_id().alias(row), *chosen.columns))
-    every = None
-    for p in range(parts):
-        part = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == p).collect()]
-        found = materialize(_pass(chosen, [row, *keep], part, window))
-        every = found if every is None else every.unionByName(found)
-    gathered = every.groupBy(row).agg(*[F.first(c).alias(c) for c in keep], F.first("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
-    return gathered.drop(row)
+
+    def part(p: int) -> list[tuple[str, str]]:
+        return [tuple(r) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == p).collect()]
+
+    first = _pass(chosen, [row, *keep], part(0), window)
+    others = unused([*first.columns], "others")
+    hits = None
+    for p in range(1, parts):
+        found = _pass(chosen.select(row, chosen.columns[-1]), [row], part(p), window)
+        found = materialize(found.filter(F.size("matches") > 0).select(row, F.col("matches").alias(others)))
+        hits = found if hits is None else hits.unionByName(found)
+    hits = hits.groupBy(row).agg(F.flatten(F.collect_list(others)).alias(others))
+    both = F.concat("matches", F.coalesce(F.col(others), F.array().cast(T.ArrayType(MATCH))))
+    return first.join(hits, row, "left").select(*keep, "n_words", both.alias("matches"))
 
 
 def hit_words(matches) -> F.Column:

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import constants
+from .common import ascii_lower, constants
 
 #: Words between the starts of blocks; more if a template is longer.
 BLOCK = 32
@@ -67,8 +67,8 @@ def _any(strings: Iterable[str]) -> str:
 
 
 def spaced(text: Column) -> Column:
-    """The words of a text with one blank before and after each; one blank if there are none."""
-    return F.regexp_replace(F.concat(F.lit(" "), F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(" ")), _OTHER, " ")
+    """The words of a text, A-Z lower-cased, with one blank before and after each; one blank if there are none."""
+    return F.regexp_replace(F.concat(F.lit(" "), ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(" ")), _OTHER, " ")
 
 
 def _count(c: Column, part: str) -> Column:

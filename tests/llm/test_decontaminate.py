@@ -72,3 +72,32 @@ def test_empty_tables_and_remove(spark):
     left = dc.remove(df, spark.createDataFrame([(None, "B")], "item_id long, text string"))
     assert left.columns == df.columns
     assert sorted(map(str, left.collect())) == sorted(map(str, [r for r in df.collect() if r.text != "a b c"]))
+
+
+def test_longest_match_over_several_windows_has_its_place(spark):
+    text = [f"w{i}" for i in range(60)]
+    item = ["q", *text[5:42], "r"]
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(text[:14])), (3, "none of it")], "doc_id long, text string")
+    bench = spark.createDataFrame([("a", " ".join(item)), ("b", " ".join(text[20:35]))], "item_id string, text string")
+    for part_words in (dc.PART_WORDS, 10):
+        got = {r.doc_id: sorted(map(tuple, r.matches)) for r in dc.find(docs, bench, part_words=part_words).collect()}
+        assert got == {1: [("a", 1, 5, 37), ("b", 0, 20, 15)], 2: [], 3: []}, part_words
+
+
+def test_later_parts_write_hit_rows_only(spark, monkeypatch):
+    written = []
+
+    def counted(df):
+        out = materialize(df)
+        written.append((out.columns, out.count()))
+        return out
+
+    materialize = dc.materialize
+    monkeypatch.setattr(dc, "materialize", counted)
+    items = [(str(i), " ".join(f"i{i}w{k}" for k in range(12))) for i in range(40)]
+    docs = spark.createDataFrame([(i, items[i][1] if i < 40 else f"clean text {i}", "x") for i in range(400)], "doc_id long, text string, more string")
+    got = dc.find(docs, spark.createDataFrame(items, "item_id string, text string"), part_words=400).collect()
+    assert sorted((r.doc_id, [m["item"] for m in r.matches]) for r in got) == [(i, [str(i)] if i < 40 else []) for i in range(400)]
+    corpus_copy, *parts = written
+    assert corpus_copy[1] == 400 and len(parts) >= 1
+    assert sum(n for _, n in parts) <= 40 and all(len(columns) == 2 for columns, _ in parts)

@@ -2,8 +2,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerlens.llm.licenses import Template, scan
+from ledgerlens.llm.licenses import Template, scan, spaced
 from ledgerlens.llm.queries_op4 import PHRASES, TEMPLATES
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -88,3 +89,8 @@ def test_columns_with_clashing_names_are_kept_or_replaced(spark):
     got = scan(df, TEMPLATES, PHRASES, names).collect()
     assert sorted((r.key or "", r.own or "", r.n_words, r.labels) for r in got) == [("", "", 0, ""), ("x", "x", 2, "cc-by")]
     assert len(set(got[0].asDict())) == len(got[0])
+
+
+def test_only_ascii_letters_are_lowered(spark):
+    words = [r.w for r in spark.createDataFrame([("CC BY Kelvin ÉTÉ İx",), (None,)], "t string").select(spaced(F.col("t")).alias("w")).collect()]
+    assert words == [" cc by Kelvin ÉtÉ İx ", " "]
