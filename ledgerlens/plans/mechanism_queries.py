@@ -1,11 +1,11 @@
-"""Packed batches, JSON in noisy text, and checks of plans, over documents and line items."""
+"""Packed batches, JSON in noisy text, checks of plans, and prompts within a budget, over documents and line items."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions.json_text import first_json_object
-from ..operators import manifests, packing, plan_checks
+from ..operators import manifests, packing, plan_checks, prompting
 from .lexical_queries import table
 
 QUERIES: dict = {}
@@ -125,3 +125,50 @@ def manifest_problems(spark, d):
     lost = made.filter("shard = 1").withColumn("shard", F.lit(99).cast("long"))
     changed = line.withColumn("score", F.expr("if(shard > 1 and qid % 500 = 3, score + 1, score)"))
     return manifests.problems(pairs, changed, made.unionByName(lost))
+
+
+PROMPT_CHARS = 6000
+_LIMITS = prompting.limits()
+_SIZE = "sum(length(header) + coalesce(list_sum(list_transform(lines[1:{k}], lambda x: length(x) + 1)), 0)) + 2 * (count(*) - 1)"
+_MASK = "CASE WHEN regexp_full_match(trim({c}), '(19|20)[0-9]{{2}}') THEN {c} ELSE regexp_replace({c}, '[0-9][0-9.,]*', '<NUM>', 'g') END"
+
+
+def _question(qid):
+    return F.concat(F.lit("Returned parts of supplier "), qid.cast("string"), F.repeat(F.lit("?"), (qid * 397 % 5900).cast("int")))
+
+
+def _evidence(spark, d):
+    """A request for each supplier, whose tables are the line items of a year."""
+    line = table(spark, d, "lineitem")
+    year = F.year("l_shipdate")
+    whole = lambda c: F.col(c).cast("long").cast("string")
+    state = F.when(F.col("l_returnflag") == "R", "Returned").when(F.col("l_returnflag") == "A", "Accepted").otherwise("None")
+    cells = F.array(F.concat_ws(" ", F.lit("Part"), whole("l_partkey"), state), whole("l_quantity"), whole("l_extendedprice"), year.cast("string"))
+    row = F.struct("l_orderkey", "l_linenumber", cells.alias("cells"))
+    grids = line.groupBy(F.col("l_suppkey").alias("qid"), year.cast("long").alias("place")).agg(F.transform(F.sort_array(F.collect_list(row)), lambda r: r["cells"]).alias("grid"))
+    asked = F.array(F.lit("returned"), (F.col("qid") % 40 + 10).cast("string"))
+    columns = F.array(F.lit("Line"), F.lit("Quantity"), F.lit("Price"), F.lit("Year"))
+    return grids.select("qid", "place", F.concat(F.lit("df"), F.col("place").cast("string")).alias("variable"), F.concat(F.lit("Shipped in "), F.col("place").cast("string")).alias("title"), columns.alias("columns"), "grid", asked.alias("asked"))
+
+
+@query(f"""WITH r AS (SELECT l_suppkey AS qid, year(l_shipdate)::BIGINT AS place, row_number() OVER (PARTITION BY l_suppkey, year(l_shipdate) ORDER BY l_orderkey, l_linenumber, l_partkey::VARCHAR, CASE l_returnflag WHEN 'R' THEN 'Returned' WHEN 'A' THEN 'Accepted' ELSE 'None' END, trunc(l_quantity)::BIGINT::VARCHAR, trunc(l_extendedprice)::BIGINT::VARCHAR) - 1 AS i,
+['Part ' || l_partkey || ' ' || CASE l_returnflag WHEN 'R' THEN 'Returned' WHEN 'A' THEN 'Accepted' ELSE 'None' END, trunc(l_quantity)::BIGINT::VARCHAR, trunc(l_extendedprice)::BIGINT::VARCHAR, year(l_shipdate)::VARCHAR] AS cells FROM lineitem),
+h AS (SELECT *, len(list_intersect(['returned', (qid % 40 + 10)::VARCHAR], regexp_extract_all(lower(array_to_string(cells, ' ')), '[a-z0-9%]{{2,}}'))) AS hits, max(i) OVER (PARTITION BY qid, place) AS top FROM r),
+k AS (SELECT *, row_number() OVER (PARTITION BY qid, place ORDER BY hits DESC, i DESC) AS n FROM h),
+seeds AS (SELECT qid, place, top, i, n AS spot FROM k WHERE n <= 10 UNION ALL SELECT qid, place, top, i, 11 + i FROM k WHERE i < 3),
+near AS (SELECT qid, place, i + o AS i, min(spot * 3 + o) AS spot FROM seeds, (SELECT unnest([-1, 0, 1]) AS o) WHERE i + o BETWEEN 0 AND top GROUP BY ALL),
+shown AS (SELECT qid, place, i FROM near QUALIFY row_number() OVER (PARTITION BY qid, place ORDER BY spot) <= 14),
+t AS (SELECT qid, place, 'TABLE df' || place || ' | Shipped in ' || place || chr(10) || 'COLUMNS 0:Line | 1:Quantity | 2:Price | 3:Year' AS header,
+list('ROW ' || i || ' | ' || array_to_string(list_transform(cells, lambda c, j: (j - 1) || ':' || {_MASK.format(c="c")}), ' | ') ORDER BY i) AS lines, list(i ORDER BY i) AS rows FROM shown JOIN r USING (qid, place, i) GROUP BY qid, place),
+q AS (SELECT *, 'Returned parts of supplier ' || qid || repeat('?', (qid * 397 % 5900)::INT) AS question FROM t),
+g AS (SELECT qid, any_value({PROMPT_CHARS} - length(question)) AS budget, {", ".join(_SIZE.format(k=k) + f" AS s{k}" for k in _LIMITS)} FROM q GROUP BY qid),
+c AS (SELECT qid, budget, CASE {" ".join(f"WHEN s{k} <= budget THEN {k}" for k in _LIMITS)} ELSE {_LIMITS[-1]} END AS row_limit FROM g),
+x AS (SELECT qid, any_value(question) AS question, any_value(budget) AS budget, any_value(row_limit) AS row_limit, sum(len(rows[1:row_limit])) AS n_rows, string_agg(array_to_string([header] || lines[1:row_limit], chr(10)), chr(10) || chr(10) ORDER BY place) AS context FROM q JOIN c USING (qid) GROUP BY qid)
+SELECT qid, row_limit, n_rows::BIGINT AS n_rows, length(context)::BIGINT AS n_chars, length(context) <= budget AS fits, md5(context) AS digest, CASE WHEN length(context) <= budget THEN sha256(question || context) END AS prompt_sha256 FROM x""")
+def budgeted_prompts(spark, d):
+    """Prompts of all suppliers over their line items; questions of different lengths leave different room."""
+    question = _question(F.col("qid"))
+    made = prompting.contexts(_evidence(spark, d), "qid", prompting.room(PROMPT_CHARS, question))
+    rows = F.aggregate("visible", F.lit(0).cast("long"), lambda s, v: s + F.size(v["rows"]))
+    out = prompting.with_prompt(made, question, F.lit(""))
+    return out.select("qid", "row_limit", rows.alias("n_rows"), F.col("n_chars").cast("long").alias("n_chars"), "fits", F.md5("context").alias("digest"), "prompt_sha256")
