@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 NUMBER = r"[+-]?\d[\d.,]*"
 WHOLE_CELL = r"^\s*\(?[+-]?\d[\d.,]*\)?%?\s*$"
 GROUPED = r"\d{1,3}([.,]\d{3})+(?!\d)"
@@ -31,11 +33,14 @@ def ocr_number(cell: Column) -> Column:
     """
     n = F.nullif(F.regexp_extract(F.replace(F.replace(cell, F.lit("("), F.lit("-")), F.lit(")"), F.lit("")), NUMBER, 0), F.lit(""))
     drop = lambda c, s: F.replace(c, F.lit(s), F.lit(""))
-    groups = lambda s: (_occurs(n, s) > 1) | n.rlike(rf"\{s}[^{s}]{{3}}$")
-    point = F.replace(n, F.lit(","), F.lit("."))
-    plain = F.when(F.contains(n, F.lit(",")) & F.contains(n, F.lit(".")), F.replace(drop(n, "."), F.lit(","), F.lit(".")))
-    plain = plain.when(groups("."), drop(n, ".")).when(groups(","), drop(n, ",")).otherwise(point)
-    return plain.try_cast("double")
+    groups = lambda n, s: (_occurs(n, s) > 1) | n.rlike(rf"\{s}[^{s}]{{3}}$")
+
+    def plain(n: Column) -> Column:
+        point = F.replace(n, F.lit(","), F.lit("."))
+        both = F.when(F.contains(n, F.lit(",")) & F.contains(n, F.lit(".")), F.replace(drop(n, "."), F.lit(","), F.lit(".")))
+        return both.when(groups(n, "."), drop(n, ".")).when(groups(n, ","), drop(n, ",")).otherwise(point)
+
+    return let(n, plain).try_cast("double")
 
 
 def strict_number(cell: Column) -> Column:
@@ -103,12 +108,12 @@ def first_numeric(cells: Column, headers: Column) -> Column:
         return F.when(cell.rlike(GROUPED), 0).when(F.abs(value) >= 1000, 1).when(F.contains(cell, F.lit("%")) | (value != F.floor(value)), 2).otherwise(3)
 
     def cell(c: Column, i: Column) -> Column:
-        value = ocr_number(c)
         skip = F.coalesce(F.get(headers, i), F.lit("")).rlike("|".join(SKIPPED_HEADERS))
-        return F.when((i > 0) & ~skip & value.isNotNull(), F.struct(kind(c, value).alias("kind"), i.alias("column"), value.alias("value")))
+        found = lambda value: F.when(value.isNotNull(), F.struct(kind(c, value).alias("kind"), i.alias("column"), value.alias("value")))
+        return F.when((i > 0) & ~skip, let(ocr_number(c), found))
 
     best = F.array_min(F.array_compact(F.transform(cells, cell)))
-    return F.when(best.isNotNull(), F.struct(best["column"].alias("column"), best["value"].alias("value")))
+    return let(best, lambda b: F.when(b.isNotNull(), F.struct(b["column"].alias("column"), b["value"].alias("value"))))
 
 
 def present(value: Column, question: Column, relative: Column) -> Column:

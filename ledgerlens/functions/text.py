@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -35,6 +36,11 @@ def _bare() -> tuple[str, str]:
     return "".join(source) + "đĐ", "".join(target) + "dD"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row. Inside higher-order functions Spark computes a repeated expression at every mention."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_marks(c: Column) -> Column:
     """Without diacritics; đ becomes d. One translate over precomposed letters after dropping loose marks."""
     source, target = _bare()
