@@ -34,7 +34,7 @@ def statement_rows(grids: DataFrame, report: str, line: str, grid: str) -> DataF
     row has a code or note. A cell of the code column counts if it is all digits, one of the note column if it has a note's form.
     """
     t = grids.select(F.col(report).alias("report"), F.col(line).alias("line"), F.col(grid).alias("__g"))
-    t = t.withColumn("__c", code_column(F.col("__g"))).withColumn("__n", note_column(F.col("__g")))
+    t = t.withColumn("__c", code_column(F.col("__g"))).withColumn("__n", note_column(F.col("__g"), F.col("__c")))
     t = t.select("report", "line", "__c", "__n", F.posexplode("__g").alias("row", "__r"))
     text = F.filter(F.transform("__r", lambda c, i: F.when(~(i.eqNullSafe(F.col("__c")) | i.eqNullSafe(F.col("__n"))) & ~c.rlike(r"^\(?-?\d[\d.,\s]*%?\)?$"), F.trim(c))), lambda x: x.isNotNull() & (x != ""))
     cell = lambda at: F.when(F.col("__c").isNotNull(), F.trim(F.get("__r", F.col(at))))

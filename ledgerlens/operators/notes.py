@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import let
 from .structure import words
 
 # Forms of account codes, note numbers and note headings.
@@ -23,13 +24,13 @@ def _headed(grid: Column, label: str) -> Column:
 def code_column(grid: Column) -> Column:
     """The column headed as code, else the first with three or more codes in the first thirty rows; null without one."""
     coded = F.flatten(F.transform(F.slice(grid, 1, 30), lambda r: F.array_compact(F.transform(r, lambda c, i: F.when(F.trim(c).rlike(CODE), i)))))
-    often = F.filter(F.array_distinct(coded), lambda i: F.size(F.filter(coded, lambda j: j == i)) >= 3)
-    return F.coalesce(_headed(grid, "ma so"), F.array_min(often))
+    often = lambda held: F.filter(F.array_distinct(held), lambda i: F.size(F.filter(held, lambda j: j == i)) >= 3)
+    return F.coalesce(_headed(grid, "ma so"), F.array_min(let(coded, often)))
 
 
-def note_column(grid: Column) -> Column:
-    """The column headed as note, else the one after the codes."""
-    return F.coalesce(_headed(grid, "thuyet minh"), code_column(grid) + 1)
+def note_column(grid: Column, code: Column | None = None) -> Column:
+    """The column headed as note, else the one after the codes (``code``, where it is known)."""
+    return F.coalesce(_headed(grid, "thuyet minh"), (code_column(grid) if code is None else code) + 1)
 
 
 def normalized_note(c: Column) -> Column:
@@ -39,7 +40,7 @@ def normalized_note(c: Column) -> Column:
 
 def row_notes(tables: DataFrame, key: list[str], grid: str) -> DataFrame:
     """(key, row, label, note): the rows that point to a note."""
-    t = tables.withColumn("__c", code_column(F.col(grid))).withColumn("__n", note_column(F.col(grid))).select(*key, "__c", "__n", F.posexplode(grid).alias("row", "__r"))
+    t = tables.withColumn("__c", code_column(F.col(grid))).withColumn("__n", note_column(F.col(grid), F.col("__c"))).select(*key, "__c", "__n", F.posexplode(grid).alias("row", "__r"))
     text = F.filter(F.transform("__r", lambda c, i: F.when(~(i.eqNullSafe(F.col("__c")) | i.eqNullSafe(F.col("__n"))) & ~c.rlike(r"^\(?-?\d[\d.,\s]*%?\)?$"), F.trim(c))), lambda x: x.isNotNull() & (x != ""))
     cell = F.trim(F.get("__r", F.col("__n")))
     return t.select(*key, "row", F.array_join(text, " ").alias("label"), F.when(cell.rlike(NOTE), normalized_note(cell)).alias("note")).filter("note IS NOT NULL")

@@ -157,10 +157,10 @@ def statement_row_notes(spark, d):
     lit = lambda *x: F.array(*[v if not isinstance(v, str) else F.lit(v) for v in x])
     ref = F.concat(F.lit("V.0"), F.expr("c_custkey % 9 + 1"))
     g = F.array(lit("Chỉ tiêu", "x", "y", "2024"), lit("Tiền", "110", ref, "1.000"), lit("Hàng", "140", "", "2.000"), lit("Vốn", "411a", "xem", "3.000"))
-    t = table(spark, d, "customer").select("c_custkey", g.alias("grid"))
-    found = notes.row_notes(t, ["c_custkey"], "grid")
-    at = t.select("c_custkey", notes.code_column(F.col("grid")).cast("long").alias("code"), notes.note_column(F.col("grid")).cast("long").alias("note"))
-    return at.join(found.select("c_custkey", "label", F.col("note").alias("ref")), "c_custkey")
+    t = table(spark, d, "customer").select("c_custkey", g.alias("grid")).withColumn("code", notes.code_column(F.col("grid")))
+    t = t.withColumn("at", notes.note_column(F.col("grid"), F.col("code")))
+    found = notes.row_notes(t, ["c_custkey", "code", "at"], "grid")
+    return found.select("c_custkey", F.col("code").cast("long").alias("code"), F.col("at").cast("long").alias("note"), "label", F.col("note").alias("ref"))
 
 
 @query(f"""WITH l AS (SELECT source, array_to_string(t, ' ') AS label, len(t) AS n FROM (SELECT source, {TOK.format("cell")} AS t FROM (SELECT source, unnest(string_split_regex(text, '[.!?]\\s+|\n')) AS cell FROM documents))), k AS (SELECT label, count(DISTINCT source) AS reports FROM l WHERE n BETWEEN 2 AND 8 AND NOT regexp_matches(label, '^[0-9 ]+$') GROUP BY 1 HAVING count(DISTINCT source) >= 2),
