@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import fold_words, let
 
 # Cue phrases of questions (folded Vietnamese).
 SEPARATE_CUES = ["cong ty me", "ngan hang me", "bao cao rieng", "bao cao tai chinh rieng", "bctc rieng", "co so rieng"]
@@ -34,7 +35,8 @@ def _any(text: Column, phrases: list[str]) -> Column:
 
 def _spans(text: Column, pattern: str) -> Column:
     """All years of ranges that a pattern finds, if not too long."""
-    ends = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("b"))
+    found = lambda t: F.arrays_zip(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all(t, F.lit(pattern), F.lit(2)).alias("b"))
+    ends = let(text, found)
     low, high = (lambda x: F.least(x.a.cast("int"), x.b.cast("int"))), (lambda x: F.greatest(x.a.cast("int"), x.b.cast("int")))
     return F.flatten(F.transform(F.filter(ends, lambda x: high(x) - low(x) <= LONGEST_RANGE), lambda x: F.sequence(low(x), high(x))))
 
@@ -45,10 +47,20 @@ def question_years(question: Column, folded: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(single, _spans(folded, RANGE), _spans(question, DASH))))
 
 
+def with_years(questions: DataFrame, question: str) -> DataFrame:
+    """``questions`` with folded and years, which are computed once for all that reads them."""
+    read = questions.withColumn("folded", fold_words(F.col(question)))
+    return read.withColumn("years", question_years(F.col(question), F.col("folded")))
+
+
 def scope(folded: Column) -> Column:
     """separate, consolidated (also without cue) or mixed."""
-    separate, consolidated = _any(folded, SEPARATE_CUES), _any(folded, CONSOLIDATED_CUES)
-    return F.when(separate & consolidated, "mixed").when(separate, "separate").otherwise("consolidated")
+
+    def kind(text: Column) -> Column:
+        separate, consolidated = _any(text, SEPARATE_CUES), _any(text, CONSOLIDATED_CUES)
+        return F.when(separate & consolidated, "mixed").when(separate, "separate").otherwise("consolidated")
+
+    return let(folded, kind)
 
 
 def _places(text: Column, phrases: list[str], kind: str) -> Column:
@@ -56,33 +68,39 @@ def _places(text: Column, phrases: list[str], kind: str) -> Column:
 
     def of(phrase: str) -> Column:
         # the lengths of the text before each occurrence, from the pieces between them
-        pieces = F.split(text, phrase, -1)
-        begin = lambda i: F.struct(F.length(F.array_join(F.slice(pieces, F.lit(1), i), phrase)).alias("at"), F.lit(kind).alias("kind"))
+        begin = lambda pieces, i: F.struct(F.length(F.array_join(F.slice(pieces, F.lit(1), i), phrase)).alias("at"), F.lit(kind).alias("kind"))
+        begins = lambda pieces: F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: begin(pieces, i))
         none = F.array().cast("array<struct<at:int,kind:string>>")
-        return F.when(F.size(pieces) > 1, F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), begin)).otherwise(none)
+        return F.when(F.contains(text, F.lit(phrase)), let(F.split(text, phrase, -1), begins)).otherwise(none)
 
     return F.concat(*map(of, phrases))
 
 
 def scope_of_years(folded: Column, years: Column) -> Column:
     """map<year, scope>; in mixed questions the nearest cue before a year's first place decides, or else the first cue."""
-    cues = _places(folded, SEPARATE_CUES, "separate")
-    cues = F.concat(cues, _places(folded, CONSOLIDATED_CUES, "consolidated"))
-    cues = F.array_sort(cues)
 
-    def one(y: Column) -> Column:
-        place = F.instr(folded, y.cast("string"))
-        place = F.when(place > 0, place - 1).otherwise(F.length(folded))
-        before = F.filter(cues, lambda c: c["at"] <= place)
-        return F.coalesce(F.get(before, F.size(before) - 1)["kind"], F.get(cues, F.lit(0))["kind"])
+    def one(text: Column, cues: Column, y: Column) -> Column:
+        place = F.instr(text, y.cast("string"))
+        place = F.when(place > 0, place - 1).otherwise(F.length(text))
+        nearest = let(F.filter(cues, lambda c: c["at"] <= place), lambda before: F.get(before, F.size(before) - 1)["kind"])
+        return F.coalesce(nearest, F.get(cues, F.lit(0))["kind"])
 
-    kind = scope(folded)
-    return F.map_from_arrays(years, F.transform(years, lambda y: F.when(kind == "mixed", one(y)).otherwise(kind)))
+    def by_year(text: Column, of: Column) -> Column:
+        cues = F.array_sort(F.concat(_places(text, SEPARATE_CUES, "separate"), _places(text, CONSOLIDATED_CUES, "consolidated")))
+        mixed = let(cues, lambda held: F.transform(of, lambda y: one(text, held, y)))
+        plain = lambda kind: F.when(kind == "mixed", mixed).otherwise(F.transform(of, lambda _: kind))
+        return F.map_from_arrays(of, let(scope(text), plain))
+
+    return let(folded, lambda text: let(years, lambda of: by_year(text, of)))
 
 
 def required_years(folded: Column, years: Column) -> Column:
     """The years of the reports that a question needs: its own, then the year before or after where its wording asks for it."""
-    text = F.concat(F.lit(" "), folded, F.lit(" "))
+    padded = F.concat(F.lit(" "), folded, F.lit(" "))
+    return let(padded, lambda text: let(years, lambda named: _required_years(text, named)))
+
+
+def _required_years(text: Column, years: Column) -> Column:
     prior = _any(text, PRIOR_YEAR_CUES) | ((F.size(years) == 1) & _any(text, GROWTH_CUES))
     # the 130 characters from each mention of an average on
     after = F.regexp_extract_all(text, F.lit(r"(?=(binh quan.{0,121}|trung binh.{0,120}))"), F.lit(1))

@@ -66,7 +66,8 @@ YEARS = "(SELECT o_orderkey, year(o_orderdate)::INT AS y, (o_orderkey % 20)::INT
 def year_range_expand(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"), F.expr("cast(o_orderkey % 20 as int)").alias("n"))
     asked = F.when(F.expr("o_orderkey % 2 = 0"), F.concat(F.lit("1990, giai đoạn từ "), F.col("y"), F.lit(" đến năm "), F.col("y") + F.col("n"))).otherwise(F.concat(F.lit("1990 "), F.col("y") + F.col("n"), F.lit(" – "), F.col("y")))
-    return o.select("o_orderkey", F.array_join(gate.question_years(asked, fold_words(asked)).cast("array<string>"), ",").alias("years"))
+    asked = gate.with_years(o.select("o_orderkey", asked.alias("asked")), "asked")
+    return asked.select("o_orderkey", F.array_join(F.col("years").cast("array<string>"), ",").alias("years"))
 
 
 @query(f"SELECT o_orderkey, CASE n % 5 WHEN 0 THEN y || ',' || (y - 1) WHEN 1 THEN y || ',' || (y - 1) WHEN 2 THEN y || ',' || (y + 1) WHEN 3 THEN y || '' ELSE y || ',' || (y + 1) END AS years FROM {YEARS}")
@@ -74,8 +75,8 @@ def required_years(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"), F.expr("cast(o_orderkey % 20 as int)").alias("n"))
     y, z = F.col("y").cast("string"), (F.col("y") + 1).cast("string")
     asked = F.element_at(F.array(F.concat(F.lit("Tăng trưởng năm "), y), F.concat(F.lit("ROE năm "), y, F.lit(" của")), F.concat(F.lit("cuối năm kế tiếp "), y), F.concat(F.lit("Doanh thu "), y), F.concat(F.lit("Từ năm "), y, F.lit(" đến năm "), z, F.lit(" so với năm trước"))), F.expr("n % 5 + 1"))
-    folded = fold_words(asked)
-    return o.select("o_orderkey", F.array_join(gate.required_years(folded, gate.question_years(asked, folded)).cast("array<string>"), ",").alias("years"))
+    asked = gate.with_years(o.select("o_orderkey", asked.alias("asked")), "asked")
+    return asked.select("o_orderkey", F.array_join(gate.required_years(F.col("folded"), F.col("years")).cast("array<string>"), ",").alias("years"))
 
 
 @query(f"SELECT o_orderkey, CASE WHEN n % 3 = 0 THEN (y - 1) || ',' || (y + 1) WHEN n % 3 = 1 THEN (y - 2) || ',' || y ELSE y || '' END AS years FROM {YEARS}")
@@ -91,10 +92,9 @@ def question_scope(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"), F.expr("cast(o_orderkey % 20 as int)").alias("n"))
     y, z = F.col("y").cast("string"), (F.col("y") + 1).cast("string")
     asked = F.element_at(F.array(F.concat(F.lit("Công ty mẹ năm "), y, F.lit(" và hợp nhất năm "), z), F.concat(F.lit("BCTC riêng "), y), F.concat(F.lit("Hợp nhất "), y), y), F.expr("n % 4 + 1"))
-    folded = fold_words(asked)
-    years = gate.question_years(asked, folded)
-    shown = F.array_join(F.transform(F.map_entries(gate.scope_of_years(folded, years)), lambda e: F.concat_ws(":", e.key, e.value)), ",")
-    return o.select("o_orderkey", gate.scope(folded).alias("scope"), shown.alias("by_year"))
+    asked = gate.with_years(o.select("o_orderkey", asked.alias("asked")), "asked")
+    shown = F.array_join(F.transform(F.map_entries(gate.scope_of_years(F.col("folded"), F.col("years"))), lambda e: F.concat_ws(":", e.key, e.value)), ",")
+    return asked.select("o_orderkey", gate.scope(F.col("folded")).alias("scope"), shown.alias("by_year"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'AB' || c_nationkey WHEN c_custkey % 3 = 1 THEN 'AB' || c_nationkey || ',CD1' ELSE 'CD1' END AS tickers FROM customer")

@@ -11,6 +11,6 @@ def plan(spark, name, sf=SF):
     return QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize(("name", "step", "most"), [("first_numeric_cell", "regexp_extract(", 4), ("statement_row_notes", "translate(", 4), ("statement_row_notes", "Join", 0)])
+@pytest.mark.parametrize(("name", "step", "most"), [("first_numeric_cell", "regexp_extract(", 4), ("statement_row_notes", "translate(", 4), ("statement_row_notes", "Join", 0), ("required_years", "translate(", 1), ("question_scope", "translate(", 1), ("year_range_expand", "translate(", 1)])
 def test_repeated_values_are_computed_once(spark, name, step, most):
     assert plan(spark, name).count(step) <= most
