@@ -19,6 +19,8 @@ from ..functions.text import content_words, fold_words, says
 
 #: Companies or aliases that are broadcast; more are joined by shuffles.
 MOST_COMPANIES = 50_000
+#: From this score on a company counts as named; so many of the others are shown.
+EXACT, SHORTLIST = 0.98, 8
 # Wording that lists tickers, words of periods and of entities, wording of counterparties.
 GROUP_CUES = ["ma co phieu", "gom cac cong ty", "nhom"]
 PERIOD_WORDS = ["nam", "quy", "thang", "ngay", "ky", "tai", "cuoi", "dau"]
@@ -69,10 +71,13 @@ def is_small(companies: DataFrame) -> bool:
     return companies.limit(MOST_COMPANIES + 1).count() <= MOST_COMPANIES
 
 
-def entity_scores(questions: DataFrame, companies: DataFrame, qid: str, question: str) -> DataFrame:
+def entity_scores(questions: DataFrame, companies: DataFrame, qid: str, question: str, best: int | None = None) -> DataFrame:
     """(qid, ticker, score, rank): full name 1, own name 0.98, else 0.82 of the shared words and 0.18 of the sequence ratio.
 
-    Ranked by score, then ticker, both falling. Companies that share no word with a question get no row.
+    Ranked by score, then ticker, both falling. Companies that share no word with a question get no row. With ``best``
+    only the first so many and those of EXACT or more are kept, which is all that a decision reads: of the companies of
+    one name no more than the last ``best`` tickers can be among the first ones, so a name that many share isn't
+    spelled out for each question.
     """
     # equal texts and equal names are scored once
     q = questions.select(F.col(question).alias("__t")).distinct().select("__t", fold_words(F.col("__t")).alias("f"), F.array_distinct(content_words(F.col("__t"))).alias("qw"))
@@ -83,19 +88,29 @@ def entity_scores(questions: DataFrame, companies: DataFrame, qid: str, question
     shared = F.size(F.array_intersect("qw", "words")) / F.size(F.array_distinct("words"))
     exact = F.when(F.contains("f", F.col("full")), 1.0).when((F.col("own") != "") & F.contains("f", F.col("own")), 0.98)
     scored = pairs.withColumn("exact", exact).withColumn("ratio", sequence_ratio("own", "f")).select("__t", "name", F.coalesce("exact", 0.82 * shared + 0.18 * F.col("ratio")).alias("score"))
-    scored = scored.join(hint(companies.select("ticker", "name")), "name").groupBy("__t", "ticker").agg(F.max("score").alias("score"))
+    named = companies.select("ticker", "name")
     w = Window.partitionBy("__t").orderBy(F.desc("score"), F.desc("ticker"))
-    ranked = scored.withColumn("rank", F.row_number().over(w).cast("long"))
+    if best is None:
+        held = scored.join(named, "name")
+    else:
+        last = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("ticker")))
+        few = named.distinct().withColumn("__last", last).filter(F.col("__last") <= best).drop("__last")
+        exact = scored.filter(F.col("score") >= EXACT)
+        held = scored.join(few, "name").unionByName(exact.join(named, "name"))
+    each = held.groupBy("__t", "ticker").agg(F.max("score").alias("score"))
+    ranked = each.withColumn("rank", F.row_number().over(w).cast("long"))
+    if best is not None:
+        ranked = ranked.filter((F.col("rank") <= best) | (F.col("score") >= EXACT))
     return questions.select(qid, F.col(question).alias("__t")).join(ranked, "__t").select(qid, "ticker", "score", "rank")
 
 
 def decide_entities(scores: DataFrame, qid: str) -> DataFrame:
     """(qid, tickers, confidence, method, shortlist) from ranked scores: exact names, else one clear fuzzy winner, else none."""
-    exact = F.array_compact(F.transform("s", lambda x: F.when(x.score >= 0.98, x.ticker)))
-    short = F.transform(F.filter(F.slice("s", 1, 8), lambda x: x.score >= 0.32), lambda x: x.ticker)
+    exact = F.array_compact(F.transform("s", lambda x: F.when(x.score >= EXACT, x.ticker)))
+    short = F.transform(F.filter(F.slice("s", 1, SHORTLIST), lambda x: x.score >= 0.32), lambda x: x.ticker)
     # all that is read below: the exact names and the first eight
     place = F.row_number().over(Window.partitionBy(qid).orderBy("rank"))
-    scores = scores.withColumn("__n", place).filter("score >= 0.98 or __n <= 8")
+    scores = scores.withColumn("__n", place).filter((F.col("score") >= EXACT) | (F.col("__n") <= SHORTLIST))
     by = scores.groupBy(qid).agg(F.sort_array(F.collect_list(F.struct("rank", "ticker", "score"))).alias("s"))
     best, second = F.element_at("s", 1)["score"], F.coalesce(F.get("s", F.lit(1))["score"], F.lit(0.0))
     clear = (best >= 0.73) & (best - second >= 0.08)
@@ -144,7 +159,7 @@ def only_counterparty(content: Column, name: Column) -> Column:
 
 def fuzzy_winner(scores: DataFrame, qid: str) -> DataFrame:
     """(qid, tickers, confidence, method, shortlist) from ranked scores alone: one clear winner, or none; the best eight of note."""
-    some = scores.filter("rank <= 8").groupBy(qid).agg(F.sort_array(F.collect_list(F.struct("rank", "ticker", "score"))).alias("s"))
+    some = scores.filter(F.col("rank") <= SHORTLIST).groupBy(qid).agg(F.sort_array(F.collect_list(F.struct("rank", "ticker", "score"))).alias("s"))
     best, second = F.element_at("s", 1), F.coalesce(F.get("s", F.lit(1))["score"], F.lit(0.0))
     clear = (best["score"] >= 0.73) & (best["score"] - second >= 0.08)
     short = F.transform(F.filter("s", lambda x: x.score >= 0.32), lambda x: x.ticker)
@@ -197,7 +212,7 @@ def infer_entities(questions: DataFrame, companies: DataFrame, aliases: DataFram
     sure = found.groupBy(qid).agg(F.transform(order, lambda x: x.ticker).alias("tickers"), F.count("at").alias("n"), F.count("*").alias("of"))
     method = F.when((F.col("n") > 0) & (F.col("n") == F.col("of")), "explicit_ticker").when(F.col("of") == 1, "single_official_name").otherwise("union_all_entity_detectors")
     sure = sure.select(qid, "tickers", F.when(F.col("n") > 0, 1.0).otherwise(0.98).alias("confidence"), method.alias("method"))
-    fuzzy = fuzzy_winner(entity_scores(questions, companies, qid, question), qid)
+    fuzzy = fuzzy_winner(entity_scores(questions, companies, qid, question, SHORTLIST), qid)
     both = questions.select(qid).join(sure, qid, "left").join(fuzzy.select(qid, *[F.col(c).alias(f"__{c}") for c in ("tickers", "confidence", "method", "shortlist")]), qid, "left")
     none = F.array().cast("array<string>")
     return both.select(

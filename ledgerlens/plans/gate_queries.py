@@ -120,7 +120,7 @@ def entity_scores(spark, d):
     companies = part.select(F.concat(F.lit("P"), "p_partkey").alias("ticker"), F.concat("p_name", F.lit(" "), "p_brand").alias("name"))
     asked = part.select("p_partkey", F.concat(F.lit("Price of "), "p_name", F.lit(" "), "p_type").alias("question"))
     texts = asked.select("question").distinct()
-    decided = questions.decide_entities(questions.entity_scores(texts, companies, "question", "question"), "question")
+    decided = questions.decide_entities(questions.entity_scores(texts, companies, "question", "question", questions.SHORTLIST), "question")
     return asked.join(decided, "question").select("p_partkey", F.array_join("tickers", ",").alias("tickers"), F.round("confidence", 6).alias("confidence"), "method", F.array_join("shortlist", ",").alias("shortlist"))
 
 

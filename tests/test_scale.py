@@ -2,6 +2,7 @@
 
 import pytest
 
+from ledgerlens.operators import lexical, questions
 from ledgerlens.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -14,3 +15,16 @@ def plan(spark, name, sf=SF):
 @pytest.mark.parametrize(("name", "step", "most"), [("first_numeric_cell", "regexp_extract(", 4), ("statement_row_notes", "translate(", 4), ("statement_row_notes", "Join", 0), ("required_years", "translate(", 1), ("question_scope", "translate(", 1), ("year_range_expand", "translate(", 1)])
 def test_repeated_values_are_computed_once(spark, name, step, most):
     assert plan(spark, name).count(step) <= most
+
+
+def test_companies_of_one_name_are_not_spelled_out_for_each_question(spark):
+    names = ["Hoa Phat Steel", "Hoa Sen Group", "Nam Kim Steel"]
+    companies = spark.createDataFrame([(f"T{n}{i:02d}", names[n]) for n in range(3) for i in range(40)] + [("T099", "Vinamilk"), ("T299", "Hoa Phat Steel")], "ticker string, name string")
+    asked = spark.createDataFrame([(1, "Price of steel of Hoa Binh"), (2, "Revenue of Hoa Phat Steel"), (3, "Vinamilk and Kim")], "qid int, question string")
+    every = questions.entity_scores(asked, companies, "qid", "question")
+    few = questions.entity_scores(asked, companies, "qid", "question", questions.SHORTLIST)
+    decided = lambda s: sorted(map(tuple, questions.decide_entities(s, "qid").collect()))
+    assert decided(few) == decided(every)
+    kept = few.collect()
+    assert every.count() > 200 and len(kept) == 8 + 41 + 8
+    assert {tuple(r) for r in kept} == {tuple(r) for r in every.filter("rank <= 8 or score >= 0.98").collect()}
