@@ -42,9 +42,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip_marks(c: Column) -> Column:
-    """Without diacritics; đ becomes d. One translate over precomposed letters after dropping loose marks."""
+    """Without diacritics; đ becomes d. One translate over precomposed letters after dropping loose marks, where there are other than ASCII signs."""
     source, target = _bare()
-    return F.translate(F.regexp_replace(c, r"\p{Mn}", ""), source, target)
+    return let(c, lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), F.translate(F.regexp_replace(x, r"\p{Mn}", ""), source, target)).otherwise(x))
 
 
 def folded(c: Column) -> Column:

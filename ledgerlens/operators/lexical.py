@@ -10,6 +10,8 @@ K1, B = 1.2, 0.75
 RRF_OFFSET = 60
 #: Weights of terms are added in steps of 1 / STEPS.
 STEPS = 1 << 40
+#: Pairs of a question and a row that one task holds at a time, and what stands for a row's own count among its terms.
+PAIRS, WHOLE = 1_000_000, "\0"
 
 
 def bm25_hits(questions: DataFrame, rows: DataFrame, gate: list[str], qid: str, row: str, query_tokens: str, row_tokens: str) -> DataFrame:
@@ -21,17 +23,21 @@ def bm25_hits(questions: DataFrame, rows: DataFrame, gate: list[str], qid: str,
 
     Scale: statistics are aggregated by gate and term before they meet questions; only rows' terms that some question
     of the slice asks for are shuffled, once, by row. Terms are counted and scores summed where their row is, as questions
-    and frequencies come to them by broadcast while they are small.
+    and frequencies come to them by broadcast while they are small. There are as many partitions as keep the pairs of
+    one under about PAIRS. A row is tokenized once: with its terms goes one entry WHOLE, of which row count and mean
+    length are made.
     """
     held = rows.join(questions.select(*gate).distinct(), gate, "left_semi") if gate else rows
-    size = held.groupBy(*gate).agg(F.count("*").alias("__rows"), F.avg(F.greatest(F.size(row_tokens), F.lit(1))).alias("__mean"))
     terms = questions.select(qid, *gate, F.explode(F.array_distinct(query_tokens)).alias("__term"))
-    asked = terms.select(*gate, "__term").distinct()
-    counts = held.select(*gate, F.col(row), F.size(row_tokens).alias("__len"), F.explode(row_tokens).alias("__term")).join(asked, [*gate, "__term"], "left_semi")
-    counts = counts.repartition(row).groupBy(*gate, row, "__len", "__term").agg(F.count("*").alias("__tf"))
+    asked = terms.select(*gate, "__term").unionByName(questions.select(*gate, F.lit(WHOLE).alias("__term"))).distinct()
+    entries = F.explode(F.array_append(F.coalesce(row_tokens, F.array().cast("array<string>")), F.lit(WHOLE)))
+    counts = held.select(*gate, F.col(row), F.size(row_tokens).alias("__len"), entries.alias("__term")).join(asked, [*gate, "__term"], "left_semi")
+    counts = counts.repartition(_parts(questions, rows, gate), row).groupBy(*gate, row, "__len", "__term").agg(F.count("*").alias("__tf"))
+    own = F.col("__term") == WHOLE
+    # no filters before these two sums, so that all three readers of the counts share one shuffle
     often = counts.groupBy(*gate, "__term").agg(F.count("*").alias("__df"))
-    whole = None if gate else size.first()  # one row, as constants
-    sized = lambda df: df.join(size, gate) if gate else df.withColumns({c: F.lit(whole[c]) for c in ("__rows", "__mean")})
+    size = counts.groupBy(*gate).agg(F.count_if(own).alias("__rows"), F.avg(F.when(own, F.greatest("__len", F.lit(1)))).alias("__mean"))
+    sized = lambda df: df.join(size, gate) if gate else df.crossJoin(F.broadcast(size))
     idf = F.ln(1 + (F.col("__rows") - F.col("__df") + 0.5) / (F.col("__df") + 0.5))
     long = K1 * (1 - B + B * F.col("__len") / F.greatest("__mean", F.lit(1.0)))
     weight = idf * F.col("__tf") * (K1 + 1) / (F.col("__tf") + long)
@@ -40,6 +46,16 @@ def bm25_hits(questions: DataFrame, rows: DataFrame, gate: list[str], qid: str,
     return hits.select(qid, row, (F.col("__w") / STEPS).alias("bm25"))
 
 
+def _parts(questions: DataFrame, rows: DataFrame, gate: list[str]) -> int:
+    """How many partitions the rows' pairs with questions of their slice need."""
+    asks = questions.groupBy(*gate).agg(F.count("*").alias("__q"))
+    slices = rows.groupBy(*gate).agg(F.count("*").alias("__r"))
+    both = slices.join(asks, gate) if gate else slices.crossJoin(F.broadcast(asks))
+    pairs = both.agg(F.sum(F.col("__q").cast("double") * F.col("__r"))).first()[0] or 0
+    least = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, int(pairs // PAIRS) + 1)
+
+
 def bm25(questions: DataFrame, rows: DataFrame, gate: list[str], qid: str, row: str, query_tokens: str, row_tokens: str) -> DataFrame:
     """Like ``bm25_hits`` with a row for every row of the slice; ``gate`` must not be empty, as that would spell out all pairs."""
     if not gate:
@@ -92,6 +108,16 @@ def table_budget(reports: Column, setting: str = "auto") -> Column:
     return F.greatest(F.lit(1), F.lit(int(setting)))
 
 
+def coverage_of(scores: DataFrame, by: list[str], report: str, score: str, tie: list[str], report_place: str, top_k: int, most: int) -> DataFrame:
+    """The first ``most`` places of ``coverage`` over scores not yet ranked, without an order of all rows of a question.
+
+    Of one report only the first ``most`` + 1 rows can stand there: its best one, and others of the first ``most`` that aren't.
+    """
+    w = Window.partitionBy(*by, report).orderBy(F.desc(score), *tie)
+    front = scores.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= most + 1).drop("__n")
+    return coverage(ranked(front, by, score, tie), by, report, "rank", report_place, top_k).filter(F.col("place") <= most)
+
+
 def coverage(ranking: DataFrame, by: list[str], report: str, rank: str, report_place: str, top_k: int) -> DataFrame:
     """Reorder: first the best table of each of the first ``top_k`` reports in the gate's order, then the others by rank."""
     first = F.row_number().over(Window.partitionBy(*by, report).orderBy(rank)) == 1

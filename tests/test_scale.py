@@ -1,6 +1,7 @@
 """Work that must not grow faster than the tables: repeated expressions, rows that are never read."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.operators import lexical, questions
 from ledgerlens.plans.catalog import QUERIES
@@ -28,3 +29,30 @@ def test_companies_of_one_name_are_not_spelled_out_for_each_question(spark):
     kept = few.collect()
     assert every.count() > 200 and len(kept) == 8 + 41 + 8
     assert {tuple(r) for r in kept} == {tuple(r) for r in every.filter("rank <= 8 or score >= 0.98").collect()}
+
+
+@pytest.mark.parametrize("gate", [["source"], []])
+def test_rows_are_tokenized_once_for_their_scores(spark, gate):
+    asked = spark.createDataFrame([(1, "a", ["cash", "flow"]), (2, "b", ["cash"])], "qid int, source string, q array<string>")
+    rows = spark.createDataFrame([(1, "a", ["cash", "cash"]), (2, "a", ["flow"]), (3, "b", ["cash"]), (4, "b", []), (5, "b", None)], "row int, source string, t array<string>")
+    rows = rows.withColumn("t", F.transform("t", lambda x: F.lower(x)))
+    got = lexical.bm25_hits(asked, rows, gate, "qid", "row", "q", "t")
+    assert {(r.qid, r.row) for r in got.collect()} == ({(1, 1), (1, 2), (2, 3)} if gate else {(1, 1), (1, 2), (1, 3), (2, 1), (2, 3)})
+    shown = got._jdf.queryExecution().executedPlan().toString()
+    shown = shown[: shown.index("Initial Plan")] if "Initial Plan" in shown else shown
+    assert shown.count("REPARTITION_BY_NUM") >= 1 and shown.count("REPARTITION_BY_COL") == 0
+
+
+def test_pairs_of_one_task_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "PAIRS", 10)
+    asked, rows = spark.range(20).withColumn("g", F.col("id") % 2), spark.range(100).withColumn("g", F.col("id") % 2)
+    assert lexical._parts(asked, rows, []) == 201 and lexical._parts(asked, rows, ["g"]) == 101
+
+
+def test_first_places_of_coverage_without_a_whole_order(spark):
+    rows = [(q, i, f"s{i * i % 7}", (i * 37 + q) % 23 / 10) for q in range(3) for i in range(60)]
+    scores = spark.createDataFrame(rows, "q int, row int, source string, score double").withColumn("at", F.substring("source", 2, 9).cast("int") + 1)
+    whole = lexical.coverage(lexical.ranked(scores, ["q"], "score", ["row"]), ["q"], "source", "rank", "at", 2).filter("place <= 6")
+    few = lexical.coverage_of(scores, ["q"], "source", "score", ["row"], "at", 2, 6)
+    seen = lambda x: sorted(map(tuple, x.select("q", "row", "place").collect()))
+    assert seen(few) == seen(whole) and few.count() == 18
