@@ -202,6 +202,21 @@ def fallback(questions: DataFrame, reports: DataFrame, qid: str) -> DataFrame:
     return found.unionByName(dated).unionByName(last)
 
 
+def fallback_members(found: DataFrame, reports: DataFrame, qid: str) -> DataFrame:
+    """(qid, report_id, stage, year) without a qid: each report that a row of ``fallback`` without a report_id stands for, once.
+
+    With both, every report of every question is told: a question's row on the rung of years meets the members of its year, one
+    on the last rung all of that rung.
+    """
+    stood = found.filter("report_id IS NULL")
+    none = F.lit(None).cast(found.schema[qid].dataType).alias(qid)
+    years = stood.filter("stage = 'year'").select("year").distinct()
+    dated = reports.join(years, "year", "left_semi").select(none, "report_id", F.lit("year").alias("stage"), "year")
+    last = stood.filter("stage = 'all'").select("stage").distinct()
+    whole = reports.select("report_id").crossJoin(F.broadcast(last))
+    return dated.unionByName(whole.select(none, "report_id", "stage", F.lit(None).cast(reports.schema["year"].dataType).alias("year")))
+
+
 def explicit_reports(asked: DataFrame, reports: DataFrame, qid: str, ids: str) -> DataFrame:
     """(qid, report_id, place): the named reports that exist, in the order given."""
     named = asked.select(qid, F.posexplode(ids).alias("place", "report_id"))

@@ -33,12 +33,14 @@ def reports(spark, d):
 @query(f"""WITH {REPORTS}, {ASK}, r AS (
 SELECT qid, report_id, 1 AS no, 'ticker_year_scope' AS stage, NULL AS year FROM ask JOIN rep USING (ticker, year, scope) UNION ALL SELECT qid, report_id, 2, 'ticker_year', NULL FROM ask JOIN rep USING (ticker, year)
 UNION ALL SELECT qid, report_id, 3, 'ticker', NULL FROM ask JOIN rep USING (ticker) UNION ALL SELECT qid, NULL, 4, 'year', ask.year FROM ask WHERE year IN (SELECT year FROM rep) UNION ALL SELECT qid, NULL, 5, 'all', NULL FROM ask),
-m AS (SELECT qid, min(no) AS no FROM r GROUP BY 1) SELECT DISTINCT qid, report_id, stage, year FROM r JOIN m USING (qid, no)""")
+m AS (SELECT qid, min(no) AS no FROM r GROUP BY 1), f AS (SELECT DISTINCT qid, report_id, stage, year FROM r JOIN m USING (qid, no))
+SELECT * FROM f UNION ALL SELECT NULL, report_id, 'year', year FROM rep WHERE year IN (SELECT year FROM f WHERE stage = 'year') UNION ALL SELECT NULL, report_id, 'all', NULL FROM rep WHERE EXISTS (FROM f WHERE stage = 'all')""")
 def gate_fallback_ladder(spark, d):
     c = table(spark, d, "customer")
     ticker = F.concat(F.lit("T"), F.expr("case when c_custkey % 11 = 0 then -1 else c_custkey end"))
     ask = c.select(F.col("c_custkey").alias("qid"), F.array(ticker).alias("tickers"), F.array(F.expr("cast(1995 + c_custkey % 9 as int)")).alias("years"), F.expr("if(c_custkey % 2 = 0, 'F', 'O')").alias("scope"))
-    return gate.fallback(ask, reports(spark, d), "qid")
+    found = gate.fallback(ask, reports(spark, d), "qid")
+    return found.unionByName(gate.fallback_members(found, reports(spark, d), "qid"))
 
 
 @query("""WITH rep AS (SELECT 'r' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN '_aggregated' ELSE '' END AS doc_id, o_custkey, year(o_orderdate)::INT AS year, CASE o_orderstatus WHEN 'F' THEN 'separate' WHEN 'O' THEN 'consolidated' ELSE 'unknown' END AS scope, (o_orderkey % 5)::INT AS n FROM orders),
