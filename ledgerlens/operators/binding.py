@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numbers import first_numeric, ocr_number, source_scale, strict_number, years
-from ..functions.text import folded
+from ..functions.text import folded, let
 
 
 def year_cells(cells: Column, headers: Column, wanted: Column) -> Column:
@@ -15,8 +15,8 @@ def year_cells(cells: Column, headers: Column, wanted: Column) -> Column:
 
     def one(c: Column, i: Column) -> Column:
         year = F.array_min(F.array_intersect(years(F.coalesce(F.get(headers, i), F.lit(""))), wanted))
-        value = ocr_number(c)
-        return F.when((i > 0) & value.isNotNull() & year.isNotNull(), F.struct(i.alias("column"), value.alias("value"), year.alias("year")))
+        cell = lambda value, y: F.when(value.isNotNull(), F.struct(i.alias("column"), value.alias("value"), y.alias("year")))
+        return F.when(i > 0, let(year, lambda y: F.when(y.isNotNull(), let(ocr_number(c), lambda value: cell(value, y)))))
 
     return F.array_compact(F.transform(cells, one))
 
