@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import fold_words, let
+from .partitions import spread
 
 # Cue phrases of questions (folded Vietnamese).
 SEPARATE_CUES = ["cong ty me", "ngan hang me", "bao cao rieng", "bao cao tai chinh rieng", "bctc rieng", "co so rieng"]
@@ -138,7 +139,7 @@ def choose_report(requests: DataFrame, reports: DataFrame, keys: list[str], requ
     The exact scope, else one of unknown scope, never another; then one that isn't aggregated; then the most tables;
     then the smallest id. reports: keys, doc_id, scope, table_count.
     """
-    pool = requests.join(reports, keys)
+    pool = spread(requests, *keys).join(reports, keys)
     exact = F.col("scope") == F.col(request_scope)
     pool = pool.filter(exact | (F.col("scope") == "unknown"))
     w = Window.partitionBy(*requests.columns).orderBy(F.desc(exact.cast("int")), F.contains("doc_id", F.lit("_aggregated")), F.desc(F.coalesce("table_count", F.lit(0))), "doc_id")

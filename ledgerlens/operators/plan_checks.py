@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from .partitions import spread
 from .questions import PLAN_OPERATIONS
 
 
@@ -71,8 +71,11 @@ def salvaged(facts: DataFrame, gates: DataFrame) -> DataFrame:
 
     A fact without a query goes. An entity beyond the gate's gives way to its first, a period beyond its years to none.
     """
-    kept = facts.filter(F.trim(F.coalesce("query", F.lit(""))) != "").join(gates, "plan")
-    nth = F.row_number().over(Window.partitionBy("plan").orderBy("place", "id", "entity", "period", "query"))
+    kept = facts.filter(F.trim(F.coalesce("query", F.lit(""))) != "")
+    # a plan's facts are gathered before they meet its gate, so that the gate's arrays aren't sorted with every fact
+    order = F.struct("place", "id", "entity", "period", "query")
+    each = spread(kept, "plan").groupBy("plan").agg(F.sort_array(F.collect_list(order)).alias("__f")).join(gates, "plan")
+    each = each.select("plan", "tickers", "years", F.posexplode("__f").alias("__n", "__x")).select("plan", "tickers", "years", "__n", "__x.entity", "__x.period", "__x.query")
     entity = F.when((F.size("tickers") > 0) & ~F.coalesce(F.array_contains("tickers", F.col("entity")), F.lit(False)), F.get("tickers", F.lit(0))).otherwise(F.col("entity"))
     period = F.when((F.size("years") == 0) | F.array_contains("years", F.col("period")), F.col("period"))
-    return kept.select("plan", F.concat(F.lit("f"), nth.cast("string")).alias("id"), entity.alias("entity"), period.alias("period"), F.trim("query").alias("query"))
+    return each.select("plan", F.concat(F.lit("f"), (F.col("__n") + 1).cast("string")).alias("id"), entity.alias("entity"), period.alias("period"), F.trim("query").alias("query"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import lexical, questions
+from ledgerlens.operators import lexical, partitions, questions
 from ledgerlens.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +56,12 @@ def test_first_places_of_coverage_without_a_whole_order(spark):
     few = lexical.coverage_of(scores, ["q"], "source", "score", ["row"], "at", 2, 6)
     seen = lambda x: sorted(map(tuple, x.select("q", "row", "place").collect()))
     assert seen(few) == seen(whole) and few.count() == 18
+
+
+def test_rows_of_one_task_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(partitions, "ROWS", 10)
+    asked = partitions.spread(spark.range(205), "id")
+    assert asked.rdd.getNumPartitions() == 21
+    for name in ("salvaged_facts", "choose_report", "retrieve_docs"):
+        shown = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in shown, name
