@@ -145,7 +145,8 @@ def scan(docs: DataFrame, rules: list[Rule], text: str = "text", out: str = "fou
     if asked:
         grams = sorted(set().union(*[c for _, _, c in asked]))
         lowered = docs.select(key.alias("key"), F.lower(plain).alias("low"))
-        postings = lowered.select("key", F.explode(F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]))).alias("gram"))
+        # one test inside a loop over the trigrams: written out for each, the compiled method and the compiler's memory grow with the rules
+        postings = lowered.select("key", F.explode(F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains("low", g))).alias("gram"))
         terms = constants(spark, ["rule", "clause", "gram", "needs"], [(i, n, g, len(c)) for i, n, c in asked for g in sorted(c)])
         full = (
             postings.join(F.broadcast(terms), "gram")

@@ -47,3 +47,12 @@ def test_scan_against_brute_force(spark):
     want = sorted((str(i), str(t), str(brute(t or ""))) for i, t, _ in rows)
     assert want == sorted((str(r.doc_id), str(r.text), str([tuple(x) for x in r.found])) for r in got)
     assert trigrams.scan(df.limit(0), RULES).count() == 0
+
+
+def test_postings_test_all_trigrams_in_one_loop(spark, monkeypatch):
+    made = []
+    materialize = trigrams.materialize
+    monkeypatch.setattr(trigrams, "materialize", lambda df: materialize(made.append(df) or df))
+    df = spark.createDataFrame([(1, "token=abcdef and AKIA"), (2, None), (3, "")], "doc_id long, text string")
+    assert [len(r.found) for r in trigrams.scan(df, RULES).orderBy("doc_id").collect()] == [1, 0, 0]
+    assert made[0]._jdf.queryExecution().optimizedPlan().toString().count("Contains(") == 1
