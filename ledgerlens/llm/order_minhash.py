@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import let
 from .common import materialize
 
 KMER = 8
@@ -59,7 +60,7 @@ def _kmers(text: Column, first: Column) -> Column:
 
     def chunk(at: Column) -> Column:
         found = F.regexp_extract_all(F.substring(text, at + 1, F.lit(CHUNK + KMER - 1)), every, F.lit(1))
-        return F.transform(found, lambda x, i: _pack(F.xxhash64(x), first + at + i))
+        return let(first + at, lambda begin: F.transform(found, lambda x, i: _pack(F.xxhash64(x), begin + i)))
 
     return F.flatten(F.transform(F.sequence(F.lit(0), F.length(text), F.lit(CHUNK)), chunk))
 
@@ -74,10 +75,19 @@ def packed(text: str) -> Column:
     return _whole(F.col(text), _kmers(F.col(text), F.lit(0)))
 
 
+def _before(a: Column) -> Column:
+    """The number before each one of an array; null at first. As a value of its own, a loop finds it at the same place."""
+    return F.concat(F.array(F.lit(None).cast("long")), a)
+
+
+def _alike(x: Column, y: Column) -> Column:
+    """Whether two packed numbers hold the same hash: they differ in their places alone. Null where one is."""
+    return x.bitwiseXOR(y) < (1 << PLACE_BITS)
+
+
 def _again(s: str) -> Column:
     """Of sorted packed k-mers, all but the first occurrence of each."""
-    a = F.col(s)
-    return F.filter(a, lambda x, i: _hash(x) == _hash(F.get(a, i - 1)))
+    return let(_before(F.col(s)), lambda before: F.filter(s, lambda x, i: _alike(x, F.get(before, i))))
 
 
 def _heads(e: str) -> Column:
@@ -113,10 +123,13 @@ def _sketch(b: str, places: str, e: str) -> Column:
     return F.zip_with(first, F.transform(first, second), tuple_hash)
 
 
-def _begins(found: list[str], b: str) -> Column:
-    """Where in ``b`` each coordinate's order begins; ``found``: its point's place among the numbered k-mers and all points."""
-    at = F.transform(F.array(*found), lambda p, i: (p - 1 - i).cast("int"))
-    return F.when(F.size(b) > 0, F.transform(at, lambda p: F.when(p >= F.size(b), 0).otherwise(p))).otherwise(F.array().cast("array<int>"))
+def _begins(b: str) -> Column:
+    """Where in the sorted ``b`` each coordinate's order begins: at the first number that isn't below its point, found by halving."""
+    powers = F.array(*[F.lit(1 << k) for k in reversed(range(PLACE_BITS))])
+    further = lambda held, point: lambda at, step: F.when(F.get(held, at + step - 1) < point, at + step).otherwise(at)
+    place = lambda held, steps: lambda point: F.aggregate(steps, F.lit(0), further(held, point))
+    found = let(F.col(b), lambda held: let(F.filter(powers, lambda k: k <= F.size(held)), lambda steps: F.transform(_points(), place(held, steps))))
+    return F.when(F.size(b) > 0, F.transform(found, lambda p: F.when(p >= F.size(b), 0).otherwise(p))).otherwise(F.array().cast("array<int>"))
 
 
 def fingerprints(df: DataFrame, kmers: dict[str, str], keep: list[str]) -> DataFrame:
@@ -128,16 +141,12 @@ def fingerprints(df: DataFrame, kmers: dict[str, str], keep: list[str]) -> DataF
     for c in kmers:
         left.remove(c)
         rest = [*keep, *left, *made]
-        # Each step is read more than once by the next, so that the optimizer keeps it a step of its own. The points'
-        # places are columns, which compiled code finds; one expression with all of them would be too long to compile.
+        # Each step is read more than once by the next, so that the optimizer keeps it a step of its own.
         df = df.select(*rest, F.sort_array(c).alias("__s"))
         df = df.withColumn("__e", _again("__s"))
         df = df.withColumn("__h", _heads("__e"))
         df = df.select(*rest, "__e", F.sort_array(F.concat("__s", _numbered("__e", "__h"))).alias("__b"))
-        df = df.withColumn("__m", F.sort_array(F.concat("__b", _points())))
-        found = [f"__q{i}" for i in range(SKETCHES)]
-        df = df.select(*rest, "__e", "__b", *[F.array_position("__m", F.lit(p).cast("long")).alias(q) for p, q in zip(_POINTS, found, strict=True)])
-        df = df.select(*rest, "__e", "__b", _begins(found, "__b").alias("__p"))
+        df = df.select(*rest, "__e", "__b", _begins("__b").alias("__p"))
         df = df.select(*rest, _sketch("__b", "__p", "__e").alias(kmers[c]))
         made.append(kmers[c])
     return df

@@ -1,8 +1,10 @@
 import hashlib
 import random
+from bisect import bisect_left
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import order_minhash as om
 
@@ -121,3 +123,13 @@ def test_likeness_follows_edits_at_any_length(spark, name):
 def test_a_very_long_text(spark):
     t = "".join(chr(97 + i * i % 23 + i % 3) for i in range(om.CHUNK * 2 + 5))
     check(spark, [(1, t), (2, "y" * (om.CHUNK + 9)), (3, "short")])
+
+
+def test_points_are_found_by_halving(spark):
+    rng = random.Random(4)
+    rows = [(n, sorted(rng.choice([rng.randrange(1 << 63), *om._POINTS]) for _ in range(n))) for n in [*range(40), 1000]]
+    df = spark.createDataFrame([*rows, (41, [5] * 9)], "n int, b array<long>").select("n", "b", om._begins("b").alias("p"))
+    for n, b, p in df.collect():
+        assert p == [bisect_left(b, x) % len(b) for x in om._POINTS if b], n
+    made = om.fingerprints(spark.createDataFrame([(TEXT,)], "text string").select(om.packed("text").alias("k")), {"k": "f"}, [])
+    assert "array_position" not in made._jdf.queryExecution().optimizedPlan().toString()
