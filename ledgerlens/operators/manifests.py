@@ -16,7 +16,7 @@ from .fusion import merge_scores
 
 #: Settings of a scorer that all shards of one run share.
 SCORER = ("model", "revision", "quantization", "adapter", "max_length", "rerank_depth", "prompt_sha256")
-_PARTS, _DIGITS = 4, 15
+_PARTS, _DIGITS, _HALF = 4, 15, 30
 
 
 def row_digest(columns: list[str]) -> Column:
@@ -31,8 +31,14 @@ def digest(df: DataFrame, columns: list[str] | None = None, by: list[str] | None
     by = by or []
     columns = columns or [c for c in df.columns if c not in by]
     hashed = df.select(*by, row_digest(columns).alias("__h"))
-    part = lambda i: F.conv(F.substring("__h", 1 + i * _DIGITS, _DIGITS), 16, 10).cast("decimal(20,0)")
-    sums = hashed.groupBy(*by).agg(F.count("*").alias("rows"), *[F.coalesce(F.sum(part(i)), F.lit(0)).cast("decimal(38,0)").alias(f"__s{i}") for i in range(_PARTS)])
+    # a part's 60 bits are summed in halves as plain longs, which hold those of 2**33 rows (beyond, Spark's sum fails), and put together once a group
+    hashed = hashed.select(*by, *[F.conv(F.substring("__h", 1 + i * _DIGITS, _DIGITS), 16, 10).cast("long").alias(f"__p{i}") for i in range(_PARTS)])
+    high = lambda i: F.sum(F.shiftright(f"__p{i}", _HALF)).alias(f"__a{i}")
+    low = lambda i: F.sum(F.col(f"__p{i}").bitwiseAND((1 << _HALF) - 1)).alias(f"__b{i}")
+    halves = hashed.groupBy(*by).agg(F.count("*").alias("rows"), *[half(i) for half in (high, low) for i in range(_PARTS)])
+    wide = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(20,0)")
+    whole = lambda i: (wide(f"__a{i}") * F.lit(1 << _HALF).cast("decimal(11,0)") + wide(f"__b{i}")).cast("decimal(38,0)")
+    sums = halves.select(*by, "rows", *[whole(i).alias(f"__s{i}") for i in range(_PARTS)])
     return sums.select(*by, "rows", F.sha2(F.concat_ws(":", F.col("rows").cast("string"), *[F.col(f"__s{i}").cast("string") for i in range(_PARTS)]), 256).alias("digest"))
 
 
