@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import expansion, notes
+from ..operators.partitions import once
 from ..sources import reports
 from .fusion_queries import greedy_twin
 from .lexical_queries import table
@@ -47,6 +48,7 @@ def stage(spark, d):
     """What the stages work on: questions, slots, candidates, base ranking, statement rows and places of notes."""
     texts = report_texts(spark, d)
     grids = reports.tables(texts, "o_custkey").select(F.col("report_id").cast("long").alias("report"), F.col("start_line").cast("long").alias("line"), "rows")
+    grids = once(grids)  # the parser runs in Python, and each branch below would run it again
     lines = texts.select(F.col("o_custkey").alias("report"), F.posexplode(F.split("text", "\n")).alias("i", "text")).select("report", (F.col("i") + 1).cast("long").alias("line"), "text")
     places = notes.note_lines(lines, ["report"], "line", "text")
     names = F.array(*[F.lit(f"khoan muc {n}") for n in NAMES])

@@ -65,3 +65,8 @@ def test_rows_of_one_task_are_bounded(spark, monkeypatch):
     for name in ("salvaged_facts", "choose_report", "retrieve_docs"):
         shown = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "REPARTITION_BY_NUM" in shown, name
+
+
+def test_tables_of_reports_are_parsed_once(spark):
+    shown = plan(spark, "note_expansion")
+    assert "ArrowEvalPython" not in shown and "found(" not in shown
