@@ -25,10 +25,10 @@ def shown_rows(hits: Column, best: int = BEST, head: int = HEAD, most: int = MOS
     """Places (from 0, ascending) of the rows to show.
 
     The ``best`` rows by hits (ties: later rows first), then the first ``head``, each with the row before and after it,
-    in this order, until there are ``most``; a place counts once.
+    in this order, until there are ``most``; a place counts once. ``hits`` is a column: an expression would be computed at each mention.
     """
     n = F.size(hits)
-    ranked = F.reverse(F.array_sort(F.transform(hits, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    ranked = F.sort_array(F.transform(hits, lambda h, i: F.struct(h.alias("h"), i.alias("i"))), asc=False)
     first = F.slice(F.array(*[F.lit(i) for i in range(head)]), F.lit(1), F.least(F.lit(head), n))
     seeds = F.concat(F.transform(F.slice(ranked, 1, best), lambda s: s["i"]), first)
     near = F.flatten(F.transform(seeds, lambda s: F.array(s - 1, s, s + 1)))
@@ -59,7 +59,7 @@ def contexts(evidence: DataFrame, request: str, budget: Column, best: int = BEST
     tries = limits(most, fewest)
     grid = F.coalesce("grid", F.array().cast("array<array<string>>"))
     read = evidence.select(request, "place", "variable", "title", "columns", grid.alias("grid"), F.coalesce("asked", F.array().cast("array<string>")).alias("asked"), budget.cast("long").alias("__budget"))
-    read = read.withColumn("shown", shown_rows(row_hits(F.col("grid"), F.col("asked")), best, head, most))
+    read = read.withColumn("__hits", row_hits(F.col("grid"), F.col("asked"))).withColumn("shown", shown_rows(F.col("__hits"), best, head, most))
     # The lines of a context.
     title = F.concat(F.lit("TABLE "), F.coalesce("variable", F.lit("")), F.lit(" | "), F.coalesce("title", F.lit("")))
     header = F.concat(title, F.lit("\nCOLUMNS "), F.coalesce(_cells(F.col("columns")), F.lit("")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.json_text import first_json_object
 from ..operators import manifests, packing, plan_checks, prompting
+from ..operators.partitions import spread
 from .lexical_queries import table
 
 QUERIES: dict = {}
@@ -145,7 +146,9 @@ def _evidence(spark, d):
     state = F.when(F.col("l_returnflag") == "R", "Returned").when(F.col("l_returnflag") == "A", "Accepted").otherwise("None")
     cells = F.array(F.concat_ws(" ", F.lit("Part"), whole("l_partkey"), state), whole("l_quantity"), whole("l_extendedprice"), year.cast("string"))
     row = F.struct("l_orderkey", "l_linenumber", cells.alias("cells"))
-    grids = line.groupBy(F.col("l_suppkey").alias("qid"), year.cast("long").alias("place")).agg(F.transform(F.sort_array(F.collect_list(row)), lambda r: r["cells"]).alias("grid"))
+    # rows meet their grid as they are read, in tasks of bounded size; cells are written there
+    line = spread(line.select(F.col("l_suppkey").alias("qid"), year.cast("long").alias("place"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"), "qid", "place")
+    grids = line.groupBy("qid", "place").agg(F.transform(F.sort_array(F.collect_list(row)), lambda r: r["cells"]).alias("grid"))
     asked = F.array(F.lit("returned"), (F.col("qid") % 40 + 10).cast("string"))
     columns = F.array(F.lit("Line"), F.lit("Quantity"), F.lit("Price"), F.lit("Year"))
     return grids.select("qid", "place", F.concat(F.lit("df"), F.col("place").cast("string")).alias("variable"), F.concat(F.lit("Shipped in "), F.col("place").cast("string")).alias("title"), columns.alias("columns"), "grid", asked.alias("asked"))

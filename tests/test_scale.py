@@ -70,3 +70,9 @@ def test_rows_of_one_task_are_bounded(spark, monkeypatch):
 def test_tables_of_reports_are_parsed_once(spark):
     shown = plan(spark, "note_expansion")
     assert "ArrowEvalPython" not in shown and "found(" not in shown
+
+
+def test_hits_of_a_grid_are_counted_once(spark):
+    shown = plan(spark, "budgeted_prompts")
+    assert shown.count("array_intersect(") == 1
+    assert "REPARTITION_BY_NUM" in QUERIES["budgeted_prompts"](spark, SF)._jdf.queryExecution().executedPlan().toString()
