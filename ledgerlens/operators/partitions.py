@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 ROWS = 1_000_000
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` by its keys in as many partitions as keep about ROWS in each, whatever the session's number is."""
+def spread(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
+    """``df`` by its keys in as many partitions as keep about ROWS in each, whatever the session's number is; ``rows`` where they are known."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(least, df.count() // ROWS + 1), *keys)
+    return df.repartition(max(least, (df.count() if rows is None else rows) // ROWS + 1), *keys)
 
 
 def once(df: DataFrame) -> DataFrame:

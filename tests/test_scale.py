@@ -76,3 +76,8 @@ def test_hits_of_a_grid_are_counted_once(spark):
     shown = plan(spark, "budgeted_prompts")
     assert shown.count("array_intersect(") == 1
     assert "REPARTITION_BY_NUM" in QUERIES["budgeted_prompts"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_a_plan_meet_once(spark):
+    shown = QUERIES["plan_violations"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in shown and shown.count("Exchange") == shown.count("REPARTITION_BY_NUM") == 1
