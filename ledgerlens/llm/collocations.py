@@ -165,24 +165,37 @@ def coded(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     starts = np.flatnonzero(new)
     if not len(starts):
         return np.zeros(0, np.int32), pa.array([], pa.string())
-    # the bytes of words, one after another
-    letters = np.cumsum(inside)
-    ends = np.append(letters[starts[1:] - 1], letters[-1]).astype(np.int64)
-    packed = data[inside]
-    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(packed)).dictionary_encode()
-    cuts = np.zeros(len(data), np.int64)
-    cuts += border
-    cuts[text_starts] += 1
-    passed = np.cumsum(cuts)[starts]
+    # only arrays over words have numbers; those over bytes of text are as narrow as the text
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | new[1:]
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(np.flatnonzero(last) + 1 - starts, out=offsets[1:])
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[inside])).dictionary_encode()
+    border[text_starts] = True
+    passed = np.searchsorted(np.flatnonzero(border), starts, "right")
     apart = np.ones(len(starts), np.int64)
     apart[1:] += passed[1:] != passed[:-1]
-    apart[0] = 1
     place = np.cumsum(apart) - 1
     codes = np.full(place[-1] + 2, -1, np.int32)
     codes[place] = words.indices.to_numpy()
     return codes, words.dictionary.cast(pa.string())
 
 
+def _release() -> None:
+    """Give freed memory back to the system: a worker that is reused would keep it, beside what the next task's workers take."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
+def _releasing(merge: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        merged = merge(table)
+        _release()
+        return merged
+
+    return run
+
+
 _SHARDS = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("codes", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 _SHARD_COLUMNS = "shard long, lang string, codes binary, words array<string>, counts array<long>"
 
@@ -198,13 +211,19 @@ def shards(docs: DataFrame, lang: Column, text: str, shard_bytes: int = SHARD_BY
         size: dict[str, int] = {}
         number = TaskContext.get().partitionId() << 32
 
+        def closed(key: str) -> pa.RecordBatch:
+            codes, words = coded(pa.concat_arrays(held.pop(key)))
+            n = np.bincount(codes[codes >= 0], minlength=len(words))
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), x) for x in (words, pa.array(n, pa.int64()))]
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([key]), pa.array([codes.astype("<i4").tobytes()], pa.binary()), *lists], schema=_SHARDS)
+
         def close(key: str) -> Iterator[pa.RecordBatch]:
             nonlocal number
-            codes, words = coded(pa.concat_arrays(held.pop(key)))
+            made = closed(key)
             del size[key]
-            if len(words):
-                n = np.bincount(codes[codes >= 0], minlength=len(words))
-                yield pa.RecordBatch.from_pylist([{"shard": number, "lang": key, "codes": codes.astype("<i4").tobytes(), "words": words.to_pylist(), "counts": n.tolist()}], schema=_SHARDS)
+            _release()
+            if len(made["words"][0]):
+                yield made
                 number += 1
 
         for batch in batches:
@@ -254,21 +273,28 @@ def _ranged(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np
 def _frequent_pairs(whole: DataFrame, least: int, ranges: int) -> DataFrame:
     """(shard, hashes) of a shard's pairs whose hashes count ``least`` or more over all shards, a row for each range."""
 
+    def told_by(shard: pa.Scalar, lang: str, codes: pa.Buffer, words: pa.Array) -> pa.RecordBatch | None:
+        word = _word_hashes(lang, words)
+        found = [(_hashes(word, made), n) for made, n in Shard(np.frombuffer(codes, "<i4")).phrases(2)]
+        if not found:
+            return None
+        hashes, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        order, of, first = _ranged(hashes, ranges)
+        hashes, n = hashes[order].astype("<u8"), n[order].astype("<u4")
+        packed = [pa.array([x[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()) for x in (hashes, n)]
+        return pa.RecordBatch.from_arrays([pa.array(of), pa.repeat(shard, len(of)), *packed], names=["range", "shard", "hashes", "n"])
+
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, lang, codes, words in zip(*batch.columns, strict=True):
-                word = _word_hashes(lang.as_py(), words.values)
-                found = [(_hashes(word, made), n) for made, n in Shard(np.frombuffer(codes.as_py(), "<i4")).phrases(2)]
-                if found:
-                    hashes, n = (np.concatenate(x) for x in zip(*found, strict=True))
-                    order, of, first = _ranged(hashes, ranges)
-                    hashes, n = hashes[order].astype("<u8"), n[order].astype("<u4")
-                    packed = [pa.array([x[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()) for x in (hashes, n)]
-                    yield pa.RecordBatch.from_arrays([pa.array(of), pa.repeat(shard, len(of)), *packed], names=["range", "shard", "hashes", "n"])
+                made = told_by(shard, lang.as_py(), codes.as_buffer(), words.values)
+                _release()
+                if made is not None:
+                    yield made
 
     def merge(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x.as_py(), "<u8") for x in table.column("hashes")]
-        n = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("n")])
+        parts = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("hashes")]
+        n = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table.column("n")])
         _, of = np.unique(np.concatenate(parts), return_inverse=True)
         often = (np.bincount(of, weights=n) >= least)[of]
         ends = np.cumsum([len(x) for x in parts])
@@ -276,42 +302,49 @@ def _frequent_pairs(whole: DataFrame, least: int, ranges: int) -> DataFrame:
         return pa.table({"shard": table.column("shard"), "hashes": pa.array(kept, pa.binary())}).filter(pa.array([len(x) > 0 for x in kept], pa.bool_()))
 
     told = whole.select("shard", "lang", "codes", "words").mapInArrow(tell, "range long, shard long, hashes binary, n binary")
-    return told.groupBy("range").applyInArrow(merge, "shard long, hashes binary")
+    return told.groupBy("range").applyInArrow(_releasing(merge), "shard long, hashes binary")
 
 
 def _frequent_phrases(rows: DataFrame, least: int, longest: int, ranges: int) -> DataFrame:
     """(lang, phrase, n), n >= ``least``, of phrases of 2 to ``longest`` words whose pairs are all among their shards' ``hashes``."""
     schema = pa.schema([("range", pa.int64()), ("lang", pa.string()), ("phrases", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
 
+    def told_by(lang: pa.Scalar, codes: pa.Buffer, words: pa.Array, hashes: pa.Array) -> pa.RecordBatch | None:
+        word = _word_hashes(lang.as_py(), words)
+        kept = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in hashes]))
+
+        def allowed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            h = _hashes(word, np.column_stack([a, b]))
+            return kept[np.minimum(np.searchsorted(kept, h), len(kept) - 1)] == h
+
+        texts, found, counts = [], [], []
+        for made, n in Shard(np.frombuffer(codes, "<i4")).phrases(longest, allowed):
+            texts.append(pc.binary_join_element_wise(*[words.take(pa.array(made[:, j])) for j in range(made.shape[1])], " "))
+            found.append(_hashes(word, made))
+            counts.append(n)
+        if not texts:
+            return None
+        order, of, first = _ranged(np.concatenate(found), ranges)
+        at = pa.array(first.astype(np.int32))
+        lists = [pa.ListArray.from_arrays(at, x.take(pa.array(order))) for x in (pa.concat_arrays(texts), pa.array(np.concatenate(counts)))]
+        return pa.RecordBatch.from_arrays([pa.array(of), pa.repeat(lang, len(of)), *lists], schema=schema)
+
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, codes, words, hashes in zip(*batch.columns, strict=True):
-                word = _word_hashes(lang.as_py(), words.values)
-                kept = np.sort(np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in hashes.values]))
-
-                def allowed(a: np.ndarray, b: np.ndarray, word=word, kept=kept) -> np.ndarray:
-                    h = _hashes(word, np.column_stack([a, b]))
-                    return kept[np.minimum(np.searchsorted(kept, h), len(kept) - 1)] == h
-
-                texts, found, counts = [], [], []
-                for made, n in Shard(np.frombuffer(codes.as_py(), "<i4")).phrases(longest, allowed):
-                    texts.append(pc.binary_join_element_wise(*[words.values.take(pa.array(made[:, j])) for j in range(made.shape[1])], " "))
-                    found.append(_hashes(word, made))
-                    counts.append(n)
-                if texts:
-                    order, of, first = _ranged(np.concatenate(found), ranges)
-                    at = pa.array(first.astype(np.int32))
-                    lists = [pa.ListArray.from_arrays(at, x.take(pa.array(order))) for x in (pa.concat_arrays(texts), pa.array(np.concatenate(counts)))]
-                    yield pa.RecordBatch.from_arrays([pa.array(of), pa.repeat(lang, len(of)), *lists], schema=schema)
+                made = told_by(lang, codes.as_buffer(), words.values, hashes.values)
+                _release()
+                if made is not None:
+                    yield made
 
     def merge(table: pa.Table) -> pa.Table:
         lists = table.column("phrases").combine_chunks()
         flat = {"lang": table.column("lang").take(pc.list_parent_indices(lists)), "phrase": pc.list_flatten(lists), "n": pc.list_flatten(table.column("n"))}
-        summed = pa.table(flat).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+        summed = pa.table(flat).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
         return summed.filter(pc.greater_equal(summed.column("n"), least)).select(["lang", "phrase", "n"])
 
     told = rows.select("lang", "codes", "words", "hashes").mapInArrow(tell, "range long, lang string, phrases array<string>, n array<long>")
-    return told.groupBy("range").applyInArrow(merge, "lang string, phrase string, n long")
+    return told.groupBy("range").applyInArrow(_releasing(merge), "lang string, phrase string, n long")
 
 
 def phrase_counts(docs: DataFrame, lang: Column, text: str, least: int, longest: int = LONGEST, shard_bytes: int = SHARD_BYTES, range_words: int = RANGE_WORDS) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -113,3 +114,26 @@ def test_phrases_only_of_allowed_pairs():
     got = {"".join(name[p]): int(n) for made, counts in Shard(codes).phrases(5, allowed) for p, n in zip(made, counts, strict=True)}
     assert got == {"ab": 2, "bc": 3, "abc": 2}
     assert list(Shard(codes).phrases(5, lambda a, b: np.zeros(len(a), bool))) == []
+
+
+def test_coding_takes_few_bytes_for_a_byte_of_text():
+    r = random.Random(5)
+    text = pa.array([" ".join(r.choice(["collocations", "phrase", "of", "the, language", "word.", "Äpfel"]) for _ in range(2000)) for _ in range(60)])
+    coded(text)
+    tracemalloc.start()
+    coded(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * text.nbytes
+
+
+def test_coded_places_on_odd_bytes():
+    r = random.Random(6)
+    for _ in range(300):
+        given = ["".join(r.choice(["a", "B", "é", "\U0001f600", " ", "\t", ".", "\n", "\x00", "\xa0"]) for _ in range(r.randrange(12))) for _ in range(r.randrange(5))]
+        skipped = r.randrange(2)
+        codes, words = coded(pa.array(given, pa.string()).slice(skipped))
+        got = [[]]
+        for c in codes:
+            got[-1].append(words[int(c)].as_py()) if c >= 0 else got.append([])
+        assert [w for w in got if w] == [p for t in given[skipped:] for p in pieces(t) if p]
