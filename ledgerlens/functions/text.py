@@ -62,6 +62,12 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(folded(c), F.lit("[a-z0-9%]{2,}"), F.lit(0))
 
 
+def text_tokens(c: Column) -> Column:
+    """``tokens`` of whole texts. They are mentioned once and so need no ``let``, after which Spark generates no code for the search."""
+    bare = F.translate(F.regexp_replace(F.lower(c), r"\p{Mn}", ""), *_bare())
+    return F.regexp_extract_all(bare, F.lit("[a-z0-9%]{2,}"), F.lit(0))
+
+
 def unicode_tokens(c: Column) -> Column:
     """Tokens of two characters or more with diacritics kept; input is taken as NFC."""
     return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]{2,}"), F.lit(0))

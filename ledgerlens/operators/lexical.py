@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import block_scores
+
 K1, B = 1.2, 0.75
 RRF_OFFSET = 60
 #: Weights of terms are added in steps of 1 / STEPS.
 STEPS = 1 << 40
 #: Pairs of a question and a row that one task holds at a time, and what stands for a row's own count among its terms.
 PAIRS, WHOLE = 1_000_000, "\0"
+#: Rows that are scored at a time, asked terms that are broadcast (more are joined by a shuffle), and places that scores are ranked by.
+BLOCK, MOST_TERMS, DIGITS = 8_000, 500_000, 9
 
 
 def bm25_hits(questions: DataFrame, rows: DataFrame, gate: list[str], qid: str, row: str, query_tokens: str, row_tokens: str) -> DataFrame:
@@ -38,14 +43,53 @@ def bm25_hits(questions: DataFrame, rows: DataFrame, gate: list[str], qid: str,
     often = counts.groupBy(*gate, "__term").agg(F.count("*").alias("__df"))
     size = counts.groupBy(*gate).agg(F.count_if(own).alias("__rows"), F.avg(F.when(own, F.greatest("__len", F.lit(1)))).alias("__mean"))
     sized = lambda df: df.join(size, gate) if gate else df.crossJoin(F.broadcast(size))
-    idf = F.ln(1 + (F.col("__rows") - F.col("__df") + 0.5) / (F.col("__df") + 0.5))
     long = K1 * (1 - B + B * F.col("__len") / F.greatest("__mean", F.lit(1.0)))
-    weight = idf * F.col("__tf") * (K1 + 1) / (F.col("__tf") + long)
+    weight = _idf() * F.col("__tf") * (K1 + 1) / (F.col("__tf") + long)
     weighted = counts.join(often, [*gate, "__term"]).transform(sized).select(*gate, row, "__term", F.round(weight * STEPS).cast("long").alias("__w"))
     hits = weighted.join(terms, [*gate, "__term"]).groupBy(qid, row).agg(F.sum("__w").alias("__w"))
     return hits.select(qid, row, (F.col("__w") / STEPS).alias("bm25"))
 
 
+def bm25_best(questions: DataFrame, rows: DataFrame, qid: str, row: str, query_tokens: str, row_tokens: str, k: int, group: str | None = None) -> DataFrame:
+    """(qid, row, bm25, near) of ``bm25_hits`` over all rows, but only of rows that can be among a question's ``k`` best.
+
+    The best are those with the highest ``near`` (bm25 rounded to DIGITS), ties to the lower row; rows that may be the best of their ``group``
+    (if that isn't null) come, too. What comes is some more than that, as each block of rows gives its own best.
+
+    Scale: pairs of a question and a row are no rows here. Asked terms are counted in the task that reads a row, before any shuffle;
+    statistics are summed from the same counts, which then meet the questions' terms by blocks of about BLOCK rows. A block is scored in parts
+    of bounded size.
+    """
+    blocks = rows.count() // BLOCK + 1
+    parts = max(blocks, int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    terms = questions.select(qid, F.explode(F.array_distinct(query_tokens)).alias("__term"))
+    asked = terms.select("__term").unionByName(questions.select(F.lit(WHOLE).alias("__term"))).distinct()
+    asked = F.broadcast(asked) if asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS else asked
+    block, own = F.pmod(F.xxhash64(row), F.lit(blocks)).cast("int").alias("__block"), F.col("__term") == WHOLE
+    kept = ["__block", row, "__len", *(["__group"] if group else [])]
+    entries = F.explode(F.array_append(F.coalesce(row_tokens, F.array().cast("array<string>")), F.lit(WHOLE)))
+    held = rows.select(block, F.col(row), F.size(row_tokens).alias("__len"), *([F.col(group).alias("__group")] if group else []), entries.alias("__term"))
+    counts = held.join(asked, "__term", "left_semi").groupBy(*kept, "__term").agg(F.count("*").alias("__tf"))
+    # these sums mention the counts, so that all readers share the shuffle behind them
+    sums = counts.groupBy("__term").agg(F.count_if(F.col("__tf") > 0).alias("__df"), F.sum(F.greatest("__len", F.lit(1))).alias("__sum"))
+    size = sums.agg(F.max(F.when(own, F.col("__df"))).alias("__rows"), F.max(F.when(own, F.col("__sum") / F.col("__df"))).alias("__mean"))
+    asks = terms.join(sums, "__term").crossJoin(F.broadcast(size)).select(qid, "__term", _idf().alias("__idf"), "__mean")
+    asks = asks.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"))
+    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for df, c in ((questions, qid), (rows, row)))
+
+    def weigh(idf, tf, length, mean):
+        """The weights of ``bm25_hits``, for arrays of numbers."""
+        return np.floor(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1.0))) * STEPS + 0.5).astype("int64")
+
+    best = block_scores.kernel(k, weigh, STEPS // 10**DIGITS + 2, qid, row, group is not None)
+    found = counts.repartition(parts, "__block").groupBy("__block").cogroup(asks.groupBy("__block")).applyInArrow(best, f"{fields}, `__w` long")
+    return found.select(qid, row, (F.col("__w") / STEPS).alias("bm25")).withColumn("near", F.round("bm25", DIGITS))
+
+
+def _idf() -> Column:
+    return F.ln(1 + (F.col("__rows") - F.col("__df") + 0.5) / (F.col("__df") + 0.5))
+
+
 def _parts(questions: DataFrame, rows: DataFrame, gate: list[str]) -> int:
     """How many partitions the rows' pairs with questions of their slice need."""
     asks = questions.groupBy(*gate).agg(F.count("*").alias("__q"))

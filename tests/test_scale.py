@@ -1,9 +1,13 @@
 """Work that must not grow faster than the tables: repeated expressions, rows that are never read."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import lexical, partitions, questions
+from ledgerlens.functions import text
+from ledgerlens.operators import block_scores, lexical, partitions, questions
 from ledgerlens.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -49,6 +53,47 @@ def test_pairs_of_one_task_are_bounded(spark, monkeypatch):
     assert lexical._parts(asked, rows, []) == 201 and lexical._parts(asked, rows, ["g"]) == 101
 
 
+@pytest.mark.parametrize("name", ["bm25_global_slice"])
+def test_pairs_of_questions_and_rows_are_no_rows(spark, name):
+    shown = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert shown.count("FlatMapCoGroupsInArrow") == 1 and "hashpartitioning(item_id" in shown.split("FlatMapCoGroupsInArrow")[0]
+    # counts of terms are summed before any shuffle, and none is keyed by question and row
+    assert "partial_count" in shown and not re.search(r"hashpartitioning\(item_id#\d+L?, doc_id", shown)
+
+
+@pytest.mark.parametrize("cells", [10, 4_000_000])
+def test_best_rows_of_blocks_are_those_of_all_rows(spark, monkeypatch, cells):
+    monkeypatch.setattr(lexical, "BLOCK", 40)
+    monkeypatch.setattr(block_scores, "CELLS", cells)
+    draw, words = random.Random(4), [f"w{i}" for i in range(30)]
+    texts = [[w for i, w in enumerate(words) if draw.random() < 0.4 / (1 + i % 7)] * draw.choice([1, 1, 2]) for _ in range(60)]
+    rows = spark.createDataFrame([(f"r{i:03d}", draw.choice(texts), draw.choice(["a", "b", None])) for i in range(200)] + [("r900", None, "a"), ("r901", [], "b")], "row string, t array<string>, g string")
+    asked = spark.createDataFrame([(q, draw.sample(words, 6) + ["w1", "w1"]) for q in range(9)] + [(9, ["unknown"]), (10, None)], "qid int, q array<string>")
+    every = lexical.bm25_hits(asked, rows, [], "qid", "row", "q", "t").withColumn("near", F.round("bm25", lexical.DIGITS))
+    best = lexical.bm25_best(asked, rows, "qid", "row", "q", "t", 5, "g")
+    seen = lambda df: {tuple(r) for r in df.collect()}
+    got, whole = seen(best), seen(every)
+    assert got < whole and best.count() == len(got)
+    assert seen(lexical.top(best, ["qid"], "near", ["row"], 5)) == seen(lexical.top(every, ["qid"], "near", ["row"], 5))
+    heads = lambda df: seen(lexical.top(df.join(rows.select("row", "g").dropna(), "row"), ["qid", "g"], "near", ["row"], 1))
+    assert heads(best) == heads(every) and len(heads(best)) == 18
+    plain = lexical.bm25_best(asked, rows, "qid", "row", "q", "t", 5)
+    assert seen(plain) <= got and len(seen(plain)) <= len(got)
+    assert not lexical.bm25_best(asked, rows.limit(0), "qid", "row", "q", "t", 5).count() and not lexical.bm25_best(asked.limit(0), rows, "qid", "row", "q", "t", 5).count()
+
+
+def test_many_copies_of_a_row_leave_a_block_as_few(spark):
+    rows = spark.range(3000).select(F.col("id").alias("row"), F.array(F.lit("cash"), F.lit("flow")).alias("t"), (F.col("id") % 2).alias("g"))
+    best = lexical.bm25_best(spark.createDataFrame([(1, ["cash"])], "qid int, q array<string>"), rows, "qid", "row", "q", "t", 3, "g")
+    assert sorted(r.row for r in best.collect()) == [0, 1, 2]
+
+
+def test_tokens_of_whole_texts_are_the_same(spark):
+    texts = ["Đường SẮT 5% tăng", "Café cafe\u0301 e\u0301\u0323", "ascii only 12%", "", None, "ǖ ß İstanbul ﬁ x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert all(a == b for a, b in df.select(text.text_tokens(F.col("t")), text.tokens(F.col("t"))).collect())
+
+
 def test_first_places_of_coverage_without_a_whole_order(spark):
     rows = [(q, i, f"s{i * i % 7}", (i * 37 + q) % 23 / 10) for q in range(3) for i in range(60)]
     scores = spark.createDataFrame(rows, "q int, row int, source string, score double").withColumn("at", F.substring("source", 2, 9).cast("int") + 1)
