@@ -5,10 +5,11 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerlens.functions import text
-from ledgerlens.operators import block_scores, lexical, partitions, questions
-from ledgerlens.plans.catalog import QUERIES
+from ledgerlens.operators import block_scores, dense, lexical, partitions, questions
+from ledgerlens.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -94,6 +95,29 @@ def test_tokens_of_whole_texts_are_the_same(spark):
     assert all(a == b for a, b in df.select(text.text_tokens(F.col("t")), text.tokens(F.col("t"))).collect())
 
 
+def test_every_fiftieth_vector_asks(spark):
+    ids = {r[0] for r in spark.read.parquet(f"{SF}/embeddings.parquet").filter("vec_id % 50 = 0").select("vec_id").collect()}
+    assert {r.qid for r in QUERIES["dense_topk_in_boundary"](spark, SF).collect()} == ids
+    assert "vec_id % 50 = 0" in ORACLES["dense_topk_in_boundary"]
+
+
+@pytest.mark.parametrize(("block", "cells"), [(7, 10), (4_000, 2_000_000)])
+def test_nearest_vectors_of_blocks_are_those_of_all(spark, monkeypatch, block, cells):
+    monkeypatch.setattr(dense, "BLOCK", block)
+    monkeypatch.setattr(dense, "CELLS", cells)
+    draw = random.Random(3)
+    rows = [(i, draw.choice(["a", "b", None]), [draw.choice([-1.0, 0.0, 0.5, 1.0 + draw.random() * 1e-9]) for _ in range(3)]) for i in range(90)]
+    rows += [(90, "a", None), (91, "a", [1.0, None, 1.0]), (92, "b", [1.0]), (93, "b", [float("nan"), 1.0, 1.0]), (94, "b", [float("inf"), 1.0, 1.0]), (95, "c", []), (96, "c", [0.0])]
+    v = spark.createDataFrame(rows, "row int, g string, v array<float>").union(spark.createDataFrame([(97 + i, "a", [0.5, 0.5, 0.5]) for i in range(40)], "row int, g string, v array<float>"))
+    asked = v.filter("row % 3 = 0 or row > 89").select(F.col("row").alias("qid"), "g", F.col("v").alias("q"))
+    pairs = asked.join(v, "g").select("qid", "row", dense.dot(F.col("q"), F.col("v")).alias("score"))
+    w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "row")
+    want = pairs.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 6")
+    seen = lambda df: sorted(map(repr, df.select("qid", "row", "score", "rank").collect()))
+    assert seen(dense.cosine_top(asked, v, ["g"], "qid", "row", "q", "v", 6)) == seen(want)
+    assert not dense.cosine_top(asked, v.limit(0), ["g"], "qid", "row", "q", "v", 6).count()
+
+
 def test_first_places_of_coverage_without_a_whole_order(spark):
     rows = [(q, i, f"s{i * i % 7}", (i * 37 + q) % 23 / 10) for q in range(3) for i in range(60)]
     scores = spark.createDataFrame(rows, "q int, row int, source string, score double").withColumn("at", F.substring("source", 2, 9).cast("int") + 1)
