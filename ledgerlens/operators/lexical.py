@@ -16,7 +16,7 @@ STEPS = 1 << 40
 #: Pairs of a question and a row that one task holds at a time, and what stands for a row's own count among its terms.
 PAIRS, WHOLE = 1_000_000, "\0"
 #: Rows that are scored at a time, asked terms that are broadcast (more are joined by a shuffle), and places that scores are ranked by.
-BLOCK, MOST_TERMS, DIGITS = 8_000, 500_000, 9
+BLOCK, MOST_TERMS, DIGITS = 4_000, 500_000, 9
 
 
 def bm25_hits(questions: DataFrame, rows: DataFrame, gate: list[str], qid: str, row: str, query_tokens: str, row_tokens: str) -> DataFrame:
@@ -56,9 +56,8 @@ def bm25_best(questions: DataFrame, rows: DataFrame, qid: str, row: str, query_t
     The best are those with the highest ``near`` (bm25 rounded to DIGITS), ties to the lower row; rows that may be the best of their ``group``
     (if that isn't null) come, too. What comes is some more than that, as each block of rows gives its own best.
 
-    Scale: pairs of a question and a row are no rows here. Asked terms are counted in the task that reads a row, before any shuffle;
-    statistics are summed from the same counts, which then meet the questions' terms by blocks of about BLOCK rows. A block is scored in parts
-    of bounded size.
+    Scale: pairs of a question and a row are no rows here. Asked terms are shuffled once, by blocks of about BLOCK rows, and counted there;
+    statistics are summed from the same shuffle, and each block meets the questions' terms in one task, which scores it in parts of bounded size.
     """
     blocks = rows.count() // BLOCK + 1
     parts = max(blocks, int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -69,9 +68,9 @@ def bm25_best(questions: DataFrame, rows: DataFrame, qid: str, row: str, query_t
     kept = ["__block", row, "__len", *(["__group"] if group else [])]
     entries = F.explode(F.array_append(F.coalesce(row_tokens, F.array().cast("array<string>")), F.lit(WHOLE)))
     held = rows.select(block, F.col(row), F.size(row_tokens).alias("__len"), *([F.col(group).alias("__group")] if group else []), entries.alias("__term"))
-    counts = held.join(asked, "__term", "left_semi").groupBy(*kept, "__term").agg(F.count("*").alias("__tf"))
-    # these sums mention the counts, so that all readers share the shuffle behind them
-    sums = counts.groupBy("__term").agg(F.count_if(F.col("__tf") > 0).alias("__df"), F.sum(F.greatest("__len", F.lit(1))).alias("__sum"))
+    counts = held.join(asked, "__term", "left_semi").repartition(parts, "__block").groupBy(*kept, "__term").agg(F.count("*").alias("__tf"))
+    # no filter before these sums, so that all readers of the counts share one shuffle
+    sums = counts.groupBy("__term").agg(F.count("*").alias("__df"), F.sum(F.greatest("__len", F.lit(1))).alias("__sum"))
     size = sums.agg(F.max(F.when(own, F.col("__df"))).alias("__rows"), F.max(F.when(own, F.col("__sum") / F.col("__df"))).alias("__mean"))
     asks = terms.join(sums, "__term").crossJoin(F.broadcast(size)).select(qid, "__term", _idf().alias("__idf"), "__mean")
     asks = asks.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"))
@@ -82,7 +81,7 @@ def bm25_best(questions: DataFrame, rows: DataFrame, qid: str, row: str, query_t
         return np.floor(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1.0))) * STEPS + 0.5).astype("int64")
 
     best = block_scores.kernel(k, weigh, STEPS // 10**DIGITS + 2, qid, row, group is not None)
-    found = counts.repartition(parts, "__block").groupBy("__block").cogroup(asks.groupBy("__block")).applyInArrow(best, f"{fields}, `__w` long")
+    found = counts.groupBy("__block").cogroup(asks.groupBy("__block")).applyInArrow(best, f"{fields}, `__w` long")
     return found.select(qid, row, (F.col("__w") / STEPS).alias("bm25")).withColumn("near", F.round("bm25", DIGITS))
 
 
